@@ -96,12 +96,41 @@ def first_turn(fen) -> Column:
     return F.when(f.rlike(FEN_SHAPE) & (side == "b"), F.lit("b")).otherwise(F.lit("w"))
 
 
+def fixed(x, digits: int) -> Column:
+    """``f"{x:.{digits}f}"`` exactly as Python / C printf write it (round half even on the
+    exact binary value), not Java's half-up on the shortest decimal text.
+
+    The product ``x * 10**digits`` is split into its double ``p`` and exact error
+    ``err`` (Dekker's two-product), which decides the only ambiguous case,
+    ``p`` landing exactly on a half.  Valid for ``|x| * 10**digits < 2**52``.
+    """
+    v = _c(x)
+    a = F.abs(v)
+    s = float(10 ** digits)
+    p = a * F.lit(s)
+    c = a * F.lit(134217729.0)
+    hi = c - (c - a)
+    lo = a - hi
+    err = (hi * F.lit(s) - p) + lo * F.lit(s)
+    fl = F.floor(p)
+    r = p - fl
+    up = (F.when(r > 0.5, True).when(r < 0.5, False)
+          .when(err > 0, True).when(err < 0, False)
+          .otherwise(fl % 2 == 1))
+    n = (fl + F.when(up, F.lit(1)).otherwise(F.lit(0))).cast("long")
+    body = n.cast("string") if digits == 0 else F.concat(
+        (n / F.lit(10 ** digits)).cast("long").cast("string"), F.lit("."),
+        F.lpad((n % F.lit(10 ** digits)).cast("string"), digits, "0"))
+    return F.when(v.isNull(), F.lit(None).cast("string")).otherwise(
+        F.concat(F.when(v < 0, F.lit("-")).otherwise(F.lit("")), body))
+
+
 def speed_label(nps) -> Column:
-    """Compact speed text: '18.8M', '57k', '950'.  Half-even rounding on exact ties."""
+    """Compact speed text: '18.8M', '57k', '950' (Python rounding)."""
     n = _c(nps)
-    return (F.when(n >= 1e6, F.format_string("%.1fM", F.bround(n / 1e6, 1)))
-            .when(n >= 1e3, F.format_string("%.0fk", F.bround(n / 1e3, 0)))
-            .otherwise(F.format_string("%.0f", F.bround(n, 0))))
+    return (F.when(n >= 1e6, F.concat(fixed(n / 1e6, 1), F.lit("M")))
+            .when(n >= 1e3, F.concat(fixed(n / 1e3, 0), F.lit("k")))
+            .otherwise(fixed(n, 0)))
 
 
 def live_band(accuracy_pct) -> Column:
