@@ -145,7 +145,7 @@ def fx_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
     # an order has at most a handful of lines: per-game windows are small groups
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     m = li.select(F.col("l_orderkey").alias("game_id"),
-                  F.row_number().over(w).alias("ply"),
+                  F.row_number().over(w).cast("bigint").alias("ply"),
                   (F.col("l_partkey") % 7).alias("c"),
                   (F.col("l_linenumber") + 8).alias("d"),
                   (F.col("l_suppkey") % 90).alias("s"),

@@ -24,7 +24,7 @@ def pgn_games(spark: SparkSession, d: str) -> DataFrame:
     mv = (fx.fx_moves(spark, d).groupBy("game_id")
           .agg(F.sort_array(F.collect_list(F.struct("ply", "move_san", "comment"))).alias("mv")))
     j = g.join(mv, "game_id", "left").withColumn("mv", F.coalesce("mv", F.array().cast(
-        "array<struct<ply:int,move_san:string,comment:string>>")))
+        "array<struct<ply:bigint,move_san:string,comment:string>>")))
     black_start = F.col("termination") == "Time forfeit"
 
     def token(m):
