@@ -1,6 +1,6 @@
 """Imports every query module so that the registry is complete."""
 
-from . import q_analytics, q_matches, q_puzzles, q_rollups, q_scoring  # noqa: F401
+from . import q_analytics, q_io, q_matches, q_puzzles, q_rollups, q_scoring  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
