@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import first_turn, fixed, map_engine, parse_comment
-from .ordered import running_totals
+from .ordered import file_order_numbers
 
 # --- fixed values ------------------------------------------------------------
 # Defaults of missing headers.
@@ -49,14 +49,22 @@ def parse_games(games_text: DataFrame, load_ts: str | None = None) -> DataFrame:
 
     Input: (match_id, file, block, seq, pgn) as produced by ``read_games_text``.
     """
-    g = games_text.select(
-        "match_id", "file", "block", "seq", "pgn",
-        header("pgn", "White").alias("white"), header("pgn", "Black").alias("black"),
-        F.coalesce(header("pgn", "Result"), F.lit(DEFAULT_RESULT)).alias("result"),
-        F.coalesce(header("pgn", "Termination"), F.lit(DEFAULT_TERMINATION)).alias("termination"),
-        header("pgn", "PlyCount").alias("ply_count"), header("pgn", "Round").alias("round"),
-        header("pgn", "FEN").alias("fen"),
-        header("pgn", "GameStartTime").alias("start_time"), header("pgn", "GameEndTime").alias("end_time"),
+    # every tag in one regex pass: names and values as two aligned arrays
+    tag_re = r'\[(\w+)\s+"([^"]*)"\]'
+    t = games_text.withColumns({"__tk": F.regexp_extract_all("pgn", F.lit(tag_re), 1),
+                                "__tv": F.regexp_extract_all("pgn", F.lit(tag_re), 2)})
+
+    def tag(name: str) -> Column:
+        pos = F.array_position("__tk", name)
+        return F.when(pos > 0, F.element_at("__tv", pos.cast("int")))
+
+    g = t.select(
+        "match_id", "file", "block", "seq", "pgn", "is_game",
+        tag("White").alias("white"), tag("Black").alias("black"),
+        F.coalesce(tag("Result"), F.lit(DEFAULT_RESULT)).alias("result"),
+        F.coalesce(tag("Termination"), F.lit(DEFAULT_TERMINATION)).alias("termination"),
+        tag("PlyCount").alias("ply_count"), tag("Round").alias("round"), tag("FEN").alias("fen"),
+        tag("GameStartTime").alias("start_time"), tag("GameEndTime").alias("end_time"),
         F.regexp_extract_all(movetext("pgn"), F.lit(TOKEN_PATTERN), 1).alias("toks"))
     g = g.withColumn("first_turn", first_turn(F.coalesce("fen", F.lit(""))))
     g = g.withColumn("full0", F.coalesce(F.split(F.col("fen"), " ").getItem(5).try_cast("int"), F.lit(1)))
@@ -85,8 +93,8 @@ def parse_games(games_text: DataFrame, load_ts: str | None = None) -> DataFrame:
                         tele["seconds"].alias("seconds"))
 
     g = g.withColumn("moves", F.transform(only_moves, move_row)).drop("toks")
-    numbered = running_totals(g, ["match_id"], ["file", "block", "seq"], row_number="game_no")
-    return numbered
+    # Game number in file order; games stay where they are read
+    return file_order_numbers(g, ["match_id"], row_number="game_no", keep="is_game")
 
 
 def explode_moves(games: DataFrame, keys=("match_id", "game_no")) -> DataFrame:

@@ -84,3 +84,31 @@ def running_totals(df: DataFrame, partition_by: list[str], order_by: list[str],
     return j.select(*[F.col(c) for c in df.columns],
                     (F.col("__rn") + F.col("__on")).alias(row_number),
                     *[(F.col(f"__s_{k}") + F.col(f"__o_{k}")).alias(k) for k in sums])
+
+
+def file_order_numbers(df: DataFrame, partition_by: list[str], row_number: str = "rn",
+                       file: str = "file", block: str = "block", seq: str = "seq",
+                       keep: str | None = None) -> DataFrame:
+    """Row numbers in file order (file, block start, position in block) per group,
+    without moving the rows.
+
+    ``seq`` must be ``monotonically_increasing_id()`` taken right at the scan,
+    so the lines of one file block carry consecutive values.  Only a small
+    per-block table (count and first ``seq``) is aggregated and windowed; the
+    rows get ``block offset + (seq - first seq) + 1`` through a join with it
+    (broadcast by AQE when measured small).  Rows must not be filtered between
+    the scan and this call, except leading records of a block flagged by
+    ``keep`` (such as the empty record before a file's first separator): only
+    kept rows are numbered and returned.
+    """
+    keys = [*partition_by, file, block]
+    if keep is not None:
+        df = df.where(F.col(keep)).drop(keep)
+    blocks = df.groupBy(*keys).agg(F.min(seq).alias("__s0"), F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy(*partition_by).orderBy(file, block).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select(*[F.col(k).alias(f"__k_{k}") for k in keys], "__s0",
+                           F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
+    cond = [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys]
+    j = df.join(blocks, cond, "inner")
+    return j.select(*[F.col(c) for c in df.columns],
+                    (F.col("__off") + F.col(seq) - F.col("__s0") + 1).alias(row_number))

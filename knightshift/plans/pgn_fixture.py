@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
+from ..session import landed
 from ..sinks.files import write_games_text
 from . import fixtures as fx
 
@@ -56,9 +56,7 @@ def pgn_games(spark: SparkSession, d: str) -> DataFrame:
 
 def pgn_files(spark: SparkSession, d: str) -> str:
     """Write the match files (one directory per match) and return their root."""
-    path = scratch_path(spark, "pgn")
-    write_games_text(pgn_games(spark, d), path)
-    return path
+    return landed(spark, f"pgn:{d}", lambda path: write_games_text(pgn_games(spark, d), path))
 
 
 # SQL pieces for oracles over the adapters

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import safe_name
 from ..operators import rollups as R
-from ..session import scratch_path
+from ..session import landed, scratch_path
 from ..sinks import files as K
 from ..sources import puzzles as SP
 from ..sources import runs as RUNS
@@ -19,10 +19,7 @@ SHARD = 20
 
 
 def _results_path(spark, d):
-    ev = fx.fx_evals(spark, d).drop("pos")
-    path = scratch_path(spark, "results")
-    K.write_results(ev, path)
-    return path
+    return landed(spark, f"results:{d}", lambda path: K.write_results(fx.fx_evals(spark, d).drop("pos"), path))
 
 
 @query("write_results", """

@@ -111,7 +111,7 @@ def q_annotate_pgn(spark, d):
     path = scratch_path(spark, "annotated")
     a.select(F.col("annotated_pgn").alias("value"), "match_id") \
      .write.mode("overwrite").partitionBy("match_id").option("lineSep", "\n\n").text(path)
-    back = SRC.read_games_text(spark, path)
+    back = SRC.read_games_text(spark, path).where("is_game")
     tags = ["WhiteAvgDepth", "BlackAvgDepth", "WhiteAvgMoveTime", "BlackAvgMoveTime"]
     site = F.regexp_extract(M.header("pgn", "Site"), r"(\d+)$", 1).cast("bigint")
     got = back.select("match_id", site.alias("source_game"), *[M.header("pgn", t).alias(t) for t in tags])
@@ -243,7 +243,7 @@ SELECT game_no, white, black, result FROM g WHERE match_id = 'match_7'""")
 def q_export_pgn(spark, d):
     _, games, _ = M.ingest_games(SRC.read_games_text(spark, pgn_files(spark, d)), E1, E2, TC, ROUNDS, LOAD_TS)
     path = K.export_pgn(SRC.lookup_match(games, "match_7"), scratch_path(spark, "export"))
-    back = SRC.read_games_text(spark, path, match_from_path=False)
+    back = SRC.read_games_text(spark, path, match_from_path=False).where("is_game")
     n = F.regexp_extract(M.header("pgn", "Site"), r"(\d+)$", 1).cast("bigint")
     num = games.where(F.col("match_id") == "match_7").select(
         "game_no", F.regexp_extract(M.header("moves_pgn", "Site"), r"(\d+)$", 1).cast("bigint").alias("src"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.board import apply_move
 from ..operators import puzzles as P
-from ..session import scratch_path
+from ..session import landed, scratch_path
 from ..sinks import files as K
 from ..sources import puzzles as SRC
 from . import fixtures as fx
@@ -61,14 +61,16 @@ def _dump_lines(spark, d):
     return p.select(key.alias("pos"), line.alias("value"), pid.alias("pid"), sz.alias("sz"))
 
 
-def _dump_path(spark, d):
-    path = scratch_path(spark, "dump")
+def _write_dump(spark, d, path):
     lines = _dump_lines(spark, d).select("pos", "value")
     head = spark.createDataFrame([(-1, HEADER)], "pos long, value string")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     (head.unionByName(lines).repartitionByRange(n, "pos").sortWithinPartitions("pos")
      .select("value").write.mode("overwrite").text(path))
-    return path
+
+
+def _dump_path(spark, d):
+    return landed(spark, f"dump:{d}", lambda path: _write_dump(spark, d, path))
 
 
 def _classified(spark, d):

@@ -64,3 +64,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint (written to the shared folder, survives executor loss)."""
     checkpoint_root(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_LANDED: dict[tuple[str, str], str] = {}
+
+
+def landed(spark: SparkSession, key: str, build) -> str:
+    """Input files derived from the tables (a match file, a puzzle dump, a result
+    table) are landed once per application and reused by every query that reads
+    them; ``build(path)`` writes them."""
+    k = (spark.sparkContext.applicationId, key)
+    if k not in _LANDED:
+        path = scratch_path(spark, "landed")
+        build(path)
+        _LANDED[k] = path
+    return _LANDED[k]

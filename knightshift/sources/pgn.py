@@ -20,15 +20,16 @@ def read_games_text(spark: SparkSession, path: str, match_from_path: bool = True
            .select("*", F.col("_metadata.file_path").alias("file"),
                    F.col("_metadata.file_block_start").alias("block"),
                    F.monotonically_increasing_id().alias("seq")))
-    # the text before the first separator is empty (or junk without a game): drop it
-    games = raw.where(F.col("value").rlike(r'^[^"\n]*"\]'))
+    # the text before the first separator (empty, or junk without a game) is marked, not
+    # dropped here: file-order numbering needs every record of a block
+    games = raw.withColumn("is_game", F.col("value").rlike(r'^[^"\n]*"\]'))
     games = games.withColumn("pgn", F.concat(F.lit(GAME_SEPARATOR), F.rtrim(F.col("value"))))
     if "match_id" not in games.columns:
         if match_from_path:
             games = games.withColumn("match_id", F.regexp_extract("file", r"match_id=([^/]+)", 1))
         else:
             games = games.withColumn("match_id", F.lit(None).cast("string"))
-    return games.select("match_id", "file", "block", "seq", "pgn")
+    return games.select("match_id", "file", "block", "seq", "pgn", "is_game")
 
 
 def lookup_match(games: DataFrame, match_id: str, column: str = "moves_pgn") -> DataFrame:
