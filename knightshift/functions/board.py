@@ -59,23 +59,25 @@ def square_name(idx: Column) -> Column:
 
 # ---- SQL text generators (board: a 64-char SQL expression; squares: SQL int indexes) ----
 
-def attacked_sql(b: str, t: str, by_white: bool) -> str:
+def attacked_sql(b: str, t: str, by_white: bool, v: str = "a") -> str:
     """SQL: is square index ``t`` attacked by the given side on board ``b``?
 
     One pass over the 64 squares (a higher-order ``exists``): a piece of the
     side attacks ``t`` by its geometry, sliders only through empty squares.
     The lambda form keeps the generated code small; pieces of the other
-    side are rejected by the first, cheapest test.
+    side are rejected by the first, cheapest test.  ``v`` names the lambda
+    variables (``v``i, ``v``s) so the test nests inside other lambdas.
     """
+    i, s_ = f"{v}i", f"{v}s"
     n, bsh, rk, q, k, p = ("N", "B", "R", "Q", "K", "P") if by_white else ("n", "b", "r", "q", "k", "p")
     pawn_dy = 1 if by_white else -1
-    pc = f"substr({b}, i + 1, 1)"
-    dx = f"(({t}) % 8 - i % 8)"
-    dy = f"(i div 8 - ({t}) div 8)"
+    pc = f"substr({b}, {i} + 1, 1)"
+    dx = f"(({t}) % 8 - {i} % 8)"
+    dy = f"({i} div 8 - ({t}) div 8)"
     m = f"greatest(abs({dx}), abs({dy}))"
     step = f"(CAST(signum({dx}) AS INT) - 8 * CAST(signum({dy}) AS INT))"
-    clear = f"({m} <= 1 OR forall(sequence(1, {m} - 1), s -> substr({b}, i + 1 + s * {step}, 1) = '1'))"
-    return (f"exists(sequence(0, 63), i -> i <> ({t}) AND {pc} IN ('{n}','{bsh}','{rk}','{q}','{k}','{p}') AND ("
+    clear = f"({m} <= 1 OR forall(sequence(1, {m} - 1), {s_} -> substr({b}, {i} + 1 + {s_} * {step}, 1) = '1'))"
+    return (f"exists(sequence(0, 63), {i} -> {i} <> ({t}) AND {pc} IN ('{n}','{bsh}','{rk}','{q}','{k}','{p}') AND ("
             f"({pc} = '{n}' AND abs({dx}) * abs({dy}) = 2) OR "
             f"({pc} = '{k}' AND {m} = 1) OR "
             f"({pc} = '{p}' AND {dy} = {pawn_dy} AND abs({dx}) = 1) OR "
