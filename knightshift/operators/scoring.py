@@ -136,9 +136,12 @@ def stored_count(ids: DataFrame, column: str = "puzzle_id") -> DataFrame:
     return ids.agg(F.countDistinct(column).alias("stored"))
 
 
-def missing_tables(spark: SparkSession, expected, database: str | None = None) -> DataFrame:
-    """Expected table names that the catalog does not hold (empty when all exist)."""
-    present = [t.name for t in spark.catalog.listTables(database)]
+def missing_tables(spark: SparkSession, expected, database: str | None = None, present=None) -> DataFrame:
+    """Expected table names not present (empty when all exist).
+
+    ``present`` defaults to the tables and views of the catalog."""
+    if present is None:
+        present = [t.name for t in spark.catalog.listTables(database)]
     exp = spark.createDataFrame([(n,) for n in expected], "table_name string")
     have = spark.createDataFrame([(n,) for n in present], "table_name string")
     return exp.exceptAll(have)

@@ -262,3 +262,21 @@ def q_metrics_long(spark, d):
 
 
 EXPECTED = schemas.EXPECTED_TABLES
+
+
+# The 3NF tables a load made present (non-empty adapters) against the twelve expected
+PRESENT = [("players", "fx_players"), ("openings", "fx_openings"), ("engines", "fx_engines"),
+           ("benchmark_runs", "fx_runs"), ("puzzles", "fx_puzzles"), ("puzzle_evaluations", "fx_evals"),
+           ("games", "fx_games"), ("game_moves", "fx_moves")]
+
+
+@query("missing_tables", "SELECT * FROM (VALUES " + ", ".join(f"('{t}')" for t in schemas.EXPECTED_TABLES)
+       + ") AS e(table_name) EXCEPT ALL (" + " UNION ALL ".join(
+           f"SELECT '{t}' AS table_name WHERE EXISTS (SELECT 1 FROM {s})" for t, s in PRESENT) + ")")
+def q_missing_tables(spark, d):
+    from ..operators.scoring import missing_tables
+    srcs = {"fx_players": fx.fx_players(spark, d), "fx_openings": fx.fx_openings(spark, d),
+            "fx_engines": fx.fx_engines(spark), "fx_runs": fx.fx_runs(spark), "fx_puzzles": fx.fx_puzzles(spark, d),
+            "fx_evals": fx.fx_evals(spark, d), "fx_games": fx.fx_games(spark, d), "fx_moves": fx.fx_moves(spark, d)}
+    present = [t for t, s in PRESENT if srcs[s].limit(1).count() > 0]     # loaded = has rows
+    return missing_tables(spark, schemas.EXPECTED_TABLES, present=present)
