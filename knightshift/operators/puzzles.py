@@ -78,11 +78,22 @@ def new_puzzles(rows: DataFrame, stored_ids: DataFrame, key: str = "puzzle_id")
     return rows.join(stored_ids.select(key).distinct(), key, "left_anti")
 
 
+TOP_K_LIMIT = 100_000   # above this, numbering instead of a single merged top-k
+
+
 def take_total(rows: DataFrame, total: int, order=ORDER) -> DataFrame:
     """L2: the first ``total`` rows in stream order (at least one, as the ingest loop
-    always keeps the row that reaches the target).  Top-k: each task keeps its
-    own first ``total`` before the merge."""
-    return rows.orderBy(*order).limit(max(total, 1))
+    always keeps the row that reaches the target).
+
+    Up to ``TOP_K_LIMIT`` a top-k (each task keeps its own first ``total``,
+    then one merge); beyond it the balanced numbering of ``running_totals``
+    and a filter, so a large target is never merged in one task.
+    """
+    n = max(total, 1)
+    if n <= TOP_K_LIMIT:
+        return rows.orderBy(*order).limit(n)
+    r = running_totals(rows, [], list(order), row_number="__take")
+    return r.where(F.col("__take") <= n).drop("__take")
 
 
 def assign_shards(rows: DataFrame, shard_size: int, existing_shards: int = 0, order=ORDER) -> DataFrame:

@@ -24,3 +24,12 @@ def test_global_numbering(spark):
     df = spark.createDataFrame([(i * 7 % 1000,) for i in range(1000)], "o long")
     got = running_totals(df, [], ["o"], row_number="rn", chunks=8)
     assert sorted((r.o, r.rn) for r in got.collect()) == [(i, i + 1) for i in range(1000)]
+
+
+def test_take_total_both_paths(spark, monkeypatch):
+    from knightshift.operators import puzzles as P
+    df = spark.createDataFrame([("f", 0, i, f"id{i}") for i in range(500)], "file string, block long, seq long, puzzle_id string")
+    small = {r.puzzle_id for r in P.take_total(df, 120).collect()}
+    monkeypatch.setattr(P, "TOP_K_LIMIT", 10)
+    big = {r.puzzle_id for r in P.take_total(df, 120).collect()}
+    assert small == big == {f"id{i}" for i in range(120)}
