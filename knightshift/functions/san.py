@@ -18,8 +18,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.joins import bounded_broadcast
+from ..session import cut_lineage
 from .board import CASTLING_SHAPE, EP_SHAPE, UCI_SHAPE, attacked_sql, expand_placement
 
+PAIR_TABLE_BOUND = 1_000_000
+
 WHITE_SET = "('P','N','B','R','Q','K')"
 BLACK_SET = "('p','n','b','r','q','k')"
 
@@ -100,7 +104,9 @@ def annotate_san(df: DataFrame, fen: str, uci: str, out: str = "san", dedupe: bo
     """Adds ``out``: SAN of ``uci`` in ``fen``, or ``uci`` itself when not a legal move."""
     if dedupe:
         pairs = df.select(F.col(fen).alias("__fen"), F.col(uci).alias("__uci")).distinct()
-        ann = _annotate(pairs, "__fen", "__uci", "__san")
+        # the annotated pairs are a derived table: written once (reliable checkpoint),
+        # broadcast back when their count is within the bound, else joined by shuffle
+        ann = bounded_broadcast(cut_lineage(_annotate(pairs, "__fen", "__uci", "__san")), PAIR_TABLE_BOUND)
         cond = [df[fen].eqNullSafe(ann["__fen"]), df[uci].eqNullSafe(ann["__uci"])]
         return df.join(ann, cond, "left").select(*[df[c] for c in df.columns], F.col("__san").alias(out))
     return _annotate(df, fen, uci, out)

@@ -24,7 +24,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..plans.joins import bounded_broadcast
+
 SAMPLE_PER_CHUNK = 40
+BLOCK_TABLE_BOUND = 1_000_000   # one row per file split: ~100 TB / 128 MB splits stays below
 
 
 def _sort_key(row):
@@ -109,6 +112,7 @@ def file_order_numbers(df: DataFrame, partition_by: list[str], row_number: str =
     blocks = blocks.select(*[F.col(k).alias(f"__k_{k}") for k in keys], "__s0",
                            F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
     cond = [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys]
-    j = df.join(blocks, cond, "inner")
+    # the block table is checked against its bound and broadcast: the rows are not shuffled
+    j = df.join(bounded_broadcast(blocks, BLOCK_TABLE_BOUND), cond, "inner")
     return j.select(*[F.col(c) for c in df.columns],
                     (F.col("__off") + F.col(seq) - F.col("__s0") + 1).alias(row_number))

@@ -17,9 +17,10 @@ DIM_ROW_BOUND = 200_000
 def bounded_broadcast(df: DataFrame, max_rows: int = DIM_ROW_BOUND) -> DataFrame:
     """``broadcast(df)`` if it holds at most ``max_rows`` rows, else ``df`` unchanged.
 
-    The check reads at most ``max_rows + 1`` rows (a limit pushed into the scan).
+    The check reads at most ``max_rows + 1`` rows (a limit pushed into the scan);
+    a frame held on the driver already (``isLocal``) is counted without a job.
     """
-    n = df.limit(max_rows + 1).count()
+    n = len(df.take(max_rows + 1)) if df.isLocal() else df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
 
 
