@@ -125,7 +125,11 @@ def ingest_puzzles(raw: DataFrame, stored_ids: DataFrame, min_rating: int = 2500
 
 def prepare_csv(raw: DataFrame, min_rating: int, materialize: bool = True) -> DataFrame:
     """S2 rules: integer rating at or above ``min_rating``, two moves, a valid board;
-    no popularity filter; themes and game url default to ''."""
+    no popularity filter; themes and game url default to ''.
+
+    The keep flag is projected next to the new position and filtered after
+    the checkpoint, so the optimizer never copies the board expressions into
+    a pushed-down filter."""
     rating = F.col("Rating").try_cast("int") if "Rating" in raw.columns else F.lit(0)
     first, solution, n_moves = split_moves("Moves")
     x = raw.withColumns({"rating": rating, "__first": first, "solution": solution, "__n": n_moves})
@@ -136,5 +140,7 @@ def prepare_csv(raw: DataFrame, min_rating: int, materialize: bool = True) -> Da
             F.coalesce(F.col("GameUrl"), F.lit("")).alias("game_url") if "GameUrl" in raw.columns else F.lit("").alias("game_url")]
     if "PuzzleId" in raw.columns:
         cols.insert(len(ORDER), F.col("PuzzleId").alias("puzzle_id"))
-    out = x.where(keep).select(*cols)
-    return cut_lineage(out) if materialize else out
+    out = x.select(*cols, keep.alias("__keep"))
+    if materialize:
+        out = cut_lineage(out)
+    return out.where(F.col("__keep")).drop("__keep")

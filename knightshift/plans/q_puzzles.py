@@ -163,12 +163,13 @@ SELECT 'p' || CAST(p.p_partkey AS VARCHAR) AS puzzle_id, f.fen_after AS fen, f.s
 FROM part p JOIN fx_positions f ON f.k = p.p_partkey % 8
 WHERE 800 + (p.p_partkey * 37) % 2300 >= 1500""")
 def q_src_puzzles_csv(spark, d):
-    z = fx.fx_puzzles(spark, d)
-    path = scratch_path(spark, "csv")
-    (z.select(F.col("puzzle_id").alias("PuzzleId"), F.col("fen_before").alias("FEN"), F.col("moves").alias("Moves"),
-              F.col("rating").cast("string").alias("Rating"), F.col("themes").alias("Themes"),
-              F.col("game_url").alias("GameUrl"))
-     .write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').csv(path))
+    def write(path):
+        z = fx.fx_puzzles(spark, d)
+        (z.select(F.col("puzzle_id").alias("PuzzleId"), F.col("fen_before").alias("FEN"), F.col("moves").alias("Moves"),
+                  F.col("rating").cast("string").alias("Rating"), F.col("themes").alias("Themes"),
+                  F.col("game_url").alias("GameUrl"))
+         .write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').csv(path))
+    path = landed(spark, f"csv:{d}", write)
     rows = P.prepare_csv(SRC.read_puzzle_csv(spark, path), MIN_RATING)
     return rows.select("puzzle_id", "fen", "solution", "rating", "themes", "game_url")
 
@@ -179,12 +180,14 @@ FROM (SELECT CAST(800 + (p_partkey * 37) % 2300 AS INT) AS rating,
              row_number() OVER (ORDER BY p_partkey) AS n
       FROM part WHERE 800 + (p_partkey * 37) % 2300 >= 1500) t""")
 def q_puzzle_id_fallback(spark, d):
-    z = fx.fx_puzzles(spark, d)
-    path = scratch_path(spark, "csv_noid")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    (z.repartitionByRange(n, "pos").sortWithinPartitions("pos")
-     .select(F.col("fen_before").alias("FEN"), F.col("moves").alias("Moves"), F.col("rating").cast("string").alias("Rating"))
-     .write.mode("overwrite").option("header", True).csv(path))
+    def write(path):
+        z = fx.fx_puzzles(spark, d)
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        (z.repartitionByRange(n, "pos").sortWithinPartitions("pos")
+         .select(F.col("fen_before").alias("FEN"), F.col("moves").alias("Moves"),
+                 F.col("rating").cast("string").alias("Rating"))
+         .write.mode("overwrite").option("header", True).csv(path))
+    path = landed(spark, f"csv_noid:{d}", write)
     rows = P.prepare_csv(SRC.read_puzzle_csv(spark, path), MIN_RATING)
     return P.puzzle_id_fallback(P.assign_shards(rows, SHARD, 0)).select("puzzle_id", "rating")
 
