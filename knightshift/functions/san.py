@@ -100,6 +100,23 @@ def _has_reply(b: str, white: bool, ep: str) -> str:
             f"exists(sequence(0, 63), rq -> {_legal(b, 'rp', 'rq', white, ep, 'r')}))")
 
 
+def annotate_san_columns(df: DataFrame, fen: str, moves: dict[str, str]) -> DataFrame:
+    """SAN for several move columns of the same position in one pass: the distinct
+    (fen, move) pairs of all columns are annotated together, then joined back per column."""
+    pairs = None
+    for uci in moves:
+        p = df.select(F.col(fen).alias("__fen"), F.col(uci).alias("__uci"))
+        pairs = p if pairs is None else pairs.union(p)
+    ann = bounded_broadcast(cut_lineage(_annotate(pairs.distinct(), "__fen", "__uci", "__san")), PAIR_TABLE_BOUND)
+    out = df
+    for uci, name in moves.items():
+        a = ann.select(F.col("__fen").alias(f"__f_{name}"), F.col("__uci").alias(f"__u_{name}"),
+                       F.col("__san").alias(name))
+        cond = [out[fen].eqNullSafe(a[f"__f_{name}"]), out[uci].eqNullSafe(a[f"__u_{name}"])]
+        out = out.join(a, cond, "left").drop(f"__f_{name}", f"__u_{name}")
+    return out
+
+
 def annotate_san(df: DataFrame, fen: str, uci: str, out: str = "san", dedupe: bool = True) -> DataFrame:
     """Adds ``out``: SAN of ``uci`` in ``fen``, or ``uci`` itself when not a legal move."""
     if dedupe:

@@ -63,12 +63,21 @@ def chunk_column(df: DataFrame, keys: list[str], chunks: int) -> Column:
 
 def running_totals(df: DataFrame, partition_by: list[str], order_by: list[str],
                    sums: dict[str, Column] | None = None, row_number: str = "rn",
-                   chunks: int | None = None) -> DataFrame:
-    """Adds ``row_number`` (1-based, per group in order) and one running sum per ``sums`` entry."""
+                   chunks: int | None = None, chunk_by: list[str] | None = None) -> DataFrame:
+    """Adds ``row_number`` (1-based, per group in order) and one running sum per ``sums`` entry.
+
+    ``chunk_by``: columns forming a prefix of ``order_by`` whose values already
+    cut the order into bounded slices (for file-ordered data: file and block);
+    then no sampling pass is needed.
+    """
     sums = sums or {}
     n = chunks or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     base = df.select("*", *[e.alias(f"__v_{k}") for k, e in sums.items()])
-    base = base.withColumn("__chunk", chunk_column(df, partition_by + order_by, n))
+    if chunk_by:
+        assert list(order_by[:len(chunk_by)]) == list(chunk_by), "chunk_by must prefix order_by"
+        base = base.withColumn("__chunk", F.struct(*chunk_by))
+    else:
+        base = base.withColumn("__chunk", chunk_column(df, partition_by + order_by, n))
     part = [*partition_by, "__chunk"]
     w = Window.partitionBy(*part).orderBy(*order_by)
     frame = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)

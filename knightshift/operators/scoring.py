@@ -9,13 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.columns import DEFAULT_ENGINES, bool_avg_pct, count_true, is_correct, safe_name
+from ..functions.columns import DEFAULT_ENGINES, count_true, is_correct, safe_name
 from .ordered import running_totals
 
-EVAL_COLUMNS = ["run_id", "puzzle_id", "fen", "solution", "engine_move", "is_correct", "depth", "nps",
-                "elapsed_seconds", "rating", "engine", "evaluated_at"]
-
-
 def score_answers(puzzles: DataFrame, answers: DataFrame, evaluated_at=None) -> DataFrame:
     """J3 + P7: join answers to their puzzle and mark them correct or wrong.
 
@@ -154,6 +150,3 @@ def safe_name_py(name: str) -> str:
     """P8 for path names on the driver (same rule as :func:`safe_name`)."""
     return _SAFE.sub("_", name.lower())
 
-
-def accuracy_pct(flag: str = "is_correct"):
-    return bool_avg_pct(flag)

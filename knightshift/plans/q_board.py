@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
-from ..functions.san import annotate_san
+from ..functions.san import annotate_san, annotate_san_columns
 from ..operators.scoring import score_answers
 from . import fixtures as fx
 from .registry import query
@@ -30,6 +29,5 @@ def q_eval_results(spark, d):
     answers = fx.fx_answers(spark, d).select("run_id", "puzzle_id", "engine", "engine_move", "depth", "nps",
                                              "elapsed_seconds")
     ev = score_answers(puzzles, answers)
-    ev = annotate_san(ev, "fen", "solution", out="solution_san")
-    ev = annotate_san(ev, "fen", "engine_move", out="engine_move_san")
+    ev = annotate_san_columns(ev, "fen", {"solution": "solution_san", "engine_move": "engine_move_san"})
     return ev.select("run_id", "puzzle_id", "engine", "engine_move", "is_correct", "solution_san", "engine_move_san")

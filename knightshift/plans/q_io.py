@@ -5,7 +5,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.columns import safe_name
 from ..operators import rollups as R
 from ..session import landed, scratch_path
 from ..sinks import files as K
@@ -163,5 +162,3 @@ def q_engine_rollup_3nf_export(spark, d):
     return R.engine_rollup(j).select("engine", "total_puzzles", "solved", "accuracy_pct", "avg_nps",
                                      "avg_depth", "avg_sec_per_pos", "avg_puzzle_rating")
 
-
-_ = safe_name

@@ -11,7 +11,6 @@ from ..session import scratch_path
 from ..streaming import jobs as ST
 from . import fixtures as fx
 from .q_puzzles import HEADER, MIN_RATING, POP_MIN, RAW_SQL, STORED_RATING, _dump_lines
-from .q_scoring import q_score_answers  # noqa: F401  (same oracle shape)
 from .registry import ORACLES, query
 
 CHUNKS = 3

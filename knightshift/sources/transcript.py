@@ -44,8 +44,10 @@ def parse_transcript(lines: DataFrame) -> DataFrame:
         F.when(is_info, _value_after(tokens, "nps").try_cast("double")).alias("nps_v"),
         is_best.alias("is_best"),
         F.when(is_best, F.coalesce(F.try_element_at(tokens, F.lit(2)), F.lit(""))).alias("move"))
+    # file blocks are natural, bounded chunks of the line order: no sampling pass
     numbered = running_totals(x, ["session"], ["file", "block", "seq"],
-                              {"best_so_far": F.col("is_best").cast("bigint")}, row_number="line_no")
+                              {"best_so_far": F.col("is_best").cast("bigint")}, row_number="line_no",
+                              chunk_by=["file", "block"])
     # lines up to and including a bestmove belong to that position
     pos = F.col("best_so_far") - F.col("is_best").cast("bigint") + 1
     per = numbered.withColumn("position", pos).groupBy("session", "position").agg(
