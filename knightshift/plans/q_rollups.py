@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-
 from ..operators import rollups as R
 from . import fixtures as fx
 from .registry import query
