@@ -17,6 +17,9 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..operators import puzzles as P
 from ..operators.scoring import score_answers
+from ..plans.joins import bounded_broadcast
+
+BATCH_ID_BOUND = 5_000_000   # ids of one micro-batch broadcast into the store scan
 from ..sources.puzzles import CSV_COLUMNS, REQUIRED, OPTIONAL
 
 
@@ -63,7 +66,11 @@ def ingest_stream(spark: SparkSession, landing: str, sink: str, checkpoint: str,
         seen = _stored(batch.sparkSession, sink).where(F.col("batch") != batch_id).select("puzzle_id")
         if stored_ids is not None:
             seen = seen.union(stored_ids.select("puzzle_id"))
-        return P.new_puzzles(first, seen).select("puzzle_id", "fen", "solution", "rating", "popularity", "themes")
+        # the batch's ids (bounded by the trigger) are broadcast into a scan of the store:
+        # only the ids of this batch that are already stored come back; the store is never shuffled
+        batch_ids = bounded_broadcast(first.select("puzzle_id"), BATCH_ID_BOUND)
+        hits = seen.join(batch_ids, "puzzle_id", "left_semi").distinct()
+        return P.new_puzzles(first, hits).select("puzzle_id", "fen", "solution", "rating", "popularity", "themes")
 
     _run(lines.writeStream.option("checkpointLocation", checkpoint).foreachBatch(_idempotent_writer(sink, per_batch)))
 
