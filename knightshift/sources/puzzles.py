@@ -36,13 +36,18 @@ def _ordered(df: DataFrame) -> DataFrame:
                      F.monotonically_increasing_id().alias("seq"))
 
 
-def read_puzzle_dump(spark: SparkSession, path: str) -> DataFrame:
+def read_puzzle_dump(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
     """Raw dump lines -> (file, block, seq, n_fields, header-named columns).
 
     Plain or compressed text (``.zst``, ``.gz`` ...) is read by the text
     source; the header line is located by content (one row to the driver).
+    A compressed file is not splittable (one task reads it): ``partitions``
+    spreads the lines over that many tasks right after the order keys are
+    taken, so parsing and the board work run in parallel.
     """
     text = _ordered(spark.read.text(path))
+    if partitions:
+        text = text.repartition(partitions)
     head = text.where(F.col("value").startswith("PuzzleId")).select("value").limit(1).collect()
     if not head:
         raise ValueError(f"no header line in {path}")

@@ -33,3 +33,23 @@ def test_game_numbers_across_splits(spark):
     assert len(got) == 4000
     assert all(r.game_no == r.src for r in got)
     assert all(r.n == 3 for r in got)
+
+
+def test_zstd_dump_with_spread(spark):
+    import zstandard
+    from knightshift.operators import puzzles as P
+    from knightshift.sources.puzzles import read_puzzle_dump
+    d = tempfile.mkdtemp(prefix="ks-zst-")
+    start = "rnbqkbnr/pppppppp/8/8/8/8/PPPPPPPP/RNBQKBNR w KQkq - 0 1"
+    lines = ["PuzzleId,FEN,Moves,Rating,Popularity"]
+    lines += [f"z{i},{start},e2e4 e7e5,{1000 + i},{i % 150 - 20}" for i in range(600)]
+    lines += ["z5,bad,e2e4 e7e5,2000,90", "short,row"]
+    with open(f"{d}/dump.csv.zst", "wb") as f:
+        f.write(zstandard.ZstdCompressor().compress(("\n".join(lines) + "\n").encode()))
+    raw = read_puzzle_dump(spark, f"{d}/dump.csv.zst", partitions=4)
+    c = P.classify_dump(raw, min_rating=1200, popularity_min=80)
+    got = {r.status: r.n for r in c.groupBy("status").agg(F.count(F.lit(1)).alias("n")).collect()}
+    exp_ok = sum(1 for i in range(600) if 1000 + i >= 1200 and i % 150 - 20 >= 80)
+    assert got["accepted"] == exp_ok and got["short_row"] == 1 and got["bad_position"] == 1
+    first = P.dedupe_first(P.accepted(c)).where(F.col("puzzle_id") == "z5").collect()
+    assert len(first) == 0 or first[0].rating == 1005      # the first z5 line wins over the later one
