@@ -61,9 +61,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint (written to the shared folder, survives executor loss)."""
+    """Reliable checkpoint (written to the shared folder, survives executor loss).
+
+    The rows are persisted while the checkpoint is written, so the plan runs
+    once instead of once for the job and again for the checkpoint files."""
+    from pyspark import StorageLevel
+
     checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        df.unpersist()
 
 
 _LANDED: dict[tuple[str, str], str] = {}

@@ -35,3 +35,19 @@ def test_dimension_broadcast_checked(spark):
     big = spark.range(100)
     assert "broadcast" in bounded_broadcast(small, 50)._jdf.queryExecution().logical().toString().lower()
     assert "broadcast" not in bounded_broadcast(big, 50)._jdf.queryExecution().logical().toString().lower()
+
+
+def test_running_totals_window_is_chunked(spark):
+    """The running accuracy window is partitioned by (engine, chunk), never by the engine alone."""
+    p = _plan(E.queries()["running_accuracy"](spark, SF_SMALL))
+    assert "hashpartitioning(engine" in p and "__chunk" in p
+    assert "BroadcastHashJoin" in p          # the per-chunk offsets are small and broadcast
+
+
+def test_game_numbers_do_not_shuffle_games(spark):
+    """Game numbers join a broadcast block table: no exchange carries the game text."""
+    from knightshift.operators import matches as M
+    from knightshift.plans.pgn_fixture import pgn_files
+    from knightshift.sources.pgn import read_games_text
+    p = _plan(M.parse_games(read_games_text(spark, pgn_files(spark, SF_SMALL))))
+    assert "BroadcastHashJoin" in p and "SortMergeJoin" not in p
