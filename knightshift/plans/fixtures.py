@@ -82,7 +82,8 @@ def fx_puzzles(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.concat(F.lit("https://example.org/"), F.col("p_partkey").cast("string")).alias("game_url")))
 
 
-def _answer_columns(z: str = "z") -> list[Column]:
+def _answer_columns() -> list[Column]:
+    """fx_answers columns over the expanded rows (struct columns ``e`` engine, ``r`` run)."""
     code = F.col("pos") * 3 + F.col("e.eidx") * 5 + F.col("r.ridx") * 7
     return [
         F.col("r.run_id").alias("run_id"), F.col("puzzle_id"), F.col("pos"),
@@ -91,33 +92,27 @@ def _answer_columns(z: str = "z") -> list[Column]:
          .otherwise(F.col("solution")).alias("engine_move"),
         (F.lit(5) + (F.col("pos") * 7 + F.col("e.eidx") * 13) % 60).cast("int").alias("depth"),
         (F.lit(50000) * (F.col("e.eidx") + 1) + (F.col("pos") * 101) % 9973).cast("double").alias("nps"),
-        ((F.col("pos") * 31 + F.col("e.eidx") * 17) % 487).cast("double") / F.lit(1000.0),
+        (((F.col("pos") * 31 + F.col("e.eidx") * 17) % 487).cast("double") / F.lit(1000.0)).alias("elapsed_seconds"),
     ]
 
 
 def _expanded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Puzzles expanded to puzzle x engine x run by a generator (8 rows each)."""
+    """Puzzles expanded to puzzle x engine x run by a generator (8 rows each), not a join."""
     combos = [(e, r) for r in RUNS for e in ENGINES]
     arr = F.array(*[F.struct(F.struct(*[F.lit(v).alias(c) for v, c in zip(e, ENGINE_COLS)]).alias("e"),
                              F.struct(*[F.lit(v).alias(c) for v, c in zip(r, RUN_COLS)]).alias("r"))
                     for e, r in combos])
-    z = fx_puzzles(spark, sf_dir)
-    return z.select("*", F.inline(arr))
+    return fx_puzzles(spark, sf_dir).select("*", F.inline(arr))
 
 
 def fx_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cols = _answer_columns()
-    cols[-1] = cols[-1].alias("elapsed_seconds")
-    return _expanded(spark, sf_dir).select(*cols)
+    return _expanded(spark, sf_dir).select(*_answer_columns())
 
 
 def fx_evals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scored evaluations.  ``puzzle_id`` is unique in fx_puzzles, so the answer
     rows already carry their puzzle's columns: no join is needed to build it."""
-    x = _expanded(spark, sf_dir)
-    cols = _answer_columns()
-    cols[-1] = cols[-1].alias("elapsed_seconds")
-    a = x.select(*cols, "fen", "solution", "rating")
+    a = _expanded(spark, sf_dir).select(*_answer_columns(), "fen", "solution", "rating")
     return a.select("run_id", "puzzle_id", "pos", "fen", "solution", "engine_move",
                     (F.col("engine_move") == F.col("solution")).alias("is_correct"),
                     "depth", "nps", "elapsed_seconds", "rating", "engine", "engine_id")
