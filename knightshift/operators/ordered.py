@@ -27,6 +27,7 @@ from pyspark.sql.window import Window
 from ..plans.joins import bounded_broadcast
 
 SAMPLE_PER_CHUNK = 40
+ROWS_PER_CHUNK = 200_000
 BLOCK_TABLE_BOUND = 1_000_000   # one row per file split: ~100 TB / 128 MB splits stays below
 
 
@@ -39,7 +40,9 @@ def chunk_column(df: DataFrame, keys: list[str], chunks: int) -> Column:
     if chunks <= 1:
         return F.lit(0)
     total = df.count()
-    if total == 0:
+    # no more chunks than needed for tasks of about ROWS_PER_CHUNK rows
+    chunks = min(chunks, -(-total // ROWS_PER_CHUNK))
+    if chunks <= 1:
         return F.lit(0)
     frac = min(1.0, SAMPLE_PER_CHUNK * chunks / total)
     sample = df.select(*keys).sample(withReplacement=False, fraction=frac, seed=17) \

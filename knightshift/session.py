@@ -60,19 +60,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark)}/ks-{name}-{uuid.uuid4().hex[:12]}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint (written to the shared folder, survives executor loss).
-
-    The rows are persisted while the checkpoint is written, so the plan runs
-    once instead of once for the job and again for the checkpoint files."""
-    from pyspark import StorageLevel
-
-    checkpoint_root(df.sparkSession)
-    df.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return df.checkpoint(eager=True)
-    finally:
-        df.unpersist()
+def cut_lineage(df: DataFrame, name: str = "cut") -> DataFrame:
+    """Cut the lineage with a written table in the shared folder.
+
+    The rows are written once as Parquet under ``spark.checkpoint.dir`` and
+    read back: later stages plan against a plain scan (file statistics drive
+    broadcast decisions, adaptive execution keeps coalescing partitions), and
+    a lost executor re-reads the files instead of recomputing the plan.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 _LANDED: dict[tuple[str, str], str] = {}

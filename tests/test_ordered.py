@@ -7,7 +7,9 @@ from pyspark.sql.window import Window
 from knightshift.operators.ordered import running_totals
 
 
-def test_running_totals_match_window(spark):
+def test_running_totals_match_window(spark, monkeypatch):
+    import knightshift.operators.ordered as O
+    monkeypatch.setattr(O, "ROWS_PER_CHUNK", 100)      # force many chunks on small data
     rnd = random.Random(3)
     rows = [("hot" if rnd.random() < 0.6 else f"g{rnd.randint(0, 20)}", i, rnd.randint(0, 1)) for i in range(5000)]
     df = spark.createDataFrame(rows, "g string, o long, x int")
@@ -20,7 +22,9 @@ def test_running_totals_match_window(spark):
     assert a == b
 
 
-def test_global_numbering(spark):
+def test_global_numbering(spark, monkeypatch):
+    import knightshift.operators.ordered as O
+    monkeypatch.setattr(O, "ROWS_PER_CHUNK", 50)
     df = spark.createDataFrame([(i * 7 % 1000,) for i in range(1000)], "o long")
     got = running_totals(df, [], ["o"], row_number="rn", chunks=8)
     assert sorted((r.o, r.rn) for r in got.collect()) == [(i, i + 1) for i in range(1000)]
@@ -31,5 +35,7 @@ def test_take_total_both_paths(spark, monkeypatch):
     df = spark.createDataFrame([("f", 0, i, f"id{i}") for i in range(500)], "file string, block long, seq long, puzzle_id string")
     small = {r.puzzle_id for r in P.take_total(df, 120).collect()}
     monkeypatch.setattr(P, "TOP_K_LIMIT", 10)
+    import knightshift.operators.ordered as O
+    monkeypatch.setattr(O, "ROWS_PER_CHUNK", 50)
     big = {r.puzzle_id for r in P.take_total(df, 120).collect()}
     assert small == big == {f"id{i}" for i in range(120)}

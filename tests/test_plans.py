@@ -37,8 +37,10 @@ def test_dimension_broadcast_checked(spark):
     assert "broadcast" not in bounded_broadcast(big, 50)._jdf.queryExecution().logical().toString().lower()
 
 
-def test_running_totals_window_is_chunked(spark):
+def test_running_totals_window_is_chunked(spark, monkeypatch):
     """The running accuracy window is partitioned by (engine, chunk), never by the engine alone."""
+    import knightshift.operators.ordered as O
+    monkeypatch.setattr(O, "ROWS_PER_CHUNK", 100)     # the small table behaves like a large one
     p = _plan(E.queries()["running_accuracy"](spark, SF_SMALL))
     assert "hashpartitioning(engine" in p and "__chunk" in p
     assert "BroadcastHashJoin" in p          # the per-chunk offsets are small and broadcast
