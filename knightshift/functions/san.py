@@ -121,7 +121,7 @@ def annotate_san(df: DataFrame, fen: str, uci: str, out: str = "san", dedupe: bo
     """Adds ``out``: SAN of ``uci`` in ``fen``, or ``uci`` itself when not a legal move."""
     if dedupe:
         pairs = df.select(F.col(fen).alias("__fen"), F.col(uci).alias("__uci")).distinct()
-        # the annotated pairs are a derived table: written once (reliable checkpoint),
+        # the annotated pairs are a derived table: written once to the shared folder,
         # broadcast back when their count is within the bound, else joined by shuffle
         ann = bounded_broadcast(cut_lineage(_annotate(pairs, "__fen", "__uci", "__san")), PAIR_TABLE_BOUND)
         cond = [df[fen].eqNullSafe(ann["__fen"]), df[uci].eqNullSafe(ann["__uci"])]

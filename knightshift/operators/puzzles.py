@@ -28,8 +28,8 @@ def classify_dump(raw: DataFrame, min_rating: int, popularity_min: int, material
     (popularity 100 when the column is absent), thresholds, two moves, then
     the board (FEN parses, move parses, from-square occupied).
 
-    With ``materialize`` the classified rows are checkpointed to the shared
-    checkpoint folder: later filters and joins then plan against a plain
+    With ``materialize`` the classified rows are written as a table in the
+    shared checkpoint folder: later filters and joins then plan against a plain
     table instead of the board expressions, and a lost executor re-reads the
     checkpoint instead of re-parsing the dump.
     """
