@@ -140,10 +140,12 @@ def q_parse_transcript(spark, d):
         F.struct(F.lit(3).alias("k"), F.lit("info depth x12 nps fast").alias("line")),
         F.struct(F.lit(4).alias("k"), F.concat(F.lit("bestmove "), F.col("engine_move"), F.lit(" ponder e7e5")).alias("line")))
     t = a.select(session.alias("session"), "pos", F.inline(lines))
-    path = scratch_path(spark, "transcripts")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    (t.repartitionByRange(n, "session", "pos", "k").sortWithinPartitions("session", "pos", "k")
-     .select("session", F.col("line").alias("value")).write.mode("overwrite").partitionBy("session").text(path))
+
+    def write(path):
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        (t.repartitionByRange(n, "session", "pos", "k").sortWithinPartitions("session", "pos", "k")
+         .select("session", F.col("line").alias("value")).write.mode("overwrite").partitionBy("session").text(path))
+    path = landed(spark, f"transcripts:{d}", write)
     return parse_transcript(read_transcripts(spark, path))
 
 
