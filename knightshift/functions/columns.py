@@ -146,8 +146,8 @@ def report_band(accuracy_pct) -> Column:
 
 
 def solved_of_total(solved, total) -> Column:
-    """P20: '4,989 / 5,005'."""
-    return F.format_string("%,d / %,d", _c(solved), _c(total))
+    """P20: '4,989 / 5,005' (grouping with ',' whatever the JVM locale)."""
+    return F.concat(F.format_number(_c(solved), 0), F.lit(" / "), F.format_number(_c(total), 0))
 
 
 def ratio_pct(num, den, digits: int = 2) -> Column:
