@@ -47,7 +47,7 @@ def read_manifests(spark: SparkSession, path: str) -> DataFrame:
     ``null`` stays null (as ``dict.get`` behaves).  Files are read whole (each
     is one small document), parsed with a fixed schema, never inferred.
     """
-    docs = spark.read.option("wholetext", True).text(path).select(
+    docs = spark.read.text(path, wholetext=True).select(
         F.col("value"), F.col("_metadata.file_path").alias("file"))
     parsed = docs.select("file", F.from_json("value", MANIFEST_SCHEMA).alias("m"),
                          F.json_object_keys("value").alias("keys"))
@@ -59,7 +59,8 @@ def read_manifests(spark: SparkSession, path: str) -> DataFrame:
             F.array(*[F.lit(x) for x in default]) if isinstance(default, list) else F.lit(default).cast(field))
         cols.append(F.when(present, F.col(f"m.{name}")).otherwise(lit).alias(name))
     cols.append(F.col("m.created_at").alias("created_at"))
-    return parsed.where(F.col("m").isNotNull()).select(*cols, "file")
+    # a document that does not parse gives an all-null record: skipped like an unreadable file
+    return parsed.where(F.col("m.run_id").isNotNull()).select(*cols, "file")
 
 
 def read_checkpoints(spark: SparkSession, path: str) -> DataFrame:

@@ -53,3 +53,31 @@ def test_zstd_dump_with_spread(spark):
     assert got["accepted"] == exp_ok and got["short_row"] == 1 and got["bad_position"] == 1
     first = P.dedupe_first(P.accepted(c)).where(F.col("puzzle_id") == "z5").collect()
     assert len(first) == 0 or first[0].rating == 1005      # the first z5 line wins over the later one
+
+
+def test_manifest_defaults_and_explicit_null(spark):
+    from knightshift.sources.runs import read_manifests
+    d = tempfile.mkdtemp(prefix="ks-man-")
+    with open(f"{d}/a_meta.json", "w") as f:
+        f.write('{\n  "run_id": "a",\n  "movetime_ms": 100,\n  "min_rating": null\n}\n')
+    with open(f"{d}/b_meta.json", "w") as f:
+        f.write('{"run_id": "b", "engines": ["X"], "concurrency": 3}')
+    with open(f"{d}/c_meta.json", "w") as f:
+        f.write('{"run_id": "c", ')                       # broken: skipped
+    rows = {r.run_id: r for r in read_manifests(spark, f"{d}/*_meta.json").collect()}
+    assert set(rows) == {"a", "b"}
+    assert rows["a"].movetime_ms == 100 and rows["a"].min_rating is None and rows["a"].concurrency == 1
+    assert rows["a"].engines == ["Stockfish 18", "Pawnocchio 2.0.1", "Reckless 0.9.0", "Lc0 v0.32.1"]
+    assert rows["b"].movetime_ms == 500 and rows["b"].engines == ["X"] and rows["b"].concurrency == 3
+
+
+def test_transcript_defaults(spark):
+    from knightshift.sources.transcript import parse_transcript, read_transcripts
+    d = tempfile.mkdtemp(prefix="ks-tr-")
+    os.makedirs(f"{d}/session=s1")
+    with open(f"{d}/session=s1/t.txt", "w") as f:
+        f.write("info depth 5 nps 100\ninfo depth 7 nps bad\nbestmove e2e4 ponder e7e5\n"
+                "info string nothing\nbestmove\n"
+                "info depth 3 nps 10\n")                  # no bestmove: not answered
+    got = sorted(tuple(r) for r in parse_transcript(read_transcripts(spark, d)).collect())
+    assert got == [("s1", 1, "e2e4", 7, 100.0), ("s1", 2, "", 0, 0.0)]
