@@ -20,6 +20,7 @@ from ..operators.scoring import score_answers
 from ..plans.joins import bounded_broadcast
 
 BATCH_ID_BOUND = 5_000_000   # ids of one micro-batch broadcast into the store scan
+STATIC_SIDE_BOUND = 2_000_000  # puzzle rows broadcast to every micro-batch of the scoring stream
 from ..sources.puzzles import CSV_COLUMNS, REQUIRED, OPTIONAL
 
 
@@ -87,7 +88,13 @@ def _stored(spark: SparkSession, sink: str) -> DataFrame:
 
 def score_stream(spark: SparkSession, landing: str, schema: T.StructType, puzzles: DataFrame, sink: str,
                  checkpoint: str, max_files: int | None = None) -> None:
-    """ST2: answers landing as Parquet, scored against the (static) puzzle table."""
+    """ST2: answers landing as Parquet, scored against the (static) puzzle table.
+
+    The static side is broadcast when its row count is within the bound (each
+    micro-batch then joins map-side); a larger puzzle table is joined by
+    shuffle per batch, which a table bucketed on ``puzzle_id`` keeps to the
+    batch side."""
+    puzzles = bounded_broadcast(puzzles.select("puzzle_id", "fen", "solution", "rating"), STATIC_SIDE_BOUND)
     r = spark.readStream.schema(schema)
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
