@@ -44,10 +44,10 @@ def movetext(pgn) -> Column:
     return t
 
 
-def parse_games(games_text: DataFrame, load_ts: str | None = None) -> DataFrame:
+def parse_games(games_text: DataFrame) -> DataFrame:
     """S8 -> P12, P15, W4, W5: one row per game with headers, number and move array.
 
-    Input: (match_id, file, block, seq, pgn) as produced by ``read_games_text``.
+    Input: (match_id, file, block, seq, pgn, is_game) as produced by ``read_games_text``.
     """
     # every tag in one regex pass: names and values as two aligned arrays
     tag_re = r'\[(\w+)\s+"([^"]*)"\]'
