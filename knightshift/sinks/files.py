@@ -10,26 +10,40 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def _bloom(writer, *columns: str):
+    """Parquet bloom filters on lookup columns (point lookups skip row groups)."""
+    for c in columns:
+        writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true")
+    return writer
+
+
 def write_shards(puzzles: DataFrame, path: str, shard_size: int, numbered: bool = False,
                  mode: str = "append") -> None:
-    """K1: zstd Parquet shards of at most ``shard_size`` rows.
+    """K1: zstd Parquet shards of at most ``shard_size`` rows, bloom filters on ids and positions.
 
     Default: files are cut by ``maxRecordsPerFile`` inside every task.  With
     ``numbered`` the rows carry a ``shard`` column (from ``assign_shards``)
     and each shard becomes its own directory ``shard=N``.
     """
-    w = puzzles.write.mode(mode).option("compression", "zstd")
+    blooms = [c for c in ("puzzle_id", "fen") if c in puzzles.columns]
     if numbered:
-        puzzles.repartition("shard").write.mode(mode).option("compression", "zstd") \
-            .partitionBy("shard").parquet(path)
+        w = puzzles.repartition("shard").write.mode(mode).option("compression", "zstd")
+        _bloom(w, *blooms).partitionBy("shard").parquet(path)
     else:
-        w.option("maxRecordsPerFile", shard_size).parquet(path)
+        w = puzzles.write.mode(mode).option("compression", "zstd").option("maxRecordsPerFile", shard_size)
+        _bloom(w, *blooms).parquet(path)
 
 
 def write_results(evals: DataFrame, path: str, mode: str = "append") -> None:
-    """K2: evaluation results partitioned by run and engine (partition pruning on both)."""
-    (evals.repartition("run_id", "engine_id")
-     .write.mode(mode).option("compression", "zstd").partitionBy("run_id", "engine_id").parquet(path))
+    """K2: evaluation results partitioned by run and engine (partition pruning on both),
+    sorted by puzzle inside each file with a bloom filter on ``puzzle_id``.
+
+    Range partitioning on (run, engine, puzzle) keeps a hot (run, engine) spread
+    over many tasks while each file holds one contiguous, sorted id range."""
+    n = int(evals.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    w = (evals.repartitionByRange(n, "run_id", "engine_id", "puzzle_id").sortWithinPartitions("puzzle_id")
+         .write.mode(mode).option("compression", "zstd"))
+    _bloom(w, "puzzle_id").partitionBy("run_id", "engine_id").parquet(path)
 
 
 def write_matches(matches: DataFrame, games: DataFrame, root: str, mode: str = "append") -> tuple[str, str]:
