@@ -136,14 +136,20 @@ def _running_state(key, pdfs, state):
                         "processed": processed, "solved_so_far": so_far.astype("int64")})
 
 
-def running_stream(spark: SparkSession, landing: str, schema: T.StructType, sink: str, checkpoint: str) -> None:
+def running_stream(spark: SparkSession, landing: str, schema: T.StructType, sink: str, checkpoint: str,
+                   max_files: int | None = None) -> None:
     """ST4: per-position running accuracy across batches.
 
     Row windows are not allowed on streams; a grouped state function per
     engine keeps (processed, solved) and numbers each batch's rows in order.
-    A batch's rows of one engine are bounded by the trigger.
+    The rows of one engine in one batch are held together, so the batch is
+    bounded by the trigger (``max_files`` per batch when every file is one
+    arrival unit in order; by default what has landed since the last run).
     """
-    answers = spark.readStream.schema(schema).parquet(landing).select("engine", "ts", "event_id", "is_correct")
+    r = spark.readStream.schema(schema)
+    if max_files:
+        r = r.option("maxFilesPerTrigger", max_files)
+    answers = r.parquet(landing).select("engine", "ts", "event_id", "is_correct")
     out = answers.groupBy("engine").applyInPandasWithState(
         _running_state, RUNNING_OUT, RUNNING_STATE, "append", GroupStateTimeout.NoTimeout)
     out = out.withColumn("running_accuracy_pct", F.round(F.col("solved_so_far") * 100.0 / F.col("processed"), 2))
