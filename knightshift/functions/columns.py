@@ -150,14 +150,27 @@ def solved_of_total(solved, total) -> Column:
     return F.concat(F.format_number(_c(solved), 0), F.lit(" / "), F.format_number(_c(total), 0))
 
 
+def round_half_away(x, digits: int) -> Column:
+    """ROUND as the reference's SQL engine computes it on DOUBLE: the product
+    ``x * 10**digits`` (a double) rounded half away from zero, divided back.
+    Spark's ``round`` instead rounds the shortest decimal text half up, which
+    differs on values such as 0.285 (binary 0.28499...)."""
+    v = _c(x).cast("double")
+    m = float(10 ** digits)
+    y = F.abs(v) * F.lit(m)
+    fl = F.floor(y).cast("double")
+    r = fl + F.when(y - fl >= 0.5, F.lit(1.0)).otherwise(F.lit(0.0))
+    return F.when(v < 0, -r).otherwise(r) / F.lit(m)
+
+
 def ratio_pct(num, den, digits: int = 2) -> Column:
     """Percentage as DOUBLE (never DECIMAL), rounded like the reports."""
-    return F.round(_c(num).cast("double") * 100.0 / _c(den).cast("double"), digits)
+    return round_half_away(_c(num).cast("double") * 100.0 / _c(den).cast("double"), digits)
 
 
 def bool_avg_pct(flag, digits: int = 2) -> Column:
     """ROUND(AVG(CASE WHEN flag THEN 1.0 ELSE 0.0 END) * 100.0, digits) with DOUBLE arithmetic."""
-    return F.round(F.avg(F.when(_c(flag), F.lit(1.0)).otherwise(F.lit(0.0)).cast("double")) * 100.0, digits)
+    return round_half_away(F.avg(F.when(_c(flag), F.lit(1.0)).otherwise(F.lit(0.0)).cast("double")) * 100.0, digits)
 
 
 def count_true(flag) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.columns import bool_avg_pct, count_true, safe_name
+from ..functions.columns import bool_avg_pct, count_true, round_half_away, safe_name
 from ..plans.joins import bounded_broadcast, bounded_values
 
 
@@ -22,11 +22,11 @@ def _measure(kind: str) -> Column:
         "count": F.count(F.lit(1)),
         "solved": count_true("is_correct"),
         "accuracy_pct": bool_avg_pct("is_correct", 2),
-        "avg_nps": F.round(F.avg("nps"), 0),
-        "avg_depth": F.round(F.avg("depth"), 1),
-        "avg_sec": F.round(F.avg("elapsed_seconds"), 3),
-        "avg_rating": F.round(F.avg("rating"), 0),
-        "total_sec": F.round(F.sum("elapsed_seconds"), 1),
+        "avg_nps": round_half_away(F.avg("nps"), 0),
+        "avg_depth": round_half_away(F.avg("depth"), 1),
+        "avg_sec": round_half_away(F.avg("elapsed_seconds"), 3),
+        "avg_rating": round_half_away(F.avg("rating"), 0),
+        "total_sec": round_half_away(F.sum("elapsed_seconds"), 1),
     }[kind]
 
 
@@ -97,7 +97,7 @@ def accuracy_by_theme(evals: DataFrame, puzzles: DataFrame) -> DataFrame:
     j = per_puzzle.join(theme_bridge(puzzles), "puzzle_id")
     return (j.groupBy("theme_id")
             .agg(F.sum("n").alias("evaluations"), F.sum("s").alias("solved"),
-                 F.round(F.sum("s").cast("double") * 100.0 / F.sum("n").cast("double"), 2).alias("accuracy_pct")))
+                 round_half_away(F.sum("s").cast("double") * 100.0 / F.sum("n").cast("double"), 2).alias("accuracy_pct")))
 
 
 def rollup_by_movetime(evals: DataFrame, runs: DataFrame) -> DataFrame:
@@ -107,7 +107,7 @@ def rollup_by_movetime(evals: DataFrame, runs: DataFrame) -> DataFrame:
     return (j.groupBy("engine", "movetime_ms")
             .agg(F.count(F.lit(1)).alias("total"), count_true("is_correct").alias("solved"),
                  bool_avg_pct("is_correct").alias("accuracy_pct"),
-                 F.round(F.avg("elapsed_seconds"), 3).alias("avg_sec")))
+                 round_half_away(F.avg("elapsed_seconds"), 3).alias("avg_sec")))
 
 
 def engine_agreement(evals: DataFrame, max_engines: int = 64) -> DataFrame:
@@ -130,7 +130,7 @@ def engine_agreement(evals: DataFrame, max_engines: int = 64) -> DataFrame:
         return (j.groupBy("engine_a", "engine_b")
                 .agg(F.count(F.lit(1)).alias("positions"),
                      count_true(F.col("move_a") == F.col("move_b")).alias("agreements"))
-                .withColumn("agreement_pct", F.round(F.col("agreements") * 100.0 / F.col("positions"), 2)))
+                .withColumn("agreement_pct", round_half_away(F.col("agreements") * 100.0 / F.col("positions"), 2)))
     if len(names) < 2:
         return evals.sparkSession.createDataFrame(
             [], "engine_a string, engine_b string, positions bigint, agreements bigint, agreement_pct double")
@@ -148,7 +148,7 @@ def engine_agreement(evals: DataFrame, max_engines: int = 64) -> DataFrame:
                               F.col(f"n{i}_{j}").alias("positions"), F.col(f"a{i}_{j}").alias("agreements"))
                      for i, j in pairs])
     out = tot.select(F.inline(rows)).where(F.col("positions") > 0)
-    return out.withColumn("agreement_pct", F.round(F.col("agreements") * 100.0 / F.col("positions"), 2))
+    return out.withColumn("agreement_pct", round_half_away(F.col("agreements") * 100.0 / F.col("positions"), 2))
 
 
 def depth_histogram(evals: DataFrame, by=("engine",)) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.columns import DEFAULT_ENGINES, count_true, is_correct, safe_name
+from ..functions.columns import DEFAULT_ENGINES, count_true, is_correct, round_half_away, safe_name
 from .ordered import running_totals
 
 def score_answers(puzzles: DataFrame, answers: DataFrame, evaluated_at=None) -> DataFrame:
@@ -88,7 +88,7 @@ def shard_report(shards: DataFrame, evals: DataFrame, done: DataFrame, min_ratin
     return j.select(*keys, status.alias("status"),
                     F.when(live, F.col("total")).alias("total"),
                     F.when(live, F.col("solved")).alias("solved"),
-                    F.when(live, F.round(F.col("solved") * 100.0 / F.col("total"), 2)).alias("accuracy_pct"))
+                    F.when(live, round_half_away(F.col("solved") * 100.0 / F.col("total"), 2)).alias("accuracy_pct"))
 
 
 def running_accuracy(answers: DataFrame, by=("engine",), order=("pos",), solved="is_correct") -> DataFrame:
@@ -96,7 +96,7 @@ def running_accuracy(answers: DataFrame, by=("engine",), order=("pos",), solved=
     s = F.when(F.col(solved) if isinstance(solved, str) else solved, F.lit(1)).otherwise(F.lit(0)).cast("bigint")
     r = running_totals(answers, list(by), list(order), {"solved_so_far": s}, row_number="processed")
     return r.withColumn("running_accuracy_pct",
-                        F.round(F.col("solved_so_far") * 100.0 / F.col("processed"), 2))
+                        round_half_away(F.col("solved_so_far") * 100.0 / F.col("processed"), 2))
 
 
 def limit_per_engine(evals: DataFrame, total: int, by=("run_id", "engine"), order=("shard", "pos")) -> DataFrame:

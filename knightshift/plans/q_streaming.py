@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import round_half_away
 from ..session import scratch_path
 from ..streaming import jobs as ST
 from . import fixtures as fx
@@ -88,7 +89,7 @@ def q_stream_rollup(spark, d):
                    lambda part, i: part.write.mode("overwrite").parquet(f"{landing}/chunk={i}"),
                    lambda: ST.rollup_stream(spark, landing, schema, sink, ck))
     t = spark.read.parquet(sink)
-    return t.withColumn("accuracy_pct", F.round(F.col("solved") * 100.0 / F.col("processed"), 2))
+    return t.withColumn("accuracy_pct", round_half_away(F.col("solved") * 100.0 / F.col("processed"), 2))
 
 
 @query("stream_running")

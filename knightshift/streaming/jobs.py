@@ -15,13 +15,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from ..functions.columns import round_half_away
 from ..operators import puzzles as P
 from ..operators.scoring import score_answers
 from ..plans.joins import bounded_broadcast
+from ..sources.puzzles import CSV_COLUMNS, OPTIONAL, REQUIRED
 
 BATCH_ID_BOUND = 5_000_000   # ids of one micro-batch broadcast into the store scan
 STATIC_SIDE_BOUND = 2_000_000  # puzzle rows broadcast to every micro-batch of the scoring stream
-from ..sources.puzzles import CSV_COLUMNS, REQUIRED, OPTIONAL
 
 
 def _idempotent_writer(sink: str, fn=None):
@@ -152,6 +153,6 @@ def running_stream(spark: SparkSession, landing: str, schema: T.StructType, sink
     answers = r.parquet(landing).select("engine", "ts", "event_id", "is_correct")
     out = answers.groupBy("engine").applyInPandasWithState(
         _running_state, RUNNING_OUT, RUNNING_STATE, "append", GroupStateTimeout.NoTimeout)
-    out = out.withColumn("running_accuracy_pct", F.round(F.col("solved_so_far") * 100.0 / F.col("processed"), 2))
+    out = out.withColumn("running_accuracy_pct", round_half_away(F.col("solved_so_far") * 100.0 / F.col("processed"), 2))
     _run(out.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
          .foreachBatch(_idempotent_writer(sink)))

@@ -61,3 +61,16 @@ def test_points_and_turn(spark):
                     C.first_turn(F.coalesce("f", F.lit(""))).alias("t")).collect()
     assert [(g.w, g.b) for g in got] == [(1.0, 0.0), (0.0, 1.0), (0.5, 0.5), (None, None)]
     assert [g.t for g in got] == ["b", "w", "w", "w"]
+
+
+def test_round_half_away_matches_sql_engine(spark):
+    import duckdb
+    rnd = random.Random(11)
+    vals = [0.285, 1.005, 2.675, 0.125, -0.125, 2.5, -2.5, 16.25, 0.0] + \
+           [rnd.randint(-10 ** 6, 10 ** 6) / rnd.choice([8, 16, 40, 200, 1000, 3, 7]) for _ in range(400)]
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    con = duckdb.connect()
+    for d in (0, 1, 2, 3):
+        got = [r[0] for r in df.select(C.round_half_away("x", d)).collect()]
+        exp = [con.execute(f"SELECT round(CAST(? AS DOUBLE), {d})", [v]).fetchone()[0] for v in vals]
+        assert got == exp, d
