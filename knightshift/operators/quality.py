@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import engine_family, safe_name
+from ..plans.joins import bounded_broadcast
 from .. import schemas
 
 
@@ -26,8 +27,8 @@ def check_pk(df: DataFrame, keys: list[str], table: str) -> DataFrame:
 
 def check_fk(child: DataFrame, column: str, parent: DataFrame, parent_column: str, name: str) -> DataFrame:
     """Non-null child values without a parent row (anti join)."""
-    orphans = (child.where(F.col(column).isNotNull()).select(F.col(column).alias("__k"))
-               .join(parent.select(F.col(parent_column).alias("__k")), "__k", "left_anti"))
+    keys = bounded_broadcast(parent.select(F.col(parent_column).alias("__k")))   # small parents map-side
+    orphans = child.where(F.col(column).isNotNull()).select(F.col(column).alias("__k")).join(keys, "__k", "left_anti")
     return orphans.agg(F.count(F.lit(1)).alias("orphan_rows"),
                        F.countDistinct("__k").alias("orphan_keys")).select(
         F.lit(name).alias("foreign_key"), "orphan_rows", "orphan_keys")
