@@ -81,3 +81,12 @@ def test_transcript_defaults(spark):
                 "info depth 3 nps 10\n")                  # no bestmove: not answered
     got = sorted(tuple(r) for r in parse_transcript(read_transcripts(spark, d)).collect())
     assert got == [("s1", 1, "e2e4", 7, 100.0), ("s1", 2, "", 0, 0.0)]
+
+
+def test_shards_cut_by_record_count(spark):
+    from knightshift.sinks.files import write_shards
+    d = tempfile.mkdtemp(prefix="ks-sh-")
+    df = spark.range(1000).selectExpr("concat('p', id) AS puzzle_id", "'x' AS fen").repartition(3)
+    write_shards(df, f"{d}/s", shard_size=300)
+    counts = spark.read.parquet(f"{d}/s").groupBy(F.col("_metadata.file_name")).count().collect()
+    assert sum(r["count"] for r in counts) == 1000 and max(r["count"] for r in counts) <= 300
