@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import matches as M
+from ..operators.ordered import file_order_numbers
 from ..session import scratch_path
 from ..sinks import files as K
 from ..sources import pgn as SRC
@@ -107,17 +108,16 @@ SELECT g.match_id, g.game_no,
 FROM g LEFT JOIN sides s ON g.match_id = s.match_id AND g.game_no = s.game_no""")
 def q_annotate_pgn(spark, d):
     a = M.annotate(_parsed(spark, d))
-    # the annotated text is written and its new tags read back
+    # the annotated games are written in game order (range partitioned, sorted) and read
+    # back; their numbers come from file order again, so no join is needed
     path = scratch_path(spark, "annotated")
-    a.select(F.col("annotated_pgn").alias("value"), "match_id") \
-     .write.mode("overwrite").partitionBy("match_id").option("lineSep", "\n\n").text(path)
-    back = SRC.read_games_text(spark, path).where("is_game")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    (a.repartitionByRange(n, "match_id", "game_no").sortWithinPartitions("match_id", "game_no")
+     .select(F.col("annotated_pgn").alias("value"), "match_id")
+     .write.mode("overwrite").partitionBy("match_id").option("lineSep", "\n\n").text(path))
+    back = file_order_numbers(SRC.read_games_text(spark, path), ["match_id"], row_number="game_no", keep="is_game")
     tags = ["WhiteAvgDepth", "BlackAvgDepth", "WhiteAvgMoveTime", "BlackAvgMoveTime"]
-    site = F.regexp_extract(M.header("pgn", "Site"), r"(\d+)$", 1).cast("bigint")
-    got = back.select("match_id", site.alias("source_game"), *[M.header("pgn", t).alias(t) for t in tags])
-    nums = a.select("match_id", "game_no",
-                    F.regexp_extract(M.header("pgn", "Site"), r"(\d+)$", 1).cast("bigint").alias("source_game"))
-    return nums.join(got, ["match_id", "source_game"]).select("match_id", "game_no", *tags)
+    return back.select("match_id", "game_no", *[M.header("pgn", t).alias(t) for t in tags])
 
 
 @query("match_scores", f"""
