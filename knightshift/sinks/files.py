@@ -87,5 +87,7 @@ def export_pgn(games: DataFrame, path: str, order: str = "game_no", column: str
 
 
 def register_runs(manifests: DataFrame, existing: DataFrame) -> DataFrame:
-    """K8: manifests whose run is not yet registered (append these only)."""
-    return manifests.join(existing.select("run_id"), "run_id", "left_anti")
+    """K8: manifests whose run is not yet registered (append these only).
+    Registered runs are a dimension: broadcast when their count is within the bound."""
+    from ..plans.joins import bounded_broadcast
+    return manifests.join(bounded_broadcast(existing.select("run_id")), "run_id", "left_anti")
