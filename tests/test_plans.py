@@ -53,3 +53,14 @@ def test_game_numbers_do_not_shuffle_games(spark):
     from knightshift.sources.pgn import read_games_text
     p = _plan(M.parse_games(read_games_text(spark, pgn_files(spark, SF_SMALL))))
     assert "BroadcastHashJoin" in p and "SortMergeJoin" not in p
+
+
+def test_result_reads_prune_partitions_and_columns(spark):
+    p = _plan(E.queries()["write_results"](spark, SF_SMALL))
+    assert "PartitionFilters: [isnotnull(run_id" in p and "(run_id" in p and "(engine_id" in p
+    assert "ReadSchema: struct<puzzle_id:string,engine_move:string,is_correct:boolean>" in p
+
+
+def test_stored_ids_read_one_column(spark):
+    p = _plan(E.queries()["src_existing_ids"](spark, SF_SMALL))
+    assert "ReadSchema: struct<puzzle_id:string>" in p
