@@ -28,6 +28,35 @@ LOCAL_CONF = {
 }
 
 
+def cluster_conf(input_bytes: int, total_cores: int) -> dict[str, str]:
+    """Settings sized for a cluster job over ``input_bytes`` of Parquet/text.
+
+    About 256 MB per scan split and per shuffle partition (AQE coalesces small
+    ones and splits skewed ones), never fewer shuffle partitions than twice the
+    cores; broadcasts stay small because every broadcast in this library is
+    already behind a row-count check.
+    """
+    target = 256 * 1024 * 1024
+    parts = max(2 * total_cores, -(-input_bytes // target))
+    return {
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(2 * target),
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.files.maxPartitionBytes": str(target),
+        "spark.sql.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
+        "spark.sql.session.timeZone": "UTC",
+    }
+
+
+def apply_conf(spark: SparkSession, conf: dict[str, str]) -> None:
+    """Set runtime SQL settings on a running session."""
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+
+
 def get_spark(app: str = "knightshift", master: str | None = None, **conf: str) -> SparkSession:
     """A local session for tests and benchmarks (cluster jobs bring their own)."""
     builder = SparkSession.builder.appName(app).master(master or os.environ.get("KS_MASTER", "local[8]"))
