@@ -5,9 +5,11 @@ single task; when one engine holds a third of all answers that task holds a
 third of the data.  ``running_totals`` computes the same row numbers and
 running sums in balanced passes:
 
-1. a bounded sample of the (group, order) keys gives chunk boundaries, so a
-   chunk is a contiguous slice of the global order and a hot group spans
-   many chunks; the chunk of a row is a pure function of its keys;
+1. the (group, order) key order is cut into contiguous chunks of about
+   ``ROWS_PER_CHUNK`` rows, so a hot group spans many chunks: up to
+   ``MAX_CASE_CHUNKS`` from a bounded key sample (the chunk is a pure
+   function of the keys), beyond that by the range partitioner with the
+   assignment written once to the shared folder;
 2. rows are numbered and summed inside every (group, chunk) -- a window
    whose partitions are chunk-sized;
 3. per (group, chunk) totals (partially aggregated; at most groups x chunks
@@ -28,6 +30,7 @@ from ..plans.joins import bounded_broadcast
 
 SAMPLE_PER_CHUNK = 40
 ROWS_PER_CHUNK = 200_000
+MAX_CASE_CHUNKS = 256
 BLOCK_TABLE_BOUND = 1_000_000   # one row per file split: ~100 TB / 128 MB splits stays below
 
 
@@ -35,15 +38,9 @@ def _sort_key(row):
     return tuple((v is not None, v) for v in row)
 
 
-def chunk_column(df: DataFrame, keys: list[str], chunks: int) -> Column:
-    """Chunk id (0..chunks-1) from sampled quantile boundaries of ``keys``."""
-    if chunks <= 1:
-        return F.lit(0)
-    total = df.count()
-    # no more chunks than needed for tasks of about ROWS_PER_CHUNK rows
-    chunks = min(chunks, -(-total // ROWS_PER_CHUNK))
-    if chunks <= 1:
-        return F.lit(0)
+def _boundary_chunks(df: DataFrame, keys: list[str], chunks: int, total: int) -> Column:
+    """Chunk id from sampled quantile boundaries of ``keys`` (a CASE over at most
+    ``MAX_CASE_CHUNKS`` boundaries)."""
     frac = min(1.0, SAMPLE_PER_CHUNK * chunks / total)
     sample = df.select(*keys).sample(withReplacement=False, fraction=frac, seed=17) \
                .limit(SAMPLE_PER_CHUNK * chunks * 2).collect()
@@ -64,6 +61,26 @@ def chunk_column(df: DataFrame, keys: list[str], chunks: int) -> Column:
     return expr
 
 
+def with_chunks(df: DataFrame, keys: list[str], chunks: int) -> DataFrame:
+    """``df`` plus ``__chunk``: contiguous slices of the ``keys`` order of about
+    ``ROWS_PER_CHUNK`` rows, a pure function of the row or a stored value.
+
+    Up to ``MAX_CASE_CHUNKS`` slices the boundaries come from a bounded sample
+    (no data is written); beyond, the range partitioner (sampled, binary
+    search per row) assigns them and the assignment is written once to the
+    shared folder, so every later pass reads the same chunk of a row.
+    """
+    total = df.count()
+    chunks = min(chunks, -(-total // ROWS_PER_CHUNK))
+    if chunks <= 1:
+        return df.withColumn("__chunk", F.lit(0))
+    if chunks <= MAX_CASE_CHUNKS:
+        return df.withColumn("__chunk", _boundary_chunks(df, keys, chunks, total))
+    from ..session import cut_lineage
+    ranged = df.repartitionByRange(chunks, *[F.col(k) for k in keys]).withColumn("__chunk", F.spark_partition_id())
+    return cut_lineage(ranged, "chunks")
+
+
 def running_totals(df: DataFrame, partition_by: list[str], order_by: list[str],
                    sums: dict[str, Column] | None = None, row_number: str = "rn",
                    chunks: int | None = None, chunk_by: list[str] | None = None) -> DataFrame:
@@ -80,7 +97,7 @@ def running_totals(df: DataFrame, partition_by: list[str], order_by: list[str],
         assert list(order_by[:len(chunk_by)]) == list(chunk_by), "chunk_by must prefix order_by"
         base = base.withColumn("__chunk", F.struct(*chunk_by))
     else:
-        base = base.withColumn("__chunk", chunk_column(df, partition_by + order_by, n))
+        base = with_chunks(base, partition_by + order_by, n)
     part = [*partition_by, "__chunk"]
     w = Window.partitionBy(*part).orderBy(*order_by)
     frame = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)

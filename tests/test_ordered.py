@@ -39,3 +39,18 @@ def test_take_total_both_paths(spark, monkeypatch):
     monkeypatch.setattr(O, "ROWS_PER_CHUNK", 50)
     big = {r.puzzle_id for r in P.take_total(df, 120).collect()}
     assert small == big == {f"id{i}" for i in range(120)}
+
+
+def test_running_totals_range_chunks(spark, monkeypatch):
+    """Many chunks: the range partitioner assigns them and the assignment is stored."""
+    import knightshift.operators.ordered as O
+    monkeypatch.setattr(O, "ROWS_PER_CHUNK", 20)
+    monkeypatch.setattr(O, "MAX_CASE_CHUNKS", 4)
+    rnd = random.Random(9)
+    rows = [("hot" if rnd.random() < 0.5 else f"g{rnd.randint(0, 5)}", i, rnd.randint(0, 1)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "g string, o long, x int")
+    got = running_totals(df, ["g"], ["o"], {"s": F.col("x")}, row_number="rn", chunks=64)
+    w = Window.partitionBy("g").orderBy("o")
+    exp = df.select("g", "o", F.row_number().over(w).alias("rn"),
+                    F.sum("x").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("s"))
+    assert sorted(tuple(r) for r in got.select("g", "o", "rn", "s").collect()) == sorted(tuple(r) for r in exp.collect())
