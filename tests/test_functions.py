@@ -74,3 +74,12 @@ def test_round_half_away_matches_sql_engine(spark):
         got = [r[0] for r in df.select(C.round_half_away("x", d)).collect()]
         exp = [con.execute(f"SELECT round(CAST(? AS DOUBLE), {d})", [v]).fetchone()[0] for v in vals]
         assert got == exp, d
+
+
+def test_cluster_conf_bounds():
+    from knightshift.session import cluster_conf
+    big = cluster_conf(100 * 1024 ** 4, 8000)
+    small = cluster_conf(1024 ** 3, 64)
+    assert int(big["spark.sql.shuffle.partitions"]) == 8 * 8000          # capped at eight waves
+    assert int(small["spark.sql.shuffle.partitions"]) == 2 * 64          # at least two waves
+    assert big["spark.sql.adaptive.skewJoin.enabled"] == "true"
