@@ -7,8 +7,6 @@ engine holding a third of all evaluations costs no more than a cold one.
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -110,45 +108,67 @@ def rollup_by_movetime(evals: DataFrame, runs: DataFrame) -> DataFrame:
                  round_half_away(F.avg("elapsed_seconds"), 3).alias("avg_sec")))
 
 
+ENGINE_LIST_BOUND = 10_000   # the engine dimension; far above any real benchmark
+
+
+def _pair_counts(evals: DataFrame, left: list[str], right: list[str]) -> DataFrame:
+    """Agreement counts for engine pairs (a in ``left``, b in ``right``, a < b): the answers
+    of one position pivoted into one row, every pair counted by one aggregation."""
+    names = sorted(set(left) | set(right))
+    pairs = [(a, b) for a in left for b in right if a < b]
+    if not pairs:
+        return None
+    idx = {n: i for i, n in enumerate(names)}
+    wide = (evals.where(F.col("engine").isin(names)).groupBy("run_id", "puzzle_id").pivot("engine", names)
+            .agg(F.first(F.struct("engine_move")).alias("m")))
+    aggs = []
+    for a, b in pairs:
+        ca, cb = F.col(f"`{a}`"), F.col(f"`{b}`")
+        both = ca.isNotNull() & cb.isNotNull()
+        i, j = idx[a], idx[b]
+        aggs.append(count_true(both).alias(f"n{i}_{j}"))
+        aggs.append(count_true(both & (ca["engine_move"] == cb["engine_move"])).alias(f"a{i}_{j}"))
+    tot = wide.agg(*aggs)
+    rows = F.array(*[F.struct(F.lit(a).alias("engine_a"), F.lit(b).alias("engine_b"),
+                              F.col(f"n{idx[a]}_{idx[b]}").alias("positions"),
+                              F.col(f"a{idx[a]}_{idx[b]}").alias("agreements")) for a, b in pairs])
+    return tot.select(F.inline(rows))
+
+
 def engine_agreement(evals: DataFrame, max_engines: int = 64) -> DataFrame:
     """For each engine pair, positions both answered (same run and puzzle) and
     how often they chose the same move.
 
-    The engine list is a dimension (bounded, checked): the answers of one
-    position are pivoted into one row (one shuffle on run/puzzle), then all
-    pairs are counted by one global aggregation with map-side combine.  No
-    pair rows are materialised.  Above ``max_engines`` the equivalent self
-    join on (run_id, puzzle_id) with ``a.engine < b.engine`` is used.
+    The answers of one position are pivoted into one row (one shuffle on
+    run/puzzle) and every pair is counted by one global aggregation with
+    map-side combine; no pair rows are materialised.  The engine list is a
+    dimension (distinct values, checked against ``ENGINE_LIST_BOUND``); with
+    more than ``max_engines`` engines the pairs are counted block by block
+    (blocks of ``max_engines // 2`` engines, one pass per pair of blocks).
     """
-    names = bounded_values(evals, "engine", max_engines)
+    names = bounded_values(evals, "engine", ENGINE_LIST_BOUND)
     if names is None:
-        a = evals.select("run_id", "puzzle_id", F.col("engine").alias("engine_a"),
-                         F.col("engine_move").alias("move_a"))
-        b = evals.select("run_id", "puzzle_id", F.col("engine").alias("engine_b"),
-                         F.col("engine_move").alias("move_b"))
-        j = a.join(b, ["run_id", "puzzle_id"]).where(F.col("engine_a") < F.col("engine_b"))
-        return (j.groupBy("engine_a", "engine_b")
-                .agg(F.count(F.lit(1)).alias("positions"),
-                     count_true(F.col("move_a") == F.col("move_b")).alias("agreements"))
-                .withColumn("agreement_pct", round_half_away(F.col("agreements") * 100.0 / F.col("positions"), 2)))
-    if len(names) < 2:
+        raise ValueError(f"more than {ENGINE_LIST_BOUND} engines: not a dimension")
+    if len(names) <= max_engines:
+        blocks = [names]
+    else:
+        size = max(max_engines // 2, 1)
+        blocks = [names[i:i + size] for i in range(0, len(names), size)]
+    parts = []
+    for bi, left in enumerate(blocks):
+        for right in blocks[bi:]:
+            part = _pair_counts(evals, left, right)
+            if part is not None:
+                parts.append(part)
+    if not parts:
         return evals.sparkSession.createDataFrame(
             [], "engine_a string, engine_b string, positions bigint, agreements bigint, agreement_pct double")
-    wide = (evals.groupBy("run_id", "puzzle_id").pivot("engine", names)
-            .agg(F.first(F.struct("engine_move")).alias("m")))
-    pairs = list(combinations(range(len(names)), 2))
-    aggs = []
-    for i, j in pairs:
-        a, b = F.col(f"`{names[i]}`"), F.col(f"`{names[j]}`")
-        both = a.isNotNull() & b.isNotNull()
-        aggs.append(count_true(both).alias(f"n{i}_{j}"))
-        aggs.append(count_true(both & (a["engine_move"] == b["engine_move"])).alias(f"a{i}_{j}"))
-    tot = wide.agg(*aggs)
-    rows = F.array(*[F.struct(F.lit(names[i]).alias("engine_a"), F.lit(names[j]).alias("engine_b"),
-                              F.col(f"n{i}_{j}").alias("positions"), F.col(f"a{i}_{j}").alias("agreements"))
-                     for i, j in pairs])
-    out = tot.select(F.inline(rows)).where(F.col("positions") > 0)
-    return out.withColumn("agreement_pct", round_half_away(F.col("agreements") * 100.0 / F.col("positions"), 2))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    out = out.where(F.col("positions") > 0)
+    return out.withColumn("agreement_pct",
+                          round_half_away(F.col("agreements") * 100.0 / F.col("positions"), 2))
 
 
 def depth_histogram(evals: DataFrame, by=("engine",)) -> DataFrame:

@@ -18,10 +18,10 @@ def _evals(spark):
     return spark.createDataFrame(rows, "run_id string, puzzle_id string, engine string, engine_move string, depth int")
 
 
-def test_agreement_pivot_equals_self_join(spark):
+def test_agreement_blocks_equal_single_pivot(spark):
     ev = _evals(spark)
     a = sorted(tuple(r) for r in R.engine_agreement(ev).collect())
-    b = sorted(tuple(r) for r in R.engine_agreement(ev, max_engines=2).collect())   # fallback: self join
+    b = sorted(tuple(r) for r in R.engine_agreement(ev, max_engines=2).collect())   # block by block
     assert a == b and len(a) == 10
 
 
