@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import rollups as R
+from .joins import bounded_broadcast
 from ..session import landed, scratch_path
 from ..sinks import files as K
 from ..sources import puzzles as SP
@@ -66,7 +67,7 @@ def _manifest_rows(spark, d):
         F.countDistinct("puzzle_id").cast("int").alias("total_puzzles"),
         F.sort_array(F.collect_set("engine")).alias("engines"),      # bounded: the engine dimension
         F.min("rating").alias("min_rating"))
-    return per_run.join(F.broadcast(fx.fx_runs(spark).select("run_id", "movetime_ms")), "run_id")
+    return per_run.join(bounded_broadcast(fx.fx_runs(spark).select("run_id", "movetime_ms")), "run_id")
 
 
 def _manifest_path(spark, d):
@@ -160,7 +161,7 @@ def q_engine_rollup_3nf_export(spark, d):
     path = _results_path(spark, d)
     back = spark.read.parquet(path)
     eng = fx.fx_engines(spark).select("engine_id", F.col("engine_name"))
-    j = back.join(F.broadcast(eng), "engine_id").drop("engine").withColumnRenamed("engine_name", "engine")
+    j = back.join(bounded_broadcast(eng), "engine_id").drop("engine").withColumnRenamed("engine_name", "engine")
     return R.engine_rollup(j).select("engine", "total_puzzles", "solved", "accuracy_pct", "avg_nps",
                                      "avg_depth", "avg_sec_per_pos", "avg_puzzle_rating")
 
