@@ -55,8 +55,9 @@ def parse_games(games_text: DataFrame) -> DataFrame:
                                 "__tv": F.regexp_extract_all("pgn", F.lit(tag_re), 2)})
 
     def tag(name: str) -> Column:
-        pos = F.array_position("__tk", name)
-        return F.when(pos > 0, F.element_at("__tv", pos.cast("int")))
+        # a repeated tag keeps its last value, as a header dictionary would
+        pos = F.array_position(F.reverse("__tk"), name)
+        return F.when(pos > 0, F.element_at(F.reverse("__tv"), pos.cast("int")))
 
     g = t.select(
         "match_id", "file", "block", "seq", "pgn", "is_game",

@@ -90,3 +90,12 @@ def test_shards_cut_by_record_count(spark):
     write_shards(df, f"{d}/s", shard_size=300)
     counts = spark.read.parquet(f"{d}/s").groupBy(F.col("_metadata.file_name")).count().collect()
     assert sum(r["count"] for r in counts) == 1000 and max(r["count"] for r in counts) <= 300
+
+
+def test_repeated_tag_keeps_last_value(spark):
+    d = tempfile.mkdtemp(prefix="ks-tag-")
+    os.makedirs(f"{d}/match_id=m")
+    with open(f"{d}/match_id=m/g.pgn", "w") as f:
+        f.write('[Event "m"]\n[White "A"]\n[Black "B"]\n[Result "*"]\n[Result "1-0"]\n\n1. e4 e5 1-0\n\n')
+    r = M.parse_games(read_games_text(spark, d)).collect()[0]
+    assert (r.white, r.black, r.result, r.game_no) == ("A", "B", "1-0", 1)
