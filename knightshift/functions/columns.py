@@ -63,6 +63,14 @@ def parse_comment(comment) -> Column:
     return F.struct(ev_val.alias("eval"), dp_val.alias("depth"), sec_val.alias("seconds"))
 
 
+def py_int(text) -> Column:
+    """Integer text as Python's ``int()`` reads it (sign, surrounding blanks, ``_``
+    between digit groups); null when it does not parse or does not fit."""
+    t = _c(text)
+    ok = t.rlike(r"^\s*[+-]?[0-9]+(_[0-9]+)*\s*$")
+    return F.when(ok, F.regexp_replace(F.trim(t), "_", "").try_cast("int"))
+
+
 def _try_cast(c: Column, to: str) -> Column:
     return c.try_cast(to)
 

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.board import apply_move
+from ..functions.columns import py_int
 from ..session import cut_lineage
 from .ordered import running_totals
 
@@ -33,8 +34,8 @@ def classify_dump(raw: DataFrame, min_rating: int, popularity_min: int, material
     table instead of the board expressions, and a lost executor re-reads the
     checkpoint instead of re-parsing the dump.
     """
-    rating = F.col("Rating").try_cast("int")
-    pop = F.col("Popularity").try_cast("int") if "Popularity" in raw.columns else F.lit(100)
+    rating = py_int("Rating")
+    pop = py_int("Popularity") if "Popularity" in raw.columns else F.lit(100)
     pop_bad = F.col("Popularity").isNotNull() & pop.isNull() if "Popularity" in raw.columns else F.lit(False)
     first, solution, n_moves = split_moves("Moves")
     themes = F.coalesce(F.col("Themes"), F.lit("")) if "Themes" in raw.columns else F.lit("")
@@ -130,7 +131,7 @@ def prepare_csv(raw: DataFrame, min_rating: int, materialize: bool = True) -> Da
     The keep flag is projected next to the new position and filtered after
     the checkpoint, so the optimizer never copies the board expressions into
     a pushed-down filter."""
-    rating = F.col("Rating").try_cast("int") if "Rating" in raw.columns else F.lit(0)
+    rating = py_int("Rating") if "Rating" in raw.columns else F.lit(0)
     first, solution, n_moves = split_moves("Moves")
     x = raw.withColumns({"rating": rating, "__first": first, "solution": solution, "__n": n_moves})
     x = apply_move(x, "FEN", "__first", out="fen")

@@ -83,3 +83,17 @@ def test_cluster_conf_bounds():
     assert int(big["spark.sql.shuffle.partitions"]) == 8 * 8000          # capped at eight waves
     assert int(small["spark.sql.shuffle.partitions"]) == 2 * 64          # at least two waves
     assert big["spark.sql.adaptive.skewJoin.enabled"] == "true"
+
+
+def test_py_int(spark):
+    vals = ["12", " 12 ", "+12", "-3", "1_000", "1__0", "_1", "12.5", "x", "", "99999999999"]
+    df = spark.createDataFrame([(v,) for v in vals], "t string")
+    got = [r[0] for r in df.select(C.py_int("t")).collect()]
+
+    def py(v):
+        try:
+            n = int(v)
+            return n if -2 ** 31 <= n < 2 ** 31 else None
+        except ValueError:
+            return None
+    assert got == [py(v) for v in vals]
