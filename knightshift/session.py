@@ -71,14 +71,17 @@ def get_spark(app: str = "knightshift", master: str | None = None, **conf: str)
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by the cluster (``spark.checkpoint.dir``).
 
-    Read from the session; only when it is unset (local tests) a private
-    folder is created and registered as the checkpoint dir.
+    Read from the session; only when it is unset on a local master (tests) a
+    private folder is created and registered as the checkpoint dir.  Elsewhere
+    an unset folder is an error: a driver's folder is not shared with executors.
     """
     sc = spark.sparkContext
     base = sc.getCheckpointDir()
     if not base:
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            if not sc.master.split("[")[0] == "local":
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             base = tempfile.mkdtemp(prefix="knightshift-ckpt-")
         sc.setCheckpointDir(base)
         base = sc.getCheckpointDir() or base
