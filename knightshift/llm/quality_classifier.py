@@ -91,7 +91,7 @@ def train(sample: list[tuple[str, int]], epochs: int = 5, rate: float = 1.0, see
     return Model((table @ (out[1] - out[0])).astype(np.float32), float(bias[1] - bias[0]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 8_000, max_bytes: int = 64 << 20) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 8_000, max_bytes: int = 32 << 20) -> Model:
     """Train on a bounded sample of ``labels.quality`` outside the held-out fold."""
     return train(fit_sample(docs, labels, "quality", max_docs, max_bytes))
 

@@ -9,7 +9,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, ngram_join, packing, quality_classifier, token_counts, toxicity, warc
+from . import exact_dedup, mixing, ngram_join, packing, pii, quality_classifier, quality_rules, token_counts, toxicity, warc
 from .common import held_out, ship_package, table
 
 MAX_TOKENS = 1024
@@ -45,6 +45,12 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", size.alias("n_bytes"), "n_tokens", (F.col("n_tokens") > MAX_TOKENS).alias("over_limit"))
 
 
+@query("op2_quality_rules", quality_rules.SQL)
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base rules and the line-frequency verdict of every document."""
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
 @query("op3_ngram_jaccard")
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Set size and component of every document at a Jaccard similarity of 0.75."""
@@ -71,6 +77,12 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.assign(table(spark, sf_dir, "documents"))
 
 
+@query("op7_pii")
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal-data spans of every document."""
+    return pii.summary(table(spark, sf_dir, "documents"))
+
+
 @query("op8_warc", warc.DIGEST_SQL)
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to archives and read back."""
