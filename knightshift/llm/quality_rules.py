@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from knightshift.session import cut_lineage
 
-from .common import words
+from .common import BLANKS as BLANK_CHARS
 
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
@@ -41,6 +41,7 @@ MAX_SHARE_PERCENT = 1
 MIN_KEPT_PERCENT = 30
 WORD = r"[^\x20\x09-\x0D]"
 BLANKS = r"[\x20\x09-\x0D]+"
+ODD_BLANKS = r"[\x09-\x0D]|\x20\x20"
 SYMBOL = "[#*$%&|<>]"
 
 
@@ -77,17 +78,21 @@ def repeated_words(w: Column) -> Column:
 def facts(docs: DataFrame, id_col: str, text: str, host: str) -> DataFrame:
     """Base counts, a hash of the text and (hash, words) of every line with a word."""
     body = F.coalesce(F.col(text), F.lit(""))
-    first = docs.select(F.col(id_col).alias("id"), F.col(host).alias("host"), body.alias("t"), words(F.col(text)).alias("w"),
+    bare = lambda line: F.btrim(line, F.lit(BLANK_CHARS))
+    cut = lambda line: F.when(line.rlike(ODD_BLANKS), F.split(line, BLANKS)).otherwise(F.split(line, " "))
+    lines = docs.select(F.col(id_col).alias("id"), F.col(host).alias("host"), body.alias("t"),
                         F.filter(F.split(body, "\n"), lambda line: line.rlike(WORD)).alias("ls"))
-    normal = lambda line: F.regexp_replace(F.lower(F.regexp_replace(line, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")), BLANKS, " ")
-    line = lambda x: let(normal(x), lambda n: F.struct(F.xxhash64(n).alias("h"), (F.length(n) - F.length(F.replace(n, F.lit(" "))) + 1).alias("k")))
-    return first.select(
+    lines = lines.select("*", F.transform("ls", lambda line: cut(bare(line))).alias("lw"))
+    # a word never crosses a line, so the words of the lines are the words of the text
+    whole = lines.select("*", F.flatten("lw").alias("w"))
+    normal = lambda own: F.lower(F.array_join(own, " "))
+    return whole.select(
         "id", "host", F.xxhash64("t").alias("doc"), F.size("w").cast("long").alias("n_words"),
         F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         (F.size(F.split("t", SYMBOL)) - 1).cast("long").alias("n_symbols"),
         (F.size("ls") - F.size(F.array_distinct("ls"))).cast("long").alias("n_dup_lines"),
         repeated_words(F.col("w")).cast("long").alias("n_repeat_words"),
-        F.transform("ls", line).alias("lines"))
+        F.transform("lw", lambda own: F.struct(F.xxhash64(normal(own)).alias("h"), F.size(own).alias("k"))).alias("lines"))
 
 
 def boilerplate(own: DataFrame, min_docs: int = MIN_DOCS, max_share_percent: int = MAX_SHARE_PERCENT) -> DataFrame:
