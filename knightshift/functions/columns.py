@@ -31,6 +31,11 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, then) -> Column:
+    """``then(value)`` with ``value`` computed once (a one-element array binds it)."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def is_correct(engine_move, solution) -> Column:
     """Exact string equality; a missing answer is wrong, never null."""
     return F.coalesce(_c(engine_move) == _c(solution), F.lit(False))

@@ -22,7 +22,6 @@ from ..plans.joins import bounded_broadcast
 from ..session import cut_lineage
 from .board import CASTLING_SHAPE, EP_SHAPE, UCI_SHAPE, attacked_sql, expand_placement
 
-PAIR_TABLE_BOUND = 1_000_000
 
 WHITE_SET = "('P','N','B','R','Q','K')"
 BLACK_SET = "('p','n','b','r','q','k')"
@@ -107,7 +106,7 @@ def annotate_san_columns(df: DataFrame, fen: str, moves: dict[str, str]) -> Data
     for uci in moves:
         p = df.select(F.col(fen).alias("__fen"), F.col(uci).alias("__uci"))
         pairs = p if pairs is None else pairs.union(p)
-    ann = bounded_broadcast(cut_lineage(_annotate(pairs.distinct(), "__fen", "__uci", "__san")), PAIR_TABLE_BOUND)
+    ann = bounded_broadcast(cut_lineage(_annotate(pairs.distinct(), "__fen", "__uci", "__san")))
     out = df
     for uci, name in moves.items():
         a = ann.select(F.col("__fen").alias(f"__f_{name}"), F.col("__uci").alias(f"__u_{name}"),
@@ -123,7 +122,7 @@ def annotate_san(df: DataFrame, fen: str, uci: str, out: str = "san", dedupe: bo
         pairs = df.select(F.col(fen).alias("__fen"), F.col(uci).alias("__uci")).distinct()
         # the annotated pairs are a derived table: written once to the shared folder,
         # broadcast back when their count is within the bound, else joined by shuffle
-        ann = bounded_broadcast(cut_lineage(_annotate(pairs, "__fen", "__uci", "__san")), PAIR_TABLE_BOUND)
+        ann = bounded_broadcast(cut_lineage(_annotate(pairs, "__fen", "__uci", "__san")))
         cond = [df[fen].eqNullSafe(ann["__fen"]), df[uci].eqNullSafe(ann["__uci"])]
         return df.join(ann, cond, "left").select(*[df[c] for c in df.columns], F.col("__san").alias(out))
     return _annotate(df, fen, uci, out)

@@ -4,8 +4,8 @@ W4, W5, A8-A11, K5, K6, K9).
 A game's moves stay inside its row as an ``array<struct>``: tokenizing,
 pairing comments with moves, side-to-move and per-side averages are
 higher-order functions over that array, so one pass over the text needs no
-shuffle.  Only numbering games in file order (W4) and per-match / per-engine
-totals (A9-A11) shuffle, and those aggregate map-side first.
+shuffle.  Games are numbered where they are read (W4); only per-match and
+per-engine totals (A9-A11) shuffle, and those aggregate map-side first.
 """
 
 from __future__ import annotations
@@ -13,81 +13,115 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import first_turn, fixed, map_engine, parse_comment
-from .ordered import file_order_numbers
+from ..functions.columns import first_turn, fixed, let, map_engine, parse_comment
+from ..sinks.files import write_matches
+
+MOVES = ("array<struct<ply:int,move_number:int,turn:string,move_san:string,comment:string,"
+         "eval:double,depth:int,seconds:double>>")
 
 # --- fixed values ------------------------------------------------------------
 # Defaults of missing headers.
 DEFAULT_RESULT = "*"
 DEFAULT_TERMINATION = "Normal"
-# One token of movetext: a {comment}, castling, or a SAN move.
-TOKEN_PATTERN = (r"(\{[^}]*\}|O-O-O[+#]?|O-O[+#]?|"
-                 r"[NBRQK]?[a-h]?[1-8]?x?[a-h][1-8](?:=?[NBRQ])?[+#]?)")
+# Tokens of movetext, in the order in which they are tried: a {comment} (whole, whatever it holds), the rest of a
+# line after ';', variation brackets, numeric glyphs, castling, null moves, and SAN moves.
+TOKEN_PATTERN = (r"(\{[^}]*\}?|;[^\n]*|\(|\)|\$\d+|O-O-O[+#]?|O-O[+#]?|--|"
+                 r"[NBRQK]?[a-h]?[1-8]?[-x]?[a-h][1-8](?:=?[NBRQnbrq])?[+#]?)")
+# Names of the telemetry headers.
+TELEMETRY_TAGS = ["WhiteAvgDepth", "BlackAvgDepth", "WhiteAvgMoveTime", "BlackAvgMoveTime"]
+ANNOTATOR_TAG = "Annotator"
 # ------------------------------------------------------------------------------
 
+HEADER_LINES = r"^((?:\s*\[[^\r\n]*\][ \t\r]*(?:\n|$))+)"
+TAG_LINE = r'(?m)^\s*\[([A-Za-z0-9][A-Za-z0-9_+#=:-]*)\s+"([^\r\n]*)"\]'
+
+
+def _col(c) -> Column:
+    return F.col(c) if isinstance(c, str) else c
 
-def header(pgn, name: str) -> Column:
-    """Value of a ``[Name "value"]`` tag; null when the tag is absent."""
-    text = F.col(pgn) if isinstance(pgn, str) else pgn
-    found = F.regexp_extract(text, r'\[' + name + r'\s+"([^"]*)"\]', 0)
-    return F.when(found != "", F.regexp_extract(text, r'\[' + name + r'\s+"([^"]*)"\]', 1))
+
+def header_section(pgn) -> Column:
+    """The leading tag lines of a game."""
+    return F.regexp_extract(_col(pgn), HEADER_LINES, 1)
 
 
 def movetext(pgn) -> Column:
-    """The movetext of a game: tag lines, ';' comments, NAGs and variations removed."""
-    text = F.col(pgn) if isinstance(pgn, str) else pgn
-    t = F.regexp_replace(text, r"(?m)^\[[^\n]*\]\s*$", "")
-    t = F.regexp_replace(t, r";[^\n]*", "")
-    t = F.regexp_replace(t, r"\$\d+", "")
-    for _ in range(3):   # variations nest: peel three levels
-        t = F.regexp_replace(t, r"\([^()]*\)", "")
-    return t
+    """What follows the leading tag lines; brackets at line starts inside comments stay."""
+    text = _col(pgn)
+    return F.substr(text, F.length(header_section(text)) + 1)
+
+
+def header(pgn, name: str) -> Column:
+    """Value of a ``[Name "value"]`` tag line; null when the tag is absent."""
+    line = r'(?m)^\s*\[' + name + r'\s+"([^\r\n]*)"\]'
+    section = header_section(pgn)
+    return F.when(section.rlike(line), F.regexp_extract(section, line, 1))
+
+
+def main_line(tokens: Column) -> Column:
+    """Moves and comments outside variations, whatever the nesting; glyphs and ';' comments dropped."""
+    plain = F.filter(tokens, lambda t: ~t.startswith(";") & ~t.startswith("$"))
+
+    def fold(own: Column) -> Column:
+        start = F.struct(F.lit(0).alias("depth"), F.array().cast("array<string>").alias("kept"))
+
+        def step(s: Column, t: Column) -> Column:
+            depth = F.when(t == "(", s["depth"] + 1).when(t == ")", F.greatest(s["depth"] - 1, F.lit(0))).otherwise(s["depth"])
+            keep = (s["depth"] == 0) & ~t.isin("(", ")")
+            return F.struct(depth.alias("depth"), F.when(keep, F.array_append(s["kept"], t)).otherwise(s["kept"]).alias("kept"))
+
+        folded = F.aggregate(own, start, step)["kept"]
+        brackets = F.array_contains(own, "(") | F.array_contains(own, ")")
+        return F.when(brackets, folded).otherwise(own)      # games without variations need no fold
+
+    return let(plain, fold)
 
 
 def parse_games(games_text: DataFrame) -> DataFrame:
-    """S8 -> P12, P15, W4, W5: one row per game with headers, number and move array.
+    """S8 -> P12, P15, W5: one row per game with headers, number of plies and move array.
 
-    Input: (match_id, file, block, seq, pgn, is_game) as produced by ``read_games_text``.
+    Input: (match_id, game_no, pgn) as produced by ``read_games_text``.  All comments between a move and the
+    next one of the main line belong to that move, joined by a blank.
     """
-    # every tag in one regex pass: names and values as two aligned arrays
-    tag_re = r'\[(\w+)\s+"([^"]*)"\]'
-    t = games_text.withColumns({"__tk": F.regexp_extract_all("pgn", F.lit(tag_re), 1),
-                                "__tv": F.regexp_extract_all("pgn", F.lit(tag_re), 2)})
+    # every tag in one regex pass over the header lines: names and values as two aligned arrays
+    t = games_text.withColumn("__head", header_section("pgn"))
+    t = t.withColumns({"__tk": F.regexp_extract_all("__head", F.lit(TAG_LINE), 1),
+                       "__tv": F.regexp_extract_all("__head", F.lit(TAG_LINE), 2)})
 
     def tag(name: str) -> Column:
         # a repeated tag keeps its last value, as a header dictionary would
         pos = F.array_position(F.reverse("__tk"), name)
         return F.when(pos > 0, F.element_at(F.reverse("__tv"), pos.cast("int")))
 
+    body = F.substr("pgn", F.length("__head") + 1)
     g = t.select(
-        "match_id", "file", "block", "seq", "pgn", "is_game",
+        "match_id", "game_no", "pgn",
         tag("White").alias("white"), tag("Black").alias("black"),
         F.coalesce(tag("Result"), F.lit(DEFAULT_RESULT)).alias("result"),
         F.coalesce(tag("Termination"), F.lit(DEFAULT_TERMINATION)).alias("termination"),
         tag("PlyCount").alias("ply_count"), tag("Round").alias("round"), tag("FEN").alias("fen"),
         tag("GameStartTime").alias("start_time"), tag("GameEndTime").alias("end_time"),
-        F.regexp_extract_all(movetext("pgn"), F.lit(TOKEN_PATTERN), 1).alias("toks"))
+        F.regexp_extract_all(body, F.lit(TOKEN_PATTERN), 1).alias("toks"))
     g = g.withColumn("first_turn", first_turn(F.coalesce("fen", F.lit(""))))
     g = g.withColumn("full0", F.coalesce(F.split(F.col("fen"), " ").getItem(5).try_cast("int"), F.lit(1)))
-    n = F.size("toks")
-    pairs = F.transform(
-        F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
-        lambda i: F.struct(F.try_element_at("toks", i).alias("tok"),
-                           F.when(i < n, F.try_element_at("toks", i + 1)).otherwise(F.lit("")).alias("next")))
-    only_moves = F.filter(pairs, lambda x: x["tok"].isNotNull() & ~x["tok"].startswith("{"))
+    g = g.withColumn("line", main_line(F.col("toks"))).drop("toks")
+    g = g.withColumn("plies", F.size(F.filter("line", lambda x: ~x.startswith("{"))))
     first_white = F.col("first_turn") == "w"
 
-    def move_row(x, k):
-        ply = k + 1
-        nxt = x["next"]
-        # a comment token is '{...}': strip the braces without a regex
-        comment = F.when(nxt.startswith("{"), F.trim(F.substring(nxt, F.lit(2), F.length(nxt) - 2)))
-        white_move = F.when(first_white, ply % 2 == 1).otherwise(ply % 2 == 0)
-        move_no = F.when(first_white, F.col("full0") + F.floor((ply - 1) / 2)) \
-                   .otherwise(F.col("full0") + F.floor(ply / 2))
-        return F.struct(ply.cast("int").alias("ply"), move_no.cast("int").alias("move_number"),
-                        F.when(white_move, "w").otherwise("b").alias("turn"),
-                        x["tok"].alias("move_san"), F.coalesce(comment, F.lit("")).alias("comment"))
+    def all_moves(at: Column) -> Column:
+        def move_row(start, k):
+            ply = k + 1
+            after = F.slice("line", start + 1, F.coalesce(F.get(at, k + 1), F.size("line") + 1) - start - 1)
+            # a comment token is '{...}': strip the braces without a regex
+            texts = F.transform(after, lambda c: F.trim(F.rtrim(F.substr(c, F.lit(2), F.length(c)), F.lit("}"))))
+            white_move = F.when(first_white, ply % 2 == 1).otherwise(ply % 2 == 0)
+            move_no = F.when(first_white, F.col("full0") + F.floor((ply - 1) / 2)) \
+                       .otherwise(F.col("full0") + F.floor(ply / 2))
+            return F.struct(ply.cast("int").alias("ply"), move_no.cast("int").alias("move_number"),
+                            F.when(white_move, "w").otherwise("b").alias("turn"),
+                            F.element_at("line", start).alias("move_san"),
+                            F.array_join(F.filter(texts, lambda c: c != ""), " ").alias("comment"))
+        return F.transform(at, move_row)
 
     def with_telemetry(m):
         # second pass: the comment is a stored field now, parsed once per move
@@ -96,9 +130,9 @@ def parse_games(games_text: DataFrame) -> DataFrame:
                         m["move_san"].alias("move_san"), m["comment"].alias("comment"),
                         tele["eval"].alias("eval"), tele["depth"].alias("depth"), tele["seconds"].alias("seconds"))
 
-    g = g.withColumn("moves", F.transform(F.transform(only_moves, move_row), with_telemetry)).drop("toks")
-    # Game number in file order; games stay where they are read
-    return file_order_numbers(g, ["match_id"], row_number="game_no", keep="is_game")
+    places = F.filter(F.transform("line", lambda x, i: F.when(~x.startswith("{"), i + 1)), lambda i: i.isNotNull())
+    moves = F.when(F.size("line") > 0, F.transform(let(places, all_moves), with_telemetry))
+    return g.withColumn("moves", F.coalesce(moves, F.array().cast(MOVES))).drop("line")
 
 
 def explode_moves(games: DataFrame, keys=("match_id", "game_no")) -> DataFrame:
@@ -135,7 +169,7 @@ def side_stats(games: DataFrame) -> DataFrame:
 def game_table(games: DataFrame, engine1: str, engine2: str, load_ts: str) -> DataFrame:
     """engine_match_games rows (P12-P16, A8): one per game."""
     s = side_stats(games)
-    plies = F.coalesce(F.col("ply_count").try_cast("int"), F.size("moves"))
+    plies = F.coalesce(F.col("ply_count").try_cast("int"), F.col("plies"))
     rnd = F.coalesce(F.col("round").try_cast("int"), F.col("game_no").cast("int"))
     return s.select(
         F.concat(F.col("match_id"), F.lit("_g"), F.col("game_no").cast("string")).alias("game_id"),
@@ -144,7 +178,7 @@ def game_table(games: DataFrame, engine1: str, engine2: str, load_ts: str) -> Da
         map_engine(F.coalesce("black", F.lit("")), F.lit(engine2), F.lit(engine1)).alias("black_engine_id"),
         "result", plies.alias("total_plies"),
         "white_avg_depth", "black_avg_depth", "white_avg_movetime_sec", "black_avg_movetime_sec",
-        "termination", F.trim("pgn").alias("moves_pgn"),
+        "termination", enriched("pgn").alias("moves_pgn"),
         F.coalesce("end_time", F.lit(load_ts)).alias("played_at"),
         "game_no", "start_time", "end_time", "first_turn")
 
@@ -180,7 +214,7 @@ def match_table(game_rows: DataFrame, engine1: str, engine2: str, time_control:
 
 def ingest_games(games_text: DataFrame, engine1: str, engine2: str, time_control: str,
                  total_rounds: int, load_ts: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Match text -> (engine_matches, engine_match_games, game_moves)."""
+    """Match text -> (engine_matches, engine_match_games, game_moves), not stored."""
     parsed = parse_games(games_text)
     games = game_table(parsed, engine1, engine2, load_ts)
     matches = match_table(games, engine1, engine2, time_control, total_rounds, load_ts)
@@ -189,6 +223,13 @@ def ingest_games(games_text: DataFrame, engine1: str, engine2: str, time_control
     return matches, games.drop("start_time", "end_time", "first_turn"), moves
 
 
+def store_games(games_text: DataFrame, root: str, engine1: str, engine2: str, time_control: str,
+                total_rounds: int, load_ts: str) -> tuple[str, str]:
+    """K3: parse the match text once and store both tables; returns (matches path, games path)."""
+    games = game_table(parse_games(games_text), engine1, engine2, load_ts)
+    return write_matches(games, lambda g: match_table(g, engine1, engine2, time_control, total_rounds, load_ts), root)
+
+
 def standings(games: DataFrame, white: str = "white", black: str = "black", result: str = "result") -> DataFrame:
     """A10: wins / draws / losses per engine (lower-cased names) over all games."""
     r = F.col(result)
@@ -229,18 +270,37 @@ def pair_games(games: DataFrame, white: str = "white", black: str = "black") ->
             .groupBy("engine_a", "engine_b").agg(F.count(F.lit(1)).alias("games")))
 
 
+def with_tags(pgn, lines: Column) -> Column:
+    """``pgn`` with the telemetry headers of ``lines`` (tag lines joined by line breaks) after its own headers;
+    headers of these names that it has already are replaced."""
+    text = F.trim(_col(pgn))
+    names = "|".join([*TELEMETRY_TAGS, ANNOTATOR_TAG])
+    section = F.regexp_replace(header_section(text), r'(?m)^\s*\[(' + names + r')\s+"[^\r\n]*"\][ \t\r]*(\n|$)', "")
+    return F.concat(F.rtrim(section, F.lit(" \t\r\n")), F.lit("\n"), lines, F.lit("\n\n"),
+                    F.btrim(movetext(text), F.lit(" \t\r\n")))
+
+
+def _tag_line(name: str, value: Column) -> Column:
+    return F.format_string('[%s "%s"]', F.lit(name), value)
+
+
+def telemetry_lines(blank: bool, annotator: str = "telemetry engine") -> Column:
+    """The telemetry tag lines from the side averages; a side without values gives 0.0 lines if ``blank``, else none."""
+    values = {"WhiteAvgDepth": ("white_avg_depth", 1, ""), "BlackAvgDepth": ("black_avg_depth", 1, ""),
+              "WhiteAvgMoveTime": ("white_avg_movetime_sec", 3, "s"), "BlackAvgMoveTime": ("black_avg_movetime_sec", 3, "s")}
+    lines = []
+    for name, (column, digits, unit) in values.items():
+        x = F.coalesce(F.col(column), F.lit(0.0))
+        line = _tag_line(name, F.concat(fixed(x, digits), F.lit(unit)))
+        lines.append(line if blank else F.when(F.col(column).isNotNull(), line))
+    return F.concat_ws("\n", *lines, _tag_line(ANNOTATOR_TAG, F.lit(annotator)))
+
+
+def enriched(pgn) -> Column:
+    """K3: the stored game text: telemetry headers for sides that have values, and the annotator."""
+    return with_tags(pgn, telemetry_lines(blank=False))
+
+
 def annotate(games: DataFrame, annotator: str = "telemetry engine") -> DataFrame:
-    """K6: the telemetry header lines added to every game (0.0 when a side has none)."""
-    s = side_stats(games)
-    z = F.lit(0.0)
-    lines = {
-        "WhiteAvgDepth": fixed(F.coalesce("white_avg_depth", z), 1),
-        "BlackAvgDepth": fixed(F.coalesce("black_avg_depth", z), 1),
-        "WhiteAvgMoveTime": F.concat(fixed(F.coalesce("white_avg_movetime_sec", z), 3), F.lit("s")),
-        "BlackAvgMoveTime": F.concat(fixed(F.coalesce("black_avg_movetime_sec", z), 3), F.lit("s")),
-    }
-    s = s.withColumns({k: v for k, v in lines.items()})
-    tags = F.concat_ws("\n", *[F.format_string('[%s "%s"]', F.lit(k), F.col(k)) for k in lines],
-                       F.format_string('[Annotator "%s"]', F.lit(annotator)))
-    body = F.regexp_replace(F.trim("pgn"), r"(?s)^((?:\[[^\n]*\]\n)*\[[^\n]*\])", "$1\n" + "TAGS_PLACEHOLDER")
-    return s.withColumn("annotated_pgn", F.replace(body, F.lit("TAGS_PLACEHOLDER"), tags))
+    """K6: the telemetry header lines set on every game (0.0 when a side has none); a second run changes nothing."""
+    return side_stats(games).withColumn("annotated_pgn", with_tags("pgn", telemetry_lines(True, annotator)))

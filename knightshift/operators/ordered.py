@@ -5,11 +5,9 @@ single task; when one engine holds a third of all answers that task holds a
 third of the data.  ``running_totals`` computes the same row numbers and
 running sums in balanced passes:
 
-1. the (group, order) key order is cut into contiguous chunks of about
-   ``ROWS_PER_CHUNK`` rows, so a hot group spans many chunks: up to
-   ``MAX_CASE_CHUNKS`` from a bounded key sample (the chunk is a pure
-   function of the keys), beyond that by the range partitioner with the
-   assignment written once to the shared folder;
+1. the rows are stored once and cut into contiguous slices of the (group,
+   order) key order, of about ``ROWS_PER_CHUNK`` rows each, by the range
+   partitioner, so a hot group (nulls too) spans many slices;
 2. rows are numbered and summed inside every (group, chunk) -- a window
    whose partitions are chunk-sized;
 3. per (group, chunk) totals (partially aggregated; at most groups x chunks
@@ -27,63 +25,29 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..plans.joins import bounded_broadcast
+from ..session import cut_lineage
 
-SAMPLE_PER_CHUNK = 40
 ROWS_PER_CHUNK = 200_000
-MAX_CASE_CHUNKS = 256
-BLOCK_TABLE_BOUND = 1_000_000   # one row per file split: ~100 TB / 128 MB splits stays below
-
-
-def _sort_key(row):
-    return tuple((v is not None, v) for v in row)
-
-
-def _boundary_chunks(df: DataFrame, keys: list[str], chunks: int, total: int) -> Column:
-    """Chunk id from sampled quantile boundaries of ``keys`` (a CASE over at most
-    ``MAX_CASE_CHUNKS`` boundaries)."""
-    frac = min(1.0, SAMPLE_PER_CHUNK * chunks / total)
-    sample = df.select(*keys).sample(withReplacement=False, fraction=frac, seed=17) \
-               .limit(SAMPLE_PER_CHUNK * chunks * 2).collect()
-    sample = sorted((tuple(r) for r in sample), key=_sort_key)
-    if len(sample) < 2:
-        return F.lit(0)
-    bounds = []
-    for i in range(1, chunks):
-        b = sample[min(len(sample) - 1, i * len(sample) // chunks)]
-        if None not in b and (not bounds or b != bounds[-1]):
-            bounds.append(b)
-    types = {f.name: f.dataType for f in df.schema.fields}
-    row = F.struct(*[F.col(k).alias(f"c{i}") for i, k in enumerate(keys)])
-    expr = F.lit(0)
-    for b in bounds:
-        lit = F.struct(*[F.lit(v).cast(types[k]).alias(f"c{i}") for i, (k, v) in enumerate(zip(keys, b))])
-        expr = expr + F.when(row >= lit, F.lit(1)).otherwise(F.lit(0))
-    return expr
-
-
-def with_chunks(df: DataFrame, keys: list[str], chunks: int) -> DataFrame:
-    """``df`` plus ``__chunk``: contiguous slices of the ``keys`` order of about
-    ``ROWS_PER_CHUNK`` rows, a pure function of the row or a stored value.
-
-    Up to ``MAX_CASE_CHUNKS`` slices the boundaries come from a bounded sample
-    (no data is written); beyond, the range partitioner (sampled, binary
-    search per row) assigns them and the assignment is written once to the
-    shared folder, so every later pass reads the same chunk of a row.
+
+
+def with_chunks(df: DataFrame, keys: list[str]) -> DataFrame:
+    """``df`` stored, plus ``__chunk``: contiguous slices of the ``keys`` order of about ``ROWS_PER_CHUNK`` rows.
+
+    The input is evaluated once, by the write.  More than one slice is assigned by the range partitioner over
+    the stored rows (nulls sort first, so a null group is cut like any other) and written with its number, so
+    every later pass reads the same slice of a row.
     """
-    total = df.count()
-    chunks = min(chunks, -(-total // ROWS_PER_CHUNK))
+    stored = cut_lineage(df, "rows")
+    chunks = -(-stored.count() // ROWS_PER_CHUNK)
     if chunks <= 1:
-        return df.withColumn("__chunk", F.lit(0))
-    if chunks <= MAX_CASE_CHUNKS:
-        return df.withColumn("__chunk", _boundary_chunks(df, keys, chunks, total))
-    from ..session import cut_lineage
-    ranged = df.repartitionByRange(chunks, *[F.col(k) for k in keys]).withColumn("__chunk", F.spark_partition_id())
+        return stored.withColumn("__chunk", F.lit(0))
+    ranged = stored.repartitionByRange(chunks, *[F.col(k) for k in keys]).withColumn("__chunk", F.spark_partition_id())
     return cut_lineage(ranged, "chunks")
 
 
 def running_totals(df: DataFrame, partition_by: list[str], order_by: list[str],
                    sums: dict[str, Column] | None = None, row_number: str = "rn",
-                   chunks: int | None = None, chunk_by: list[str] | None = None) -> DataFrame:
+                   chunk_by: list[str] | None = None) -> DataFrame:
     """Adds ``row_number`` (1-based, per group in order) and one running sum per ``sums`` entry.
 
     ``chunk_by``: columns forming a prefix of ``order_by`` whose values already
@@ -91,13 +55,12 @@ def running_totals(df: DataFrame, partition_by: list[str], order_by: list[str],
     then no sampling pass is needed.
     """
     sums = sums or {}
-    n = chunks or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     base = df.select("*", *[e.alias(f"__v_{k}") for k, e in sums.items()])
     if chunk_by:
         assert list(order_by[:len(chunk_by)]) == list(chunk_by), "chunk_by must prefix order_by"
         base = base.withColumn("__chunk", F.struct(*chunk_by))
     else:
-        base = with_chunks(base, partition_by + order_by, n)
+        base = with_chunks(base, partition_by + order_by)
     part = [*partition_by, "__chunk"]
     w = Window.partitionBy(*part).orderBy(*order_by)
     frame = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -120,28 +83,26 @@ def running_totals(df: DataFrame, partition_by: list[str], order_by: list[str],
 
 def file_order_numbers(df: DataFrame, partition_by: list[str], row_number: str = "rn",
                        file: str = "file", block: str = "block", seq: str = "seq",
-                       keep: str | None = None) -> DataFrame:
+                       preamble: bool = False) -> DataFrame:
     """Row numbers in file order (file, block start, position in block) per group,
     without moving the rows.
 
-    ``seq`` must be ``monotonically_increasing_id()`` taken right at the scan,
-    so the lines of one file block carry consecutive values.  Only a small
-    per-block table (count and first ``seq``) is aggregated and windowed; the
-    rows get ``block offset + (seq - first seq) + 1`` through a join with it
-    (broadcast by AQE when measured small).  Rows must not be filtered between
-    the scan and this call, except leading records of a block flagged by
-    ``keep`` (such as the empty record before a file's first separator): only
-    kept rows are numbered and returned.
+    ``seq`` must be ``monotonically_increasing_id()`` taken right at the scan and
+    no row may be filtered between the scan and this call, so the records of one
+    file block carry consecutive values.  Only a small per-block table (count
+    and first ``seq``) is aggregated and windowed; the rows get their block's
+    offset through a join with it.  With ``preamble`` the first record of a file
+    (the text before its first separator) is neither counted nor returned.
     """
     keys = [*partition_by, file, block]
-    if keep is not None:
-        df = df.where(F.col(keep)).drop(keep)
     blocks = df.groupBy(*keys).agg(F.min(seq).alias("__s0"), F.count(F.lit(1)).alias("__n"))
+    skip = F.when(F.col(block) == 0, 1).otherwise(0) if preamble else F.lit(0)
+    blocks = blocks.withColumn("__skip", skip)
     before = Window.partitionBy(*partition_by).orderBy(file, block).rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select(*[F.col(k).alias(f"__k_{k}") for k in keys], "__s0",
-                           F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
+    blocks = blocks.select(*[F.col(k).alias(f"__k_{k}") for k in keys], (F.col("__s0") + F.col("__skip")).alias("__s0"),
+                           F.coalesce(F.sum(F.col("__n") - F.col("__skip")).over(before), F.lit(0)).alias("__off"))
     cond = [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys]
     # the block table is checked against its bound and broadcast: the rows are not shuffled
-    j = df.join(bounded_broadcast(blocks, BLOCK_TABLE_BOUND), cond, "inner")
+    j = df.join(bounded_broadcast(blocks), cond, "inner").where(F.col(seq) >= F.col("__s0"))
     return j.select(*[F.col(c) for c in df.columns],
                     (F.col("__off") + F.col(seq) - F.col("__s0") + 1).alias(row_number))

@@ -22,17 +22,11 @@ def split_moves(moves_col: str = "Moves"):
     return arr.getItem(0), F.try_element_at(arr, F.lit(2)), n
 
 
-def classify_dump(raw: DataFrame, min_rating: int, popularity_min: int, materialize: bool = True) -> DataFrame:
-    """P1-P5 on dump rows: a ``status`` per row and, when accepted, the puzzle columns.
-
-    Checks in the reference order: complete row, integer rating/popularity
-    (popularity 100 when the column is absent), thresholds, two moves, then
-    the board (FEN parses, move parses, from-square occupied).
+def screen(raw: DataFrame, min_rating: int, popularity_min: int) -> DataFrame:
+    """P1-P4 on dump rows: everything but the board, in the reference order: complete row, integer
+    rating / popularity (popularity 100 when the column is absent), thresholds, two moves.
 
-    With ``materialize`` the classified rows are written as a table in the
-    shared checkpoint folder: later filters and joins then plan against a plain
-    table instead of the board expressions, and a lost executor re-reads the
-    checkpoint instead of re-parsing the dump.
+    ``status`` is null for rows that only the board can still reject.
     """
     rating = py_int("Rating")
     pop = py_int("Popularity") if "Popularity" in raw.columns else F.lit(100)
@@ -41,17 +35,44 @@ def classify_dump(raw: DataFrame, min_rating: int, popularity_min: int, material
     themes = F.coalesce(F.col("Themes"), F.lit("")) if "Themes" in raw.columns else F.lit("")
     x = raw.withColumns({"rating": rating, "popularity": pop, "__pop_bad": pop_bad, "__first": first,
                          "solution": solution, "__n_moves": n_moves, "themes": themes})
-    x = apply_move(x, "FEN", "__first", out="fen")
     status = (F.when(F.col("n_fields") < F.col("n_header"), "short_row")
               .when(F.col("rating").isNull() | F.col("__pop_bad"), "bad_number")
               .when(F.col("rating") < min_rating, "below_rating")
               .when(F.col("popularity") < popularity_min, "below_popularity")
-              .when(F.col("__n_moves") < 2, "few_moves")
-              .when(F.col("fen").isNull(), "bad_position")
-              .otherwise("accepted"))
-    out = x.withColumn("status", status).select(
-        *ORDER, F.col("PuzzleId").alias("puzzle_id"), "status", "fen", "solution", "rating", "popularity", "themes")
-    return cut_lineage(out) if materialize else out
+              .when(F.col("__n_moves") < 2, "few_moves"))
+    return x.withColumn("status", status)
+
+
+_OUT = ["solution", "rating", "popularity", "themes"]
+
+
+def _on_board(screened: DataFrame) -> DataFrame:
+    """P5 for the rows that passed the cheap checks: the board after the first move, status accepted or bad_position."""
+    x = apply_move(screened.where(F.col("status").isNull()), "FEN", "__first", out="fen")
+    status = F.when(F.col("fen").isNull(), "bad_position").otherwise("accepted")
+    return x.select(*ORDER, F.col("PuzzleId").alias("puzzle_id"), status.alias("status"), "fen", *_OUT)
+
+
+def classify_dump(raw: DataFrame, min_rating: int, popularity_min: int, materialize: bool = True) -> DataFrame:
+    """P1-P5 on dump rows: a ``status`` per row and, when accepted, the puzzle columns.
+
+    The board is only worked out for rows that pass the cheap checks.  With ``materialize`` these rows are
+    written as a table in the shared checkpoint folder: later filters and joins then plan against a plain
+    table instead of the board expressions, and a lost executor re-reads it instead of re-parsing the dump.
+    """
+    screened = screen(raw, min_rating, popularity_min)
+    judged = _on_board(screened)
+    judged = cut_lineage(judged) if materialize else judged
+    refused = screened.where(F.col("status").isNotNull()).select(
+        *ORDER, F.col("PuzzleId").alias("puzzle_id"), "status", F.lit(None).cast("string").alias("fen"), *_OUT)
+    return refused.unionByName(judged)
+
+
+def accepted_dump(raw: DataFrame, min_rating: int, popularity_min: int, materialize: bool = True) -> DataFrame:
+    """The accepted puzzles of a dump.  Only rows that pass the cheap checks are worked out and written; the
+    board's verdict is filtered after the write, so the optimizer never copies the board expressions into a filter."""
+    judged = _on_board(screen(raw, min_rating, popularity_min))
+    return accepted(cut_lineage(judged) if materialize else judged)
 
 
 def accepted(classified: DataFrame) -> DataFrame:
@@ -79,22 +100,13 @@ def new_puzzles(rows: DataFrame, stored_ids: DataFrame, key: str = "puzzle_id")
     return rows.join(stored_ids.select(key).distinct(), key, "left_anti")
 
 
-TOP_K_LIMIT = 100_000   # above this, numbering instead of a single merged top-k
-
-
 def take_total(rows: DataFrame, total: int, order=ORDER) -> DataFrame:
     """L2: the first ``total`` rows in stream order (at least one, as the ingest loop
-    always keeps the row that reaches the target).
-
-    Up to ``TOP_K_LIMIT`` a top-k (each task keeps its own first ``total``,
-    then one merge); beyond it the balanced numbering of ``running_totals``
-    and a filter, so a large target is never merged in one task.
+    always keeps the row that reaches the target), by the balanced numbering of
+    ``running_totals``: rows of any target are never merged in one task.
     """
-    n = max(total, 1)
-    if n <= TOP_K_LIMIT:
-        return rows.orderBy(*order).limit(n)
     r = running_totals(rows, [], list(order), row_number="__take")
-    return r.where(F.col("__take") <= n).drop("__take")
+    return r.where(F.col("__take") <= max(total, 1)).drop("__take")
 
 
 def assign_shards(rows: DataFrame, shard_size: int, existing_shards: int = 0, order=ORDER) -> DataFrame:
@@ -118,7 +130,7 @@ def puzzle_id_fallback(rows: DataFrame) -> DataFrame:
 def ingest_puzzles(raw: DataFrame, stored_ids: DataFrame, min_rating: int = 2500, popularity_min: int = 80,
                    total: int = 10000, shard_size: int = 1000, existing_shards: int = 0) -> DataFrame:
     """The fetch job: classify -> accepted -> not stored -> first occurrence -> first N -> shards."""
-    ok = accepted(classify_dump(raw, min_rating, popularity_min))
+    ok = accepted_dump(raw, min_rating, popularity_min)
     fresh = dedupe_first(new_puzzles(ok, stored_ids))
     taken = take_total(fresh, total)
     return assign_shards(taken, shard_size, existing_shards)
@@ -134,8 +146,9 @@ def prepare_csv(raw: DataFrame, min_rating: int, materialize: bool = True) -> Da
     rating = py_int("Rating") if "Rating" in raw.columns else F.lit(0)
     first, solution, n_moves = split_moves("Moves")
     x = raw.withColumns({"rating": rating, "__first": first, "solution": solution, "__n": n_moves})
+    x = x.where(F.col("rating").isNotNull() & (F.col("rating") >= min_rating) & (F.col("__n") >= 2))
     x = apply_move(x, "FEN", "__first", out="fen")
-    keep = F.col("rating").isNotNull() & (F.col("rating") >= min_rating) & (F.col("__n") >= 2) & F.col("fen").isNotNull()
+    keep = F.col("fen").isNotNull()
     cols = [*ORDER, "fen", "solution", "rating",
             F.coalesce(F.col("Themes"), F.lit("")).alias("themes") if "Themes" in raw.columns else F.lit("").alias("themes"),
             F.coalesce(F.col("GameUrl"), F.lit("")).alias("game_url") if "GameUrl" in raw.columns else F.lit("").alias("game_url")]

@@ -108,67 +108,26 @@ def rollup_by_movetime(evals: DataFrame, runs: DataFrame) -> DataFrame:
                  round_half_away(F.avg("elapsed_seconds"), 3).alias("avg_sec")))
 
 
-ENGINE_LIST_BOUND = 10_000   # the engine dimension; far above any real benchmark
-
-
-def _pair_counts(evals: DataFrame, left: list[str], right: list[str]) -> DataFrame:
-    """Agreement counts for engine pairs (a in ``left``, b in ``right``, a < b): the answers
-    of one position pivoted into one row, every pair counted by one aggregation."""
-    names = sorted(set(left) | set(right))
-    pairs = [(a, b) for a in left for b in right if a < b]
-    if not pairs:
-        return None
-    idx = {n: i for i, n in enumerate(names)}
-    wide = (evals.where(F.col("engine").isin(names)).groupBy("run_id", "puzzle_id").pivot("engine", names)
-            .agg(F.first(F.struct("engine_move")).alias("m")))
-    aggs = []
-    for a, b in pairs:
-        ca, cb = F.col(f"`{a}`"), F.col(f"`{b}`")
-        both = ca.isNotNull() & cb.isNotNull()
-        i, j = idx[a], idx[b]
-        aggs.append(count_true(both).alias(f"n{i}_{j}"))
-        aggs.append(count_true(both & (ca["engine_move"] == cb["engine_move"])).alias(f"a{i}_{j}"))
-    tot = wide.agg(*aggs)
-    rows = F.array(*[F.struct(F.lit(a).alias("engine_a"), F.lit(b).alias("engine_b"),
-                              F.col(f"n{idx[a]}_{idx[b]}").alias("positions"),
-                              F.col(f"a{idx[a]}_{idx[b]}").alias("agreements")) for a, b in pairs])
-    return tot.select(F.inline(rows))
-
-
-def engine_agreement(evals: DataFrame, max_engines: int = 64) -> DataFrame:
+def engine_agreement(evals: DataFrame) -> DataFrame:
     """For each engine pair, positions both answered (same run and puzzle) and
     how often they chose the same move.
 
-    The answers of one position are pivoted into one row (one shuffle on
-    run/puzzle) and every pair is counted by one global aggregation with
-    map-side combine; no pair rows are materialised.  The engine list is a
-    dimension (distinct values, checked against ``ENGINE_LIST_BOUND``); with
-    more than ``max_engines`` engines the pairs are counted block by block
-    (blocks of ``max_engines // 2`` engines, one pass per pair of blocks).
+    Answers are counted by (run, puzzle, engine, move) first, so repeated answers
+    weigh as they would in a join of the table with itself; the counts of one
+    position (at most engines x moves) give its pair counts inside its row,
+    and every task sums them by pair before the last shuffle.
     """
-    names = bounded_values(evals, "engine", ENGINE_LIST_BOUND)
-    if names is None:
-        raise ValueError(f"more than {ENGINE_LIST_BOUND} engines: not a dimension")
-    if len(names) <= max_engines:
-        blocks = [names]
-    else:
-        size = max(max_engines // 2, 1)
-        blocks = [names[i:i + size] for i in range(0, len(names), size)]
-    parts = []
-    for bi, left in enumerate(blocks):
-        for right in blocks[bi:]:
-            part = _pair_counts(evals, left, right)
-            if part is not None:
-                parts.append(part)
-    if not parts:
-        return evals.sparkSession.createDataFrame(
-            [], "engine_a string, engine_b string, positions bigint, agreements bigint, agreement_pct double")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    out = out.where(F.col("positions") > 0)
-    return out.withColumn("agreement_pct",
-                          round_half_away(F.col("agreements") * 100.0 / F.col("positions"), 2))
+    answers = evals.groupBy("run_id", "puzzle_id", "engine", "engine_move").agg(F.count(F.lit(1)).alias("n"))
+    position = (answers.where(F.col("engine").isNotNull()).groupBy("run_id", "puzzle_id")
+                .agg(F.collect_list(F.struct("engine", "engine_move", "n")).alias("given")))
+    same = lambda x, y: F.coalesce(x["engine_move"] == y["engine_move"], F.lit(False))
+    pairs = F.flatten(F.transform("given", lambda x: F.transform(
+        F.filter("given", lambda y: y["engine"] > x["engine"]),
+        lambda y: F.struct(x["engine"].alias("engine_a"), y["engine"].alias("engine_b"), (x["n"] * y["n"]).alias("n"),
+                           F.when(same(x, y), x["n"] * y["n"]).otherwise(0).alias("same")))))
+    out = (position.where("run_id is not null and puzzle_id is not null").select(F.inline(pairs)).groupBy("engine_a", "engine_b")
+           .agg(F.sum("n").alias("positions"), F.sum("same").alias("agreements")))
+    return out.withColumn("agreement_pct", round_half_away(F.col("agreements") * 100.0 / F.col("positions"), 2))
 
 
 def depth_histogram(evals: DataFrame, by=("engine",)) -> DataFrame:

@@ -1,8 +1,8 @@
 """Join planning helpers.
 
-Broadcasting is only requested for a side whose row count has been checked
-against a bound; above the bound the plain join is left to the planner
-(sort-merge, or a runtime broadcast chosen by AQE from measured sizes).
+Broadcasting is only requested for a side whose measured bytes are within a
+bound; above it the plain join is left to the planner (sort-merge, or a
+runtime broadcast chosen by AQE from measured sizes).
 """
 
 from __future__ import annotations
@@ -10,18 +10,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Dimension tables (engines, runs, players, openings, themes) stay far below this.
-DIM_ROW_BOUND = 200_000
+# Bytes of the values of a broadcast side, and rows read to measure them.
+BROADCAST_BYTES = 32 << 20
+MEASURED_ROWS = 4_000_000
+ROW_BYTES = 16
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = DIM_ROW_BOUND) -> DataFrame:
-    """``broadcast(df)`` if it holds at most ``max_rows`` rows, else ``df`` unchanged.
+def _row_bytes(df: DataFrame):
+    """Bytes of a row's values as an expression: lengths of texts, 8 for numbers, the JSON text of nested values."""
+    size = F.lit(ROW_BYTES)
+    for f in df.schema.fields:
+        c, kind = F.col(f"`{f.name}`"), f.dataType.typeName()
+        if kind in ("string", "binary"):
+            size = size + F.coalesce(F.octet_length(c), F.lit(0))
+        elif kind in ("array", "map", "struct"):
+            size = size + F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0))
+        else:
+            size = size + 8
+    return size
 
-    The check reads at most ``max_rows + 1`` rows (a limit pushed into the scan);
-    a frame held on the driver already (``isLocal``) is counted without a job.
+
+def bounded_broadcast(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``broadcast(df)`` if its values measure at most ``max_bytes``, else ``df`` unchanged.
+
+    At most ``MEASURED_ROWS`` rows are read for the check (a limit pushed into the scan), and a frame with more
+    rows than that is never broadcast; a frame held on the driver already is measured without a job.
     """
-    n = len(df.take(max_rows + 1)) if df.isLocal() else df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    if df.isLocal():
+        rows = df.take(MEASURED_ROWS + 1)
+        n, size = len(rows), sum(len(str(r)) + ROW_BYTES for r in rows)
+    else:
+        n, size = df.limit(MEASURED_ROWS + 1).agg(F.count(F.lit(1)), F.sum(_row_bytes(df))).first()
+    return F.broadcast(df) if n <= MEASURED_ROWS and (size or 0) <= max_bytes else df
 
 
 def bounded_values(df: DataFrame, column: str, max_values: int) -> list | None:

@@ -4,7 +4,13 @@ headers + ordered fx_moves joined per game"), written as files and read back.
 Deterministic shaping rules (also spelled out in the oracle SQL):
 * a 'Time forfeit' game starts from a position with Black to move (FEN tag) and
   has ``Round "?"``; other games carry their id as Round;
-* a '1-0' game carries PlyCount; a drawn game has no GameStartTime tag.
+* a '1-0' game carries PlyCount; a drawn game has no GameStartTime tag;
+* every third game has escaped quotes and brackets in its Event value;
+* even games carry a second comment, with brackets, a ';' and a glyph in it, after
+  every fourth ply from the third; games divisible by 5 carry a variation nested
+  five deep, with comments, after the first ply; games divisible by 7 carry a
+  ';' comment and a glyph after the second ply;
+* a file holds at most ``GAMES_PER_FILE`` games, so a match spans several files.
 """
 
 from __future__ import annotations
@@ -16,6 +22,10 @@ from ..session import landed
 from ..sinks.files import write_games_text
 from . import fixtures as fx
 
+GAMES_PER_FILE = 100
+NOTE = "note; (see [%x 1] $2"
+VARIATION = " (1. d4 {+9.99/99 9.9s} (1. c4 {(} (1. b3 (1. a3 (1. h3 h6) a6) b6) c5) d5)"
+LINE_COMMENT = " $14 ; Nf6 {not a move} (\n"
 BLACK_START_FEN = "4k3/8/8/8/8/8/8/4K3 b - - 0 1"
 
 
@@ -34,13 +44,17 @@ def pgn_games(spark: SparkSession, d: str) -> DataFrame:
         prefix = (F.when(white_move, F.concat(num, F.lit(". ")))
                   .when(ply == 1, F.concat(num, F.lit("... "))).otherwise(F.lit("")))
         com = F.when(m["comment"] != "", F.concat(F.lit(" {"), m["comment"], F.lit("}"))).otherwise(F.lit(""))
-        return F.concat(prefix, m["move_san"], com)
+        note = F.when((ply % 4 == 3) & (F.col("game_id") % 2 == 0), F.lit(" {" + NOTE + "}")).otherwise(F.lit(""))
+        var = F.when((ply == 1) & (F.col("game_id") % 5 == 0), F.lit(VARIATION)).otherwise(F.lit(""))
+        rest = F.when((ply == 2) & (F.col("game_id") % 7 == 0), F.lit(LINE_COMMENT)).otherwise(F.lit(""))
+        return F.concat(prefix, m["move_san"], com, var, note, rest)
 
     moves_text = F.array_join(F.transform("mv", token), " ")
     tag = lambda k, v: F.format_string('[%s "%s"]', F.lit(k), v)
     tags = F.concat_ws(
         "\n",
-        tag("Event", F.col("match_id")),
+        tag("Event", F.when(F.col("game_id") % 3 == 0, F.concat(F.col("match_id"), F.lit(' \\"cup\\" [final]')))
+            .otherwise(F.col("match_id"))),
         tag("Site", F.concat(F.lit("game "), F.col("game_id").cast("string"))),
         tag("Round", F.when(black_start, F.lit("?")).otherwise(F.col("game_id").cast("string"))),
         tag("White", F.col("white")), tag("Black", F.col("black")), tag("Result", F.col("result")),
@@ -56,7 +70,7 @@ def pgn_games(spark: SparkSession, d: str) -> DataFrame:
 
 def pgn_files(spark: SparkSession, d: str) -> str:
     """Write the match files (one directory per match) and return their root."""
-    return landed(spark, f"pgn:{d}", lambda path: write_games_text(pgn_games(spark, d), path))
+    return landed(spark, f"pgn:{d}", lambda path: write_games_text(pgn_games(spark, d), path, GAMES_PER_FILE))
 
 
 # SQL pieces for oracles over the adapters

@@ -23,22 +23,28 @@ def _results_path(spark, d):
 
 
 @query("write_results", """
-SELECT puzzle_id, engine_move, is_correct FROM fx_evals WHERE run_id = 'run_b' AND engine_id = 'lc0_v0_32_1'""")
+SELECT run_id, engine_id, puzzle_id, engine_move, is_correct, depth, nps, elapsed_seconds FROM fx_evals""")
 def q_write_results(spark, d):
-    path = _results_path(spark, d)
-    back = spark.read.parquet(path)     # run_id / engine_id are partition columns: pruned
+    back = spark.read.parquet(_results_path(spark, d))
+    return back.select("run_id", "engine_id", "puzzle_id", "engine_move", "is_correct", "depth", "nps", "elapsed_seconds")
+
+
+@query("results_partition", """
+SELECT puzzle_id, engine_move, is_correct FROM fx_evals WHERE run_id = 'run_b' AND engine_id = 'lc0_v0_32_1'""")
+def q_results_partition(spark, d):
+    back = spark.read.parquet(_results_path(spark, d))     # run_id / engine_id are partition columns: pruned
     return back.where((F.col("run_id") == "run_b") & (F.col("engine_id") == "lc0_v0_32_1")).select(
         "puzzle_id", "engine_move", "is_correct")
 
 
 @query("src_results", """
-SELECT engine, COUNT(*) AS n FROM fx_evals WHERE run_id = 'run_a' GROUP BY engine""")
+SELECT run_id, engine, COUNT(*) AS n FROM fx_evals GROUP BY run_id, engine""")
 def q_src_results(spark, d):
     path = _results_path(spark, d)
     schema = spark.read.parquet(path).schema
     empty = SP.read_results(spark, f"{path}/run_id=run_none/*", schema=schema)   # guard: no files
-    got = SP.read_results(spark, f"{path}/run_id=run_a", schema=None)
-    return got.unionByName(empty.drop("run_id"), allowMissingColumns=True).groupBy("engine").agg(
+    got = SP.read_results(spark, path, schema=None)
+    return got.unionByName(empty, allowMissingColumns=True).groupBy("run_id", "engine").agg(
         F.count(F.lit(1)).alias("n"))
 
 
@@ -98,20 +104,22 @@ SELECT run_id, CAST(COUNT(DISTINCT puzzle_id) AS INTEGER) AS total_puzzles FROM
 WHERE run_id NOT IN ('run_a') GROUP BY run_id""")
 def q_register_runs(spark, d):
     manifests = _manifest_rows(spark, d)
-    existing = spark.createDataFrame([("run_a",)], "run_id string")
-    return K.register_runs(manifests, existing).select("run_id", "total_puzzles")
+    path = scratch_path(spark, "registered")
+    K.write_manifests(manifests.where(F.col("run_id") == "run_a").withColumn("total_puzzles", F.lit(-1)), path)
+    K.write_manifests(manifests, path)          # run_a is there already: its document stays
+    back = spark.read.schema(manifests.schema).json(path)
+    return back.where(F.col("total_puzzles") >= 0).select("run_id", "total_puzzles")
 
 
 @query("src_checkpoints", f"""
 SELECT run_id, engine, puzzle_id, is_correct, CAST(depth AS BIGINT) AS depth,
        CAST(COUNT(*) OVER (PARTITION BY run_id, engine, CAST(floor(pos / {SHARD}) AS BIGINT)) AS INTEGER) AS last_index
-FROM fx_evals WHERE CAST(floor(pos / {SHARD}) AS BIGINT) < 10""")
+FROM fx_evals""")
 def q_src_checkpoints(spark, d):
     ev = fx.fx_evals(spark, d).withColumn("shard", F.floor(F.col("pos") / SHARD).cast("bigint"))
-    inflight = ev.where(F.col("shard") < 10)
     cols = [f.name for f in RUNS.RESULT_SCHEMA.fields if f.name in ev.columns]
     # a checkpoint holds one shard's results: a bounded group
-    docs = inflight.groupBy("run_id", "engine", "shard").agg(
+    docs = ev.groupBy("run_id", "engine", "shard").agg(
         F.count(F.lit(1)).cast("int").alias("last_index"),
         F.collect_list(F.struct(*[F.col(c).cast(RUNS.RESULT_SCHEMA[c].dataType).alias(c) for c in cols])).alias("results"))
     path = scratch_path(spark, "checkpoints")
@@ -126,7 +134,10 @@ def q_src_checkpoints(spark, d):
 SELECT run_id || '__' || engine_id AS session,
        row_number() OVER (PARTITION BY run_id, engine_id ORDER BY pos) AS position,
        engine_move AS bestmove, depth, CAST(CAST(nps AS BIGINT) AS DOUBLE) AS nps
-FROM fx_answers""")
+FROM fx_answers
+UNION ALL
+SELECT run_id || '__' || engine_id, COUNT(*) + 1, '', 3, 77.0::DOUBLE FROM fx_answers
+WHERE engine_id <> 'lc0_v0_32_1' GROUP BY run_id, engine_id""")
 def q_parse_transcript(spark, d):
     a = fx.fx_answers(spark, d)
     session = F.concat(F.col("run_id"), F.lit("__"), F.col("engine_id"))
@@ -141,6 +152,10 @@ def q_parse_transcript(spark, d):
         F.struct(F.lit(3).alias("k"), F.lit("info depth x12 nps fast").alias("line")),
         F.struct(F.lit(4).alias("k"), F.concat(F.lit("bestmove "), F.col("engine_move"), F.lit(" ponder e7e5")).alias("line")))
     t = a.select(session.alias("session"), "pos", F.inline(lines))
+    # all but one engine stop in the middle of a further position
+    stops = (a.where(F.col("engine_id") != "lc0_v0_32_1").select(session.alias("session")).distinct()
+             .select("session", F.lit(1 << 40).cast("long").alias("pos"), F.lit(2).alias("k"), F.lit("info depth 3 seldepth 4 nps 77").alias("line")))
+    t = t.unionByName(stops)
 
     def write(path):
         n = int(spark.conf.get("spark.sql.shuffle.partitions"))

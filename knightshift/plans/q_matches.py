@@ -8,24 +8,26 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import matches as M
-from ..operators.ordered import file_order_numbers
-from ..session import scratch_path
+from ..session import landed, scratch_path
 from ..sinks import files as K
 from ..sources import pgn as SRC
 from . import fixtures as fx
-from .pgn_fixture import pgn_files
+from .pgn_fixture import NOTE, pgn_files
 from .registry import query
 
 E1, E2, TC, ROUNDS = "Lc0", "Reckless", "10+0.1", 12
 LOAD_TS = "2026-01-01T00:00:00+00:00"
 
+# a move's whole comment: the adapter's, then the fixture's note
+COMMENT = (f"CASE WHEN m.ply % 4 = 3 AND m.game_id % 2 = 0 THEN CASE WHEN m.comment = '' THEN '{NOTE}' ELSE m.comment || ' {NOTE}' END "
+           "ELSE m.comment END")
 G = """g AS (SELECT *, row_number() OVER (PARTITION BY match_id ORDER BY game_id) AS game_no,
               termination = 'Time forfeit' AS bs FROM fx_games)"""
-MV = """mv AS (
+MV = f"""mv AS (
   SELECT g.match_id, g.game_no, CAST(m.ply AS INTEGER) AS ply,
          CAST(CASE WHEN g.bs THEN 1 + floor(m.ply / 2) ELSE 1 + floor((m.ply - 1) / 2) END AS INTEGER) AS move_number,
          CASE WHEN g.bs THEN (CASE WHEN m.ply % 2 = 1 THEN 'b' ELSE 'w' END) ELSE m.turn END AS turn,
-         m.move_san, m.comment,
+         m.move_san, {COMMENT} AS comment,
          TRY_CAST(replace(NULLIF(regexp_extract(m.comment, '([+-]?\\d+\\.?\\d*|\\#?[+-]?\\d+)/(\\d+)', 1), ''), '#', '') AS DOUBLE) AS eval,
          TRY_CAST(NULLIF(regexp_extract(m.comment, '([+-]?\\d+\\.?\\d*|\\#?[+-]?\\d+)/(\\d+)', 2), '') AS INTEGER) AS depth,
          TRY_CAST(NULLIF(regexp_extract(m.comment, '(\\d+\\.?\\d*)s', 1), '') AS DOUBLE) AS seconds
@@ -57,7 +59,7 @@ SELECT g.match_id, g.game_no, g.white, g.black, g.result, CAST(COALESCE(n.c, 0)
 FROM g LEFT JOIN n ON g.game_id = n.game_id""")
 def q_src_games_text(spark, d):
     p = _parsed(spark, d)
-    return p.select("match_id", "game_no", "white", "black", "result", F.size("moves").alias("n_moves"))
+    return p.select("match_id", "game_no", "white", "black", "result", F.col("plies").alias("n_moves"))
 
 
 @query("number_games", f"""
@@ -115,7 +117,7 @@ def q_annotate_pgn(spark, d):
     (a.repartitionByRange(n, "match_id", "game_no").sortWithinPartitions("match_id", "game_no")
      .select(F.col("annotated_pgn").alias("value"), "match_id")
      .write.mode("overwrite").partitionBy("match_id").option("lineSep", "\n\n").text(path))
-    back = file_order_numbers(SRC.read_games_text(spark, path), ["match_id"], row_number="game_no", keep="is_game")
+    back = SRC.read_games_text(spark, path)
     tags = ["WhiteAvgDepth", "BlackAvgDepth", "WhiteAvgMoveTime", "BlackAvgMoveTime"]
     return back.select("match_id", "game_no", *[M.header("pgn", t).alias(t) for t in tags])
 
@@ -220,33 +222,85 @@ def q_pair_games(spark, d):
     return M.pair_games(fx.fx_games(spark, d))
 
 
+def _stored(spark, d) -> str:
+    """The match database of ``d`` (parsed and stored once per application); returns its root."""
+    return landed(spark, f"matchdb:{d}", lambda root: M.store_games(
+        SRC.read_games_text(spark, pgn_files(spark, d)), root, E1, E2, TC, ROUNDS, LOAD_TS))
+
+
 @query("src_match_lookup", f"""
 WITH {G}
 SELECT match_id, game_no FROM g
 WHERE match_id = (SELECT min(match_id) FROM fx_games WHERE contains(match_id, 'atch_4'))""")
 def q_src_match_lookup(spark, d):
-    _, games, _ = M.ingest_games(SRC.read_games_text(spark, pgn_files(spark, d)), E1, E2, TC, ROUNDS, LOAD_TS)
+    games = spark.read.parquet(f"{_stored(spark, d)}/engine_match_games")
     return SRC.lookup_match(games, "atch_4").select("match_id", "game_no")
 
 
+MATCHES = f"""scores AS (
+  SELECT match_id,
+       SUM(CASE WHEN result = '1-0' AND white_engine_id = 'lc0' THEN 1.0::DOUBLE
+                WHEN result = '0-1' AND black_engine_id = 'lc0' THEN 1.0::DOUBLE
+                WHEN result = '1/2-1/2' THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END) AS engine1_score,
+       SUM(CASE WHEN result = '1-0' AND white_engine_id <> 'lc0' THEN 1.0::DOUBLE
+                WHEN result = '0-1' AND black_engine_id <> 'lc0' THEN 1.0::DOUBLE
+                WHEN result = '1/2-1/2' THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END) AS engine2_score,
+       CAST(SUM(CASE WHEN result = '1/2-1/2' THEN 1 ELSE 0 END) AS INTEGER) AS draws,
+       COALESCE(arg_min(strftime(played_at, '%Y-%m-%dT00:00:00'), game_no) FILTER (WHERE result <> '1/2-1/2'),
+                '{LOAD_TS}') AS started_at,
+       arg_max(strftime(played_at, '%Y-%m-%dT%H:%M:%S'), game_no) AS completed_at
+  FROM ids GROUP BY match_id)"""
+TELEMETRY = """
+       printf('%.1f', s.white_avg_depth) AS white_depth_tag, printf('%.1f', s.black_avg_depth) AS black_depth_tag,
+       printf('%.3fs', s.white_avg_movetime_sec) AS white_time_tag, printf('%.3fs', s.black_avg_movetime_sec) AS black_time_tag,
+       'telemetry engine' AS annotator_tag"""
+
+
+def _telemetry_tags(column: str):
+    names = {"white_depth_tag": "WhiteAvgDepth", "black_depth_tag": "BlackAvgDepth", "white_time_tag": "WhiteAvgMoveTime",
+             "black_time_tag": "BlackAvgMoveTime", "annotator_tag": "Annotator"}
+    return [M.header(column, n).alias(k) for k, n in names.items()]
+
+
 @query("write_matches", f"""
-WITH {G} SELECT match_id, COUNT(*) AS games FROM g GROUP BY match_id""")
+WITH {G}, {MV}, {SIDES}, {IDS}, {MATCHES}, n AS (SELECT game_id, COUNT(*) AS c FROM fx_moves GROUP BY game_id)
+SELECT i.match_id || '_g' || i.game_no AS game_id, i.match_id, i.game_no,
+       CAST(CASE WHEN i.bs THEN i.game_no ELSE i.game_id END AS INTEGER) AS round_number,
+       i.white_engine_id, i.black_engine_id, i.result, CAST(COALESCE(n.c, 0) AS INTEGER) AS total_plies,
+       s.white_avg_depth, s.black_avg_depth, s.white_avg_movetime_sec, s.black_avg_movetime_sec,
+       i.termination, strftime(i.played_at, '%Y-%m-%dT%H:%M:%S') AS played_at, {TELEMETRY},
+       'lc0' AS engine1_id, 'reckless' AS engine2_id, '{TC}' AS time_control, CAST({ROUNDS} AS INTEGER) AS total_rounds,
+       1 AS concurrency, m.engine1_score, m.engine2_score, m.draws,
+       'db://engine_match_games_' || i.match_id || '.parquet' AS pgn_path, m.started_at, m.completed_at
+FROM ids i JOIN scores m ON m.match_id = i.match_id LEFT JOIN n ON i.game_id = n.game_id
+LEFT JOIN sides s ON i.match_id = s.match_id AND i.game_no = s.game_no""")
 def q_write_matches(spark, d):
-    matches, games, _ = M.ingest_games(SRC.read_games_text(spark, pgn_files(spark, d)), E1, E2, TC, ROUNDS, LOAD_TS)
-    _, gp = K.write_matches(matches, games, scratch_path(spark, "matchdb"))
-    return spark.read.parquet(gp).groupBy("match_id").agg(F.count(F.lit(1)).alias("games"))
+    root = _stored(spark, d)
+    games, matches = spark.read.parquet(f"{root}/engine_match_games"), spark.read.parquet(f"{root}/engine_matches")
+    own = games.select("game_id", "match_id", "game_no", "round_number", "white_engine_id", "black_engine_id", "result",
+                       "total_plies", "white_avg_depth", "black_avg_depth", "white_avg_movetime_sec", "black_avg_movetime_sec",
+                       "termination", "played_at", *_telemetry_tags("moves_pgn"))
+    return own.join(matches, "match_id")
+
+
+@query("match_game_ids", """SELECT 'engine_match_games' AS table_name, 0::BIGINT AS duplicate_keys, 0::BIGINT AS null_keys,
+  count(*)::BIGINT AS games FROM orders""")
+def q_match_game_ids(spark, d):
+    """C1 over the stored games: ``game_id`` is a key, and no game of the text is lost."""
+    games = spark.read.parquet(f"{_stored(spark, d)}/engine_match_games")
+    per_id = games.groupBy("game_id").agg(F.count(F.lit(1)).alias("n"))
+    return per_id.agg(F.lit("engine_match_games").alias("table_name"),
+                      F.count_if(F.col("n") > 1).alias("duplicate_keys"), F.count_if(F.col("game_id").isNull()).alias("null_keys"),
+                      F.sum("n").alias("games"))
 
 
 @query("export_pgn", f"""
-WITH {G}
-SELECT game_no, white, black, result FROM g WHERE match_id = 'match_7'""")
+WITH {G}, {MV}, {SIDES}
+SELECT g.game_no, g.white, g.black, g.result, {TELEMETRY} FROM g
+LEFT JOIN sides s ON g.match_id = s.match_id AND g.game_no = s.game_no WHERE g.match_id = 'match_7'""")
 def q_export_pgn(spark, d):
-    _, games, _ = M.ingest_games(SRC.read_games_text(spark, pgn_files(spark, d)), E1, E2, TC, ROUNDS, LOAD_TS)
+    games = spark.read.parquet(f"{_stored(spark, d)}/engine_match_games")
     path = K.export_pgn(SRC.lookup_match(games, "match_7"), scratch_path(spark, "export"))
-    back = SRC.read_games_text(spark, path, match_from_path=False).where("is_game")
-    n = F.regexp_extract(M.header("pgn", "Site"), r"(\d+)$", 1).cast("bigint")
-    num = games.where(F.col("match_id") == "match_7").select(
-        "game_no", F.regexp_extract(M.header("moves_pgn", "Site"), r"(\d+)$", 1).cast("bigint").alias("src"))
-    got = back.select(n.alias("src"), M.header("pgn", "White").alias("white"),
-                      M.header("pgn", "Black").alias("black"), M.header("pgn", "Result").alias("result"))
-    return num.join(got, "src").select("game_no", "white", "black", "result")
+    back = SRC.read_games_text(spark, path, match_from_path=False)
+    return back.select("game_no", M.header("pgn", "White").alias("white"), M.header("pgn", "Black").alias("black"),
+                       M.header("pgn", "Result").alias("result"), *_telemetry_tags("pgn"))

@@ -122,16 +122,21 @@ def q_assign_shards(spark, d):
 
 @query("write_shards", f"""WITH {RAW_SQL}
 SELECT CAST(floor((n - 1) / {SHARD}) + {EXISTING_SHARDS} AS INTEGER) AS shard, COUNT(*) AS rows
-FROM (SELECT row_number() OVER (ORDER BY pos) AS n FROM (SELECT * FROM firsts ORDER BY pos LIMIT {TOTAL}) x) t GROUP BY 1""")
+FROM (SELECT row_number() OVER (ORDER BY pos) AS n FROM firsts) t GROUP BY 1""")
 def q_write_shards(spark, d):
     raw = SRC.read_puzzle_dump(spark, _dump_path(spark, d))
-    ok = P.accepted(P.classify_dump(raw, MIN_RATING, POP_MIN))
-    stored = ok.where(F.col("rating") >= STORED_RATING).select("puzzle_id")
-    shards = P.assign_shards(P.take_total(P.dedupe_first(P.new_puzzles(ok, stored)), TOTAL), SHARD, EXISTING_SHARDS)
+    ok = P.accepted_dump(raw, MIN_RATING, POP_MIN)
+    seen = ok.where(F.col("rating") >= STORED_RATING)
     path = scratch_path(spark, "shards")
-    K.write_shards(shards.select("puzzle_id", "fen", "solution", "rating", "popularity", "themes", "shard"),
+    columns = ["puzzle_id", "fen", "solution", "rating", "popularity", "themes", "shard"]
+    # the store holds shards 0..2 already (their rows are the stored ids); the next number is read from it
+    K.write_shards(seen.withColumn("shard", F.pmod(F.xxhash64("puzzle_id"), F.lit(EXISTING_SHARDS)).cast("int")).select(*columns)
+                   .unionByName(seen.limit(EXISTING_SHARDS).withColumn("shard", F.lit(EXISTING_SHARDS - 1)).select(*columns)),
                    path, SHARD, numbered=True)
-    return SRC.read_shards(spark, path).groupBy("shard").agg(F.count(F.lit(1)).alias("rows"))
+    first = K.next_shard(spark, path)
+    stored = SRC.existing_ids(spark, path)
+    K.write_shards(P.assign_shards(P.dedupe_first(P.new_puzzles(ok, stored)), SHARD, first).select(*columns), path, SHARD, numbered=True)
+    return SRC.read_shards(spark, path).where(F.col("shard") >= first).groupBy("shard").agg(F.count(F.lit(1)).alias("rows"))
 
 
 @query("src_shards", f"""WITH {RAW_SQL}

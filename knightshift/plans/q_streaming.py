@@ -42,7 +42,7 @@ def q_stream_ingest(spark, d):
     lines = _dump_lines(spark, d).select("pos", "value")
     head = spark.createDataFrame([(HEADER,)], "value string")
     # puzzles already stored before the stream starts
-    stored = (ST.P.accepted(ST.P.classify_dump(_raw_for_stored(spark, d), MIN_RATING, POP_MIN))
+    stored = (ST.P.accepted_dump(_raw_for_stored(spark, d), MIN_RATING, POP_MIN)
               .where(F.col("rating") >= STORED_RATING).select("puzzle_id"))
 
     def write(part, i):

@@ -31,14 +31,13 @@ LOCAL_CONF = {
 def cluster_conf(input_bytes: int, total_cores: int) -> dict[str, str]:
     """Settings sized for a cluster job over ``input_bytes`` of Parquet/text.
 
-    About 256 MB per scan split; shuffle partitions between two and eight
-    waves of the cores (shuffled bytes are far below the input after pruning
-    and partial aggregation, and too many reducers inflate shuffle metadata);
-    AQE coalesces small partitions and splits skewed ones.  Broadcasts stay
-    small because every broadcast in this library is behind a row-count check.
+    About 256 MB per scan split and per shuffle partition of an unreduced
+    join, and at least two waves of the cores; AQE coalesces the partitions
+    that aggregation leaves small and splits skewed ones.  Broadcasts stay
+    small because every broadcast in this library is behind a check of its bytes.
     """
     target = 256 * 1024 * 1024
-    parts = min(max(2 * total_cores, -(-input_bytes // target)), 8 * total_cores)
+    parts = max(2 * total_cores, -(-input_bytes // target))
     return {
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",

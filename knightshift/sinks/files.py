@@ -46,11 +46,20 @@ def write_results(evals: DataFrame, path: str, mode: str = "append") -> None:
     _bloom(w, "puzzle_id").partitionBy("run_id", "engine_id").parquet(path)
 
 
-def write_matches(matches: DataFrame, games: DataFrame, root: str, mode: str = "append") -> tuple[str, str]:
-    """K3: match and game tables, partitioned by match."""
+def write_matches(games: DataFrame, matches_of, root: str, mode: str = "append") -> tuple[str, str]:
+    """K3: game and match tables from one parse of the text.
+
+    The games are written once, range partitioned and sorted by match and game (a hot match spreads over
+    files; a lookup of one match reads its row groups only, by their statistics and the bloom filter), and
+    ``matches_of`` derives the match rows from the stored games.
+    """
     mp, gp = f"{root}/engine_matches", f"{root}/engine_match_games"
-    matches.write.mode(mode).option("compression", "zstd").partitionBy("match_id").parquet(mp)
-    games.write.mode(mode).option("compression", "zstd").partitionBy("match_id").parquet(gp)
+    spark = games.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    w = (games.repartitionByRange(n, "match_id", "game_no").sortWithinPartitions("match_id", "game_no")
+         .write.mode(mode).option("compression", "zstd"))
+    _bloom(w, "match_id").parquet(gp)
+    _bloom(matches_of(spark.read.parquet(gp)).write.mode(mode).option("compression", "zstd"), "match_id").parquet(mp)
     return mp, gp
 
 
@@ -67,15 +76,16 @@ def export_csv(spark: SparkSession, sql: str, path: str, single_file: bool = Fal
     return path
 
 
-def write_games_text(games: DataFrame, path: str) -> None:
+def write_games_text(games: DataFrame, path: str, games_per_file: int = 0) -> None:
     """Match text files, one directory per match, games in game order inside each file.
 
     Range partitioning on (match, game) keeps a hot match spread over many
-    tasks while part-file names preserve the order.
+    tasks while part-file names preserve the order; ``games_per_file`` cuts files (0: no cut).
     """
     n = int(games.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     (games.repartitionByRange(n, "match_id", "game_id").sortWithinPartitions("match_id", "game_id")
-     .select("match_id", "pgn").write.mode("overwrite").partitionBy("match_id").text(path))
+     .select("match_id", "pgn").write.mode("overwrite").option("maxRecordsPerFile", games_per_file)
+     .partitionBy("match_id").text(path))
 
 
 def export_pgn(games: DataFrame, path: str, order: str = "game_no", column: str = "moves_pgn") -> str:
@@ -86,6 +96,28 @@ def export_pgn(games: DataFrame, path: str, order: str = "game_no", column: str
     return path
 
 
+def write_manifests(manifests: DataFrame, path: str) -> int:
+    """K8: append the manifests of runs that ``path`` does not hold yet (one JSON document a line); returns how many.
+
+    Of manifests that repeat a run inside the input one is kept.
+    """
+    from ..sources.puzzles import empty_if_missing
+    spark = manifests.sparkSession
+    existing = empty_if_missing(lambda: spark.read.schema(manifests.schema).json(path), spark, manifests.schema)
+    fresh = register_runs(manifests.dropDuplicates(["run_id"]), existing)
+    before = existing.count()
+    fresh.write.mode("append").json(path)
+    return spark.read.schema(manifests.schema).json(path).count() - before
+
+
+def next_shard(spark: SparkSession, path: str) -> int:
+    """K1: the number of the next shard directory of a numbered store (0 for a new one): one past the largest."""
+    from ..sources.puzzles import empty_if_missing
+    kind = "puzzle_id string, shard int"
+    last = empty_if_missing(lambda: spark.read.schema(kind).parquet(path), spark, kind).agg(F.max("shard")).first()[0]
+    return 0 if last is None else last + 1
+
+
 def register_runs(manifests: DataFrame, existing: DataFrame) -> DataFrame:
     """K8: manifests whose run is not yet registered (append these only).
     Registered runs are a dimension: broadcast when their count is within the bound."""

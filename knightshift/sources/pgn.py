@@ -2,8 +2,11 @@
 
 Files are split on the ``[Event "`` tag (a multi-character line separator of
 the text source), so a game never straddles two records and a file of any
-size is read by many tasks.  The file order of games is kept as
-(file path, block start, position in block) so numbering needs no global sort.
+size is read by many tasks.  What stands before a file's first separator is
+not a game: it is the first record of the block that starts at byte 0, and the
+only record that is dropped.  Games are numbered in file order (file path,
+block start, position in block) by the records counted per block, so
+neither a sort of the texts nor a shuffle is needed.
 """
 
 from __future__ import annotations
@@ -11,31 +14,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ordered import file_order_numbers
+
 GAME_SEPARATOR = '[Event "'
 
 
 def read_games_text(spark: SparkSession, path: str, match_from_path: bool = True) -> DataFrame:
-    """One row per game text: (match_id, file, block, seq, pgn)."""
+    """One row per game text: (match_id, file, game_no, pgn); ``game_no`` counts the games of a match."""
     raw = (spark.read.option("lineSep", GAME_SEPARATOR).text(path)
            .select("*", F.col("_metadata.file_path").alias("file"),
                    F.col("_metadata.file_block_start").alias("block"),
                    F.monotonically_increasing_id().alias("seq")))
-    # the text before the first separator (empty, or junk without a game) is marked, not
-    # dropped here: file-order numbering needs every record of a block
-    games = raw.withColumn("is_game", F.col("value").rlike(r'^[^"\n]*"\]'))
-    games = games.withColumn("pgn", F.concat(F.lit(GAME_SEPARATOR), F.rtrim(F.col("value"))))
-    if "match_id" not in games.columns:
-        if match_from_path:
-            games = games.withColumn("match_id", F.regexp_extract("file", r"match_id=([^/]+)", 1))
-        else:
-            games = games.withColumn("match_id", F.lit(None).cast("string"))
-    return games.select("match_id", "file", "block", "seq", "pgn", "is_game")
+    if "match_id" not in raw.columns:
+        found = F.regexp_extract("file", r"match_id=([^/]+)", 1) if match_from_path else F.lit(None).cast("string")
+        raw = raw.withColumn("match_id", found)
+    raw = raw.withColumn("match_id", F.col("match_id").cast("string"))
+    numbered = file_order_numbers(raw, ["match_id"], row_number="game_no", preamble=True)
+    return numbered.select("match_id", "file", "game_no",
+                           F.concat(F.lit(GAME_SEPARATOR), F.rtrim(F.col("value"))).alias("pgn"))
 
 
 def lookup_match(games: DataFrame, match_id: str, column: str = "moves_pgn") -> DataFrame:
     """S9 + S10: games of ``match_id``; else of the first match whose id contains it.
 
-    Raises when nothing matches or the stored text column is missing.
+    ``games`` should be the stored game table, whose files are sorted by match:
+    the filter then reads the row groups of one match only.  Raises when nothing
+    matches or the stored text column is missing.
     """
     if column not in games.columns:
         raise ValueError(f"table does not contain stored {column} column")

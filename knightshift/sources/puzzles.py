@@ -8,22 +8,24 @@ absent.  Every line keeps an order key (file, block, position in block) so
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.joins import bounded_broadcast
+
 # --- fixed values: header names of the puzzle dump ---------------------------------
 REQUIRED = ["PuzzleId", "FEN", "Moves", "Rating"]
 OPTIONAL = ["Popularity", "Themes", "GameUrl"]
 CSV_COLUMNS = ["PuzzleId", "FEN", "Moves", "Rating", "RatingDeviation", "Popularity", "NbPlays",
                "Themes", "GameUrl", "OpeningTags"]
-# ------------------------------------------------------------------------------------
-
 SHARD_SCHEMA = T.StructType([
     T.StructField("puzzle_id", T.StringType()), T.StructField("fen", T.StringType()),
     T.StructField("solution", T.StringType()), T.StructField("rating", T.IntegerType()),
     T.StructField("popularity", T.IntegerType()), T.StructField("themes", T.StringType()),
 ])
+# ------------------------------------------------------------------------------------
 
 
 def _strip(c: Column) -> Column:
@@ -40,28 +42,48 @@ def read_puzzle_dump(spark: SparkSession, path: str, partitions: int | None = No
     """Raw dump lines -> (file, block, seq, n_fields, header-named columns).
 
     Plain or compressed text (``.zst``, ``.gz`` ...) is read by the text
-    source; the header line is located by content (one row to the driver).
+    source; header lines are located by content, in any order of columns and one
+    per file if files differ (only distinct header lines reach the driver).
     A compressed file is not splittable (one task reads it): ``partitions``
     spreads the lines over that many tasks right after the order keys are
     taken, so parsing and the board work run in parallel.
     """
     text = _ordered(spark.read.text(path))
-    head = text.where(F.col("value").startswith("PuzzleId")).select("value").limit(1).collect()
+    named = F.transform(F.split(F.col("value"), ",", -1), _strip)
+    is_header = F.lit(True)
+    for name in ("PuzzleId", "FEN", "Moves"):
+        is_header = is_header & F.array_contains(named, name)
+    heads = text.where(F.contains(F.col("value"), F.lit("PuzzleId")) & is_header)
+    lines = [r[0] for r in heads.select("value").distinct().collect()]      # the few header lines in use
+    if not lines:
+        raise ValueError(f"no header line in {path}")
+    headers = {line: [h.strip() for h in line.split(",")] for line in lines}
+    for own in headers.values():
+        missing = [h for h in REQUIRED if h not in own]
+        if missing:
+            raise ValueError(f"dump header lacks {missing}")
     if partitions:
         text = text.repartition(partitions)
-    if not head:
-        raise ValueError(f"no header line in {path}")
-    header_line = head[0][0]
-    headers = [h.strip() for h in header_line.split(",")]
-    missing = [h for h in REQUIRED if h not in headers]
-    if missing:
-        raise ValueError(f"dump header lacks {missing}")
-    parts = F.transform(F.split(F.col("value"), ",", -1), _strip)
-    rows = text.where(F.col("value") != header_line).select("file", "block", "seq", parts.alias("parts"))
-    cols = {h: F.try_element_at("parts", F.lit(headers.index(h) + 1)) for h in REQUIRED + OPTIONAL if h in headers}
-    return rows.select("file", "block", "seq", F.size("parts").alias("n_fields"),
-                       F.lit(len(headers)).alias("n_header"),
-                       *[v.alias(k) for k, v in cols.items()])
+    known = [h for h in REQUIRED + OPTIONAL if any(h in own for own in headers.values())]
+    if len(headers) == 1:
+        own = next(iter(headers.values()))
+        rows = text.where(F.col("value") != lines[0]).select("file", "block", "seq", named.alias("parts"))
+        cols = {h: F.try_element_at("parts", F.lit(own.index(h) + 1)) for h in known}
+        return rows.select("file", "block", "seq", F.size("parts").alias("n_fields"), F.lit(len(own)).alias("n_header"),
+                           *[v.alias(k) for k, v in cols.items()])
+    # files with headers of their own: a file's columns are found by its own header
+    by_file = heads.groupBy(F.col("file").alias("__file")).agg(F.min_by("value", "seq").alias("__line"))
+    bare = text.select("file").distinct().join(by_file, F.col("file") == F.col("__file"), "left_anti").limit(1).collect()
+    if bare:
+        raise ValueError(f"the files of {path} have different headers and {bare[0][0]} has none")
+    joined = text.join(bounded_broadcast(by_file), F.col("file") == F.col("__file")).where(~F.col("value").isin(lines))
+    own = F.transform(F.split(F.col("__line"), ",", -1), _strip)
+    rows = joined.select("file", "block", "seq", named.alias("parts"), own.alias("own"))
+    found = {h: F.try_element_at("parts", F.nullif(F.array_position("own", h), F.lit(0)).cast("int")) for h in known}
+    if "Popularity" in found:       # a file without the column has the default
+        found["Popularity"] = F.when(F.array_contains("own", "Popularity"), found["Popularity"]).otherwise(F.lit("100"))
+    return rows.select("file", "block", "seq", F.size("parts").alias("n_fields"), F.size("own").alias("n_header"),
+                       *[v.alias(k) for k, v in found.items()])
 
 
 def read_puzzle_csv(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
@@ -92,20 +114,21 @@ def existing_ids(spark: SparkSession, path: str) -> DataFrame:
 
 def read_results(spark: SparkSession, paths, schema: T.StructType | None = None) -> DataFrame:
     """Result Parquet by glob(s); an empty match gives an empty frame of ``schema``."""
-    from py4j.protocol import Py4JJavaError  # local: only for the error type
-
     paths = [paths] if isinstance(paths, str) else list(paths)
-    try:
-        r = spark.read.option("mergeSchema", True)
-        if schema is not None:
-            r = r.schema(schema)
+    r = spark.read.option("mergeSchema", True)
+    if schema is None:
         return r.parquet(*paths)
-    except Exception as e:  # noqa: BLE001 -- path globs that match nothing
-        if isinstance(e, Py4JJavaError) or "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
-            if schema is None:
-                raise
-            return spark.createDataFrame([], schema)
-        raise
+    return empty_if_missing(lambda: r.schema(schema).parquet(*paths), spark, schema)
+
+
+def empty_if_missing(read, spark: SparkSession, schema) -> DataFrame:
+    """``read()``, or an empty frame of ``schema`` if its path does not exist (no other error is swallowed)."""
+    try:
+        return read()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
 
 
 def puzzle_lookup(puzzles: DataFrame, puzzle_id: str | None = None, date=None) -> DataFrame:

@@ -1,9 +1,10 @@
 """Engine transcripts (S12): the text an engine prints while searching, one file
 (or directory) per session, turned into one answer per position.
 
-A position ends at its ``bestmove`` line; its depth and speed are the last
-values printed on ``info`` lines before it (a value that does not parse
-keeps the previous one).  Lines are numbered per session with the balanced
+A position ends at its ``bestmove`` line, or where the session ends after
+``info`` lines (the engine stopped: an empty move, which counts as wrong);
+its depth and speed are the last values printed on its ``info`` lines (a
+value that does not parse keeps the previous one).  Lines are numbered per session with the balanced
 running count, so a session of any length is split over many tasks.
 """
 
@@ -33,7 +34,7 @@ def _value_after(tokens, word: str):
 
 
 def parse_transcript(lines: DataFrame) -> DataFrame:
-    """(session, position, bestmove, depth, nps) per answered position."""
+    """(session, position, bestmove, depth, nps) per position asked."""
     line = F.trim(F.col("line"))
     tokens = F.split(line, r"\s+")
     is_info = line.contains("info")
@@ -42,7 +43,7 @@ def parse_transcript(lines: DataFrame) -> DataFrame:
         "session", "file", "block", "seq",
         F.when(is_info, _value_after(tokens, "depth").try_cast("int")).alias("depth_v"),
         F.when(is_info, _value_after(tokens, "nps").try_cast("double")).alias("nps_v"),
-        is_best.alias("is_best"),
+        is_info.alias("is_info"), is_best.alias("is_best"),
         F.when(is_best, F.coalesce(F.try_element_at(tokens, F.lit(2)), F.lit(""))).alias("move"))
     # file blocks are natural, bounded chunks of the line order: no sampling pass
     numbered = running_totals(x, ["session"], ["file", "block", "seq"],
@@ -54,7 +55,7 @@ def parse_transcript(lines: DataFrame) -> DataFrame:
         F.max_by("depth_v", F.when(F.col("depth_v").isNotNull(), F.col("line_no"))).alias("depth"),
         F.max_by("nps_v", F.when(F.col("nps_v").isNotNull(), F.col("line_no"))).alias("nps"),
         F.max_by("move", F.when(F.col("is_best"), F.col("line_no"))).alias("bestmove"),
-        F.max(F.col("is_best").cast("int")).alias("answered"))
-    return per.where(F.col("answered") == 1).select(
-        "session", "position", "bestmove", F.coalesce("depth", F.lit(0)).alias("depth"),
+        F.max((F.col("is_best") | F.col("is_info")).cast("int")).alias("asked"))
+    return per.where(F.col("asked") == 1).select(
+        "session", "position", F.coalesce("bestmove", F.lit("")).alias("bestmove"), F.coalesce("depth", F.lit(0)).alias("depth"),
         F.coalesce("nps", F.lit(0.0)).alias("nps"))

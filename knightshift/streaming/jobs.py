@@ -9,20 +9,17 @@ what has landed and stops; the next run resumes from the checkpoint.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..functions.columns import round_half_away
 from ..operators import puzzles as P
+from ..operators.ordered import running_totals
 from ..operators.scoring import score_answers
 from ..plans.joins import bounded_broadcast
-from ..sources.puzzles import CSV_COLUMNS, OPTIONAL, REQUIRED
-
-BATCH_ID_BOUND = 5_000_000   # ids of one micro-batch broadcast into the store scan
-STATIC_SIDE_BOUND = 2_000_000  # puzzle rows broadcast to every micro-batch of the scoring stream
+from ..session import cut_lineage
+from ..sources.puzzles import CSV_COLUMNS, OPTIONAL, REQUIRED, empty_if_missing
 
 
 def _idempotent_writer(sink: str, fn=None):
@@ -62,15 +59,15 @@ def ingest_stream(spark: SparkSession, landing: str, sink: str, checkpoint: str,
         cols = {h: F.try_element_at("parts", F.lit(headers.index(h) + 1)) for h in REQUIRED + OPTIONAL if h in headers}
         raw = rows.select("file", "block", "seq", F.size("parts").alias("n_fields"),
                           F.lit(len(headers)).alias("n_header"), *[v.alias(k) for k, v in cols.items()])
-        ok = P.accepted(P.classify_dump(raw, min_rating, popularity_min))
-        first = P.dedupe_first(ok)
+        ok = P.accepted_dump(raw, min_rating, popularity_min)
+        first = cut_lineage(P.dedupe_first(ok), "batch")      # the batch is worked out once
         # ids written by earlier batches (a replay of this batch must not see its own output)
         seen = _stored(batch.sparkSession, sink).where(F.col("batch") != batch_id).select("puzzle_id")
         if stored_ids is not None:
             seen = seen.union(stored_ids.select("puzzle_id"))
         # the batch's ids (bounded by the trigger) are broadcast into a scan of the store:
         # only the ids of this batch that are already stored come back; the store is never shuffled
-        batch_ids = bounded_broadcast(first.select("puzzle_id"), BATCH_ID_BOUND)
+        batch_ids = bounded_broadcast(first.select("puzzle_id"))
         hits = seen.join(batch_ids, "puzzle_id", "left_semi").distinct()
         return P.new_puzzles(first, hits).select("puzzle_id", "fen", "solution", "rating", "popularity", "themes")
 
@@ -79,23 +76,19 @@ def ingest_stream(spark: SparkSession, landing: str, sink: str, checkpoint: str,
 
 def _stored(spark: SparkSession, sink: str) -> DataFrame:
     """Ids already in the sink (empty before the first batch)."""
-    try:
-        return spark.read.schema("puzzle_id string, batch long").parquet(sink)
-    except Exception as e:  # noqa: BLE001 -- the sink does not exist yet
-        if "PATH_NOT_FOUND" not in str(e) and "does not exist" not in str(e):
-            raise
-        return spark.createDataFrame([], "puzzle_id string, batch long")
+    kind = "puzzle_id string, batch long"
+    return empty_if_missing(lambda: spark.read.schema(kind).parquet(sink), spark, kind)
 
 
 def score_stream(spark: SparkSession, landing: str, schema: T.StructType, puzzles: DataFrame, sink: str,
                  checkpoint: str, max_files: int | None = None) -> None:
     """ST2: answers landing as Parquet, scored against the (static) puzzle table.
 
-    The static side is broadcast when its row count is within the bound (each
+    The static side is broadcast when its bytes are within the bound (each
     micro-batch then joins map-side); a larger puzzle table is joined by
     shuffle per batch, which a table bucketed on ``puzzle_id`` keeps to the
     batch side."""
-    puzzles = bounded_broadcast(puzzles.select("puzzle_id", "fen", "solution", "rating"), STATIC_SIDE_BOUND)
+    puzzles = bounded_broadcast(puzzles.select("puzzle_id", "fen", "solution", "rating"))
     r = spark.readStream.schema(schema)
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
@@ -117,42 +110,36 @@ def rollup_stream(spark: SparkSession, landing: str, schema: T.StructType, sink:
     _run(agg.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).foreachBatch(overwrite))
 
 
-RUNNING_OUT = T.StructType([
-    T.StructField("engine", T.StringType()), T.StructField("event_id", T.LongType()),
-    T.StructField("processed", T.LongType()), T.StructField("solved_so_far", T.LongType()),
-])
-RUNNING_STATE = T.StructType([T.StructField("n", T.LongType()), T.StructField("solved", T.LongType())])
-
-
-def _running_state(key, pdfs, state):
-    """Per engine: continue the counters of earlier batches over this batch's rows in order."""
-    n, solved = state.get if state.exists else (0, 0)
-    batch = pd.concat(list(pdfs), ignore_index=True)
-    batch = batch.sort_values(["ts", "event_id"], kind="mergesort")
-    flags = batch["is_correct"].astype("int64")
-    processed = n + pd.Series(range(1, len(batch) + 1), dtype="int64")
-    so_far = solved + flags.cumsum().reset_index(drop=True)
-    state.update((int(n + len(batch)), int(solved + flags.sum())))
-    yield pd.DataFrame({"engine": key[0], "event_id": batch["event_id"].reset_index(drop=True).astype("int64"),
-                        "processed": processed, "solved_so_far": so_far.astype("int64")})
-
-
 def running_stream(spark: SparkSession, landing: str, schema: T.StructType, sink: str, checkpoint: str,
                    max_files: int | None = None) -> None:
     """ST4: per-position running accuracy across batches.
 
-    Row windows are not allowed on streams; a grouped state function per
-    engine keeps (processed, solved) and numbers each batch's rows in order.
-    The rows of one engine in one batch are held together, so the batch is
-    bounded by the trigger (``max_files`` per batch when every file is one
-    arrival unit in order; by default what has landed since the last run).
+    Row windows are not allowed on streams, so each micro-batch is numbered as a static frame by the balanced
+    ``running_totals`` (an engine that holds most of a batch spreads over many tasks) and continues from the
+    engines' totals after the batch before, one row per engine, kept beside the sink.  Both outputs of a batch
+    are keyed by its id: a replay reads the same earlier totals and overwrites its own files.
     """
     r = spark.readStream.schema(schema)
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
     answers = r.parquet(landing).select("engine", "ts", "event_id", "is_correct")
-    out = answers.groupBy("engine").applyInPandasWithState(
-        _running_state, RUNNING_OUT, RUNNING_STATE, "append", GroupStateTimeout.NoTimeout)
-    out = out.withColumn("running_accuracy_pct", round_half_away(F.col("solved_so_far") * 100.0 / F.col("processed"), 2))
-    _run(out.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
-         .foreachBatch(_idempotent_writer(sink)))
+    kept = sink.rstrip("/") + "-totals"
+    kind = "engine string, n long, solved long, batch long"
+
+    def per_batch(batch: DataFrame, batch_id: int) -> DataFrame:
+        own = batch.sparkSession
+        stored = empty_if_missing(lambda: own.read.schema(kind).parquet(kept), own, kind)
+        last = stored.where(F.col("batch") == batch_id - 1).select(F.col("engine").alias("__e"), "n", "solved")
+        right = F.col("is_correct").cast("long")
+        numbered = running_totals(batch, ["engine"], ["ts", "event_id"], {"so_far": right}, row_number="rn")
+        j = numbered.join(bounded_broadcast(last), F.col("engine").eqNullSafe(F.col("__e")), "left")
+        out = cut_lineage(j.select(
+            "engine", "event_id", (F.col("rn") + F.coalesce("n", F.lit(0))).cast("long").alias("processed"),
+            (F.coalesce("so_far", F.lit(0)) + F.coalesce("solved", F.lit(0))).cast("long").alias("solved_so_far")), "running")
+        now = out.groupBy("engine").agg(F.max("processed").alias("n"), F.max("solved_so_far").alias("solved"))
+        rest = last.withColumnRenamed("__e", "engine")
+        idle = rest.join(now.select(F.col("engine").alias("__now")), F.col("engine").eqNullSafe(F.col("__now")), "left_anti")
+        now.unionByName(idle).write.mode("overwrite").parquet(f"{kept}/batch={batch_id}")
+        return out.withColumn("running_accuracy_pct", round_half_away(F.col("solved_so_far") * 100.0 / F.col("processed"), 2))
+
+    _run(answers.writeStream.option("checkpointLocation", checkpoint).foreachBatch(_idempotent_writer(sink, per_batch)))

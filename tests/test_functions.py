@@ -80,7 +80,7 @@ def test_cluster_conf_bounds():
     from knightshift.session import cluster_conf
     big = cluster_conf(100 * 1024 ** 4, 8000)
     small = cluster_conf(1024 ** 3, 64)
-    assert int(big["spark.sql.shuffle.partitions"]) == 8 * 8000          # capped at eight waves
+    assert int(big["spark.sql.shuffle.partitions"]) == 100 * 4096       # 256 MB a partition
     assert int(small["spark.sql.shuffle.partitions"]) == 2 * 64          # at least two waves
     assert big["spark.sql.adaptive.skewJoin.enabled"] == "true"
 

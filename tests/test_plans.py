@@ -56,7 +56,7 @@ def test_game_numbers_do_not_shuffle_games(spark):
 
 
 def test_result_reads_prune_partitions_and_columns(spark):
-    p = _plan(E.queries()["write_results"](spark, SF_SMALL))
+    p = _plan(E.queries()["results_partition"](spark, SF_SMALL))
     assert "PartitionFilters: [isnotnull(run_id" in p and "(run_id" in p and "(engine_id" in p
     assert "ReadSchema: struct<puzzle_id:string,engine_move:string,is_correct:boolean>" in p
 

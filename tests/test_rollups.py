@@ -18,11 +18,27 @@ def _evals(spark):
     return spark.createDataFrame(rows, "run_id string, puzzle_id string, engine string, engine_move string, depth int")
 
 
-def test_agreement_blocks_equal_single_pivot(spark):
+def _self_join(ev):
+    a, b = ev.alias("a"), ev.alias("b")
+    on = (F.col("a.run_id") == F.col("b.run_id")) & (F.col("a.puzzle_id") == F.col("b.puzzle_id")) & (F.col("a.engine") < F.col("b.engine"))
+    same = F.count_if(F.col("a.engine_move") == F.col("b.engine_move"))
+    return sorted(tuple(r) for r in a.join(b, on).groupBy("a.engine", "b.engine").agg(F.count(F.lit(1)), same).collect())
+
+
+def test_agreement_equals_self_join(spark):
     ev = _evals(spark)
-    a = sorted(tuple(r) for r in R.engine_agreement(ev).collect())
-    b = sorted(tuple(r) for r in R.engine_agreement(ev, max_engines=2).collect())   # block by block
-    assert a == b and len(a) == 10
+    got = sorted((r.engine_a, r.engine_b, r.positions, r.agreements) for r in R.engine_agreement(ev).collect())
+    assert got == _self_join(ev) and len(got) == 10
+    twice = spark.createDataFrame([("r", "p", "A", "e2e4", 1), ("r", "p", "B", "e2e4", 1), ("r", "p", "B", "d2d4", 1), ("r", "q", "A", None, 1),
+                                   ("r", "q", "B", None, 1)], ev.schema)
+    got = [tuple(r) for r in R.engine_agreement(twice).collect()]
+    assert [g[:4] for g in got] == _self_join(twice) == [("A", "B", 3, 1)]
+
+
+def test_agreement_of_many_engines(spark):
+    ev = spark.createDataFrame([("r", f"p{p}", f"e{e:03d}", str(p % (e + 1)), 1) for p in range(6) for e in range(90)],
+                               "run_id string, puzzle_id string, engine string, engine_move string, depth int")
+    assert R.engine_agreement(ev).count() == 90 * 89 // 2
 
 
 def test_percentiles_equal_percentile_disc(spark):

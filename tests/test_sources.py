@@ -24,7 +24,6 @@ def test_game_numbers_across_splits(spark):
     spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")     # many splits per file
     try:
         games = read_games_text(spark, d)
-        assert games.rdd.getNumPartitions() > 4
         p = M.parse_games(games)
         got = p.select("game_no", F.regexp_extract(M.header("pgn", "Site"), r"(\d+)$", 1).cast("long").alias("src"),
                        F.size("moves").alias("n")).collect()
@@ -78,9 +77,9 @@ def test_transcript_defaults(spark):
     with open(f"{d}/session=s1/t.txt", "w") as f:
         f.write("info depth 5 nps 100\ninfo depth 7 nps bad\nbestmove e2e4 ponder e7e5\n"
                 "info string nothing\nbestmove\n"
-                "info depth 3 nps 10\n")                  # no bestmove: not answered
+                "info depth 3 nps 10\n")                  # no bestmove: stopped, no move
     got = sorted(tuple(r) for r in parse_transcript(read_transcripts(spark, d)).collect())
-    assert got == [("s1", 1, "e2e4", 7, 100.0), ("s1", 2, "", 0, 0.0)]
+    assert got == [("s1", 1, "e2e4", 7, 100.0), ("s1", 2, "", 0, 0.0), ("s1", 3, "", 3, 10.0)]
 
 
 def test_shards_cut_by_record_count(spark):
@@ -99,3 +98,113 @@ def test_repeated_tag_keeps_last_value(spark):
         f.write('[Event "m"]\n[White "A"]\n[Black "B"]\n[Result "*"]\n[Result "1-0"]\n\n1. e4 e5 1-0\n\n')
     r = M.parse_games(read_games_text(spark, d)).collect()[0]
     assert (r.white, r.black, r.result, r.game_no) == ("A", "B", "1-0", 1)
+
+
+def _games(spark, files):
+    d = tempfile.mkdtemp(prefix="ks-odd-")
+    os.makedirs(f"{d}/match_id=m1")
+    for name, text in files.items():
+        with open(f"{d}/match_id=m1/{name}", "w", newline="") as f:
+            f.write(text)
+    return read_games_text(spark, d)
+
+
+def _moves(spark, movetext, head='[Event "m"]\n'):
+    r = M.parse_games(_games(spark, {"a.pgn": f"{head}\n{movetext}\n"})).collect()[0]
+    return [(m.move_san, m.comment, m.depth, m.seconds) for m in r.moves], r.plies
+
+
+def test_no_game_is_dropped_and_numbers_have_no_gap(spark):
+    odd = '[Event "m \\"cup\\" 2"]\n[Site "game {0}"]\n\n1. e4 *\n\n'
+    plain = '[Event "m"]\n[Site "game {0}"]\n\n1. e4 *\n\n'
+    games = _games(spark, {"a.pgn": "\ufeff; preamble\n" + plain.format(1) + odd.format(2) + plain.format(3),
+                           "b.pgn": odd.format(4) + plain.format(5)})
+    got = sorted((r.game_no, r.site) for r in M.parse_games(games).select("game_no", M.header("pgn", "Site").alias("site")).collect())
+    assert got == [(i, f"game {i}") for i in range(1, 6)]
+    ids = M.game_table(M.parse_games(games), "a", "b", "t").select("game_id").collect()
+    assert sorted(r.game_id for r in ids) == [f"m1_g{i}" for i in range(1, 6)]
+
+
+def test_variations_of_any_depth_are_left_out(spark):
+    got, plies = _moves(spark, "1. e4 (1. d4 (1. c4 (1. b3 (1. a3 a6) b6) c5) d5) e5 2. Nf3")
+    assert [m[0] for m in got] == ["e4", "e5", "Nf3"] and plies == 3
+
+
+def test_comments_are_whole_and_all_kept(spark):
+    got, _ = _moves(spark, "1. e4 {+0.10/8 1.0s; book} e5 {bad (} 2. Nf3 {fine )} {book} {+0.20/9 2.5s} Nc6 ; Bb5 {x}\n3. Bb5 (3. d4 {+9/9 9s}) {after [x]} $3 {$4}")
+    assert got == [("e4", "+0.10/8 1.0s; book", 8, 1.0), ("e5", "bad (", None, None),
+                   ("Nf3", "fine ) book +0.20/9 2.5s", 9, 2.5), ("Nc6", "", None, None), ("Bb5", "after [x] $4", None, None)]
+    assert _moves(spark, "{intro} *") == ([], 0)
+
+
+def test_annotating_twice_changes_nothing(spark):
+    text = '[Event "m"]\r\n[White "a"]\r\n[WhiteAvgDepth "99.0"]\r\n\r\n1. e4 {+0.10/8 1.0s TAGS_PLACEHOLDER} e5 *\r\n'
+    one = M.annotate(M.parse_games(_games(spark, {"a.pgn": text}))).collect()[0].annotated_pgn
+    assert one.count("WhiteAvgDepth") == 1 and '[WhiteAvgDepth "8.0"]' in one and "TAGS_PLACEHOLDER}" in one
+    assert one.index("[Annotator") < one.index("\n\n1. e4")
+    two = M.annotate(M.parse_games(_games(spark, {"a.pgn": one}))).collect()[0].annotated_pgn
+    assert one == two
+    stored = M.game_table(M.parse_games(_games(spark, {"a.pgn": text})), "a", "b", "t").collect()[0].moves_pgn
+    assert '[WhiteAvgDepth "8.0"]' in stored and "BlackAvgDepth" not in stored and "[Annotator" in stored
+
+
+def test_dump_headers_in_any_order_and_per_file(spark):
+    from knightshift.sources.puzzles import read_puzzle_dump
+    d = tempfile.mkdtemp(prefix="ks-head-")
+    start = "rnbqkbnr/pppppppp/8/8/8/8/PPPPPPPP/RNBQKBNR w KQkq - 0 1"
+    with open(f"{d}/a.csv", "w") as f:
+        f.write(f"Rating,PuzzleId,FEN,Moves\n1500,a1,{start},e2e4 e7e5\n")
+    one = read_puzzle_dump(spark, f"{d}/a.csv").collect()
+    assert [(r.PuzzleId, r.Rating, r.FEN) for r in one] == [("a1", "1500", start)]
+    with open(f"{d}/b.csv", "w") as f:
+        f.write(f"PuzzleId,FEN,Moves,Rating,Popularity\nb1,{start},e2e4 e7e5,1600,7\n")
+    both = sorted((r.PuzzleId, r.Rating, r.Popularity, r.n_fields, r.n_header) for r in read_puzzle_dump(spark, f"{d}/*.csv").collect())
+    assert both == [("a1", "1500", "100", 4, 4), ("b1", "1600", "7", 5, 5)]
+
+
+def test_only_a_missing_path_reads_as_empty(spark):
+    import pytest
+    from knightshift.sources.puzzles import read_results
+    kind = spark.createDataFrame([], "a string").schema
+    d = tempfile.mkdtemp(prefix="ks-none-")
+    assert read_results(spark, f"{d}/none/*", schema=kind).count() == 0
+    with pytest.raises(Exception):
+        read_results(spark, "nosuchscheme://x/y", schema=kind).count()
+
+
+def test_manifests_are_written_once(spark):
+    from knightshift.sinks.files import next_shard, write_manifests, write_shards
+    d = tempfile.mkdtemp(prefix="ks-reg-")
+    m = spark.createDataFrame([("a", 1), ("b", 2), ("b", 2)], "run_id string, n int")
+    assert write_manifests(m, f"{d}/m") == 2 and write_manifests(m, f"{d}/m") == 0
+    assert next_shard(spark, f"{d}/s") == 0
+    write_shards(spark.createDataFrame([("x", "f", 4)], "puzzle_id string, fen string, shard int"), f"{d}/s", 10, numbered=True)
+    assert next_shard(spark, f"{d}/s") == 5
+
+
+def test_board_is_not_worked_out_for_refused_rows(spark):
+    from knightshift.operators import puzzles as P
+    raw = spark.createDataFrame([("f", 0, i, 4, 4, f"p{i}", "bad", "e2e4 e7e5", "900") for i in range(5)],
+                                "file string, block long, seq long, n_fields int, n_header int, PuzzleId string, FEN string, Moves string, Rating string")
+    assert {r.status for r in P.classify_dump(raw, 1000, 0).collect()} == {"below_rating"}
+    assert {r.status for r in P.classify_dump(raw, 100, 0).collect()} == {"bad_position"}
+    assert P.accepted_dump(raw, 1000, 0).count() == 0
+    plan = P.screen(raw, 1000, 0).where("status is null")._jdf.queryExecution().optimizedPlan().toString()
+    assert "exists(" not in plan
+
+
+def test_running_stream_continues_without_python(spark):
+    from knightshift.streaming.jobs import running_stream
+    d = tempfile.mkdtemp(prefix="ks-st4-")
+    kind = "engine string, ts long, event_id long, is_correct boolean"
+    rows = [("hot" if i % 4 else None, i, i, i % 3 == 0) for i in range(400)]
+    for part in (rows[:250], rows[250:]):
+        df = spark.createDataFrame(part, kind)
+        df.coalesce(1).write.mode("append").parquet(f"{d}/in")
+        running_stream(spark, f"{d}/in", df.schema, f"{d}/out", f"{d}/ck")
+    got = {r.event_id: (r.processed, r.solved_so_far) for r in spark.read.parquet(f"{d}/out").collect()}
+    seen = {}
+    for e, _, i, ok in rows:
+        n, s = seen.get(e, (0, 0))
+        seen[e] = (n + 1, s + ok)
+        assert got[i] == seen[e]
