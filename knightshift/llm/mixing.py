@@ -44,7 +44,7 @@ LIMIT = 2
 SEED = 23
 CHUNK = 100_000
 WINDOW = 1 << 17            # words of budget left to the dynamic program, about
-PLAN_ROWS = 200_000         # rows of the plan that may be broadcast
+PLAN_BYTES = 32 << 20       # of the plan, measured, that may be broadcast
 
 
 def targets(sizes: dict[str | None, int], weights=WEIGHTS, share: float = SHARE, limit: float = LIMIT) -> dict[str | None, float]:
@@ -164,7 +164,7 @@ def plan(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, limit: float =
 
 def copies(rows: DataFrame, planned: DataFrame, id_col: str, source: str, size: str, h: str) -> DataFrame:
     """``rows`` with their source's figures and ``__copies``, how often each is taken."""
-    joined = rows.join(bounded_broadcast(planned, PLAN_ROWS),
+    joined = rows.join(bounded_broadcast(planned, PLAN_BYTES),
                        rows[source].eqNullSafe(planned["__src"]) & (rows[size] == planned["__size"]))
     chunk = F.pmod(F.col(h), F.col("__chunks")).cast("int")
     before = (F.col(h) < F.col("__h")) | ((F.col(h) == F.col("__h")) & (F.col(id_col).isNull() | (F.col(id_col) <= F.col("__id"))))

@@ -51,7 +51,7 @@ PERCENT = 75
 SKETCH_BITS = 16
 PARTS = 64                       # hash ranges of the suffix filter
 LEADER_ROUNDS = (0, 0x5DEECE66D1234567)
-BROADCAST_ROWS = 2_000_000       # longs: at most 16 MB of values
+BROADCAST_BYTES = 64 << 20       # of a broadcast side, measured
 
 _U = np.uint64
 _STEP = mix(np.arange(1, SHINGLE + 1, dtype=_U)) | _U(1)
@@ -177,11 +177,11 @@ def candidate_sets(docs: DataFrame, id_col: str, text: str, wanted: DataFrame) -
 
     own = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text).alias("text"))
     reps = wanted.select("rep").where(F.col("rep").isNotNull()).distinct()
-    rows = own.where(F.col("rep").isNotNull()).join(bounded_broadcast(reps, BROADCAST_ROWS), "rep", "left_semi")
+    rows = own.where(F.col("rep").isNotNull()).join(bounded_broadcast(reps, BROADCAST_BYTES), "rep", "left_semi")
     if wanted.where(F.col("rep").isNull()).limit(1).count():       # classes of null ids only
         rows = rows.unionByName(own.where(F.col("rep").isNull()))
     sets = rows.select("text").mapInArrow(build, "cls long, parts array<int>, own array<long>")
-    return sets.join(bounded_broadcast(wanted.select("cls"), BROADCAST_ROWS), "cls", "left_semi")
+    return sets.join(bounded_broadcast(wanted.select("cls"), BROADCAST_BYTES), "cls", "left_semi")
 
 
 def overlap_needed(n: Column, m: Column, percent: int) -> Column:
@@ -279,7 +279,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", perc
     posted = prefix_postings(docs, text, counts, percent)
     shared = cut_lineage(posted.groupBy("token").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"))
                          .where("lo <> hi").select("token"), "shared-shingles")
-    postings = cut_lineage(posted.join(bounded_broadcast(shared, BROADCAST_ROWS), "token", "left_semi").distinct(), "postings")
+    postings = cut_lineage(posted.join(bounded_broadcast(shared, BROADCAST_BYTES), "token", "left_semi").distinct(), "postings")
     wanted = cut_lineage(members.join(postings.select("cls").distinct(), "cls").groupBy("cls").agg(F.min("id").alias("rep")),
                          "candidates")
     sets = cut_lineage(candidate_sets(docs, id_col, text, wanted), "sets")
@@ -309,4 +309,4 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text", per
     found = components(docs, id_col, text, percent)
     drop = cut_lineage(found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__drop")).distinct(),
                        "near-copies")
-    return docs.join(bounded_broadcast(drop, BROADCAST_ROWS), docs[id_col] == F.col("__drop"), "left_anti")
+    return docs.join(bounded_broadcast(drop, BROADCAST_BYTES), docs[id_col] == F.col("__drop"), "left_anti")

@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from knightshift.plans.joins import bounded_broadcast
 from knightshift.session import cut_lineage, scratch_path
 
 CHUNK = 64 * 1024
@@ -53,6 +54,8 @@ def decide(pages: DataFrame, id_col: str = "page_id", payload: str = "html", url
     facts = own.where(F.col("payload_bytes") >= MIN_REVISIT)
     first = (facts.groupBy("payload_digest", "payload_bytes").agg(F.min("id").alias("first"), F.count("*").alias("n"))
              .where("n > 1 and first is not null").select("payload_digest", "payload_bytes", "first"))
+    # repeated payloads only: broadcast if they measure small, so that the payloads are not shuffled
+    first = bounded_broadcast(cut_lineage(first, "repeated-payloads"))
     joined = own.join(first, ["payload_digest", "payload_bytes"], "left")
     again = F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
     return joined.select("id", "url", "body", "payload_bytes", "payload_digest",
