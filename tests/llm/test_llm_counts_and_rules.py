@@ -84,7 +84,7 @@ def test_quality_rules_equal_sql(spark, tmp_path, many):
     if many:   # a line that every document of two hosts shares, and near-empty documents around it
         line = "a shared footer that every page of this host repeats again"
         docs = docs.withColumn("text", F.concat_ws("\n", F.substring("text", 1, 150), F.lit(line)))
-        docs = docs.withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(line + "\n" + line + "\nq"), F.col("doc_id"))).otherwise(F.col("text")))
+        docs = docs.withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(line + "\nq"), F.col("doc_id"))).otherwise(F.col("text")))
         docs = docs.withColumn("source", F.when(F.col("doc_id") % 2 == 0, "a").otherwise(F.lit(None)))
     df = quality_rules.judge(docs)
     if many:
