@@ -105,7 +105,7 @@ def noisy_or(p: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
 
 
 def train(sample: list[tuple[str, int]], epochs: int = 10, rate: float = 0.3, l1: float = 5e-4,
-          batch_bytes: int = 1 << 18, seed: int = 5) -> Model:
+          batch_bytes: int = 1 << 18, least_batches: int = 64, seed: int = 5) -> Model:
     """Fit sentence weights to document labels by mini-batch Adagrad on the noisy-or likelihood.
 
     ``l1`` shrinks every weight a little at each step, so that only features which keep explaining labels
@@ -118,7 +118,8 @@ def train(sample: list[tuple[str, int]], epochs: int = 10, rate: float = 0.3, l1
     order = np.random.default_rng(seed).permutation(len(sample))
     labels = np.array([sample[i][1] for i in order], dtype=float)
     texts = pa.array([sample[i][0] for i in order], type=pa.large_string())
-    batches = [(lean(bags(b)), labels[b.first:b.first + b.n], b.n) for b in blocks(texts, batch_bytes)]
+    size = max(1, min(batch_bytes, sum(len(t) for t, _ in sample) // least_batches))
+    batches = [(lean(bags(b)), labels[b.first:b.first + b.n], b.n) for b in blocks(texts, size)]
     squares, bias_square = np.full(1 << BITS, 1e-3), 1e-3
     for epoch in range(epochs):
         for k in np.random.default_rng(seed + epoch).permutation(len(batches)):
