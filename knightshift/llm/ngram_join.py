@@ -241,11 +241,14 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     hopeful = (pairs.join(parts.select(F.col("cls").alias("a"), F.col("parts").alias("p")), "a")
                .join(parts.select(F.col("cls").alias("b"), F.col("parts").alias("q")), "b")
                .where(apart <= F.col("n") + F.col("m") - 2 * need).select("a", "b", "n", "m"))
-    own = sets.select("cls", "own")
+    hopeful = cut_lineage(hopeful, "hopeful")
+    # the sets of these pairs only travel: the pairs are sent to the sets if they measure small
+    sent, own = bounded_broadcast(hopeful, BROADCAST_BYTES), sets.select("cls", "own")
+    first = own.join(sent, F.col("cls") == F.col("a")).select("a", "b", "n", "m", F.col("own").alias("s"))
+    second = own.join(sent, F.col("cls") == F.col("b")).select("a", "b", F.col("own").alias("t"))
     common = F.size(F.array_intersect("s", "t"))
-    return (hopeful.join(own.select(F.col("cls").alias("b"), F.col("own").alias("t")), "b")
-            .join(own.select(F.col("cls").alias("a"), F.col("own").alias("s")), "a")
-            .withColumn("common", common).where(F.col("common") >= need).select("a", "b", "common").distinct())
+    return (first.join(second, ["a", "b"]).withColumn("common", common).where(F.col("common") >= need)
+            .select("a", "b", "common").distinct())
 
 
 def close(edges: DataFrame) -> DataFrame:
