@@ -16,8 +16,9 @@ join runs between classes, named by a 64-bit digest of the set.
    list; the last round then takes all remaining pairs of a list whose classes
    are still in different components.  Links inside a component cannot change it.
 4. *Verification*, once per pair: a suffix filter (a lower bound of the Hamming
-   distance from counts per hash range) drops hopeless pairs before the sets
-   themselves are joined and intersected.
+   distance from counts per hash range, in proportion to the set) drops
+   hopeless pairs; the sets of the others are built from their texts, joined
+   and intersected.
 
 Components are closed by joins on (node, label) pairs.  All intermediate
 tables are written below ``spark.checkpoint.dir``.  Nothing is capped: a pair is
@@ -49,7 +50,8 @@ from .textblocks import LOWER, blocks, find_words, hash_words, mix, split_offset
 SHINGLE = 5
 PERCENT = 75
 SKETCH_BITS = 16
-PARTS = 64                       # hash ranges of the suffix filter
+LEAST_PART_BITS = 6              # hash ranges of the suffix filter: at least 2^6, and about
+PART_SIZE = 4                    # so many shingles a range
 LEADER_ROUNDS = (0, 0x5DEECE66D1234567)
 BROADCAST_BYTES = 64 << 20       # of a broadcast side, measured
 
@@ -82,6 +84,7 @@ def class_of(own: np.ndarray) -> int:
 
 
 def _columns(rows: list, *kinds: pa.DataType) -> list[pa.Array]:
+    """Rows as Arrow columns."""
     return [pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * len(kinds), kinds)]
 
 
@@ -160,28 +163,35 @@ def prefix_postings(docs: DataFrame, text: str, counts: np.ndarray, percent: int
     return docs.select(F.col(text).alias("text")).mapInArrow(post, "token long, cls long, n int, pos int")
 
 
-def candidate_sets(docs: DataFrame, id_col: str, text: str, wanted: DataFrame) -> DataFrame:
-    """Set and hash-range counts of the classes in ``wanted`` (rep: a document of the class, cls)."""
-    spark = docs.sparkSession
+def _parts(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Counts per hash range, about PART_SIZE a range, and the same with half as many ranges."""
+    bits = max(LEAST_PART_BITS, int(np.ceil(np.log2(max(1, len(own) / PART_SIZE)))))
+    fine = np.bincount((own >> _U(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.int32)
+    return fine, fine.reshape(-1, 2).sum(axis=1)
+
+
+def signatures_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [(class_of(own), *_parts(own)) for own in shingle_sets(batch.column(0)) if len(own)]
+        yield pa.RecordBatch.from_arrays(_columns(rows, pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())),
+                                         names=["cls", "parts", "coarse"])
+
+
+def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [(class_of(own), own.view(np.int64)) for own in shingle_sets(batch.column(0)) if len(own)]
+        yield pa.RecordBatch.from_arrays(_columns(rows, pa.int64(), pa.list_(pa.int64())), names=["cls", "own"])
 
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names, parts, sets = [], [], []
-            for own in shingle_sets(batch.column(0)):
-                if len(own):
-                    names.append(class_of(own))
-                    sets.append(own.view(np.int64))
-                    parts.append(np.bincount((own >> _U(58)).astype(np.int64), minlength=PARTS).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(parts, pa.list_(pa.int32())),
-                                              pa.array(sets, pa.list_(pa.int64()))], names=["cls", "parts", "own"])
 
+def of_classes(docs: DataFrame, id_col: str, text: str, wanted: DataFrame, build, schema: str) -> DataFrame:
+    """``build`` over one text of each class in ``wanted`` (rep: a document of the class, cls)."""
     own = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text).alias("text"))
     reps = wanted.select("rep").where(F.col("rep").isNotNull()).distinct()
     rows = own.where(F.col("rep").isNotNull()).join(bounded_broadcast(reps, BROADCAST_BYTES), "rep", "left_semi")
     if wanted.where(F.col("rep").isNull()).limit(1).count():       # classes of null ids only
         rows = rows.unionByName(own.where(F.col("rep").isNull()))
-    sets = rows.select("text").mapInArrow(build, "cls long, parts array<int>, own array<long>")
-    return sets.join(bounded_broadcast(wanted.select("cls"), BROADCAST_BYTES), "cls", "left_semi")
+    made = rows.select("text").mapInArrow(build, schema)
+    return made.join(bounded_broadcast(wanted.select("cls"), BROADCAST_BYTES), "cls", "left_semi")
 
 
 def overlap_needed(n: Column, m: Column, percent: int) -> Column:
@@ -233,19 +243,27 @@ def remaining_pairs(posted: DataFrame, percent: int) -> DataFrame:
             .select(*_pair("x", "y")).distinct())
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Suffix filter, then the intersection: pairs (a, b, common) that reach the threshold."""
+def hopeful_pairs(pairs: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
+    """Suffix filter: pairs whose counts per hash range allow an intersection that reaches the threshold."""
+    need = overlap_needed(F.col("n"), F.col("m"), percent)
+    apart = lambda p, q: F.aggregate(F.zip_with(p, q, lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
+    same, finer = F.size("p") == F.size("q"), F.size("p") == 2 * F.size("q")
+    distance = (F.when(same, apart("p", "q")).when(finer, apart("pc", "q"))
+                .when(F.size("q") == 2 * F.size("p"), apart("p", "qc")).otherwise(F.lit(0)))
+    return (pairs.join(signatures.select(F.col("cls").alias("a"), F.col("parts").alias("p"), F.col("coarse").alias("pc")), "a")
+            .join(signatures.select(F.col("cls").alias("b"), F.col("parts").alias("q"), F.col("coarse").alias("qc")), "b")
+            .where(distance <= F.col("n") + F.col("m") - 2 * need).select("a", "b", "n", "m").distinct())
+
+
+def verified(hopeful: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The intersection of each pair's sets: pairs (a, b, common) that reach the threshold.
+
+    Only the sets of these pairs travel; the pairs are sent to the sets if they measure small.
+    """
     need = overlap_needed(F.col("n"), F.col("m"), percent)
-    parts = sets.select("cls", "parts")
-    apart = F.aggregate(F.zip_with("p", "q", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
-    hopeful = (pairs.join(parts.select(F.col("cls").alias("a"), F.col("parts").alias("p")), "a")
-               .join(parts.select(F.col("cls").alias("b"), F.col("parts").alias("q")), "b")
-               .where(apart <= F.col("n") + F.col("m") - 2 * need).select("a", "b", "n", "m"))
-    hopeful = cut_lineage(hopeful, "hopeful")
-    # the sets of these pairs only travel: the pairs are sent to the sets if they measure small
-    sent, own = bounded_broadcast(hopeful, BROADCAST_BYTES), sets.select("cls", "own")
-    first = own.join(sent, F.col("cls") == F.col("a")).select("a", "b", "n", "m", F.col("own").alias("s"))
-    second = own.join(sent, F.col("cls") == F.col("b")).select("a", "b", F.col("own").alias("t"))
+    sent = bounded_broadcast(hopeful, BROADCAST_BYTES)
+    first = sets.join(sent, F.col("cls") == F.col("a")).select("a", "b", "n", "m", F.col("own").alias("s"))
+    second = sets.join(sent, F.col("cls") == F.col("b")).select("a", "b", F.col("own").alias("t"))
     common = F.size(F.array_intersect("s", "t"))
     return (first.join(second, ["a", "b"]).withColumn("common", common).where(F.col("common") >= need)
             .select("a", "b", "common").distinct())
@@ -285,7 +303,8 @@ def components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", perc
     postings = cut_lineage(posted.join(bounded_broadcast(shared, BROADCAST_BYTES), "token", "left_semi").distinct(), "postings")
     wanted = cut_lineage(members.join(postings.select("cls").distinct(), "cls").groupBy("cls").agg(F.min("id").alias("rep")),
                          "candidates")
-    sets = cut_lineage(candidate_sets(docs, id_col, text, wanted), "sets")
+    signatures = cut_lineage(of_classes(docs, id_col, text, wanted, signatures_of, "cls long, parts array<int>, coarse array<int>"),
+                             "signatures")
 
     links, tried, labels = None, None, None
     for seed in (*LEADER_ROUNDS, None):
@@ -294,7 +313,10 @@ def components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", perc
         if tried is not None:
             pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
         pairs = cut_lineage(pairs, "pairs")
-        found = cut_lineage(verified(pairs, sets, percent), "links")
+        hopeful = cut_lineage(hopeful_pairs(pairs, signatures, percent), "hopeful")
+        needed = cut_lineage(hopeful.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(wanted, "cls"), "needed")
+        sets = cut_lineage(of_classes(docs, id_col, text, needed, sets_of, "cls long, own array<long>"), "sets")
+        found = cut_lineage(verified(hopeful, sets, percent), "links")
         tried = pairs if tried is None else tried.unionByName(pairs)
         links = found if links is None else links.unionByName(found)
         labels = close(links)
