@@ -12,7 +12,7 @@ join runs between classes, named by a 64-bit digest of the set.
    class (a map-side combined count) become *postings*.
 3. *Candidates* come from joining postings on the shingle, under the length
    filter and the positional filter.  To keep a large group of near copies
-   linear, two rounds link each class only to a seeded leader of the posting
+   linear, five rounds link each class only to a seeded leader of the posting
    list; the last round then takes all remaining pairs of a list whose classes
    are still in different components.  Links inside a component cannot change it.
 4. *Verification*, once per pair: a suffix filter (a lower bound of the Hamming
@@ -52,7 +52,7 @@ PERCENT = 75
 SKETCH_BITS = 16
 LEAST_PART_BITS = 6              # hash ranges of the suffix filter: at least 2^6, and about
 PART_SIZE = 4                    # so many shingles a range
-LEADER_ROUNDS = (0, 0x5DEECE66D1234567)
+LEADER_ROUNDS = (0, 0x5DEECE66D1234567, 0x2545F4914F6CDD1D, 0x1B8735939E3779B9, 0x6A09E667F3BCC908)
 BROADCAST_BYTES = 64 << 20       # of a broadcast side, measured
 
 _U = np.uint64
