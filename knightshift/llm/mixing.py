@@ -8,7 +8,11 @@ A source takes all its documents as often as its target covers them whole.  For
 the remaining budget its documents are counted by exact length and a subset of
 them is fitted to the budget: a proportional share of every length first, then
 long documents, and for the last stretch a bounded-knapsack dynamic program over
-the lengths still left.  How many documents of each (source, length) are taken
+the lengths still left.  Where that misses the budget (few documents, or long ones
+that outweigh the rest), the lengths are settled longest first so that the shorter
+ones can fill what remains, and then by the program over the whole budget, exact up
+to ``8 * WINDOW`` words and in steps of ``budget / (8 * WINDOW)`` above; the nearest
+of these is taken.  How many documents of each (source, length) are taken
 is then turned into a threshold on a seeded hash of the id, so that the choice
 repeats on every run and needs no shuffle of the texts.
 
@@ -89,13 +93,37 @@ def knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray
     return take
 
 
-def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """How many documents of each length to take for ``budget`` words."""
+def coarse_knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int, step: int) -> np.ndarray:
+    """As ``knapsack``, longest first and with one sum kept for every ``step`` words (sums themselves are exact)."""
+    steps: list[tuple[int, int, int]] = []
+    made = np.full(budget // step + 1, -1, dtype=np.int64)
+    sums = np.zeros(len(made), dtype=np.int64)
+    made[0] = len(lengths) * 64
+    for i in np.argsort(-lengths, kind="stable"):
+        if made[-1] >= 0:
+            break
+        left, part = int(min(counts[i], budget // lengths[i])) if lengths[i] > 0 else 0, 1
+        while left and made[-1] < 0:
+            part = min(part, left)
+            words = int(part * lengths[i])
+            new = sums[made >= 0] + words
+            new = new[new <= budget]
+            new = new[made[new // step] < 0]
+            made[new // step] = len(steps)
+            sums[new // step] = new
+            steps.append((int(i), part, words))
+            left, part = left - part, part * 2
+    take, at = np.zeros(len(lengths), dtype=np.int64), int(sums.max())
+    while at:
+        i, part, words = steps[made[at // step]]
+        take[i] += part
+        at -= words
+    return take
+
+
+def shared(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
+    """A proportional share of every length, long documents, and the dynamic program for the rest."""
     total = int((lengths * counts).sum())
-    if budget <= 0 or not total:
-        return np.zeros_like(counts)
-    if budget >= total:
-        return counts.copy()
     take = np.array([int(c) * budget // total for c in counts], dtype=np.int64)
     left = budget - int((lengths * take).sum())
     for i in np.argsort(-lengths, kind="stable"):
@@ -108,6 +136,46 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     return take + knapsack(lengths, counts - take, min(left, 8 * WINDOW))
 
 
+def settled(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
+    """Longest first, a share of every length that leaves no more than the shorter ones can fill; then the dynamic program."""
+    take = np.zeros(len(lengths), dtype=np.int64)
+    left, rest = budget, int((lengths * counts).sum())      # rest: words of the lengths not yet settled
+    for i in np.argsort(-lengths, kind="stable"):
+        if left <= WINDOW or lengths[i] <= 0:
+            break
+        x, c = int(lengths[i]), int(counts[i])
+        share = c * left // rest if rest else 0
+        rest -= c * x
+        take[i] = min(max(share, -((rest - left) // x)), c, left // x)
+        left -= int(take[i]) * x
+    return take + knapsack(lengths, counts - take, min(left, 8 * WINDOW))
+
+
+def whole(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
+    """The dynamic program over the whole budget, above ``8 * WINDOW`` words in coarse steps and once more for the rest."""
+    if budget <= 8 * WINDOW:
+        return knapsack(lengths, counts, budget)
+    take = coarse_knapsack(lengths, counts, budget, -(-budget // (8 * WINDOW)))
+    left = budget - int((lengths * take).sum())
+    return take + knapsack(lengths, counts - take, min(left, 8 * WINDOW))
+
+
+def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
+    """How many documents of each length to take for ``budget`` words."""
+    total = int((lengths * counts).sum())
+    if budget <= 0 or not total:
+        return np.zeros_like(counts)
+    if budget >= total:
+        return counts.copy()
+    missed = lambda take: budget - int((lengths * take).sum())
+    best = shared(lengths, counts, budget)
+    if missed(best):
+        best = min(best, settled(lengths, counts, budget), key=missed)
+    if missed(best) * 8 * WINDOW >= budget:       # a step of the coarse program or more; any miss of a smaller budget
+        best = min(best, whole(lengths, counts, budget), key=missed)
+    return best
+
+
 def narrow(docs: DataFrame, id_col: str, text: str, source: str, seed: int) -> DataFrame:
     """id, source, size and seeded hash of each row."""
     return docs.select(F.col(id_col).alias("id"), F.col(source).alias("src"), n_words(F.col(text)).alias("size"),

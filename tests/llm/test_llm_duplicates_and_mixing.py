@@ -222,6 +222,40 @@ def test_fit_reaches_budgets():
             assert (near <= counts).all() and (near >= 0).all() and (lengths * near).sum() <= budget
 
 
+@pytest.mark.parametrize("scale", [1, 100, 10_000])
+def test_fit_reaches_budgets_beside_dominating_documents(scale):
+    short = np.arange(100, 800, 100)
+    cases = [((280_000,), 630_000), ((280_000,), 300_000), ((100_000, 60_000, 50_000), 615_000)]
+    for long, budget in cases:       # the short texts hold 420,000 words
+        lengths = np.array([*(short * scale), *sorted(x * scale for x in long)])
+        counts = np.array([150] * len(short) + [1] * len(long))
+        take = mixing.fit(lengths, counts, budget * scale)
+        assert (take >= 0).all() and (take <= counts).all()
+        assert (lengths * take).sum() == budget * scale
+    # no short texts: 10 + 3 of 10, 6, 5 and 3 is the one exact fit
+    lengths, counts = np.array([3, 5, 6, 10]) * 50_000 * scale, np.ones(4, dtype=np.int64)
+    assert mixing.fit(lengths, counts, 13 * 50_000 * scale).tolist() == [1, 0, 0, 1]
+
+
+def test_fit_is_the_nearest_sum_of_small_tables():
+    rng = np.random.default_rng(7)
+    for _ in range(60):
+        lengths = np.unique(np.append(rng.integers(1, 60, 6), rng.integers(200, 900, 2)))
+        counts = rng.integers(0, 4, len(lengths))
+        sums = {0}
+        for x, c in zip(lengths, counts):
+            sums = {s + k * int(x) for s in sums for k in range(c + 1)}
+        for budget in rng.integers(0, (lengths * counts).sum() + 2, 6):
+            assert (lengths * mixing.fit(lengths, counts, int(budget))).sum() == max(s for s in sums if s <= budget)
+
+
+def test_mixing_takes_a_dominating_document(spark):
+    rows = [(0, "long " * 2800, "a")] + [(i, "word " * 7, "a") for i in range(1, 601)] + [(1000, "other " * 5413, "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken, goal = check_mix(docs, mixing.mix(docs))
+    assert abs(taken["a"] - goal["a"]) <= 7
+
+
 def all_boundaries(histogram, buckets):
     from itertools import combinations
     lengths = sorted(histogram)
