@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 #: Space and the control characters from tab to carriage return part words.
 BLANKS = " \t\n\x0b\x0c\r"
 FOLDS = 5
+LONG_SHARE = 16             # a text of more than this part of a sample's bytes comes last
 
 
 _shipped: set[str] = set()
@@ -59,8 +60,11 @@ def fit_sample(docs: DataFrame, labels: DataFrame, label: str, max_docs: int, ma
 
     At most ``max_docs`` documents (by a hash of the id) whose texts hold at most
     ``max_bytes`` together are brought to the driver, however large the tables
-    are.  A document labelled twice takes the larger label; of repeated rows of
-    one id the smallest text counts; null ids, labels and texts are left out.
+    are.  Texts of more than ``max_bytes / LONG_SHARE`` come after all others, the
+    shortest first, so that a long text cannot end the sample at its place in the
+    order of the hashes.  A document labelled twice takes the larger label; of
+    repeated rows of one id the smallest text counts; null ids, labels and texts
+    are left out.
     """
     order = F.xxhash64(F.col("doc_id"), F.lit(17))
     ids = (labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id")))
@@ -69,6 +73,8 @@ def fit_sample(docs: DataFrame, labels: DataFrame, label: str, max_docs: int, ma
     rows = (docs.select("doc_id", "text").where(F.col("text").isNotNull())
             .join(F.broadcast(ids), "doc_id")
             .groupBy("doc_id", "__y").agg(F.min("text").alias("text")))
-    so_far = F.sum(F.octet_length("text")).over(Window.orderBy(order, "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    size = F.octet_length("text")
+    turn = Window.orderBy(F.greatest(size, F.lit(max_bytes // LONG_SHARE)), order, "doc_id")
+    so_far = F.sum(size).over(turn.rowsBetween(Window.unboundedPreceding, 0))
     kept = rows.withColumn("__sum", so_far).where(F.col("__sum") <= max_bytes).orderBy(order, "doc_id")
     return [(r["text"], r["__y"]) for r in kept.select("text", "__y").collect()]

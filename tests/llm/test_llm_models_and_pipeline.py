@@ -27,6 +27,20 @@ def test_held_out_fold_is_crc32(spark):
     assert got == {i: zlib.crc32(str(i).encode()) % 5 == 0 for i in range(500)}
 
 
+def test_a_long_text_does_not_end_the_sample(spark):
+    ids = [i for i in range(1, 41) if zlib.crc32(str(i).encode()) % 5]
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, toxic int")
+    place = spark.createDataFrame([(i,) for i in ids], "doc_id long").orderBy(F.xxhash64("doc_id", F.lit(17))).collect()
+    order = [r["doc_id"] for r in place]
+    for size, fits in ((2_000, False), (900, True)):
+        docs = spark.createDataFrame([(i, "z" * size if i == order[0] else f"text {i:04}") for i in ids], "doc_id long, text string")
+        got = fit_sample(docs, labels, "toxic", 8_000, 1_000 + 9 * len(ids))
+        short = [(f"text {i:04}", i % 2) for i in order[1:]]
+        assert got == ([("z" * size, order[0] % 2)] if fits else []) + short
+    docs = spark.createDataFrame([(i, "z" * 900 if i == order[0] else f"text {i:04}") for i in ids], "doc_id long, text string")
+    assert [t for t, _ in fit_sample(docs, labels, "toxic", 8_000, 900)] == [f"text {i:04}" for i in order[1:]]
+
+
 def accuracy(spark, name, label):
     scored = QUERIES[name](spark, SF_LARGE).join(table(spark, SF_LARGE, "labels"), "doc_id").where("held_out")
     rows = scored.select("score", "predicted", label).collect()
