@@ -221,6 +221,26 @@ def q_speed_label(spark, d):
     return a.select("run_id", "puzzle_id", "engine", C.speed_label("nps").alias("speed"))
 
 
+@query("live_view", """
+WITH r AS (
+  SELECT event_type AS engine, event_id, row_number() OVER w AS processed, value * 1000 AS nps,
+         ROUND(SUM(CASE WHEN value >= 100 THEN 1 ELSE 0 END) OVER w * 100.0 / row_number() OVER w, 2) AS pct
+  FROM events
+  WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT engine, event_id, processed,
+       CASE WHEN pct >= 98.0 THEN 'high' WHEN pct >= 90.0 THEN 'medium' ELSE 'low' END AS band,
+       CASE WHEN nps >= 1e6 THEN printf('%.1fM', nps / 1e6) WHEN nps >= 1e3 THEN printf('%.0fk', nps / 1e3)
+            ELSE printf('%.0f', nps) END AS speed,
+       printf('%.1f', pct) AS accuracy_text
+FROM r""")
+def q_live_view(spark, d):
+    ev = fx.table(spark, d, "events").select(
+        F.col("event_type").alias("engine"), "ts", "event_id", (F.col("value") >= 100).alias("is_correct"),
+        (F.col("value") * 1000).alias("nps"))
+    r = T.running_accuracy(ev, by=("engine",), order=("ts", "event_id"))
+    return T.live_view(r).select("engine", "event_id", "processed", "band", "speed", "accuracy_text")
+
+
 @query("summary_report", """
 WITH r AS (
   SELECT engine, COUNT(*) AS total_puzzles, CAST(SUM(CASE WHEN is_correct THEN 1 ELSE 0 END) AS BIGINT) AS solved,

@@ -46,6 +46,15 @@ def test_fixed_matches_python(spark, digits):
         assert r.s == f"{r.x:.{digits}f}"
 
 
+def test_live_view_is_a_query_with_all_bands(spark):
+    from knightshift.operators.telemetry import live_view
+    from knightshift.plans.catalog import QUERIES
+    assert "live_view" in QUERIES
+    df = spark.createDataFrame([(98.0, 18817059.0), (97.99, 56616.0), (90.0, 950.0), (89.99, None)], "running_accuracy_pct double, nps double")
+    got = [tuple(r) for r in live_view(df).select("band", "speed", "accuracy_text").collect()]
+    assert got == [("high", "18.8M", "98.0"), ("medium", "57k", "98.0"), ("medium", "950", "90.0"), ("low", None, "90.0")]
+
+
 def test_speed_label(spark):
     vals = [18817059.0, 56616.0, 950.0, 50500.0, 1050000.0]
     df = spark.createDataFrame([(v,) for v in vals], "n double")
