@@ -1,10 +1,10 @@
 """Packing into optimal length buckets.
 
-Documents are cut into pieces of at most ``max_len`` tokens.  The global
+Documents are cut into pieces of at most ``max_len`` words.  The global
 histogram of piece lengths (at most ``max_len`` + 1 rows) goes to the driver,
 where a dynamic program chooses the bucket boundaries that minimise all padding
 for the given number of buckets.  Inside a bucket of width w, batches hold
-``budget // w`` pieces, so a padded batch stays within the token budget.
+``budget // w`` pieces, so a padded batch stays within the word budget.
 
 Batches are numbered without gathering a bucket: pieces get a seeded order by
 MD5, a bucket of more than ``CHUNK`` pieces is dealt into hash chunks, and each
@@ -73,7 +73,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: Co
          budget: int = BUDGET, buckets: int = BUCKETS, seed: int = SEED, chunk_rows: int = CHUNK) -> DataFrame:
     """One row per piece: id, piece, start, length, bucket_len, chunk, batch, slot, padding.
 
-    ``length`` is the token count of a row; words of ``text`` unless given.
+    ``length`` is the length of a row; words of ``text`` unless given.
     """
     size = F.coalesce(length if length is not None else n_words(F.col(text)), F.lit(0)).cast("long")
     own = cut_lineage(pieces(docs, size, max_len, id_col), "pieces")
