@@ -78,3 +78,15 @@ def fit_sample(docs: DataFrame, labels: DataFrame, label: str, max_docs: int, ma
     so_far = F.sum(size).over(turn.rowsBetween(Window.unboundedPreceding, 0))
     kept = rows.withColumn("__sum", so_far).where(F.col("__sum") <= max_bytes).orderBy(order, "doc_id")
     return [(r["text"], r["__y"]) for r in kept.select("text", "__y").collect()]
+
+
+#: DuckDB SQL: the table of the 256 remainders that ``crc32_sql`` looks up; put it among the CTEs of a query.
+CRC_TABLE_SQL = """crc_table AS (
+  SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(i)))"""
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB SQL for the unsigned crc32 of an ASCII text."""
+    return (f"(SELECT xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT)), "
+            f"lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) FROM crc_table)")

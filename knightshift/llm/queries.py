@@ -9,7 +9,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, ngram_join, packing, pii, quality_classifier, quality_rules, token_counts, toxicity, warc
+from . import exact_dedup, merkle, mixing, ngram_join, packing, pii, quality_classifier, quality_rules, token_counts, toxicity, warc
 from .common import held_out, ship_package, table
 
 MAX_TOKENS = 1024
@@ -107,3 +107,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = quality_classifier.fit(docs, table(spark, sf_dir, "labels"))
     scored = quality_classifier.score(docs.select("doc_id", "text"), model)
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query("op12_merkle", merkle.SQL)
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, proof and verdict of every document; a third of the ids has its text's letters lower-cased."""
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, merkle.small_letters(F.col("text"))).otherwise(F.col("text"))
+    return merkle.audit(docs, tampered)
