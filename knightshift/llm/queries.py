@@ -9,7 +9,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, merkle, mixing, ngram_join, packing, pii, quality_classifier, quality_rules, token_counts, toxicity, warc
+from . import exact_dedup, merkle, mixing, ngram_join, packing, pii, quality_classifier, quality_rules, token_counts, toxicity, url_filter, warc
 from .common import held_out, ship_package, table
 
 MAX_TOKENS = 1024
@@ -115,3 +115,10 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, merkle.small_letters(F.col("text"))).otherwise(F.col("text"))
     return merkle.audit(docs, tampered)
+
+
+@query("op13_url_filter")
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule and verdict of every page's url."""
+    judged = url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"))
+    return judged.select("page_id", "host", "path", "rule", "verdict", "score")
