@@ -10,9 +10,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from knightshift.plans.joins import BROADCAST_BYTES, bounded_broadcast
+
 #: Space and the control characters from tab to carriage return part words.
 BLANKS = " \t\n\x0b\x0c\r"
 FOLDS = 5
+HOT_SHARE = 100             # a group with more than one row in so many is hot
 LONG_SHARE = 16             # a text of more than this part of a sample's bytes comes last
 
 
@@ -55,6 +58,21 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % FOLDS == 0, F.lit(False))
 
 
+def join_groups(rows: DataFrame, groups: DataFrame, same: Column, key: str, size: str, total: int, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Inner join of ``rows`` with one row a group, whatever share of the rows a group holds.
+
+    ``groups`` has a non-null column ``key`` and ``size``, the number of the ``total`` rows that a group has.  Groups that
+    measure small are broadcast whole.  Beyond that the hot ones, fewer than ``HOT_SHARE``, still are; the others,
+    each with a hundredth of the rows at most, are joined by shuffle.
+    """
+    small = bounded_broadcast(groups, max_bytes)
+    if small is not groups:
+        return rows.join(small, same)
+    marked = rows.join(F.broadcast(groups.where(F.col(size) * HOT_SHARE > total)), same, "left")
+    rest = marked.where(F.col(key).isNull()).drop(*groups.columns).join(groups, same)
+    return marked.where(F.col(key).isNotNull()).unionByName(rest)
+
+
 def fit_sample(docs: DataFrame, labels: DataFrame, label: str, max_docs: int, max_bytes: int) -> list[tuple[str, int]]:
     """A seeded sample of labelled texts outside the held-out fold, for fitting a model.
 

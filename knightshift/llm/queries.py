@@ -9,7 +9,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, merkle, mixing, ngram_join, packing, pii, quality_classifier, quality_rules, token_counts, toxicity, url_filter, warc
+from . import exact_dedup, merkle, mixing, ngram_join, packing, pii, prefix_trie, quality_classifier, quality_rules, token_counts, toxicity, url_filter, warc
 from .common import held_out, ship_package, table
 
 MAX_TOKENS = 1024
@@ -109,6 +109,13 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+@query("op11_prefix_trie", prefix_trie.SQL)
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the prefix trie of the rebuilt conversations."""
+    return prefix_trie.trie(table(spark, sf_dir, "conversations")).select(
+        "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
 @query("op12_merkle", merkle.SQL)
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaf, proof and verdict of every document; a third of the ids has its text's letters lower-cased."""

@@ -33,9 +33,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from knightshift.plans.joins import bounded_broadcast
+from knightshift.plans.joins import BROADCAST_BYTES
 from knightshift.session import cut_lineage
 
+from .common import join_groups
 from .textblocks import blocks, byte_table, text_buffers
 
 #: Fixed values: (verdict, host, start of the path).
@@ -44,7 +45,6 @@ RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "exa
 FEATURES = ("url_length", "host_length", "path_length", "depth", "labels", "url_digits", "host_digits", "hyphens",
             "url_entropy", "host_entropy", "parameters", "suffix_urls", "suffix_hosts", "suffix_blocked")
 PRIOR_WEIGHT = 20           # labelled URLs that the overall blocked share counts for in a suffix
-HOT_SHARE = 100             # a suffix with more than one row in so many is hot
 BINS = 64
 _DIGIT, _SLASH, _DOT, _HYPHEN, _AMP = (byte_table(b) for b in (b"0123456789", b"/", b".", b"-", b"&"))
 
@@ -211,20 +211,13 @@ def suffix_statistics(pages: DataFrame, labelled: Column) -> DataFrame:
                                            F.sum("known").alias("__known"), F.coalesce(F.sum("bad"), F.lit(0)).alias("__bad"))
 
 
-def with_statistics(pages: DataFrame, stats: DataFrame) -> DataFrame:
+def with_statistics(pages: DataFrame, stats: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``pages`` with ``__urls``, ``__hosts`` and ``__share`` of the suffix."""
     total = stats.agg(F.sum("__urls"), F.sum("__known"), F.sum("__bad")).first()
     overall = total[2] / total[1] if total[1] else 0.5
     share = (F.col("__bad") + PRIOR_WEIGHT * overall) / (F.col("__known") + PRIOR_WEIGHT)
     known = stats.select(F.col("__suffix").alias("__s"), "__urls", "__hosts", share.alias("__share"))
-    same = F.col("__suffix") == F.col("__s")
-    small = bounded_broadcast(known)
-    if small is not known:
-        return pages.join(small, same).drop("__s")
-    hot = known.where(F.col("__urls") * HOT_SHARE > (total[0] or 0))
-    marked = pages.join(F.broadcast(hot), same, "left")
-    rare = marked.where(F.col("__s").isNull()).drop("__s", "__urls", "__hosts", "__share").join(known, same)
-    return marked.where(F.col("__s").isNotNull()).unionByName(rare).drop("__s")
+    return join_groups(pages, known, F.col("__suffix") == F.col("__s"), "__s", "__urls", total[0] or 0, max_bytes).drop("__s")
 
 
 INPUTS = ("host", "path", "__query", "__urls", "__hosts", "__share")
