@@ -3,9 +3,8 @@
 A position's placement is expanded to a 64-character string, a8 first and h1
 last, '1' for an empty square.  Square (file f, rank r), both 0-based with
 rank 0 = rank "1", sits at index ``(7 - r) * 8 + f``.  Moves are applied with
-``overlay``; attack tests are generated, unrolled SQL over that string (no
-lambdas), so they stay inside whole-stage code generation.  Nothing here runs
-Python per row.
+``overlay``; an attack test is one ``exists`` over the squares of that string.
+Nothing here runs Python per row.
 """
 
 from __future__ import annotations
@@ -13,14 +12,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# --- fixed values: movement geometry ---------------------------------------------
-KNIGHT_STEPS = [(1, 2), (2, 1), (2, -1), (1, -2), (-1, -2), (-2, -1), (-2, 1), (-1, 2)]
-KING_STEPS = [(1, 0), (1, 1), (0, 1), (-1, 1), (-1, 0), (-1, -1), (0, -1), (1, -1)]
-ROOK_DIRS = [(1, 0), (-1, 0), (0, 1), (0, -1)]
-BISHOP_DIRS = [(1, 1), (1, -1), (-1, 1), (-1, -1)]
-PIECES = "pnbrqkPNBRQK"
-# -----------------------------------------------------------------------------------
-
 BOARD_ROWS = r"^([pnbrqkPNBRQK1]{8}/){7}[pnbrqkPNBRQK1]{8}$"
 UCI_SHAPE = r"^[a-h][1-8][a-h][1-8][pnbrqk]?$"
 CASTLING_SHAPE = r"^(-|[KQA-H]{0,2}[kqa-h]{0,2})$"

@@ -176,11 +176,6 @@ def round_half_away(x, digits: int) -> Column:
     return F.when(v < 0, -r).otherwise(r) / F.lit(m)
 
 
-def ratio_pct(num, den, digits: int = 2) -> Column:
-    """Percentage as DOUBLE (never DECIMAL), rounded like the reports."""
-    return round_half_away(_c(num).cast("double") * 100.0 / _c(den).cast("double"), digits)
-
-
 def bool_avg_pct(flag, digits: int = 2) -> Column:
     """ROUND(AVG(CASE WHEN flag THEN 1.0 ELSE 0.0 END) * 100.0, digits) with DOUBLE arithmetic."""
     return round_half_away(F.avg(F.when(_c(flag), F.lit(1.0)).otherwise(F.lit(0.0)).cast("double")) * 100.0, digits)

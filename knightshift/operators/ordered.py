@@ -28,17 +28,24 @@ from ..plans.joins import bounded_broadcast
 from ..session import cut_lineage
 
 ROWS_PER_CHUNK = 200_000
+LEAST_ROWS = 2_000          # of a slice when smaller inputs are cut finer
 
 
-def with_chunks(df: DataFrame, keys: list[str]) -> DataFrame:
+def with_chunks(df: DataFrame, keys: list[str], fine: bool = False) -> DataFrame:
     """``df`` stored, plus ``__chunk``: contiguous slices of the ``keys`` order of about ``ROWS_PER_CHUNK`` rows.
 
+    With ``fine``, an input of fewer slices than the session's shuffle partitions is cut into as many, of
+    ``LEAST_ROWS`` at least: worth another pass where the work on a slice is heavy.
+
     The input is evaluated once, by the write.  More than one slice is assigned by the range partitioner over
     the stored rows (nulls sort first, so a null group is cut like any other) and written with its number, so
     every later pass reads the same slice of a row.
     """
     stored = cut_lineage(df, "rows")
-    chunks = -(-stored.count() // ROWS_PER_CHUNK)
+    n = stored.count()
+    chunks = -(-n // ROWS_PER_CHUNK)
+    if fine:
+        chunks = max(chunks, min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // LEAST_ROWS)))
     if chunks <= 1:
         return stored.withColumn("__chunk", F.lit(0))
     ranged = stored.repartitionByRange(chunks, *[F.col(k) for k in keys]).withColumn("__chunk", F.spark_partition_id())
@@ -47,12 +54,12 @@ def with_chunks(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def running_totals(df: DataFrame, partition_by: list[str], order_by: list[str],
                    sums: dict[str, Column] | None = None, row_number: str = "rn",
-                   chunk_by: list[str] | None = None) -> DataFrame:
+                   chunk_by: list[str] | None = None, fine: bool = False) -> DataFrame:
     """Adds ``row_number`` (1-based, per group in order) and one running sum per ``sums`` entry.
 
     ``chunk_by``: columns forming a prefix of ``order_by`` whose values already
     cut the order into bounded slices (for file-ordered data: file and block);
-    then no sampling pass is needed.
+    then no sampling pass is needed.  ``fine``: see ``with_chunks``.
     """
     sums = sums or {}
     base = df.select("*", *[e.alias(f"__v_{k}") for k, e in sums.items()])
@@ -60,7 +67,7 @@ def running_totals(df: DataFrame, partition_by: list[str], order_by: list[str],
         assert list(order_by[:len(chunk_by)]) == list(chunk_by), "chunk_by must prefix order_by"
         base = base.withColumn("__chunk", F.struct(*chunk_by))
     else:
-        base = with_chunks(base, partition_by + order_by)
+        base = with_chunks(base, partition_by + order_by, fine)
     part = [*partition_by, "__chunk"]
     w = Window.partitionBy(*part).orderBy(*order_by)
     frame = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -10,9 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Bytes of the values of a broadcast side, and rows read to measure them.
+# Bytes of the values of a broadcast side, and what a row costs besides its values.
 BROADCAST_BYTES = 32 << 20
-MEASURED_ROWS = 4_000_000
 ROW_BYTES = 16
 
 
@@ -30,23 +29,15 @@ def _row_bytes(df: DataFrame):
     return size
 
 
+def measured(df: DataFrame) -> DataFrame:
+    """One row: the bytes of the values of ``df``, summed in every task before the sums meet."""
+    return df.agg(F.coalesce(F.sum(_row_bytes(df).cast("long")), F.lit(0)).alias("bytes"))
+
+
 def bounded_broadcast(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``broadcast(df)`` if its values measure at most ``max_bytes``, else ``df`` unchanged.
 
-    At most ``MEASURED_ROWS`` rows are read for the check (a limit pushed into the scan), and a frame with more
-    rows than that is never broadcast; a frame held on the driver already is measured without a job.
+    The measuring job reads ``df`` once more, in parallel, and moves one number a task; give it a written table
+    (``cut_lineage``) where ``df`` is costly.
     """
-    if df.isLocal():
-        rows = df.take(MEASURED_ROWS + 1)
-        n, size = len(rows), sum(len(str(r)) + ROW_BYTES for r in rows)
-    else:
-        n, size = df.limit(MEASURED_ROWS + 1).agg(F.count(F.lit(1)), F.sum(_row_bytes(df))).first()
-    return F.broadcast(df) if n <= MEASURED_ROWS and (size or 0) <= max_bytes else df
-
-
-def bounded_values(df: DataFrame, column: str, max_values: int) -> list | None:
-    """Distinct values of a (dimension) column if there are at most ``max_values``; else None."""
-    rows = df.select(column).distinct().limit(max_values + 1).collect()
-    if len(rows) > max_values:
-        return None
-    return sorted(r[0] for r in rows if r[0] is not None)
+    return F.broadcast(df) if measured(df).first()["bytes"] <= max_bytes else df

@@ -22,6 +22,16 @@ def test_running_totals_match_window(spark, monkeypatch):
     assert a == b
 
 
+def test_fine_slices_number_alike(spark, monkeypatch):
+    import knightshift.operators.ordered as O
+    monkeypatch.setattr(O, "LEAST_ROWS", 40)
+    df = spark.createDataFrame([("hot" if i % 4 else None, i * 7 % 1000) for i in range(1000)], "g string, o long")
+    numbered = lambda fine: sorted(tuple(r) for r in running_totals(df, ["g"], ["o"], row_number="rn", fine=fine)
+                                   .select(F.coalesce("g", F.lit("")), "o", "rn").collect())
+    assert O.with_chunks(df, ["g", "o"], fine=True).select("__chunk").distinct().count() == 8
+    assert numbered(True) == numbered(False)
+
+
 def test_global_numbering(spark, monkeypatch):
     import knightshift.operators.ordered as O
     monkeypatch.setattr(O, "ROWS_PER_CHUNK", 50)

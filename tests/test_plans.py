@@ -31,10 +31,22 @@ def test_rollup_is_partial_aggregate(spark):
 
 def test_dimension_broadcast_checked(spark):
     from knightshift.plans.joins import bounded_broadcast
-    small = spark.range(10)
-    big = spark.range(100)
-    assert "broadcast" in bounded_broadcast(small, 50)._jdf.queryExecution().logical().toString().lower()
-    assert "broadcast" not in bounded_broadcast(big, 50)._jdf.queryExecution().logical().toString().lower()
+    asked = lambda df: "broadcast" in df._jdf.queryExecution().logical().toString().lower()
+    ten = spark.range(10)          # eight bytes a number and sixteen a row
+    assert asked(bounded_broadcast(ten, 240)) and not asked(bounded_broadcast(ten, 239))
+    texts = spark.createDataFrame([("é" * 100, None), (None, [1, 2])], "t string, a array<int>")
+    size = 2 * 16 + 200 + len('{"a":[1,2]}') + len("{}")
+    assert asked(bounded_broadcast(texts, size)) and not asked(bounded_broadcast(texts, size - 1))
+    assert asked(bounded_broadcast(ten.where("id < 0"), 0))
+
+
+def test_measuring_moves_one_sum_a_task(spark):
+    """Rows are summed where they are: only partial sums meet in the last task."""
+    from knightshift.plans.joins import measured
+    p = _plan(measured(spark.range(0, 1000, 1, 8)))
+    assert "Limit" not in p and "SinglePartition" in p
+    below = p[p.index("SinglePartition"):]
+    assert "partial_sum" in below[:below.index("Range")]
 
 
 def test_running_totals_window_is_chunked(spark, monkeypatch):
