@@ -102,7 +102,17 @@ def cut_lineage(df: DataFrame, name: str = "cut") -> DataFrame:
     """
     path = scratch_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    back = df.sparkSession.read.parquet(path)
+    back.scratch = path
+    return back
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by ``cut_lineage`` that nothing will read again."""
+    for df in tables:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(df.scratch)
+        path.getFileSystem(conf).delete(path, True)
 
 
 _LANDED: dict[tuple[str, str], str] = {}
