@@ -137,25 +137,36 @@ SELECT run_id || '__' || engine_id AS session,
 FROM fx_answers
 UNION ALL
 SELECT run_id || '__' || engine_id, COUNT(*) + 1, '', 3, 77.0::DOUBLE FROM fx_answers
-WHERE engine_id <> 'lc0_v0_32_1' GROUP BY run_id, engine_id""")
+WHERE engine_id <> 'lc0_v0_32_1' GROUP BY run_id, engine_id
+UNION ALL
+SELECT run_id || '__' || engine_id, COUNT(*) + 2, '', 0, 0.0::DOUBLE FROM fx_answers
+WHERE engine_id = 'stockfish_18' AND run_id = 'run_b' GROUP BY run_id, engine_id""")
 def q_parse_transcript(spark, d):
     a = fx.fx_answers(spark, d)
     session = F.concat(F.col("run_id"), F.lit("__"), F.col("engine_id"))
     npsi = F.col("nps").cast("bigint").cast("string")
+    # the sessions of run_b were logged with their questions
+    asks = F.when(F.col("run_id") == "run_b", F.lit("go movetime 2000")).otherwise(F.lit("info string thinking"))
     lines = F.array(
         F.struct(F.lit(0).alias("k"), F.concat(F.lit("info string position "), F.col("puzzle_id")).alias("line")),
-        F.struct(F.lit(1).alias("k"), F.format_string("info depth %d seldepth %d nps %d", F.col("depth") - 2,
+        F.struct(F.lit(1).alias("k"), asks.alias("line")),
+        F.struct(F.lit(2).alias("k"), F.format_string("info depth %d seldepth %d nps %d", F.col("depth") - 2,
                                                         F.col("depth"), (F.col("nps") / 2).cast("bigint")).alias("line")),
-        F.struct(F.lit(2).alias("k"), F.concat(F.lit("info depth "), F.col("depth").cast("string"),
+        F.struct(F.lit(3).alias("k"), F.concat(F.lit("info depth "), F.col("depth").cast("string"),
                                                F.lit(" score cp 31 nodes 1000 nps "), npsi, F.lit(" pv "),
                                                F.col("engine_move")).alias("line")),
-        F.struct(F.lit(3).alias("k"), F.lit("info depth x12 nps fast").alias("line")),
-        F.struct(F.lit(4).alias("k"), F.concat(F.lit("bestmove "), F.col("engine_move"), F.lit(" ponder e7e5")).alias("line")))
+        F.struct(F.lit(4).alias("k"), F.lit("info depth x12 nps fast").alias("line")),
+        F.struct(F.lit(5).alias("k"), F.concat(F.lit("bestmove "), F.col("engine_move"), F.lit(" ponder e7e5")).alias("line")))
     t = a.select(session.alias("session"), "pos", F.inline(lines))
-    # all but one engine stop in the middle of a further position
-    stops = (a.where(F.col("engine_id") != "lc0_v0_32_1").select(session.alias("session")).distinct()
-             .select("session", F.lit(1 << 40).cast("long").alias("pos"), F.lit(2).alias("k"), F.lit("info depth 3 seldepth 4 nps 77").alias("line")))
-    t = t.unionByName(stops)
+    # all but one engine stop in the middle of a further position; one is asked again and says nothing; all end with some text
+    ends = a.select("run_id", "engine_id", session.alias("session")).distinct()
+    others, asked = F.col("engine_id") != "lc0_v0_32_1", F.col("run_id") == "run_b"
+    tail = F.array(
+        F.struct(F.lit(1).alias("k"), F.when(others & asked, F.lit("go movetime 2000")).alias("line")),
+        F.struct(F.lit(2).alias("k"), F.when(others, F.lit("info depth 3 seldepth 4 nps 77")).alias("line")),
+        F.struct(F.lit(3).alias("k"), F.when((F.col("engine_id") == "stockfish_18") & asked, F.lit("go movetime 2000")).alias("line")),
+        F.struct(F.lit(4).alias("k"), F.lit("info string bye").alias("line")))
+    t = t.unionByName(ends.select("session", F.lit(1 << 40).cast("long").alias("pos"), F.inline(tail)).where("line IS NOT NULL"))
 
     def write(path):
         n = int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -49,8 +49,13 @@ IDS = """ids AS (SELECT *,
    FROM g)"""
 
 
+def _games(spark, d):
+    """The games of the match files, cut once per application."""
+    return spark.read.parquet(landed(spark, f"games:{d}", lambda path: SRC.read_games_text(spark, pgn_files(spark, d)).write.parquet(path)))
+
+
 def _parsed(spark, d):
-    return M.parse_games(SRC.read_games_text(spark, pgn_files(spark, d)))
+    return M.parse_games(_games(spark, d))
 
 
 @query("src_games_text", f"""
@@ -139,7 +144,7 @@ SELECT match_id, 'lc0' AS engine1_id, 'reckless' AS engine2_id, '{TC}' AS time_c
        arg_max(strftime(played_at, '%Y-%m-%dT%H:%M:%S'), game_no) AS completed_at
 FROM ids GROUP BY match_id""")
 def q_match_scores(spark, d):
-    matches, _, _ = M.ingest_games(SRC.read_games_text(spark, pgn_files(spark, d)), E1, E2, TC, ROUNDS, LOAD_TS)
+    matches, _, _ = M.ingest_games(_games(spark, d), E1, E2, TC, ROUNDS, LOAD_TS)
     return matches
 
 
@@ -225,7 +230,7 @@ def q_pair_games(spark, d):
 def _stored(spark, d) -> str:
     """The match database of ``d`` (parsed and stored once per application); returns its root."""
     return landed(spark, f"matchdb:{d}", lambda root: M.store_games(
-        SRC.read_games_text(spark, pgn_files(spark, d)), root, E1, E2, TC, ROUNDS, LOAD_TS))
+        _games(spark, d), root, E1, E2, TC, ROUNDS, LOAD_TS))
 
 
 @query("src_match_lookup", f"""

@@ -1,37 +1,213 @@
 """Match text (PGN) source: many games per file, one record per game.
 
-Files are split on the ``[Event "`` tag (a multi-character line separator of
-the text source), so a game never straddles two records and a file of any
-size is read by many tasks.  What stands before a file's first separator is
-not a game: it is the first record of the block that starts at byte 0, and the
-only record that is dropped.  Games are numbered in file order (file path,
-block start, position in block) by the records counted per block, so
-neither a sort of the texts nor a shuffle is needed.
+A game begins at a tag line that does not go on with a header block, or at a
+move line after the blank line that ended the game before.  Tag lines and blank
+lines inside a ``{comment}`` are comment text.  What a line means so depends on all
+lines before it; a file is still read by many tasks, block by block:
+
+1. every block says, for each state in which it may begin, in which state it ends
+   and how many games begin in it (a transition summary of a few numbers);
+2. the summaries of a file, in block order, compose to the true state at the
+   beginning of each block, and the counts to the number of games before it;
+3. every block is read again from its true state and cut at the games' first
+   lines.  The last game of a block may go on in the blocks after it: only these
+   pieces, one a block, are brought together.
+
+The cut games are written as a table in the shared folder, so that the text is
+scanned twice whatever is done with the games.  Lines are looked at in Arrow
+batches; no line is shuffled.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..plans.joins import bounded_broadcast
+from ..session import cut_lineage
+
+BLOCK = ["match_id", "file", "block"]
+SUMMARY = "match_id string, file string, block long, ends array<int>, games array<long>"
+PIECE = "match_id string, file string, block long, game_no long, whole boolean, value string"
+
+
+def _scanner():
+    """The line automaton, as functions that travel to the tasks whole.
+
+    States at the beginning of a line: outside any game, after a tag line, after one or two blank lines behind the
+    tags, in the moves, inside a comment.
+    """
+    OUTSIDE, TAGS, BLANK_1, BLANK_2, MOVES, COMMENT = range(6)
+    LINE_KINDS = BLANK, ESCAPE, TAG, BRACKET, TEXT = range(5)
+    STARTS = 8                       # added to the state behind a line at which a game begins
+
+    def after(state: int, kind: int, opened: bool, kept: bool) -> int:
+        """State behind a line; ``opened``, ``kept``: it ends inside a comment if it began outside, or inside, of one."""
+        moves = COMMENT if opened else MOVES
+        if state == COMMENT:
+            return COMMENT if kept else MOVES
+        if kind == ESCAPE:
+            return state
+        if kind == BLANK:
+            return {TAGS: BLANK_1, BLANK_1: BLANK_2}.get(state, OUTSIDE)
+        if kind == TAG or kind == BRACKET and state in (TAGS, BLANK_1):
+            return TAGS if state in (TAGS, BLANK_1) else TAGS + STARTS
+        return moves + STARTS if state == OUTSIDE else moves
+
+    table = [[after(s, k, bool(o), bool(c)) for k in LINE_KINDS for o in (0, 1) for c in (0, 1)] for s in range(6)]
+
+    def codes(lines) -> list[int]:
+        """Kind of each line and what it does to comments, as one small number."""
+        import pyarrow.compute as pc
+        import re
+        kind = pc.if_else(pc.match_substring_regex(lines, r"^\s*$"), BLANK,
+                          pc.if_else(pc.match_substring_regex(lines, r"^[%;]"), ESCAPE,
+                                     pc.if_else(pc.match_substring_regex(lines, r'^\s*\[[A-Za-z0-9][A-Za-z0-9_+#=:-]*\s+".*"\]\s*$'), TAG,
+                                                pc.if_else(pc.starts_with(lines, "["), BRACKET, TEXT))))
+        out = [4 * k + 1 for k in kind.to_pylist()]          # no brace: a comment stays open, none is opened
+        braces = pc.match_substring_regex(lines, r"[{}]").to_pylist()
+        opens = lambda text: "{" in re.sub(r"\{[^}]*\}|;.*", "", text)
+        for i, (has, text) in enumerate(zip(braces, lines)):
+            if has:
+                text = text.as_py()
+                behind = text.partition("}")
+                out[i] = out[i] - 1 + 2 * opens(text) + (opens(behind[2]) if behind[1] else True)
+        return out
+
+    def bare(lines, first: bool):
+        """Lines without nulls; a byte order mark before the first line of a file goes."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        lines = pc.fill_null(lines, "")
+        if first and len(lines):
+            return pa.concat_arrays([pa.array([lines[0].as_py().lstrip("\ufeff")], lines.type), lines[1:]])
+        return lines
+
+    def runs(batch):
+        """Consecutive rows of one block: (match, file, block, first row, end)."""
+        keys = list(zip(batch.column("match_id").to_pylist(), batch.column("file").to_pylist(), batch.column("block").to_pylist()))
+        a = 0
+        for z in range(1, len(keys) + 1):
+            if z == len(keys) or keys[z] != keys[a]:
+                yield keys[a], a, z
+                a = z
+
+    def summarise(batches):
+        """One row a block: the state it ends in and the games that begin in it, for each state it may begin in."""
+        import pyarrow as pa
 
-from ..operators.ordered import file_order_numbers
+        schema = pa.schema([("match_id", pa.string()), ("file", pa.string()), ("block", pa.int64()),
+                            ("ends", pa.list_(pa.int32())), ("games", pa.list_(pa.int64()))])
+        now, ends, games = None, [], []
 
-GAME_SEPARATOR = '[Event "'
+        def row():
+            return pa.RecordBatch.from_pylist([{"match_id": now[0], "file": now[1], "block": now[2], "ends": ends, "games": games}], schema)
+
+        for batch in batches:
+            for key, a, z in runs(batch):
+                new = key != now
+                if new:
+                    if now is not None:
+                        yield row()
+                    now, ends, games = key, list(range(6)), [0] * 6
+                lines = codes(bare(batch.column("value").slice(a, z - a), new and key[2] == 0))
+                moved = {}
+                for state in set(ends):                      # paths that have met stay together
+                    s, n = state, 0
+                    for c in lines:
+                        s = table[s][c]
+                        if s >= STARTS:
+                            s, n = s - STARTS, n + 1
+                    moved[state] = s, n
+                games = [g + moved[e][1] for g, e in zip(games, ends)]
+                ends = [moved[e][0] for e in ends]
+        if now is not None:
+            yield row()
+
+    def cut(batches):
+        """Games of each block, from its true state ``state`` and with ``before`` games before it.
+
+        The piece before the first game of a block, and the last game, which may go on, are not ``whole``.
+        """
+        import pyarrow as pa
+
+        schema = pa.schema([("match_id", pa.string()), ("file", pa.string()), ("block", pa.int64()), ("game_no", pa.int64()),
+                            ("whole", pa.bool_()), ("value", pa.string())])
+        now, state, game_no, text, first = None, OUTSIDE, 0, [], True
+
+        def piece(whole):
+            return {"match_id": now[0], "file": now[1], "block": now[2], "game_no": game_no, "whole": whole and not first, "value": "\n".join(text)}
+
+        for batch in batches:
+            done = []
+            for key, a, z in runs(batch):
+                new = key != now
+                if new:
+                    if now is not None and text:
+                        done.append(piece(False))
+                    now, text, first = key, [], True
+                    state, game_no = batch.column("state")[a].as_py(), batch.column("before")[a].as_py()
+                lines = bare(batch.column("value").slice(a, z - a), new and key[2] == 0)
+                for c, line in zip(codes(lines), lines.to_pylist()):
+                    s = table[state][c]
+                    if s >= STARTS:
+                        if text:
+                            done.append(piece(True))
+                        s, text, first, game_no = s - STARTS, [], False, game_no + 1
+                    if s != OUTSIDE and (state == COMMENT or c // 4 != ESCAPE):
+                        text.append(line)
+                    state = s
+            yield pa.RecordBatch.from_pylist(done, schema)
+        if now is not None and text:
+            yield pa.RecordBatch.from_pylist([piece(False)], schema)
+
+    return summarise, cut
+
+
+def _composed(blocks: DataFrame) -> DataFrame:
+    """Blocks with ``state``, in which they begin, and ``games``, how many begin in them: a file's summaries in order."""
+    import pandas as pd
+
+    def compose(file: pd.DataFrame) -> pd.DataFrame:
+        file = file.sort_values("block", ignore_index=True)
+        states, games, state = [], [], 0
+        for ends, counts in zip(file["ends"], file["games"]):
+            states.append(state)
+            games.append(int(counts[state]))
+            state = int(ends[state])
+        return pd.DataFrame({"match_id": file["match_id"], "file": file["file"], "block": file["block"], "state": states, "games": games})
+
+    return blocks.groupBy("file").applyInPandas(compose, "match_id string, file string, block long, state int, games long")
 
 
 def read_games_text(spark: SparkSession, path: str, match_from_path: bool = True) -> DataFrame:
-    """One row per game text: (match_id, file, game_no, pgn); ``game_no`` counts the games of a match."""
-    raw = (spark.read.option("lineSep", GAME_SEPARATOR).text(path)
-           .select("*", F.col("_metadata.file_path").alias("file"),
-                   F.col("_metadata.file_block_start").alias("block"),
-                   F.monotonically_increasing_id().alias("seq")))
-    if "match_id" not in raw.columns:
+    """One row per game text: (match_id, file, game_no, pgn); ``game_no`` counts the games of a match.
+
+    Files are taken in the order of their paths.  ``%`` lines and whole-line ``;`` comments are left out, lines end in
+    a line feed, blank lines around a game go.
+    """
+    lines = (spark.read.text(path)
+             .select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")))
+    if "match_id" not in lines.columns:
         found = F.regexp_extract("file", r"match_id=([^/]+)", 1) if match_from_path else F.lit(None).cast("string")
-        raw = raw.withColumn("match_id", found)
-    raw = raw.withColumn("match_id", F.col("match_id").cast("string"))
-    numbered = file_order_numbers(raw, ["match_id"], row_number="game_no", preamble=True)
-    return numbered.select("match_id", "file", "game_no",
-                           F.concat(F.lit(GAME_SEPARATOR), F.rtrim(F.col("value"))).alias("pgn"))
+        lines = lines.withColumn("match_id", found)
+    lines = lines.select(F.col("match_id").cast("string").alias("match_id"), "file", "block", "value")
+    summarise, cut = _scanner()
+    blocks = _composed(lines.mapInArrow(summarise, SUMMARY))
+    before = Window.partitionBy("match_id").orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = cut_lineage(blocks.select(F.col("file").alias("b_file"), F.col("block").alias("b_block"), "state",
+                                       F.coalesce(F.sum("games").over(before), F.lit(0)).alias("before")), "text-blocks")
+    small = bounded_broadcast(blocks)
+    joined = lines.withColumn("seq", F.monotonically_increasing_id()).join(
+        small, (F.col("file") == F.col("b_file")) & (F.col("block") == F.col("b_block")))
+    if small is blocks:          # too many blocks to send: the lines meet theirs by shuffle and go back in order
+        joined = joined.repartition("file", "block").sortWithinPartitions("file", "block", "seq")
+    pieces = cut_lineage(joined.select(*BLOCK, "state", "before", "value").mapInArrow(cut, PIECE), "game-pieces")
+    joint = (pieces.where("NOT whole").groupBy("match_id", "game_no")
+             .agg(F.min("file").alias("file"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("file", "block", "value"))), lambda x: x["value"]), "\n").alias("value")))
+    games = pieces.where("whole").select("match_id", "file", "game_no", "value").unionByName(joint.select("match_id", "file", "game_no", "value"))
+    return games.select("match_id", "file", "game_no", F.regexp_replace("value", r"\s+$", "").alias("pgn"))
 
 
 def lookup_match(games: DataFrame, match_id: str, column: str = "moves_pgn") -> DataFrame:

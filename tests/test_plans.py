@@ -59,12 +59,12 @@ def test_running_totals_window_is_chunked(spark, monkeypatch):
 
 
 def test_game_numbers_do_not_shuffle_games(spark):
-    """Game numbers join a broadcast block table: no exchange carries the game text."""
+    """Whole games come from the cut table as they are; only the pieces at block borders are brought together."""
     from knightshift.operators import matches as M
     from knightshift.plans.pgn_fixture import pgn_files
     from knightshift.sources.pgn import read_games_text
     p = _plan(M.parse_games(read_games_text(spark, pgn_files(spark, SF_SMALL))))
-    assert "BroadcastHashJoin" in p and "SortMergeJoin" not in p
+    assert p.count("Exchange") == 1 and "SortMergeJoin" not in p and "isnotnull(whole" in p
 
 
 def test_result_reads_prune_partitions_and_columns(spark):

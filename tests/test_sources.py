@@ -82,6 +82,28 @@ def test_transcript_defaults(spark):
     assert got == [("s1", 1, "e2e4", 7, 100.0), ("s1", 2, "", 0, 0.0), ("s1", 3, "", 3, 10.0)]
 
 
+def test_positions_are_counted_by_question(spark):
+    from knightshift.sources.transcript import parse_transcript, read_transcripts
+    d = tempfile.mkdtemp(prefix="ks-go-")
+    sessions = {
+        "dies": "id name X\ngo movetime 9\n",                                       # before any info
+        "twice": "go\ninfo depth 4 nps 1\ngo\ninfo depth 6\nbestmove a1a2\n",       # two questions, one answer
+        "tail": "go\ninfo depth 5\nbestmove e2e4\ninfo string bye\ninfo depth 99\n", # text behind the last answer
+        "late": "go\nbestmove a1a2\ninfo depth 7 nps 3\ngo\nbestmove b1b2\nbestmove c1c2\n",   # read with the next question
+        "plain": "info depth 5\nbestmove e2e4\ninfo string bye\n",                  # logged without questions
+        "stops": "bestmove e2e4\ninfo nps 8\ngoing\n",
+    }
+    for name, text in sessions.items():
+        os.makedirs(f"{d}/session={name}")
+        with open(f"{d}/session={name}/t.txt", "w") as f:
+            f.write(text)
+    got = sorted(tuple(r) for r in parse_transcript(read_transcripts(spark, d)).collect())
+    assert got == sorted([
+        ("dies", 1, "", 0, 0.0), ("twice", 1, "", 4, 1.0), ("twice", 2, "a1a2", 6, 0.0), ("tail", 1, "e2e4", 5, 0.0),
+        ("late", 1, "a1a2", 0, 0.0), ("late", 2, "b1b2", 7, 3.0), ("plain", 1, "e2e4", 5, 0.0),
+        ("stops", 1, "e2e4", 0, 0.0), ("stops", 2, "", 0, 8.0)])
+
+
 def test_shards_cut_by_record_count(spark):
     from knightshift.sinks.files import write_shards
     d = tempfile.mkdtemp(prefix="ks-sh-")
@@ -125,6 +147,64 @@ def test_no_game_is_dropped_and_numbers_have_no_gap(spark):
     assert sorted(r.game_id for r in ids) == [f"m1_g{i}" for i in range(1, 6)]
 
 
+def _cut(spark, files, split=None):
+    """(game_no, text) of the games of some files, read in blocks of ``split`` bytes."""
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    if split:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        return sorted((r.game_no, r.pgn) for r in _games(spark, files).collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_tags_inside_comments_cut_no_game(spark):
+    one = '[Event "A"]\n[White "B"]\n\n1. e4 {as in [Event "Old"] } e5 2. Nf3'
+    two = '[White "C"]\n[Black "D"]\n\n1. d4 {a comment over lines\n\n[Event "none"]\n[White "none"]\n\nends} d5 *'
+    three = "1. c4 c5"                               # moves without any tag are a game
+    files = {"a.pgn": f"{one}\n\n{two}\n\n\n{three}\n"}
+    for split in (None, 40):                         # block borders inside comments, tags and blank lines
+        assert _cut(spark, files, split) == [(1, one), (2, two), (3, three)]
+    parsed = sorted((r.game_no, r.white, r.plies) for r in M.parse_games(_games(spark, files)).select("game_no", "white", "plies").collect())
+    assert parsed == [(1, "B", 3), (2, "C", 2), (3, None, 2)]
+
+
+def test_what_ends_a_game(spark):
+    head, more = '[Event "A"]', '[Site "x"]'
+    cases = [
+        (f"{head}\n\n{more}\n\n1. e4 *\n", 1),                # one blank line between tags
+        (f"{head}\n\n\n1. e4 *\n", 1),                        # two before the moves
+        (f"{head}\n\n\n{more}\n\n1. e4 *\n", 2),             # tags after two blank lines begin a game
+        (f"{head}\n1. e4 e5\n2. d4 *\n{head}\n1. c4\n", 2),   # tags right behind moves, too
+        (f"{head}\n\n1. e4 *\n \t\n2. d4\n", 2),              # moves behind a blank line are another game
+        (f"% escaped\n; note {{\n{head}\n; {{ no comment\n\n1. e4 ; {{ nor here\n\n{head}\n\n1. d4\n", 2),
+        (f"{head}\n\n1. e4 {{never closed\n\n{head}\n\n1. d4\n", 1),
+        (f"{head}\n[Broken tag\n{more}\n\n1. e4 }} e5 {{a}} {{b\n}} c5\n\n1. d4", 2),
+        ("\n\n \n% only this\n", 0), ("", 0),
+    ]
+    d = tempfile.mkdtemp(prefix="ks-ends-")
+    for k, (text, _) in enumerate(cases):
+        os.makedirs(f"{d}/match_id={k}")
+        with open(f"{d}/match_id={k}/a.pgn", "w") as f:
+            f.write(text)
+    got = {int(r.match_id): r["count"] for r in read_games_text(spark, d).groupBy("match_id").count().collect()}
+    assert got == {k: n for k, (_, n) in enumerate(cases) if n}
+
+
+def test_any_blocks_cut_the_same_games(spark):
+    """Random lines: every block size gives what one pass over the whole file gives."""
+    import random
+    rng = random.Random(6)
+    lines = ['[Event "m"]', '[White "a{"]', "[Bad", "", "", " ", "1. e4 {x", "} e5 {", "} ; {", "% p", "; q }", "2. d4 d5", "{a} {b}", "{", "}", "é {ü}"]
+    files = {f"{k}.pgn": "".join(rng.choice(lines) + rng.choice(["\n", "\n", "\r\n"]) for _ in range(90)) for k in "ab"}
+    whole = _cut(spark, files)
+    assert len(whole) > 10 and [n for n, _ in whole] == list(range(1, len(whole) + 1))
+    for split in (33, 200):
+        assert _cut(spark, files, split) == whole
+
+
 def test_variations_of_any_depth_are_left_out(spark):
     got, plies = _moves(spark, "1. e4 (1. d4 (1. c4 (1. b3 (1. a3 a6) b6) c5) d5) e5 2. Nf3")
     assert [m[0] for m in got] == ["e4", "e5", "Nf3"] and plies == 3
