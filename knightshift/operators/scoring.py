@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import DEFAULT_ENGINES, count_true, is_correct, round_half_away, safe_name
+from ..plans.joins import bounded_broadcast
 from .ordered import running_totals
 
+
 def score_answers(puzzles: DataFrame, answers: DataFrame, evaluated_at=None) -> DataFrame:
     """J3 + P7: join answers to their puzzle and mark them correct or wrong.
 
@@ -37,6 +39,36 @@ def resume_pending(work: DataFrame, done: DataFrame, keys=("run_id", "engine", "
     return work.join(done.select(*keys), list(keys), "left_anti")
 
 
+def resume_rows(puzzles: DataFrame, plan: DataFrame, checkpoints: DataFrame, done: DataFrame, min_rating: int | None = None,
+                max_puzzles: int | None = None, order: str = "pos") -> DataFrame:
+    """Rows of interrupted shards that are still to evaluate: (run_id, engine_id, shard, index, puzzle columns).
+
+    ``plan`` lists (run_id, engine_id, shard); ``checkpoints`` holds ``last_index`` of those that were interrupted,
+    ``done`` those with stored results.  Rows are counted from 0 in the order of their shard, behind the rating filter
+    and up to ``max_puzzles``, as they are read; a shard starts again at its ``last_index`` (0 without a checkpoint).
+    The plan is cut to open shards before it meets any puzzle, so finished shards are neither expanded nor shuffled.
+    """
+    keys = ["run_id", "engine_id", "shard"]
+    open_shards = (plan.select(*keys).join(bounded_broadcast(done.select(*keys).distinct()), keys, "left_anti")
+                   .join(bounded_broadcast(checkpoints.select(*keys, "last_index")), keys, "left")
+                   .withColumn("first", F.coalesce("last_index", F.lit(0))).drop("last_index"))
+    rows = puzzles if min_rating is None else puzzles.where(F.col("rating") >= min_rating)
+    place = Window.partitionBy("shard").orderBy(order)                # a shard has a bounded size
+    rows = rows.withColumn("index", (F.row_number().over(place) - 1).cast("bigint"))
+    if max_puzzles is not None:
+        rows = rows.where(F.col("index") < max_puzzles)
+    return rows.join(bounded_broadcast(open_shards), "shard").where(F.col("index") >= F.col("first")).drop("first")
+
+
+def resumed_results(recovered: DataFrame, fresh: DataFrame) -> DataFrame:
+    """The results of resumed shards: what the checkpoints held, counted from 0, then the rows evaluated since.
+
+    ``recovered`` as read by ``checkpoint_results``; columns that one side lacks are null.
+    """
+    held = recovered.withColumn("recovered", F.lit(True))
+    return held.unionByName(fresh.withColumn("recovered", F.lit(False)), allowMissingColumns=True)
+
+
 def normalize_engines(spec) -> list[str]:
     """Engine selection from a space/comma separated string or a list; defaults when empty."""
     if spec is None:

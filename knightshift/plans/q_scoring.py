@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from ..functions import columns as C
 from ..operators import scoring as S
+from ..session import scratch_path
+from ..sources import runs as RUNS
 from . import fixtures as fx
 from .registry import query
 
 SHARD_SIZE = 20          # puzzles per shard in the shard-level fixtures
 MIN_RATING_HARD = 2900   # rating filter of the shard report
+RESUME_RATING, RESUME_MOST, RESUME_INDEX = 1300, 15, 7   # rating filter, rows of a shard, row of the interruption
 
 
 def _with_shard(df):
@@ -39,6 +44,44 @@ def q_resume_pending(spark, d):
     return S.resume_pending(work, done)
 
 
+RESUME = f"""rows AS (
+  SELECT run_id, engine_id, shard, puzzle_id, engine_move, is_correct, pos,
+         row_number() OVER (PARTITION BY run_id, engine_id, shard ORDER BY pos) - 1 AS index
+  FROM (SELECT *, CAST(floor(pos / {SHARD_SIZE}) AS BIGINT) AS shard FROM fx_evals WHERE rating >= {RESUME_RATING}) t),
+cut AS (SELECT * FROM rows WHERE index < {RESUME_MOST}),
+state AS (SELECT *, run_id = 'run_a' AND shard % 3 = 0 AS saved, run_id = 'run_b' AND shard % 5 = 4 AS done FROM cut)"""
+
+
+@query("resume_from_checkpoints", f"""
+WITH {RESUME}
+SELECT run_id, engine_id, shard, index, puzzle_id, CASE WHEN saved AND index < {RESUME_INDEX} THEN 'saved' ELSE engine_move END AS engine_move,
+       CASE WHEN saved AND index < {RESUME_INDEX} THEN false ELSE is_correct END AS is_correct, saved AND index < {RESUME_INDEX} AS recovered
+FROM state WHERE NOT done""")
+def q_resume_from_checkpoints(spark, d):
+    """Interrupted at row 7 in every third shard of run_a, broken checkpoints in the shards behind these; some shards of run_b are done."""
+    evals = _with_shard(fx.fx_evals(spark, d))
+    place = Window.partitionBy("run_id", "engine_id", "shard").orderBy("pos")
+    numbered = evals.where(F.col("rating") >= RESUME_RATING).withColumn("index", F.row_number().over(place) - 1)
+    saved = numbered.where((F.col("run_id") == "run_a") & (F.col("shard") % 3 == 0) & (F.col("index") < RESUME_INDEX))
+    result = F.struct("run_id", "puzzle_id", F.lit("saved").alias("engine_move"), F.lit(False).alias("is_correct"))
+    docs = saved.groupBy("run_id", "engine_id", "shard").agg(
+        F.lit(RESUME_INDEX).alias("last_index"), F.transform(F.array_sort(F.collect_list(F.struct("index", result.alias("r")))), lambda x: x["r"]).alias("results"))
+    path = scratch_path(spark, "resume")
+    docs.write.mode("overwrite").partitionBy("engine_id", "shard").json(path)
+    broken = evals.where((F.col("run_id") == "run_a") & (F.col("shard") % 3 == 1)).select(
+        "engine_id", "shard", F.lit('{"run_id": "run_a", "last_index": 9, "results": [').alias("value")).distinct()
+    broken.write.mode("append").partitionBy("engine_id", "shard").text(path)
+    state = RUNS.read_checkpoint_state(spark, path)
+    plan = evals.select("run_id", "engine_id", "shard").distinct()
+    done = plan.where((F.col("run_id") == "run_b") & (F.col("shard") % 5 == 4))
+    work = S.resume_rows(_with_shard(fx.fx_puzzles(spark, d)), plan, state, done, RESUME_RATING, RESUME_MOST)
+    answers = fx.fx_answers(spark, d).select("run_id", "engine_id", "puzzle_id", "engine_move")
+    fresh = (work.select("run_id", "engine_id", "shard", "index", "puzzle_id", "solution").join(answers, ["run_id", "engine_id", "puzzle_id"])
+             .withColumn("is_correct", C.is_correct("engine_move", "solution")).drop("solution"))
+    out = S.resumed_results(RUNS.checkpoint_results(state), fresh)
+    return out.select("run_id", "engine_id", "shard", "index", "puzzle_id", "engine_move", "is_correct", "recovered")
+
+
 @query("filter_engines", """
 SELECT run_id, puzzle_id, engine, is_correct FROM fx_evals
 WHERE engine IN ('Stockfish 18', 'Lc0 v0.32.1')""")

@@ -73,3 +73,22 @@ def read_checkpoints(spark: SparkSession, path: str) -> DataFrame:
           .select("*", F.col("_metadata.file_path").alias("file")))
     ok = ck.where(F.col("run_id").isNotNull())
     return ok.select("last_index", "file", F.inline_outer("results"))
+
+
+def read_checkpoint_state(spark: SparkSession, path: str) -> DataFrame:
+    """One row per readable checkpoint: (engine_id, shard) from its folder, run_id, last_index (0 if absent), results.
+
+    Checkpoints lie below ``engine_id=<id>/shard=<n>``.  One that cannot be parsed is left out: its shard starts from 0.
+    """
+    schema = T.StructType([*CHECKPOINT_SCHEMA.fields, T.StructField("engine_id", T.StringType()), T.StructField("shard", T.LongType())])
+    ck = spark.read.schema(schema).option("mode", "PERMISSIVE").json(path)
+    empty = F.array().cast(CHECKPOINT_SCHEMA["results"].dataType)
+    return ck.where(F.col("run_id").isNotNull()).select(
+        "run_id", "engine_id", "shard", F.coalesce("last_index", F.lit(0)).alias("last_index"), F.coalesce("results", empty).alias("results"))
+
+
+def checkpoint_results(state: DataFrame) -> DataFrame:
+    """The results that checkpoints hold, with their ``index`` in the shard."""
+    own = state.select("run_id", "engine_id", "shard", F.posexplode("results").alias("index", "r"))
+    fields = [f.name for f in RESULT_SCHEMA.fields if f.name != "run_id"]
+    return own.select("run_id", "engine_id", "shard", F.col("index").cast("bigint").alias("index"), *[F.col(f"r.{c}").alias(c) for c in fields])
