@@ -12,6 +12,7 @@ from ..operators import quality as Q
 from ..operators import rollups as R
 from ..operators import telemetry as T
 from . import fixtures as fx
+from .model_fixture import checks_sql, model_tables
 from .registry import query
 
 LOSS_SQL = """loss AS (
@@ -173,6 +174,12 @@ def q_check_length(spark, d):
     return Q.union_all([Q.check_length(srcs[s], lim, t) for t, s, lim in LEN_CHECKS])
 
 
+@query("check_model", checks_sql())
+def q_check_model(spark, d):
+    """Every constraint of the twelve tables, over rows that break them."""
+    return Q.check_model(model_tables(spark, d))
+
+
 @query("normalize_evals", """
 SELECT DISTINCT replace(replace(lower(engine), ' ', '_'), '.', '_') AS engine_id, engine AS engine_name,
        CASE WHEN contains(lower(engine), 'lc0') OR contains(lower(engine), 'leela') THEN 'lc0'
