@@ -4,26 +4,33 @@ A text's set holds the distinct 64-bit hashes of its five-word shingles (one
 shingle of all words if there are fewer).  Texts of equal sets form a class; the
 join runs between classes, named by a 64-bit digest of the set.
 
-1. *Survey* (one pass): set size and class of every document, and a fixed-size
-   count sketch of shingle frequencies over all documents.
-2. *Rare first*: every set is ordered by sketched frequency, then by hash.  Two
-   sets that reach the threshold share a shingle in their prefixes of
-   n - ceil(t n) + 1 shingles; so only prefix shingles found in more than one
-   class (a map-side combined count) become *postings*.
+1. *Survey* (one pass over the texts): set size, class and parity sketch of every
+   document; and frequent shingles: each run of ``RUN`` shingles counts those it
+   holds more than once, the counts are summed over all runs, and the
+   ``HEAVY`` largest are known by their counts from then on.
+2. *Rare first* (a second pass): every set is ordered by these counts (0 for all
+   other shingles), then by hash.  Two sets that reach the threshold share a
+   shingle in their prefixes of n - ceil(t n) + 1 shingles.  The prefixes travel
+   once, as packed arrays dealt by shingle (frequent ones by shingle and class, so
+   that no list gathers in one task); shingles of one class alone are left out,
+   the others are *postings*.  Of lists of the same classes one is kept: a
+   pair's bounds hold at any common shingle.
 3. *Candidates* come from joining postings on the shingle, under the length
-   filter and the positional filter.  To keep a large group of near copies
-   linear, five rounds link each class only to a seeded leader of the posting
-   list; the last round then takes all remaining pairs of a list whose classes
-   are still in different components.  Links inside a component cannot change it.
-4. *Verification*, once per pair: a suffix filter (a lower bound of the Hamming
-   distance from counts per hash range, in proportion to the set) drops
-   hopeless pairs; the sets of the others are built from their texts, joined
-   and intersected.
-
-Components are closed by joins on (node, label) pairs.  All intermediate
-tables are written below ``spark.checkpoint.dir``.  Nothing is capped: a pair is
+   filter, the positional filter and a first suffix filter on 512 parities.  To
+   keep a large group of near copies linear, three rounds link each class only
+   to the nearest of the leaders of its lists; the last round then takes the
+   remaining pairs whose classes are still in different components, long lists in
+   blocks, each pair at its first common list.  Links inside a component cannot
+   change it.
+4. *Verification*, once per pair: a suffix filter (parities in proportion to the
+   set: two sets differ in at least as many shingles as in parities) drops hopeless
+   pairs; the sets of the others are built from their texts and intersected.
+
+Components are closed by joins on (node, label) pairs, over the components that
+a round has linked.  All intermediate tables are written below
+``spark.checkpoint.dir`` and deleted once used.  Nothing is capped: a pair is
 left out only if a filter proves it below the threshold or its classes are
-already connected.
+already connected; the frequent shingles steer the order only.
 
 Edge cases: null, empty and wordless texts have the empty set and link with
 nothing, so each is its own component; very long texts are read whole; repeated
@@ -43,20 +50,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from knightshift.plans.joins import bounded_broadcast
-from knightshift.session import cut_lineage
+from knightshift.session import cut_lineage, discard
 
+from .common import join_groups
 from .textblocks import LOWER, blocks, find_words, hash_words, mix, split_offsets
 
 SHINGLE = 5
 PERCENT = 75
-SKETCH_BITS = 16
-LEAST_PART_BITS = 6              # hash ranges of the suffix filter: at least 2^6, and about
-PART_SIZE = 4                    # so many shingles a range
-LEADER_ROUNDS = (0, 0x5DEECE66D1234567, 0x2545F4914F6CDD1D, 0x1B8735939E3779B9, 0x6A09E667F3BCC908)
+RUN = 4_000_000                  # shingles among which repeated ones are counted
+HEAVY = 1 << 20                  # frequent shingles whose counts order the sets (12 MB in every task)
+LEAST_BITS = 512                 # parities of the smallest sketch, a power of two
+PACK = 1 << 20                   # prefix shingles packed at a time
+PER_TASK = 2_000_000             # prefix shingles of one range of shingles
+LIST_BLOCK = 1024                # classes of a list that one key of the last round holds
+PAIRS_PER_TASK = 20_000_000
+LEADER_ROUNDS = (0, 0x5DEECE66D1234567, 0x2545F4914F6CDD1D)
 BROADCAST_BYTES = 64 << 20       # of a broadcast side, measured
 
 _U = np.uint64
 _STEP = mix(np.arange(1, SHINGLE + 1, dtype=_U)) | _U(1)
+POSTING = np.dtype([("token", "<i8"), ("cls", "<i8"), ("n", "<i4"), ("pos", "<i4")])
 
 
 def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
@@ -88,93 +101,175 @@ def _columns(rows: list, *kinds: pa.DataType) -> list[pa.Array]:
     return [pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * len(kinds), kinds)]
 
 
+def parities(own: np.ndarray) -> np.ndarray:
+    """Parity of the number of shingles in each of a power of two of hash classes, at least two a shingle, as 64-bit words."""
+    bits = max(LEAST_BITS, 1 << int(np.ceil(np.log2(max(1, 2 * len(own))))))
+    odd = np.bincount((own & _U(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def survey(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """Rows (kind 0: id, class, set size) of all documents and (kind 1: sketch cell, -, count) of every task.
+    """Rows (kind 0: id, class, set size, parities) of all documents and (kind 1: shingle, -, count) of every run.
 
-    A task counts a class's shingles once; the sketch steers the order only, so a class that several tasks
-    count does no harm.
+    A task counts a class's shingles once and gives its parities once; the counts steer the order only, so a
+    class that several tasks count does no harm.
     """
+    names = ["kind", "id", "cls", "n", "sig"]
+
+    def repeated(held: list[np.ndarray]) -> pa.RecordBatch:
+        own = np.sort(np.concatenate(held)) if held else np.zeros(0, _U)
+        first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1]))) if len(own) else np.zeros(0, np.int64)
+        count = np.diff(np.append(first, len(own)))
+        token, count = own[first[count > 1]], count[count > 1]
+        return pa.RecordBatch.from_arrays([pa.array(np.ones(len(token)), pa.int8()), pa.array(token.view(np.int64)), pa.array(np.zeros(len(token)), pa.int64()),
+                                           pa.array(count, pa.int64()), pa.nulls(len(token), pa.list_(pa.int64()))], names=names)
+
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, seen = np.zeros(1 << SKETCH_BITS, np.int64), set()
+        seen: set[int] = set()
+        held: list[np.ndarray] = []
+        size = 0
         for batch in batches:
-            classes, sizes = [], []
+            classes, sizes, signs = [], [], []
             for own in shingle_sets(batch.column(1)):
                 name = class_of(own)
+                new = len(own) > 0 and name not in seen
                 classes.append(name)
                 sizes.append(len(own))
-                if name not in seen:
+                signs.append(parities(own) if new else None)
+                if new:
                     seen.add(name)
-                    counts += np.bincount((own >> _U(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts)) \
-                        if len(own) > 4096 else 0
-                    if len(own) <= 4096:
-                        np.add.at(counts, (own >> _U(64 - SKETCH_BITS)).astype(np.int64), 1)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sizes)), pa.int8()), batch.column(0),
-                                              pa.array(classes, pa.int64()), pa.array(sizes, pa.int64())],
-                                             names=["kind", "id", "cls", "n"])
-        cells = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(cells)), pa.int8()), pa.array(cells, pa.int64()),
-                                          pa.array(np.zeros(len(cells)), pa.int64()), pa.array(counts[cells], pa.int64())],
-                                         names=["kind", "id", "cls", "n"])
+                    held.append(own)
+                    size += len(own)
+                    if size >= RUN:
+                        yield repeated(held)
+                        held, size = [], 0
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sizes)), pa.int8()), batch.column(0), pa.array(classes, pa.int64()),
+                                              pa.array(sizes, pa.int64()), pa.array(signs, pa.list_(pa.int64()))], names=names)
+        yield repeated(held)
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
-    return rows.mapInArrow(look, "kind byte, id long, cls long, n long")
-
-
-def rarity(surveyed: DataFrame) -> np.ndarray:
-    """The summed sketch: 2^SKETCH_BITS counts, whatever the input."""
-    counts = np.zeros(1 << SKETCH_BITS, np.int64)
-    cells = surveyed.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n"))
-    for r in cells.toLocalIterator():
-        counts[r["id"]] = r["n"]
-    return counts
-
-
-def prefix(own: np.ndarray, counts: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """The rare-first prefix of a set."""
+    return rows.mapInArrow(look, "kind byte, id long, cls long, n long, sig array<long>")
+
+
+def frequent(surveyed: DataFrame, most: int = HEAVY) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of the largest counts, at most ``most``, sorted by hash, and their counts."""
+    counts = cut_lineage(surveyed.where("kind = 1").groupBy(F.col("id").alias("token")).agg(F.sum("n").alias("n")), "shingle-counts")
+    how_many, least = 0, None
+    for r in counts.groupBy("n").count().orderBy(F.desc("n")).limit(100_000).toLocalIterator():
+        how_many += r["count"]
+        if how_many > most:
+            break
+        least = r["n"]
+    if least is None:
+        return np.zeros(0, _U), np.zeros(0, np.int32)
+    table = counts.where(F.col("n") >= least).toArrow()
+    token, n = table.column("token").to_numpy().view(_U), np.minimum(table.column("n").to_numpy(), (1 << 31) - 1).astype(np.int32)
+    discard(counts)
+    order = np.argsort(token)
+    return token[order], n[order]
+
+
+def prefix(own: np.ndarray, heavy: tuple[np.ndarray, np.ndarray], percent: int = PERCENT) -> tuple[np.ndarray, int]:
+    """The rare-first prefix of a set, and how many of its shingles are not frequent."""
     n = len(own)
     length = n - -(-percent * n // 100) + 1 if n else 0
-    order = np.lexsort((own, counts[(own >> _U(64 - SKETCH_BITS)).astype(np.int64)]))
-    return own[order[:length]]
-
-
-def prefix_postings(docs: DataFrame, text: str, counts: np.ndarray, percent: int) -> DataFrame:
-    """Rows (token, cls, n, pos) for the prefix of each class, once per task and class."""
-    shared = docs.sparkSession.sparkContext.broadcast(counts)
-
-    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    keys, counts = heavy
+    if not len(keys):
+        return own[:length], length
+    at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+    known = keys[at] == own
+    light = own[~known][:length]
+    if len(light) == length:
+        return light, length
+    rest = own[known]
+    return np.concatenate((light, rest[np.lexsort((rest, counts[at[known]]))[:length - len(light)]])), len(light)
+
+
+def packed_prefixes(docs: DataFrame, text: str, heavy: tuple[np.ndarray, np.ndarray], ranges: int, percent: int) -> DataFrame:
+    """Prefixes of each class, once per task and class, as arrays of POSTING dealt into ``ranges``.
+
+    Rows (range, frequent, data): a shingle that is not frequent lies in one range, the postings of a frequent one in all.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(heavy)
+
+    def flush(tokens: list, light: list, names: list, sizes: list) -> Iterator[pa.RecordBatch]:
+        each = np.array([len(t) for t in tokens], dtype=np.int64)
+        if not each.sum():
+            return
+        out = np.empty(int(each.sum()), POSTING)
+        out["token"] = np.concatenate(tokens).view(np.int64)
+        out["cls"], out["n"] = np.repeat(np.array(names, np.int64), each), np.repeat(np.array(sizes, np.int32), each)
+        out["pos"] = np.arange(len(out)) - np.repeat(np.cumsum(each) - each, each)
+        often = out["pos"] >= np.repeat(np.array(light, np.int64), each)
+        key = np.where(often, mix(out["token"].view(_U) ^ mix(out["cls"].view(_U))), out["token"].view(_U))
+        bucket = ((key >> _U(32)) * _U(ranges) >> _U(32)).astype(np.int64) * 2 + often
+        order = np.argsort(bucket, kind="stable")
+        out, bucket = out[order], bucket[order]
+        first = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+        data = [out[a:z].tobytes() for a, z in zip(first, np.append(first[1:], len(out)))]
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[first] // 2, pa.int32()), pa.array(bucket[first] % 2 == 1), pa.array(data, pa.binary())],
+                                         names=["range", "frequent", "data"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        tokens, light, names, sizes, held = [], [], [], [], 0
         for batch in batches:
-            tokens, names, sizes = [np.zeros(0, _U)], [], []
             for own in shingle_sets(batch.column(0)):
                 name = class_of(own)
-                if name not in seen and len(own):
-                    seen.add(name)
-                    tokens.append(prefix(own, shared.value, percent))
-                    names.append(name)
-                    sizes.append(len(own))
-            each = np.array([len(t) for t in tokens[1:]], dtype=np.int64)
-            first = np.cumsum(each) - each
-            pos = np.arange(int(each.sum())) - np.repeat(first, each)
-            yield pa.RecordBatch.from_arrays([
-                pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(np.array(names, np.int64), each)),
-                pa.array(np.repeat(np.array(sizes, np.int32), each)), pa.array(pos.astype(np.int32))],
-                names=["token", "cls", "n", "pos"])
-
-    return docs.select(F.col(text).alias("text")).mapInArrow(post, "token long, cls long, n int, pos int")
-
+                if name in seen or not len(own):
+                    continue
+                seen.add(name)
+                first, plain = prefix(own, shared.value, percent)
+                tokens.append(first)
+                light.append(plain)
+                names.append(name)
+                sizes.append(len(own))
+                held += len(first)
+                if held >= PACK:
+                    yield from flush(tokens, light, names, sizes)
+                    tokens, light, names, sizes, held = [], [], [], [], 0
+        yield from flush(tokens, light, names, sizes)
 
-def _parts(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Counts per hash range, about PART_SIZE a range, and the same with half as many ranges."""
-    bits = max(LEAST_PART_BITS, int(np.ceil(np.log2(max(1, len(own) / PART_SIZE)))))
-    fine = np.bincount((own >> _U(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.int32)
-    return fine, fine.reshape(-1, 2).sum(axis=1)
+    return docs.select(F.col(text).alias("text")).mapInArrow(pack, "range int, frequent boolean, data binary")
 
 
-def signatures_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One range: distinct postings of the frequent shingles, and of the others that more than one class holds."""
+    held: dict[bool, list[np.ndarray]] = {False: [], True: []}
     for batch in batches:
-        rows = [(class_of(own), *_parts(own)) for own in shingle_sets(batch.column(0)) if len(own)]
-        yield pa.RecordBatch.from_arrays(_columns(rows, pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())),
-                                         names=["cls", "parts", "coarse"])
+        for often, data in zip(batch.column(1).to_pylist(), batch.column(2)):
+            held[often].append(np.frombuffer(data.as_buffer(), POSTING).copy())
+    for often, parts in held.items():
+        if not parts:
+            continue
+        own = np.concatenate(parts)
+        parts.clear()
+        own = own[np.lexsort((own["cls"], own["token"]))]
+        fresh = np.concatenate(([True], (own["token"][1:] != own["token"][:-1]) | (own["cls"][1:] != own["cls"][:-1])))
+        own = own[fresh]
+        if not often:
+            same = own["token"][1:] == own["token"][:-1]
+            own = own[np.append(same, False) | np.append(False, same)]
+        for a in range(0, len(own), 100_000):
+            part = own[a:a + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(part[c])) for c in POSTING.names], names=list(POSTING.names))
+
+
+def postings_of(docs: DataFrame, text: str, surveyed: DataFrame, percent: int) -> DataFrame:
+    """Rows (token, cls, n, pos, k): prefix shingles of more than one class, one list of each set of classes; k classes each."""
+    heavy = frequent(surveyed)
+    total = surveyed.where("kind = 0").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] * (100 - percent) // 100
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = max(1, -(-total // PER_TASK), min(tasks, total // 10_000))
+    packs = packed_prefixes(docs, text, heavy, ranges, percent).repartitionById(ranges, F.col("range"))
+    every = cut_lineage(packs.mapInArrow(unpacked, "token long, cls long, n int, pos int"), "postings")
+    sign = lambda seed: F.bit_xor(F.xxhash64(F.lit(seed), F.col("cls")))
+    lists = every.groupBy("token").agg(F.count(F.lit(1)).alias("k"), sign(1).alias("x"), sign(2).alias("y")).where("k > 1")
+    kept = cut_lineage(lists.groupBy("k", "x", "y").agg(F.min("token").alias("kept")).select("kept", "k"), "lists")
+    out = cut_lineage(join_groups(every, kept, F.col("token") == F.col("kept"), "kept", "k", every.count(), BROADCAST_BYTES)
+                      .select("token", "cls", "n", "pos", "k"), "one-of-equal-lists")
+    discard(every, kept)
+    return out
 
 
 def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,79 +289,103 @@ def of_classes(docs: DataFrame, id_col: str, text: str, wanted: DataFrame, build
     return made.join(bounded_broadcast(wanted.select("cls"), BROADCAST_BYTES), "cls", "left_semi")
 
 
-def overlap_needed(n: Column, m: Column, percent: int) -> Column:
+def overlap_needed(n: str, m: str, percent: int) -> Column:
     """The smallest intersection of sets of n and m shingles that reaches the threshold."""
-    x, d = (n + m).cast("long") * percent, F.lit(100 + percent)
-    return ((x + F.pmod(-x, d)) / d).cast("long")
+    return F.expr(f"(({n} + {m}) * {percent}L + {99 + percent}) div {100 + percent}")
 
 
 def may_reach(a: str, b: str, percent: int) -> Column:
     """Length filter and positional filter for a common prefix shingle."""
     n, m, i, j = F.col(f"{a}.n"), F.col(f"{b}.n"), F.col(f"{a}.pos"), F.col(f"{b}.pos")
-    length = F.least(n, m) * 100 >= F.greatest(n, m) * percent
+    length = F.least(n, m) * F.lit(100).cast("long") >= F.greatest(n, m) * F.lit(percent).cast("long")
     bound = F.least(i, j) + 1 + F.least(n - i, m - j) - 1
-    return length & (bound >= overlap_needed(n, m, percent))
+    return length & (bound >= overlap_needed(f"{a}.n", f"{b}.n", percent))
 
 
-def labelled(postings: DataFrame, labels: DataFrame | None) -> DataFrame:
+def with_roots(postings: DataFrame, labels: DataFrame | None) -> DataFrame:
     """Postings with the component (``root``) of their class."""
     if labels is None:
         return postings.withColumn("root", F.col("cls"))
     return postings.join(labels, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
 
 
-def _pair(a: str, b: str) -> list[Column]:
-    x, y = F.col(f"{a}.cls"), F.col(f"{b}.cls")
-    swap = x > y
-    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b"),
-            F.when(swap, F.col(f"{b}.n")).otherwise(F.col(f"{a}.n")).alias("n"),
-            F.when(swap, F.col(f"{a}.n")).otherwise(F.col(f"{b}.n")).alias("m")]
+def mixed_lists(posted: DataFrame, rank: Column) -> DataFrame:
+    """Lists of more than one component: (list, classes, lead), the leader being the class of the least ``rank``."""
+    lead = F.min(F.struct(rank.alias("r"), "cls", "n", "pos", "root"))
+    return (posted.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("k").alias("classes"), lead.alias("lead"))
+            .where("lo <> hi").select(F.col("token").alias("list"), "classes", "lead"))
 
 
 def leader_pairs(posted: DataFrame, seed: int, percent: int) -> DataFrame:
-    """Each class of a posting list with the list's seeded leader, if they lie in different components."""
-    rank = F.col("cls").bitwiseXOR(F.lit(seed))
-    lead = (posted.groupBy("token")
-            .agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.struct(rank.alias("r"), "cls", "n", "pos", "root")).alias("lead"))
-            .where("lo <> hi").select("token", "lead.cls", "lead.n", "lead.pos", "lead.root"))
-    return (posted.alias("x").join(lead.alias("y"), (F.col("x.token") == F.col("y.token"))
-                                   & (F.col("x.root") != F.col("y.root")) & may_reach("x", "y", percent))
-            .select(*_pair("x", "y")).distinct())
+    """Each class of a posting list with the list's seeded leader, if they lie in different components: (a, b the leader, n, m)."""
+    lists = cut_lineage(mixed_lists(posted, F.col("cls").bitwiseXOR(F.lit(seed))), "leaders")
+    joined = join_groups(posted, lists, F.col("token") == F.col("list"), "list", "classes", posted.count(), BROADCAST_BYTES)
+    x = joined.select(F.struct("cls", "n", "pos", "root").alias("x"), F.col("lead").alias("y"))
+    return (x.where((F.col("x.root") != F.col("y.root")) & may_reach("x", "y", percent))
+            .select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"), F.col("x.n").alias("n"), F.col("y.n").alias("m")).distinct())
+
 
+def remaining_pairs(posted: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
+    """All pairs of a posting list that lie in different components and pass the filters, each at its first common list.
 
-def remaining_pairs(posted: DataFrame, percent: int) -> DataFrame:
-    """All pairs of a posting list that lie in different components and pass the filters."""
-    mixed = posted.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
-    left = cut_lineage(posted.join(mixed, "token", "left_semi"), "mixed-lists")
-    return (left.alias("x").join(left.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.cls") < F.col("y.cls"))
-                                 & (F.col("x.root") != F.col("y.root")) & may_reach("x", "y", percent))
-            .select(*_pair("x", "y")).distinct())
+    A list of more than ``LIST_BLOCK`` classes is cut into blocks; every class meets every block, in a task of its own.
+    """
+    lists = cut_lineage(mixed_lists(posted, F.lit(0)).select("list", "classes"), "mixed-lists")
+    own = join_groups(posted, lists, F.col("token") == F.col("list"), "list", "classes", posted.count(), BROADCAST_BYTES)
+    own = cut_lineage(own.select("token", "cls", "n", "pos", "root", F.ceil(F.col("classes") / LIST_BLOCK).cast("int").alias("parts")), "mixed-postings")
+    held = own.groupBy("cls").agg(F.collect_list("token").alias("lists"))          # at most the class's prefix
+    words = F.expr(f"transform(sequence(0, {LEAST_BITS // 64 - 1}), j -> aggregate(sequence(j, size(sig) - 1, {LEAST_BITS // 64}), 0L, (x, i) -> x ^ sig[i]))")
+    known = signatures.select("cls", words.alias("w")).select("cls", *[F.col("w")[j].alias(f"w{j}") for j in range(LEAST_BITS // 64)])
+    rows = cut_lineage(own.join(known.join(held, "cls"), "cls"), "signed-postings")
+    part = F.pmod(F.xxhash64("cls"), F.col("parts").cast("long")).cast("int")
+    # the work is in the pairs looked at, not in the bytes: the tasks are set by their number
+    looked_at = lists.agg(F.coalesce(F.sum(F.col("classes") * F.col("classes")), F.lit(0))).first()[0]
+    tasks = max(int(posted.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-looked_at // PAIRS_PER_TASK))
+    left = rows.withColumn("part", part).repartition(tasks, "token", "part")
+    right = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).repartition(tasks, "token", "part")
+    x, y = left.alias("x"), right.alias("y")
+    apart = sum((F.bit_count(F.col(f"x.w{j}").bitwiseXOR(F.col(f"y.w{j}"))) for j in range(1, LEAST_BITS // 64)),
+                F.bit_count(F.col("x.w0").bitwiseXOR(F.col("y.w0"))))
+    n, m = F.col("x.n"), F.col("y.n")
+    first = F.array_min(F.array_intersect("x.lists", "y.lists")) == F.col("x.token")
+    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.cls") < F.col("y.cls"))
+                   & (F.col("x.root") != F.col("y.root")) & may_reach("x", "y", percent)
+                   & (apart <= n + m - 2 * overlap_needed("x.n", "y.n", percent)) & first)
+    out = cut_lineage(pairs.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"), n.alias("n"), m.alias("m")), "pairs")
+    discard(lists, own, rows)
+    return out
 
 
 def hopeful_pairs(pairs: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
-    """Suffix filter: pairs whose counts per hash range allow an intersection that reaches the threshold."""
-    need = overlap_needed(F.col("n"), F.col("m"), percent)
-    apart = lambda p, q: F.aggregate(F.zip_with(p, q, lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
-    same, finer = F.size("p") == F.size("q"), F.size("p") == 2 * F.size("q")
-    distance = (F.when(same, apart("p", "q")).when(finer, apart("pc", "q"))
-                .when(F.size("q") == 2 * F.size("p"), apart("p", "qc")).otherwise(F.lit(0)))
-    return (pairs.join(signatures.select(F.col("cls").alias("a"), F.col("parts").alias("p"), F.col("coarse").alias("pc")), "a")
-            .join(signatures.select(F.col("cls").alias("b"), F.col("parts").alias("q"), F.col("coarse").alias("qc")), "b")
-            .where(distance <= F.col("n") + F.col("m") - 2 * need).select("a", "b", "n", "m").distinct())
+    """Suffix filter: pairs whose parities allow an intersection that reaches the threshold, with their distance (``apart``).
+
+    Of two sketches the longer, twice as long at most at this threshold, is folded; longer ones still prove nothing.
+    """
+    need = overlap_needed("n", "m", percent)
+    apart = lambda p, q: F.aggregate(F.zip_with(p, q, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    half = lambda p: F.zip_with(F.slice(p, F.lit(1), (F.size(p) / 2).cast("int")), F.slice(p, (F.size(p) / 2 + 1).cast("int"), (F.size(p) / 2).cast("int")),
+                                lambda x, y: x.bitwiseXOR(y))
+    p, q = F.col("p"), F.col("q")
+    distance = (F.when(F.size(p) == F.size(q), apart(p, q)).when(F.size(p) == 2 * F.size(q), apart(half(p), q))
+                .when(F.size(q) == 2 * F.size(p), apart(p, half(q))).otherwise(F.lit(0)))
+    return (pairs.join(signatures.select(F.col("cls").alias("a"), F.col("sig").alias("p")), "a")
+            .join(signatures.select(F.col("cls").alias("b"), F.col("sig").alias("q")), "b")
+            .select("a", "b", "n", "m", distance.alias("apart")).where(F.col("apart") <= F.col("n") + F.col("m") - 2 * need))
 
 
 def verified(hopeful: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The intersection of each pair's sets: pairs (a, b, common) that reach the threshold.
+    """The intersection of each pair's sets: pairs (a, b) that reach the threshold.
 
-    Only the sets of these pairs travel; the pairs are sent to the sets if they measure small.
+    The pairs are sent to the sets if they measure small; a set travels once per pair to its partner ``b``, whose
+    own set is sent to all tasks if it has very many partners.
     """
-    need = overlap_needed(F.col("n"), F.col("m"), percent)
+    need = overlap_needed("n", "m", percent)
     sent = bounded_broadcast(hopeful, BROADCAST_BYTES)
     first = sets.join(sent, F.col("cls") == F.col("a")).select("a", "b", "n", "m", F.col("own").alias("s"))
-    second = sets.join(sent, F.col("cls") == F.col("b")).select("a", "b", F.col("own").alias("t"))
-    common = F.size(F.array_intersect("s", "t"))
-    return (first.join(second, ["a", "b"]).withColumn("common", common).where(F.col("common") >= need)
-            .select("a", "b", "common").distinct())
+    asked = hopeful.groupBy("b").agg(F.count(F.lit(1)).alias("asked"))
+    second = sets.join(bounded_broadcast(asked, BROADCAST_BYTES), F.col("cls") == F.col("b")).select(F.col("b").alias("partner"), "asked", F.col("own").alias("t"))
+    met = join_groups(first, second, F.col("b") == F.col("partner"), "partner", "asked", hopeful.count(), BROADCAST_BYTES // 4)
+    return met.where(F.size(F.array_intersect("s", "t")) >= need).select("a", "b")
 
 
 def close(edges: DataFrame) -> DataFrame:
@@ -291,42 +410,56 @@ def close(edges: DataFrame) -> DataFrame:
             return now.select(F.col("u").alias("cls"), F.col("v").alias("root"))   # every edge leads to a root
 
 
+def relabelled(labels: DataFrame | None, found: DataFrame) -> DataFrame:
+    """Labels (cls, root) after the links ``found``: only the components that they join are closed anew."""
+    if labels is None:
+        return close(found)
+    root = lambda side, name: labels.select(F.col("cls").alias(side), F.col("root").alias(name))
+    between = (found.join(root("a", "ra"), "a", "left").join(root("b", "rb"), "b", "left")
+               .select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")).where("a <> b").distinct())
+    moved = close(between)
+    old = labels.join(moved.select(F.col("cls").alias("root"), F.col("root").alias("top")), "root", "left")
+    return cut_lineage(old.select("cls", F.coalesce("top", "root").alias("root")).unionByName(moved), "labels")
+
+
 def components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """One row per input row: id, n_shingles, component_id (smallest id reachable by links)."""
     surveyed = cut_lineage(survey(docs, id_col, text), "survey")
     members = surveyed.where("kind = 0").select("id", "cls", "n")
-    counts = rarity(surveyed)
-
-    posted = prefix_postings(docs, text, counts, percent)
-    shared = cut_lineage(posted.groupBy("token").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"))
-                         .where("lo <> hi").select("token"), "shared-shingles")
-    postings = cut_lineage(posted.join(bounded_broadcast(shared, BROADCAST_BYTES), "token", "left_semi").distinct(), "postings")
-    wanted = cut_lineage(members.join(postings.select("cls").distinct(), "cls").groupBy("cls").agg(F.min("id").alias("rep")),
-                         "candidates")
-    signatures = cut_lineage(of_classes(docs, id_col, text, wanted, signatures_of, "cls long, parts array<int>, coarse array<int>"),
-                             "signatures")
-
-    links, tried, labels = None, None, None
+    postings = postings_of(docs, text, surveyed, percent)
+    listed = cut_lineage(postings.select("cls").distinct(), "listed")
+    candidate = bounded_broadcast(listed, BROADCAST_BYTES)
+    wanted = cut_lineage(members.join(candidate, "cls").groupBy("cls").agg(F.min("id").alias("rep")), "candidates")
+    signatures = cut_lineage(surveyed.where("sig IS NOT NULL").select("cls", "sig").join(candidate, "cls", "left_semi")
+                             .dropDuplicates(["cls"]), "signatures")
+
+    tried, labels = None, None
     for seed in (*LEADER_ROUNDS, None):
-        now = labelled(postings, labels)
-        pairs = remaining_pairs(now, percent) if seed is None else leader_pairs(now, seed, percent)
+        now = with_roots(postings, labels)
+        pairs = remaining_pairs(now, signatures, percent) if seed is None else leader_pairs(now, seed, percent)
         if tried is not None:
-            pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
-        pairs = cut_lineage(pairs, "pairs")
-        hopeful = cut_lineage(hopeful_pairs(pairs, signatures, percent), "hopeful")
+            pairs = pairs.join(tried, ["a", "b"], "left_anti").join(tried.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
+        hopeful = hopeful_pairs(pairs, signatures, percent)
+        if seed is not None:      # of the leaders of its lists a class tries the nearest
+            nearest = hopeful.groupBy("a").agg(F.min_by(F.struct("b", "n", "m"), F.struct("apart", "b")).alias("x"))
+            hopeful = nearest.select("a", "x.*")
+        hopeful = cut_lineage(hopeful.select("a", "b", "n", "m"), "hopeful")
         needed = cut_lineage(hopeful.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(wanted, "cls"), "needed")
-        sets = cut_lineage(of_classes(docs, id_col, text, needed, sets_of, "cls long, own array<long>"), "sets")
+        sets = cut_lineage(of_classes(docs, id_col, text, needed, sets_of, "cls long, own array<long>").dropDuplicates(["cls"]), "sets")
         found = cut_lineage(verified(hopeful, sets, percent), "links")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        links = found if links is None else links.unionByName(found)
-        labels = close(links)
-
-    rooted = (members.where("n > 0").join(labels, "cls", "left")
-              .select("id", "n", F.coalesce("root", "cls").alias("root")))
-    smallest = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
-    linked = rooted.join(smallest, "root").select("id", "n", "component_id")
+        discard(sets, needed)
+        labels = relabelled(labels, found)
+        tried = hopeful.select("a", "b") if tried is None else tried.unionByName(hopeful.select("a", "b"))
+
+    # classes first, so that a class of very many copies meets its component's smallest id without a shuffle of its rows
+    classes = cut_lineage(members.where("n > 0").groupBy("cls").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("k"))
+                          .join(labels, "cls", "left").withColumn("root", F.coalesce("root", "cls")), "classes")
+    smallest = classes.groupBy(F.col("root").alias("top")).agg(F.min("least").alias("component_id"))
+    linked = classes.join(smallest, F.col("root") == F.col("top")).select(F.col("cls").alias("of"), "k", "component_id")
+    discard(postings, listed, wanted, signatures)
+    own = join_groups(members.where("n > 0"), cut_lineage(linked, "component-ids"), F.col("cls") == F.col("of"), "of", "k", members.count(), BROADCAST_BYTES)
     alone = members.where("n = 0").select("id", "n", F.col("id").alias("component_id"))
-    return linked.unionByName(alone).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+    return own.select("id", "n", "component_id").unionByName(alone).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
