@@ -5,13 +5,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.board import apply_move
 from ..functions.columns import py_int
+from ..plans.joins import bounded_broadcast
 from ..session import cut_lineage
 from .ordered import running_totals
 
 ORDER = ["file", "block", "seq"]
+PLACE_BITS = 36             # of the packed order: places in a block
 STATUSES = ["short_row", "bad_number", "below_rating", "below_popularity", "few_moves", "bad_position", "accepted"]
 
 
@@ -84,15 +87,27 @@ def reject_counts(classified: DataFrame) -> DataFrame:
     return classified.groupBy("status").agg(F.count(F.lit(1)).alias("rows"))
 
 
-def dedupe_first(rows: DataFrame, key: str = "puzzle_id", order=ORDER) -> DataFrame:
+def packed_order(rows: DataFrame, into: str) -> DataFrame:
+    """``rows`` with their stream order (file, block, seq) as one long: number of the block, then place in the block.
+
+    ``rows`` should be a written table.  Blocks are numbered in a table of their own, one row each, that is sent to the rows.
+    """
+    blocks = rows.groupBy("file", "block").agg(F.min("seq").alias("__first"))
+    numbered = blocks.select(F.col("file").alias("__f"), F.col("block").alias("__b"), "__first",
+                             F.row_number().over(Window.orderBy("file", "block")).cast("long").alias("__no"))
+    joined = rows.join(bounded_broadcast(numbered), (F.col("file") == F.col("__f")) & (F.col("block") == F.col("__b")))
+    return joined.withColumn(into, F.shiftleft("__no", PLACE_BITS) + F.col("seq") - F.col("__first")).drop("__f", "__b", "__first", "__no")
+
+
+def dedupe_first(rows: DataFrame, key: str = "puzzle_id") -> DataFrame:
     """The first row of every id in stream order.
 
-    An aggregation (``min_by`` on the order key), so duplicates are reduced
-    map-side and a hot id is never gathered whole into one task.
+    The order is packed into a long, so that the first of each id is a hash aggregation of (id, long), reduced
+    map-side, without a sort or a text in it; the winners, one number an id, then pick their rows.
     """
-    payload = [c for c in rows.columns if c != key]
-    best = F.min_by(F.struct(*payload), F.struct(*order))
-    return rows.groupBy(key).agg(best.alias("__r")).select(key, "__r.*")
+    packed = packed_order(rows, "__order")
+    first = packed.groupBy(key).agg(F.min("__order").alias("__order")).select("__order")
+    return packed.join(first.hint("shuffle_hash"), "__order", "left_semi").drop("__order")
 
 
 def new_puzzles(rows: DataFrame, stored_ids: DataFrame, key: str = "puzzle_id") -> DataFrame:

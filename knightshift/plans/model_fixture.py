@@ -45,15 +45,15 @@ MODEL = {
   {_every(139, 'l_orderkey', "'2026-01-01'")} AS evaluated_at FROM lineitem""",
     "games": f"""SELECT {_text('o_orderkey - CASE WHEN o_orderkey % 64 = 63 THEN 1 ELSE 0 END', 'g')} AS game_id, {_every(71, 'o_orderkey', _text('o_custkey', 'u'), "'u?'")} AS white_player_id,
   {_text('o_custkey * 7 % 1500 + 1', 'u')} AS black_player_id, {_every(73, 'o_orderkey', "'1-0'", "'unfinished'")} AS result,
-  {_text('o_custkey % 27 + 10', 'A')} AS eco, {_every(77, 'o_orderkey', '40')} AS total_plies FROM orders""",
+  {_text('o_custkey % 27 + CASE WHEN o_orderkey % 87 = 0 THEN 100 ELSE 10 END', 'A')} AS eco, {_every(77, 'o_orderkey', '40')} AS total_plies FROM orders""",
     "game_moves": f"""SELECT {_text('l_orderkey', 'g')} AS game_id, {_every(59, 'l_orderkey', 'l_linenumber')} AS ply, l_linenumber AS move_number,
   {_every(57, 'l_orderkey', "'w'", "'ww'")} AS turn, {_every(149, 'l_orderkey', "'8/8'")} AS fen, {_every(151, 'l_orderkey', "'e2e4'", "'e2e4e5'")} AS move_uci,
   {_every(157, 'l_orderkey', "'e4'", "'e4!!!!!!!!!!'")} AS move_san, {_every(163, 'l_orderkey', "'e2e4'", "'e2e4e5'")} AS best_engine_move,
   {_every(167, 'l_orderkey', "'best'", "'an inexplicable move'")} AS judgment FROM lineitem""",
-    "engine_matches": f"""SELECT {_text('c_custkey % 400', 'm')} AS match_id, {_text('c_custkey % 7', 'e')} AS engine1_id, {_text('c_custkey % 4', 'e')} AS engine2_id,
+    "engine_matches": f"""SELECT {_text('c_custkey % 400', 'm')} AS match_id, {_text('c_custkey % 7', 'e')} AS engine1_id, {_text('c_custkey % 6', 'e')} AS engine2_id,
   {_every(47, 'c_custkey', "'1+0'")} AS time_control, {_every(37, 'c_custkey', '10')} AS total_rounds, {_every(29, 'c_custkey', "'2026-01-01'")} AS started_at FROM customer""",
-    "engine_match_games": f"""SELECT {_text('o_orderkey', 'g')} AS game_id, {_text('o_custkey % 450', 'm')} AS match_id, {_every(31, 'o_orderkey', '1')} AS round_number,
-  {_text('o_orderkey % 5', 'e')} AS white_engine_id, {_every(23, 'o_orderkey', _text('o_orderkey % 3', 'e'))} AS black_engine_id,
+    "engine_match_games": f"""SELECT {_text('o_orderkey - CASE WHEN o_orderkey % 128 = 127 THEN 1 ELSE 0 END', 'g')} AS game_id, {_text('o_custkey % 450', 'm')} AS match_id, {_every(31, 'o_orderkey', '1')} AS round_number,
+  {_text('o_orderkey % 5', 'e')} AS white_engine_id, {_every(23, 'o_orderkey', _text('o_orderkey % 6', 'e'))} AS black_engine_id,
   {_every(19, 'o_orderkey', "'0-1'", "'adjourned'")} AS result, {_every(17, 'o_orderkey', '60')} AS total_plies FROM orders""",
 }
 

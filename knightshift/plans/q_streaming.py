@@ -73,7 +73,20 @@ def q_stream_score(spark, d):
     return spark.read.parquet(sink).drop("batch")
 
 
-ORACLES["stream_score"] = ORACLES["score_answers"]
+@query("stream_score_bucketed")
+def q_stream_score_bucketed(spark, d):
+    """The puzzles stored in buckets: a micro-batch moves its answers to them."""
+    landing, sink, ck = (scratch_path(spark, x) for x in ("land_answers", "stream_scored", "ck_score"))
+    answers = fx.fx_answers(spark, d).drop("engine_id")
+    schema = answers.drop("pos").schema
+    puzzles = ST.bucketed_puzzles(fx.fx_puzzles(spark, d), 16)
+    land_in_chunks(answers, "pos", CHUNKS,
+                   lambda part, i: part.drop("pos").write.mode("overwrite").parquet(f"{landing}/chunk={i}"),
+                   lambda: ST.score_stream(spark, landing, schema, puzzles, sink, ck))
+    return spark.read.parquet(sink).drop("batch")
+
+
+ORACLES["stream_score"] = ORACLES["stream_score_bucketed"] = ORACLES["score_answers"]
 
 
 @query("stream_rollup", """
@@ -87,8 +100,8 @@ def q_stream_rollup(spark, d):
     schema = ev.schema
     land_in_chunks(ev, "event_id", CHUNKS,
                    lambda part, i: part.write.mode("overwrite").parquet(f"{landing}/chunk={i}"),
-                   lambda: ST.rollup_stream(spark, landing, schema, sink, ck))
-    t = spark.read.parquet(sink)
+                   lambda: ST.rollup_stream(spark, landing, schema, sink, ck, every=2))
+    t = ST.read_totals(spark, sink)
     return t.withColumn("accuracy_pct", round_half_away(F.col("solved") * 100.0 / F.col("processed"), 2))
 
 

@@ -20,16 +20,16 @@ def test_rows_start_behind_the_last_index(spark, tmp_path):
     state = RUNS.read_checkpoint_state(spark, folder)
     assert sorted((r.shard, r.last_index, len(r.results)) for r in state.collect()) == [(0, 2, 2), (2, 0, 0), (3, 99, 0)]
     done = _plan_of(spark).where("shard = 4")
-    got = sorted((r.shard, r.index, r.puzzle_id) for r in S.resume_rows(_shards(spark), _plan_of(spark), state, done).collect())
+    got = sorted((r.shard, r["index"], r.puzzle_id) for r in S.resume_rows(_shards(spark), _plan_of(spark), state, done).collect())
     assert got == [(0, 2, "p2"), (0, 3, "p3"), *[(1, i, f"p{4 + i}") for i in range(4)], *[(2, i, f"p{8 + i}") for i in range(4)]]
-    held = sorted((r.shard, r.index, r.puzzle_id) for r in RUNS.checkpoint_results(state).collect())
+    held = sorted((r.shard, r["index"], r.puzzle_id) for r in RUNS.checkpoint_results(state).collect())
     assert held == [(0, 0, "p0"), (0, 1, "p1")]
 
 
 def test_rows_are_counted_behind_the_filters(spark):
     none = _plan_of(spark).limit(0)
     state = spark.createDataFrame([("r", "e", 1, 1)], "run_id string, engine_id string, shard long, last_index int")
-    got = sorted((r.shard, r.index, r.puzzle_id) for r in S.resume_rows(_shards(spark), _plan_of(spark).where("shard < 2"), state, none, 1500, 2).collect())
+    got = sorted((r.shard, r["index"], r.puzzle_id) for r in S.resume_rows(_shards(spark), _plan_of(spark).where("shard < 2"), state, none, 1500, 2).collect())
     assert got == [(0, 0, "p1"), (0, 1, "p2"), (1, 1, "p5")]
 
 
@@ -44,4 +44,4 @@ def test_finished_shards_meet_no_puzzle(spark):
 def test_recovered_rows_and_new_ones_stand_side_by_side(spark):
     old = spark.createDataFrame([("r", "e", 0, 0, "p0", True)], "run_id string, engine_id string, shard long, index long, puzzle_id string, is_correct boolean")
     new = spark.createDataFrame([("r", "e", 0, 1, "p1")], "run_id string, engine_id string, shard long, index long, puzzle_id string")
-    assert sorted((r.index, r.puzzle_id, r.is_correct, r.recovered) for r in S.resumed_results(old, new).collect()) == [(0, "p0", True, True), (1, "p1", None, False)]
+    assert sorted((r["index"], r.puzzle_id, r.is_correct, r.recovered) for r in S.resumed_results(old, new).collect()) == [(0, "p0", True, True), (1, "p1", None, False)]
