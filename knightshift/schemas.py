@@ -89,6 +89,19 @@ LENGTHS = {
     "engine_match_games": {"result": 7},
 }
 
+# lookups that the stored tables serve: (name, table, columns)
+INDEXES = [
+    ("idx_puzzle_eval_correct", "puzzle_evaluations", ["is_correct"]),
+    ("idx_puzzle_eval_run", "puzzle_evaluations", ["run_id"]),
+    ("idx_puzzle_rating", "puzzles", ["rating"]),
+    ("idx_games_players", "games", ["white_player_id", "black_player_id"]),
+    ("idx_games_eco", "games", ["eco"]),
+    ("idx_moves_judgment", "game_moves", ["judgment"]),
+    ("idx_moves_fen", "game_moves", ["fen"]),
+    ("idx_matches_engines", "engine_matches", ["engine1_id", "engine2_id"]),
+    ("idx_match_games_match", "engine_match_games", ["match_id"]),
+]
+
 # column defaults applied when a column is absent from an input
 DEFAULTS = {
     "puzzles": {"popularity": 100, "nb_plays": 0},

@@ -123,3 +123,33 @@ def register_runs(manifests: DataFrame, existing: DataFrame) -> DataFrame:
     Registered runs are a dimension: broadcast when their count is within the bound."""
     from ..plans.joins import bounded_broadcast
     return manifests.join(bounded_broadcast(existing.select("run_id")), "run_id", "left_anti")
+
+
+def write_clustered(df: DataFrame, path: str, columns: list[str], spread_by: list[str] = (), row_group_bytes: int | None = None) -> None:
+    """A table laid out for lookups by ``columns`` (one or several, together or a leading part of them).
+
+    Rows are range partitioned and sorted by the columns, so that the row groups hold narrow ranges of them and a
+    lookup reads the groups whose statistics meet its value; Bloom filters decide inside wide ranges.
+    ``spread_by`` (a key) goes behind them, so that a value that a third of all rows share spreads over many files.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [*columns, *(c for c in spread_by if c not in columns)]
+    w = df.repartitionByRange(n, *order).sortWithinPartitions(*order).write.mode("overwrite").option("compression", "zstd")
+    if row_group_bytes:
+        w = w.option("parquet.block.size", row_group_bytes)
+    texts = [c for c in columns if df.schema[c].dataType.typeName() != "boolean"]
+    _bloom(w, *texts).parquet(path)
+
+
+def register_tables(spark: SparkSession, paths: dict[str, str], database: str) -> None:
+    """The stored layouts as tables of a catalog database, for SQL over all of them (K4).
+
+    Schemas and partition columns come from the files; the tables are external, so dropping or registering them again
+    leaves the data alone.  Register again after files were added.
+    """
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}`")
+    for name, path in paths.items():
+        spark.sql(f"DROP TABLE IF EXISTS `{database}`.`{name}`")
+        spark.catalog.createTable(f"`{database}`.`{name}`", path=path, source="parquet")
+        if any(c.isPartition for c in spark.catalog.listColumns(f"`{database}`.`{name}`")):
+            spark.catalog.recoverPartitions(f"`{database}`.`{name}`")
