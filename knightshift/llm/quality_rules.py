@@ -5,16 +5,19 @@ inside repeated five-word windows.
 
 The line rule works across documents.  Lines are normalised (lower case, blanks
 collapsed) and hashed; for each host (here: ``source``) the distinct documents
-that hold a line are counted, texts that are equal counting once, so that a
-group of exact copies does not make its own lines frequent.  A line found in
-more than ``MIN_DOCS`` documents and more than ``MAX_SHARE`` of the host's
-documents is boilerplate and is removed; a document left with less than
-``MIN_KEPT`` of its words, or fewer than ``MIN_WORDS``, is depleted and rejected.
-
-The per-document facts (no texts: hashes and counts) are written once; counting
-spreads a frequent line over tasks by the hash of the document (a distinct count
-groups by line and document first), and the boilerplate of a host is a set of at
-most its words of lines / (MAX_SHARE x documents) hashes.
+that hold a line are counted.  A line found in more than ``MIN_DOCS`` documents of
+a host, however large the host is, is boilerplate there and is removed; a document
+left with less than ``MIN_KEPT`` of its words, or fewer than ``MIN_WORDS``, is
+depleted and rejected.  So a page copied to many documents of a host is rejected
+with all its copies.  Parameters add a share of the host's documents that a line
+must exceed too (0: none), or let documents of equal texts count as one.
+
+The per-document facts (no texts: hashes and counts) are written once.  Documents
+per (host, line) are a plain count, reduced in every task.  The lines above the
+limits meet the documents' lines again by (host, line): broadcast if they measure
+small, else the lines that hold over a hundredth of all rows are broadcast and the
+others, none of them hot, are joined by shuffle; words removed are summed by
+document.
 
 Edge cases: null, empty and wordless texts have no words and fail the base rule;
 a null source is a host of its own; repeated rows are judged alike; null ids are
@@ -29,15 +32,17 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from knightshift.plans.joins import BROADCAST_BYTES, bounded_broadcast
 from knightshift.session import cut_lineage
 
 from .common import BLANKS as BLANK_CHARS
+from .common import join_groups
 
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 WINDOW = 5
 MIN_DOCS = 10
-MAX_SHARE_PERCENT = 1
+MAX_SHARE_PERCENT = 0
 MIN_KEPT_PERCENT = 30
 WORD = r"[^\x20\x09-\x0D]"
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -95,48 +100,51 @@ def facts(docs: DataFrame, id_col: str, text: str, host: str) -> DataFrame:
         F.transform("lw", lambda own: F.struct(F.xxhash64(normal(own)).alias("h"), F.size(own).alias("k"))).alias("lines"))
 
 
-def boilerplate(own: DataFrame, min_docs: int = MIN_DOCS, max_share_percent: int = MAX_SHARE_PERCENT) -> DataFrame:
-    """One row per host: the hashes of its lines above the limits."""
-    size = own.groupBy("host").agg(F.count_distinct("doc").alias("docs"))
-    held = (own.select("host", "doc", F.explode(F.array_distinct("lines.h")).alias("h"))
-            .groupBy("host", "h").agg(F.count_distinct("doc").alias("n")).where(F.col("n") > min_docs))
-    joined = held.join(size.withColumnRenamed("host", "of"), F.col("host").eqNullSafe(F.col("of")))
-    return (joined.where(F.col("n") * 100 > F.col("docs") * max_share_percent)
-            .groupBy("host").agg(F.collect_set("h").alias("frequent")))
+def boilerplate(own: DataFrame, min_docs: int = MIN_DOCS, max_share_percent: int = MAX_SHARE_PERCENT, fold_equal: bool = False) -> DataFrame:
+    """Rows (of, line, n, rows): the lines above the limits of each host, the documents that hold them, and their rows."""
+    held = own.select("host", "doc", F.explode(F.array_distinct("lines.h")).alias("h"))
+    n = F.count_distinct("doc") if fold_equal else F.count(F.lit(1))
+    lines = held.groupBy("host", "h").agg(n.alias("n"), F.count(F.lit(1)).alias("rows")).where(F.col("n") > min_docs)
+    if max_share_percent:
+        size = own.groupBy(F.col("host").alias("__h")).agg((F.count_distinct("doc") if fold_equal else F.count(F.lit(1))).alias("docs"))
+        lines = (lines.join(bounded_broadcast(size), F.col("host").eqNullSafe(F.col("__h")))
+                 .where(F.col("n") * 100 > F.col("docs") * max_share_percent))
+    return lines.select(F.col("host").alias("of"), F.col("h").alias("line"), "n", "rows")
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text: str = "text", host: str = "source", min_docs: int = MIN_DOCS,
-          max_share_percent: int = MAX_SHARE_PERCENT, min_kept_percent: int = MIN_KEPT_PERCENT) -> DataFrame:
+          max_share_percent: int = MAX_SHARE_PERCENT, min_kept_percent: int = MIN_KEPT_PERCENT, fold_equal: bool = False,
+          max_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """One row per input row: id, the base counts, base_failed, removed_words and kept."""
-    own = cut_lineage(facts(docs, id_col, text, host), "line-facts")
-    frequent = boilerplate(own, min_docs, max_share_percent).withColumnRenamed("host", "of")
-    joined = own.join(frequent, F.col("host").eqNullSafe(F.col("of")), "left")
-    hit = F.array_intersect("lines.h", "frequent")
-    gone = let(hit, lambda s: F.when(F.size(s) == 0, 0).otherwise(
-        F.aggregate(F.filter("lines", lambda x: F.array_contains(s, x["h"])), F.lit(0), lambda a, x: a + x["k"])))
-    removed = F.when(F.col("frequent").isNull(), 0).otherwise(gone).cast("long")
+    own = cut_lineage(facts(docs, id_col, text, host).withColumn("row", F.monotonically_increasing_id()), "line-facts")
+    frequent = cut_lineage(boilerplate(own, min_docs, max_share_percent, fold_equal), "frequent-lines")
+    lines = own.select("row", "host", F.inline("lines"))
+    same = F.col("host").eqNullSafe(F.col("of")) & (F.col("h") == F.col("line"))
+    total = own.agg(F.coalesce(F.sum(F.size("lines")), F.lit(0))).first()[0]
+    gone = (join_groups(lines, frequent, same, "line", "rows", total, max_bytes)
+            .groupBy(F.col("row").alias("__row")).agg(F.sum("k").alias("gone")))
+    joined = own.join(gone, F.col("row") == F.col("__row"), "left")
     failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)
     left = F.col("n_words") - F.col("removed_words")
     depleted = (left * 100 < F.col("n_words") * min_kept_percent) | (left < MIN_WORDS)
-    return (joined.withColumn("removed_words", removed).withColumn("base_failed", failed)
+    return (joined.withColumn("removed_words", F.coalesce("gone", F.lit(0)).cast("long")).withColumn("base_failed", failed)
             .select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
                     (~F.col("base_failed") & ~depleted).alias("kept"), "removed_words"))
 
 
 SQL = f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t FROM documents),
 w AS (SELECT rid, regexp_extract_all(t, '{WORD}+') AS ws FROM d),
-pos AS (SELECT rid, unnest(range(len(ws) - {WINDOW - 1})) AS i, ws FROM w WHERE len(ws) >= {WINDOW}),
-win AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, array_to_string(ws[i + 1:i + {WINDOW}], ' ')) AS n FROM pos),
+wd AS (SELECT rid, unnest(ws) AS x, generate_subscripts(ws, 1) AS i FROM w WHERE len(ws) >= {WINDOW}),
+five AS (SELECT rid, i, x || {' || '.join(f"' ' || lead(x, {k}) OVER v" for k in range(1, WINDOW))} AS g FROM wd WINDOW v AS (PARTITION BY rid ORDER BY i)),
+win AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS n FROM five WHERE g IS NOT NULL),
 rep AS (SELECT rid, least({WINDOW}, coalesce(lead(i) OVER (PARTITION BY rid ORDER BY i) - i, {WINDOW})) AS k FROM win WHERE n > 1),
 reps AS (SELECT rid, sum(k) AS k FROM rep GROUP BY rid),
 raw AS (SELECT rid, unnest(string_split(t, chr(10))) AS line FROM d),
 ln AS (SELECT rid, line, regexp_replace(lower(regexp_replace(line, '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '', 'g')), '[\\x20\\x09-\\x0D]+', ' ', 'g') AS h
   FROM raw WHERE regexp_matches(line, '{WORD}')),
 dup AS (SELECT rid, count(*) - count(DISTINCT line) AS k FROM ln GROUP BY rid),
-hosts AS (SELECT source, count(DISTINCT t) AS docs FROM d GROUP BY source),
-held AS (SELECT source, h, count(DISTINCT t) AS n FROM ln JOIN d USING (rid) GROUP BY source, h),
-freq AS (SELECT held.source, h FROM held JOIN hosts ON held.source IS NOT DISTINCT FROM hosts.source
-  WHERE n > {MIN_DOCS} AND n * 100 > docs * {MAX_SHARE_PERCENT}),
+held AS (SELECT source, h, count(DISTINCT rid) AS n FROM ln JOIN d USING (rid) GROUP BY source, h),
+freq AS (SELECT source, h FROM held WHERE n > {MIN_DOCS}),
 gone AS (SELECT rid, sum(len(regexp_extract_all(h, '{WORD}+'))) AS k FROM ln JOIN d USING (rid)
   WHERE EXISTS (SELECT 1 FROM freq WHERE freq.source IS NOT DISTINCT FROM d.source AND freq.h = ln.h) GROUP BY rid),
 b AS (SELECT doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
