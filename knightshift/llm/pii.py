@@ -8,9 +8,9 @@ Every candidate is voted on by labelers: the strict rule, a format rule, a
 gazetteer (mail domains, reserved networks, card issuers, calling codes) and two
 context word lists.  Expectation-maximisation over the counts of vote patterns
 estimates how reliable each labeler is, without any label, and gives each
-pattern a probability; a logistic span classifier is then trained on features of
-the candidates with these probabilities as soft labels, and decides which
-further candidates become spans.
+pattern a probability; a logistic span classifier for each kind is then trained on
+features of the candidates with these probabilities as soft labels, and decides
+which further candidates become spans.  The gazetteers can be read from a file.
 
 Only counts by vote and feature pattern reach the driver; their number is fixed
 by the labelers and features (``PATTERNS`` at most), whatever the input.
@@ -26,8 +26,10 @@ kept; an empty table gives an empty result.  Other columns are not read.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass, fields
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -50,15 +52,15 @@ WIDE = {
     "email": rf"(?<!{_LOCAL}){_LOCAL}++\x20?(?:\[at\]|\(at\)|\{{at\}})\x20?{_LABEL}++(?:\x20?(?:\.|\[dot\]|\(dot\))\x20?{_LABEL}++){{1,8}}",
     "phone": r"(?<![0-9+().-])(?:00[1-9]|\([0-9]{3}\)|[0-9]{3}(?=[\x20.-]))[\x20().0-9-]{7,40}[0-9](?![0-9])",
 }
-#: What a text must contain before a pattern is tried.
+#: What a text must contain before a base pattern is tried.
 NEEDS = {"email": "@", "ip": ".", "phone": "+"}
 CONTEXT = 32
 
-# Small gazetteers and context words.
-MAIL_ENDS = r"(?i)[.](com|org|net|edu|gov|info|io|de|fr|es|uk|eu|us|ch|at|it|nl|be|pl|br|jp|cn|in|ru|au|ca)$"
-RESERVED_NETS = r"^(0|127|255|22[4-9]|23[0-9]|24[0-9]|25[0-5])[.]"
-CARD_ISSUERS = r"^(4|5[1-5]|2[2-7]|3[47]|6011|65|35|30|36|38)"
-CALLING_CODES = r"^(\+|00)(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])"
+# Default gazetteers and context words.
+MAIL_ENDS = ("com org net edu gov info io de fr es uk eu us ch at it nl be pl br jp cn in ru au ca").split()
+RESERVED_NETS = [str(n) for n in (0, 127, *range(224, 256))]
+CARD_ISSUERS = ["4", *(str(n) for n in (*range(51, 56), *range(22, 28), 34, 37, 65, 35, 30, 36, 38)), "6011"]
+CALLING_CODES = ["1", "7", *(str(n) for n in (20, 27, *range(30, 35), 36, 39, 40, 41, *range(43, 50), *range(51, 59), *range(60, 67), 81, 82, 84, 86, *range(90, 96), 98))]
 FOR_WORDS = {
     "email": r"(?i)(e-?mail|mail|contact|kontakt|correo|courriel|write|schreib)",
     "ip": r"(?i)(\bip\b|host|server|address|adresse|login|client|from)",
@@ -67,7 +69,40 @@ FOR_WORDS = {
 }
 AGAINST_WORDS = r"(?i)(version|isbn|order|invoice|figure|fig[.]|chapter|section|serial|article|sku|page|vol[.]|build)\W*$"
 
+
+@dataclass(frozen=True)
+class Gazetteers:
+    """Lists that the gazetteer labeler looks up: ends of mail domains, first numbers of reserved networks, first digits of
+    card issuers and calling codes."""
+    mail_end: frozenset[str] = frozenset(MAIL_ENDS)
+    reserved_net: frozenset[str] = frozenset(RESERVED_NETS)
+    card_issuer: frozenset[str] = frozenset(CARD_ISSUERS)
+    calling_code: frozenset[str] = frozenset(CALLING_CODES)
+
+    def known(self, match: Column, digits: Column) -> dict[str, Column]:
+        """Whether a candidate's network, issuer or country is a known one, by kind."""
+        begins = lambda text, entries: reduce(lambda a, b: a | b, [
+            F.left(text, F.lit(n)).isin(sorted(e for e in entries if len(e) == n)) for n in sorted({len(e) for e in entries})], F.lit(False))
+        code = F.regexp_replace(digits, "^00", "")
+        return {"email": F.lower(F.regexp_extract(match, r"[.]([A-Za-z0-9-]+)$", 1)).isin(sorted(self.mail_end)),
+                "ip": ~F.regexp_extract(match, r"^0*([0-9]+)[.]", 1).isin(sorted(self.reserved_net)),
+                "card": begins(digits, self.card_issuer),
+                "phone": F.when(match.rlike(r"^(\+|00)"), begins(code, self.calling_code))}
+
+
+def read_gazetteers(spark: SparkSession, path: str, most: int = 100_000) -> Gazetteers:
+    """Gazetteers from text lines ``name entry`` (names as in ``Gazetteers``, at most ``most`` lines); names not in the file keep their default."""
+    parts = F.split(F.trim("value"), r"\s+")
+    rows = spark.read.text(path).select(F.get(parts, F.lit(0)).alias("name"), F.lower(F.get(parts, F.lit(1))).alias("entry")).where("entry IS NOT NULL").limit(most).collect()
+    read = {f.name: frozenset(r["entry"] for r in rows if r["name"] == f.name) for f in fields(Gazetteers)}
+    return Gazetteers(**{name: entries for name, entries in read.items() if entries})
+
+
 LABELERS = ("v_rule", "v_format", "v_gazetteer", "v_for", "v_against")
+#: Where the estimation starts: how often a labeler says yes and no, of what is not personal and of what is.  The words and
+#: sizes against a span, and the strict rule, are trusted more than the others.
+START = {"v_rule": ((0.05, 0.6), (0.5, 0.1)), "v_format": ((0.3, 0.5), (0.6, 0.2)), "v_gazetteer": ((0.2, 0.4), (0.5, 0.2)),
+         "v_for": ((0.1, 0.01), (0.6, 0.01)), "v_against": ((0.01, 0.7), (0.01, 0.05))}
 FEATURES = ("f_rule", "f_shape", "f_alone", "f_known", "f_word", "f_doubt", "f_long")
 PATTERNS = len(KINDS) * (3 ** len(LABELERS)) * (2 ** len(FEATURES))
 SPAN = "struct<kind:int,base:boolean,idx:int,match:string,gap:int,left:string,right:string>"
@@ -84,9 +119,8 @@ def candidates_of(text: Column, kind: str, pattern: str, base: bool) -> Column:
         return F.when(F.size(found) == 0, F.array().cast(f"array<{SPAN}>")).otherwise(let(F.split(text, pattern, -1), rows))
 
     scan = let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), build).cast(f"array<{SPAN}>")
-    need = NEEDS.get(kind) if base else "(at)" if kind == "email" else None
-    if base and need:
-        scan = F.when(F.contains(text, F.lit(need)), scan).otherwise(F.array().cast(f"array<{SPAN}>"))
+    if base and kind in NEEDS:
+        scan = F.when(F.contains(text, F.lit(NEEDS[kind])), scan).otherwise(F.array().cast(f"array<{SPAN}>"))
     return scan
 
 
@@ -113,7 +147,7 @@ def located(docs: DataFrame, id_col: str, text: str) -> tuple[DataFrame, DataFra
     return rows.select("row", "id"), found.withColumn("end", end).withColumn("start", F.col("end") - F.length("match"))
 
 
-def judged(found: DataFrame) -> DataFrame:
+def judged(found: DataFrame, gazetteers: Gazetteers = Gazetteers()) -> DataFrame:
     """Candidates with the base verdict, the labelers' votes (1, 0, null: abstains) and 0/1 features."""
     m, digits = F.col("match"), F.regexp_replace("match", "[^0-9]", "")
     octet = "0*(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
@@ -134,9 +168,7 @@ def judged(found: DataFrame) -> DataFrame:
         "ip": m.rlike(r"^(0|[1-9][0-9]{0,2})([.](0|[1-9][0-9]{0,2})){3}$"),
         "card": m.rlike(r"^([0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\2[0-9]{4}\2[0-9]{1,7}|[0-9]{4}([ -])[0-9]{6}\3[0-9]{5})$"),
         "phone": m.rlike(r"^(\+|00)?[0-9]{0,3}[ .-]?\(?[0-9]{1,4}\)?([ .-]?[0-9]{2,4}){2,5}$")})
-    known = per_kind({
-        "email": m.rlike(MAIL_ENDS), "ip": ~m.rlike(RESERVED_NETS),
-        "card": digits.rlike(CARD_ISSUERS), "phone": F.when(m.rlike(r"^(\+|00)"), m.rlike(CALLING_CODES))})
+    known = per_kind(gazetteers.known(m, digits))
     for_it = per_kind({k: F.col("left").rlike(w) for k, w in FOR_WORDS.items()})
     against = F.col("left").rlike(AGAINST_WORDS)
     alone = ~F.col("left").rlike(r"[A-Za-z0-9]$") & ~F.col("right").rlike("^[A-Za-z0-9]")
@@ -154,12 +186,12 @@ def judged(found: DataFrame) -> DataFrame:
 def reliabilities(patterns: list[tuple[int, tuple, int]], rounds: int = 30) -> dict[tuple[int, tuple], float]:
     """Probability that a candidate is personal data, by kind and votes, by expectation-maximisation.
 
-    Each labeler has, for either class, a probability of each of its answers (yes, no, abstains); the start
-    trusts every labeler moderately, and counts are smoothed.
+    Each labeler has, for either class, a probability of each of its answers (yes, no, abstains); the start is
+    ``START``, and counts are smoothed.
     """
     answers = (1, 0, None)
     prior = {k: 0.5 for k, _, _ in patterns}
-    said = {c: [{1: 0.6 if c else 0.2, 0: 0.2 if c else 0.6, None: 0.2} for _ in LABELERS] for c in (0, 1)}
+    said = {c: [dict(zip(answers, (*START[v][c], 1 - sum(START[v][c])))) for v in LABELERS] for c in (0, 1)}
     post: dict[tuple[int, tuple], float] = {}
     for _ in range(rounds):
         for kind, votes, _ in patterns:
@@ -193,26 +225,30 @@ def train(patterns: list[tuple[tuple, float, int]], rounds: int = 400, rate: flo
 
 
 def classifier(votes: DataFrame) -> Column:
-    """Fit reliabilities and the span classifier on ``judged`` candidates; returns the probability as a column."""
+    """Fit reliabilities and a span classifier for each kind on ``judged`` candidates; returns the probability as a column."""
     rows = votes.groupBy("kind", *LABELERS, *FEATURES).agg(F.count("*").alias("n")).collect()   # at most PATTERNS rows
     by_vote: dict[tuple[int, tuple], int] = {}
     for r in rows:
         key = (r["kind"], tuple(r[v] for v in LABELERS))
         by_vote[key] = by_vote.get(key, 0) + r["n"]
     post = reliabilities(sorted(((k, v, n) for (k, v), n in by_vote.items()), key=str))
-    soft = sorted(((tuple(r[f] for f in FEATURES), post[r["kind"], tuple(r[v] for v in LABELERS)], r["n"]) for r in rows), key=str)
-    w = train(soft)
-    z = sum((F.col(f) * F.lit(round(x, 9)) for f, x in zip(FEATURES, w[1:])), F.lit(round(w[0], 9)))
-    return 1 / (1 + F.exp(-z))
+    out = F.lit(0.0)
+    for kind in range(len(KINDS)):
+        soft = sorted(((tuple(r[f] for f in FEATURES), post[kind, tuple(r[v] for v in LABELERS)], r["n"]) for r in rows if r["kind"] == kind), key=str)
+        w = train(soft)
+        z = sum((F.col(f) * F.lit(round(x, 9)) for f, x in zip(FEATURES, w[1:])), F.lit(round(w[0], 9)))
+        out = F.when(F.col("kind") == kind, 1 / (1 + F.exp(-z))).otherwise(out)
+    return out
 
 
-def spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text", limit: float = 0.5) -> tuple[DataFrame, DataFrame]:
+def spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text", limit: float = 0.5,
+          gazetteers: Gazetteers = Gazetteers()) -> tuple[DataFrame, DataFrame]:
     """(rows with ``row`` and ``id``; spans with row, kind, start, end, match, strict, probability).
 
     Strict spans are the base rules' own; others scored ``limit`` or more and overlap no strict span.
     """
     rows, found = located(docs, id_col, text)
-    votes = cut_lineage(judged(found), "pii-votes")
+    votes = cut_lineage(judged(found, gazetteers), "pii-votes")
     scored = votes.withColumn("probability", classifier(votes))
     upto = Window.partitionBy("row").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, 0)
     after = Window.partitionBy("row").orderBy("start", "end").rowsBetween(0, Window.unboundedFollowing)
@@ -224,9 +260,9 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text", limit: fl
     return rows, out
 
 
-def summary(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def summary(docs: DataFrame, id_col: str = "doc_id", text: str = "text", gazetteers: Gazetteers = Gazetteers()) -> DataFrame:
     """One row per input row: id, base counts by kind, base_sha256 and spans."""
-    rows, found = spans(docs, id_col, text)
+    rows, found = spans(docs, id_col, text, gazetteers=gazetteers)
     names = F.array(*[F.lit(k) for k in KINDS])
 
     def joined(only: Column | None) -> Column:

@@ -93,13 +93,42 @@ def test_quality_rules_equal_sql(spark, tmp_path, many):
     same_as_sql(spark, duck(tmp_path, docs), "op2_quality_rules", df)
 
 
-def test_quality_rules_equal_copies_are_one_document(spark):
-    rows = [(i, "the same long copied text stands here in one line of words\nand one more", "en", "a", 1) for i in range(40)]
-    got = quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"))
-    assert got.where("kept").count() == 40
+RULE_DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def pages_of(host, n, start=0, footer="a footer line that is the same on every page", times=40):
+    """``n`` pages of a host of five lines of their own, the first ``times`` with a footer."""
+    own = lambda i: "\n".join(" ".join(f"w{i}k{k}n{j}" for j in range(9)) for k in range(5))
+    return [(start + i, own(start + i) + ("\n" + footer if i < times else ""), "en", host, 1) for i in range(n)]
+
+
+def test_a_footer_goes_from_a_host_of_any_size(spark):
+    rows = [r for j, (host, n) in enumerate((("a", 60), ("b", 600), (None, 3000))) for r in pages_of(host, n, j * 10_000)]
+    got = quality_rules.judge(spark.createDataFrame(rows, RULE_DOCS))
+    found = {r["host"]: (r["hit"], r["kept"]) for r in got.groupBy(F.floor(F.col("doc_id") / 10_000).alias("host")).agg(
+        F.sum((F.col("removed_words") == 10).cast("int")).alias("hit"), F.sum(F.col("kept").cast("int")).alias("kept")).collect()}
+    assert found == {0: (40, 60), 1: (40, 600), 2: (40, 3000)}
+    rare = quality_rules.judge(spark.createDataFrame(pages_of("a", 60, times=10), RULE_DOCS))     # ten documents are not more than ten
+    assert rare.where("removed_words > 0").count() == 0
+    shared = quality_rules.judge(spark.createDataFrame(rows, RULE_DOCS), max_share_percent=5)      # a share is another limit if asked for
+    assert shared.where("removed_words > 0").count() == 80
+
+
+def test_a_page_copied_many_times_is_rejected_with_its_copies(spark):
+    copies = [(i, "the same long copied text stands here in one line of words\nand one more line of eleven others as much alike in all", "en", "a", 1) for i in range(500)]
+    docs = spark.createDataFrame(copies + pages_of("a", 20, 1000, times=0), RULE_DOCS)
+    got = quality_rules.judge(docs)
+    assert got.where("kept").count() == 20 and got.where("removed_words = n_words").count() == 500
+    assert quality_rules.judge(docs, fold_equal=True).where("kept").count() == 520               # equal texts as one document
     assert quality_rules.judge(empty_docs(spark)).count() == 0
 
 
+def test_lines_join_alike_below_and_above_the_broadcast_bound(spark):
+    docs = spark.createDataFrame(pages_of("a", 200) + pages_of(None, 300, 1000, "another footer", 300), RULE_DOCS)
+    small, large = (rows_of(quality_rules.judge(docs, max_bytes=bound), "doc_id", "kept", "removed_words") for bound in (1 << 20, 0))
+    assert small == large and sum(r[2] for r in small) == 40 * 10 + 300 * 2
+
+
 def test_quality_rules_use_no_python(spark):
     plan = quality_rules.judge(hostile_docs(spark))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
@@ -176,3 +205,56 @@ def test_reliabilities_separate_two_classes():
     good, bad = (1, 1, 1, 1, None), (0, 0, 0, None, 0)
     post = pii.reliabilities([(0, good, 90), (0, bad, 40), (0, (1, 1, None, None, None), 10)])
     assert post[0, good] > 0.9 > 0.1 > post[0, bad] and post[0, (1, 1, None, None, None)] > 0.5
+
+
+def labelled_texts(rng, n):
+    """Texts with one candidate each: (text, start, end, personal)."""
+    digits = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+    name = lambda: rng.choice(["ana", "joe.roe", "max-m", "k_lee"]) + digits(2)
+    cases = [
+        (lambda: ("please write to ", f"{name()} [at] mail{digits(1)}.com"), True),
+        (lambda: ("contact: ", f"{name()}(at)site{digits(2)}.org"), True),
+        (lambda: ("my phone is ", f"0049 30 {digits(7)}"), True),
+        (lambda: ("call me at ", f"({rng.randint(200, 989)}) 555-{digits(4)}"), True),
+        (lambda: ("mobile ", f"{rng.randint(200, 989)}-555-{digits(4)}"), True),
+        (lambda: ("order ", f"{rng.randint(200, 989)}.{digits(3)}.{digits(20)}"), False),
+        (lambda: ("serial ", f"{rng.randint(200, 989)}-{digits(4)}-{digits(4)}-{digits(4)}-{digits(4)}"), False),
+        (lambda: ("version ", f"300.{digits(3)}.1.2"), False),
+        (lambda: ("isbn ", f"{rng.randint(200, 989)}-{digits(1)}-{digits(4)}-{digits(4)}-{digits(9)}"), False),
+        (lambda: ("invoice ", f"9{digits(22)}"), False),
+    ]
+    out = []
+    for i in range(n):
+        make, personal = cases[i % len(cases)]
+        before, span = make()
+        text = f"Some words stand here, {before}{span} , and more words follow it."
+        start = text.index(span)
+        out.append((text, start, start + len(span), personal))
+    return out
+
+
+def test_added_spans_agree_with_labels(spark):
+    """Precision and recall of the spans that the method adds to the base rules', over labelled texts."""
+    rows = labelled_texts(random.Random(4), 2000)
+    docs = spark.createDataFrame([(i, t) for i, (t, *_) in enumerate(rows)], "doc_id long, text string")
+    got = {}
+    for r in pii.summary(docs).select("doc_id", "spans").collect():
+        got[r["doc_id"]] = {tuple(map(int, s.split(":")[1:])) for s in r["spans"].split(",") if s}
+    hit = sum((start, end) in got[i] for i, (_, start, end, personal) in enumerate(rows) if personal)
+    false = sum(bool(got[i]) for i, (*_, personal) in enumerate(rows) if not personal)
+    assert hit >= 0.9 * sum(p for *_, p in rows) and hit / max(1, hit + false) >= 0.9
+
+
+def test_gazetteers_come_from_a_file(spark, tmp_path):
+    path = str(tmp_path / "gazetteers.txt")
+    with open(path, "w") as f:
+        f.write("mail_end test\nmail_end EXAMPLE\n\nreserved_net 10\nnothing x\n")
+    read = pii.read_gazetteers(spark, path)
+    assert read.mail_end == {"test", "example"} and read.reserved_net == {"10"} and read.calling_code == pii.Gazetteers().calling_code
+    cases = [("a@b.test", 1), ("a@b.com", 0), ("10.0.0.1", 0), ("127.0.0.1", 1)]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    _, found = pii.located(docs, "doc_id", "text")
+    votes = {r["match"]: r["v_gazetteer"] for r in pii.judged(found, read).collect()}
+    assert votes == dict(cases)
+    plain = {r["match"]: r["v_gazetteer"] for r in pii.judged(found).collect()}
+    assert plain == {"a@b.test": 0, "a@b.com": 1, "10.0.0.1": 1, "127.0.0.1": 0}
