@@ -1,16 +1,18 @@
 """Packing into optimal length buckets.
 
-Documents are cut into pieces of at most ``max_len`` words.  The global
-histogram of piece lengths (at most ``max_len`` + 1 rows) goes to the driver,
-where a dynamic program chooses the bucket boundaries that minimise all padding
-for the given number of buckets.  Inside a bucket of width w, batches hold
-``budget // w`` pieces, so a padded batch stays within the word budget.
+A row's length is given as a column of token counts (``token_counts.count_tokens``),
+or estimated: a token per ``TOKEN_BYTES`` bytes, at least one per word, so that a long
+run without blanks counts by its size.  Documents are cut into pieces of at most
+``max_len`` tokens.  The global histogram of piece lengths (at most ``max_len`` + 1
+rows) goes to the driver, where a dynamic program chooses the bucket boundaries
+that minimise all padding for the given number of buckets.  Inside a bucket of width
+w, batches hold ``budget // w`` pieces, so a padded batch stays within the token budget.
 
 Batches are numbered without gathering a bucket: pieces get a seeded order by
 MD5, a bucket of more than ``CHUNK`` pieces is dealt into hash chunks, and each
 chunk numbers its own batches; only the last batch of a chunk may be short.
 
-Edge cases: null, empty and wordless texts are one piece of length 0; very long
+Edge cases: null and empty texts are one piece of length 0; very long
 texts become many pieces, none is cut off; repeated rows are packed as often as
 they occur; null ids are kept; an empty table gives an empty result.
 """
@@ -31,6 +33,11 @@ BUDGET = 16_384
 BUCKETS = 8
 SEED = 41
 CHUNK = 100_000
+TOKEN_BYTES = 4
+
+
+def estimated_tokens(text: Column) -> Column:
+    return F.greatest(n_words(text), F.ceil(F.coalesce(F.octet_length(text), F.lit(0)) / TOKEN_BYTES).cast("long"))
 
 
 def boundaries(histogram: dict[int, int], buckets: int) -> list[int]:
@@ -73,9 +80,9 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: Co
          budget: int = BUDGET, buckets: int = BUCKETS, seed: int = SEED, chunk_rows: int = CHUNK) -> DataFrame:
     """One row per piece: id, piece, start, length, bucket_len, chunk, batch, slot, padding.
 
-    ``length`` is the length of a row; words of ``text`` unless given.
+    ``length`` is the length of a row in tokens; estimated from ``text`` unless given.
     """
-    size = F.coalesce(length if length is not None else n_words(F.col(text)), F.lit(0)).cast("long")
+    size = F.coalesce(length if length is not None else estimated_tokens(F.col(text)), F.lit(0)).cast("long")
     own = cut_lineage(pieces(docs, size, max_len, id_col), "pieces")
     histogram = {r["length"]: r["count"] for r in own.groupBy("length").count().collect()}
     bounds = boundaries(histogram, buckets) or [0]
@@ -102,7 +109,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: Co
 
 def pack_sql(table: str = "documents", max_len: int = MAX_LEN, budget: int = BUDGET, buckets: int = BUCKETS, seed: int = SEED,
              chunk_rows: int = CHUNK) -> str:
-    """DuckDB SQL for ``pack`` over the words of ``text``: one common table expression per layer of the dynamic program."""
+    """DuckDB SQL for ``pack`` over the estimated tokens of ``text``: one common table expression per layer of the dynamic program."""
     layers = ["d1 AS (SELECT j, (l * sc - sl)::HUGEINT AS f, 0::BIGINT AS i FROM k WHERE j > 0)"]
     for b in range(2, buckets + 1):
         layers.append(f"e{b} AS (SELECT y.j, min((x.f + y.l * (y.sc - q.sc) - (y.sl - q.sl)) * 100000 + x.j) AS s"
@@ -110,7 +117,7 @@ def pack_sql(table: str = "documents", max_len: int = MAX_LEN, budget: int = BUD
         layers.append(f"d{b} AS (SELECT j, s // 100000 AS f, (s % 100000)::BIGINT AS i FROM e{b})")
     every = " UNION ALL ".join(f"SELECT {b} AS b, j, i FROM d{b}" for b in range(1, buckets + 1))
     return f"""WITH RECURSIVE w AS (
-  SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS n FROM {table}),
+  SELECT doc_id, greatest(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')), (strlen(coalesce(text, '')) + {TOKEN_BYTES - 1}) // {TOKEN_BYTES})::BIGINT AS n FROM {table}),
 p AS (SELECT doc_id, n, unnest(range(greatest(1, (n + {max_len - 1}) // {max_len}))) AS piece FROM w),
 own AS (SELECT doc_id, piece, piece * {max_len} AS start, least(n - piece * {max_len}, {max_len}) AS length FROM p),
 h AS (SELECT length AS l, count(*) AS c FROM own GROUP BY length),
