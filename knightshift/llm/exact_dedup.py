@@ -4,15 +4,20 @@ A text's key is its 64-bit hash.  The directory of the index is indexed by the
 top bits of the key: it starts with one bucket and, while a bucket holds more
 than ``capacity`` bytes, that bucket is split on its next bit, doubling the
 directory whenever the bucket already uses every bit of it.  Bucket loads come
-from one grouped count over key ranges, whose number is bounded (``MAX_DEPTH``).
+from one grouped sum over key ranges, as many as the bytes ask for (``MAX_BITS``
+bits at most).
 
 Index files: each Arrow batch first folds its own equal texts into one entry
-(key, SHA-256, count, ids, the columns of the row with the largest id), so a
-text that a third of all rows share reaches its bucket once per batch.  Entries
-are written below ``spark.checkpoint.dir`` as a table bucketed by directory
-bucket.  An owner task reads the key ranges of its buckets, without a further
-shuffle, chains the entries of equal key and compares their bytes: only equal
-bytes form a group, whatever the hash says.
+(key, SHA-256, count, largest id, the columns of that row), so a text that a third
+of all rows share reaches its bucket once per batch.  Entries are written below
+``spark.checkpoint.dir`` as a table bucketed by directory bucket, whose numbers are
+chosen so that every file gets its own.  An owner task reads the key ranges of its
+buckets, without a further shuffle, chains the entries of equal key and compares
+their bytes: only equal bytes form a group, whatever the hash says.
+
+The ids of a group are nowhere gathered: the rows, narrowed to id, key and SHA-256,
+meet the group of their text again, broadcast if the groups measure small; else
+groups of over a hundredth of all rows are broadcast and the others shuffled.
 
 Of equal texts the row with the largest id stays (null ids are the smallest; of
 tied rows one stays).  Edge cases: null texts count as empty and equal each
@@ -29,25 +34,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from knightshift.session import scratch_path
+from knightshift.plans.joins import BROADCAST_BYTES
+from knightshift.session import cut_lineage, scratch_path
+
+from .common import join_groups
 
 CAPACITY = 32 << 20
-MAX_DEPTH = 16
-CELL_BITS = 16
+MAX_BITS = 20               # key ranges counted: at most 2 ** MAX_BITS numbers reach the driver
+MAX_FILES = 100_000         # buckets of a Spark table
 
 ENTRY = T.StructType([
     T.StructField("__bucket", T.IntegerType()), T.StructField("__key", T.LongType()),
-    T.StructField("__sha", T.StringType()), T.StructField("__ids", T.ArrayType(T.LongType())),
+    T.StructField("__sha", T.StringType()), T.StructField("__n", T.LongType()),
     T.StructField("__top", T.LongType()), T.StructField("__text", T.StringType()),
 ])
 GROUP = T.StructType([
-    T.StructField("__entry", T.LongType()), T.StructField("__keep", T.LongType()),
-    T.StructField("__size", T.LongType()), T.StructField("__wins", T.BooleanType()),
+    T.StructField("__gkey", T.LongType()), T.StructField("__gsha", T.StringType()),
+    T.StructField("__keep", T.LongType()), T.StructField("__size", T.LongType()),
 ])
 
 
@@ -55,7 +62,7 @@ class Directory:
     """Bucket of each prefix of ``depth`` bits, built by splitting overfull buckets."""
 
     def __init__(self, loads: np.ndarray, capacity: int):
-        """``loads``: bytes of each key range, by the top ``CELL_BITS`` bits."""
+        """``loads``: bytes of each key range, by their top bits (a power of two of them)."""
         total = np.concatenate(([0], np.cumsum(loads)))
         bits = int(np.log2(len(loads)))
         self.depth, self.slots = 0, [(0, 0)]      # (prefix, local depth) of each slot
@@ -64,7 +71,7 @@ class Directory:
             prefix, local = todo.pop()
             width = bits - local
             load = total[(prefix + 1) << width] - total[prefix << width]
-            if load <= capacity or local == min(MAX_DEPTH, bits):
+            if load <= capacity or local == bits:
                 continue
             if local == self.depth:               # the bucket uses every bit: double the directory
                 self.slots = [s for s in self.slots for _ in range(2)]
@@ -87,15 +94,30 @@ class Directory:
 
 
 def build_directory(keyed: DataFrame, capacity: int = CAPACITY) -> Directory:
-    """Directory for the frame's ``__key`` and ``__bytes`` (one grouped sum over 2^16 key ranges)."""
-    cell = F.shiftrightunsigned("__key", 64 - CELL_BITS)
-    loads = np.zeros(1 << CELL_BITS, dtype=np.int64)
-    for r in keyed.groupBy(cell.alias("cell")).agg(F.sum("__bytes").alias("load")).collect():
+    """Directory for the frame's ``__key`` and ``__bytes``: a grouped sum over the key ranges that the bytes ask for."""
+    total = keyed.agg(F.coalesce(F.sum("__bytes"), F.lit(0))).first()[0]
+    bits = min(MAX_BITS, max(4, int(np.ceil(np.log2(total / capacity + 1))) + 4))
+    cell = F.shiftrightunsigned("__key", 64 - bits)
+    loads = np.zeros(1 << bits, dtype=np.int64)
+    for r in keyed.groupBy(cell.alias("cell")).agg(F.sum("__bytes").alias("load")).toLocalIterator():
         loads[r["cell"]] = r["load"]
     return Directory(loads, capacity)
 
 
-def entries(keyed: DataFrame, directory: Directory, carry: list[str]) -> DataFrame:
+def bucket_numbers(spark: SparkSession, buckets: int, files: int) -> np.ndarray:
+    """A number for each directory bucket such that the table's hash deals bucket b to file b % files."""
+    each, size = -(-buckets // files), 2 * buckets + 64
+    while True:
+        drawn = spark.range(size).select(F.col("id").cast("int").alias("number")).withColumn("file", F.pmod(F.hash("number"), F.lit(files)))
+        held: list[list[int]] = [[] for _ in range(files)]
+        for r in drawn.orderBy("number").toLocalIterator():
+            held[r["file"]].append(r["number"])
+        if min(map(len, held)) >= each:
+            return np.array([held[b % files][b // files] for b in range(buckets)], dtype=np.int32)
+        size *= 2
+
+
+def entries(keyed: DataFrame, directory: Directory, numbers: np.ndarray, carry: list[str]) -> DataFrame:
     """Fold the equal texts of each Arrow batch into index entries, with the ``carry`` columns of the top row."""
     schema = T.StructType(ENTRY.fields + [keyed.schema[c] for c in carry])
 
@@ -107,12 +129,11 @@ def entries(keyed: DataFrame, directory: Directory, carry: list[str]) -> DataFra
             ids = batch.column("__id").to_pylist()
             low = -(1 << 63)
             tops = [max(rows, key=lambda i: low if ids[i] is None else ids[i]) for rows in found.values()]
-            lists = [[ids[t], *(ids[i] for i in rows if i != t)] for t, rows in zip(tops, found.values())]
             own = batch.take(pa.array(tops, type=pa.int64()))
             keys = np.asarray(own.column("__key"))
-            columns = [pa.array(directory.bucket(keys), pa.int32()), own.column("__key"),
+            columns = [pa.array(numbers[directory.bucket(keys)], pa.int32()), own.column("__key"),
                        pa.array([hashlib.sha256(t.encode()).hexdigest() for t in found], pa.string()),
-                       pa.array(lists, pa.list_(pa.int64())), own.column("__id"), own.column("__text")]
+                       pa.array([len(rows) for rows in found.values()], pa.int64()), own.column("__id"), own.column("__text")]
             yield pa.RecordBatch.from_arrays(columns + [own.column(c) for c in carry], names=schema.names)
 
     return keyed.mapInArrow(fold, schema)
@@ -130,65 +151,64 @@ def write_index(docs: DataFrame, id_col: str = "doc_id", text: str = "text", car
                         *[F.col(f"`{c}`").alias(n) for c, n in renamed.items()])
     loads = docs.select(F.xxhash64(body).alias("__key"), (F.octet_length(body) + 64).alias("__bytes"))
     directory = build_directory(loads, capacity)
-    rows = entries(keyed, directory, list(renamed.values())).withColumn("__entry", F.monotonically_increasing_id())
     spark = docs.sparkSession
+    files = max(1, min(directory.n_buckets, MAX_FILES))
+    numbers = bucket_numbers(spark, directory.n_buckets, files)
+    rows = entries(keyed, directory, numbers, list(renamed.values())).withColumn("__entry", F.monotonically_increasing_id())
     name = f"ks_index_{uuid.uuid4().hex[:12]}"
-    files = max(1, min(directory.n_buckets, 4096))
     (rows.repartition(files, "__bucket").write.format("parquet").option("path", scratch_path(spark, "hash-index"))
      .bucketBy(files, "__bucket").saveAsTable(name))
-    return spark.table(name)
+    index = spark.table(name)
+    index.table_name = name
+    return index
 
 
 def _owner_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One bucket: chain entries of equal key, compare bytes, and give every entry its group's outcome."""
-    low = -(1 << 63)
+    """One bucket: chain entries of equal key, compare bytes, and give every group its largest id and size."""
     chains: dict[int, list[int]] = {}             # key -> groups of its chain
-    text_of: list[bytes] = []
-    size, best, winner = [], [], []
-    entry_ids, group_of = [], []
+    texts, keys, shas, size, best = [], [], [], [], []
     for batch in batches:
-        keys, counts = batch.column("__key").to_pylist(), pc.list_value_length(batch.column("__ids")).to_pylist()
-        tops, own = batch.column("__top").to_pylist(), batch.column("__entry").to_pylist()
-        texts = batch.column("__text")
-        for i, key in enumerate(keys):
-            text = texts[i].as_buffer().to_pybytes()
+        column = batch.column("__text")
+        rows = zip(*(batch.column(c).to_pylist() for c in ("__key", "__sha", "__n", "__top")))
+        for i, (key, sha, n, top) in enumerate(rows):
+            text = column[i].as_buffer().to_pybytes()
             chain = chains.setdefault(key, [])
-            g = next((g for g in chain if text_of[g] == text), None)
-            top = low if tops[i] is None else tops[i]
+            g = next((g for g in chain if texts[g] == text), None)
             if g is None:
-                g = len(text_of)
+                g = len(texts)
                 chain.append(g)
-                text_of.append(text)
-                size.append(0)
-                best.append(None)
-                winner.append(None)
-            size[g] += counts[i]
-            if best[g] is None or (top, own[i]) > (best[g], winner[g]):
-                best[g], winner[g] = top, own[i]
-            entry_ids.append(own[i])
-            group_of.append(g)
-    yield pa.RecordBatch.from_arrays([
-        pa.array(entry_ids, pa.int64()),
-        pa.array([None if best[g] == low else best[g] for g in group_of], pa.int64()),
-        pa.array([size[g] for g in group_of], pa.int64()),
-        pa.array([winner[g] == e for e, g in zip(entry_ids, group_of)], pa.bool_()),
-    ], names=GROUP.names)
+                for held, value in ((texts, text), (keys, key), (shas, sha), (size, 0), (best, None)):
+                    held.append(value)
+            size[g] += n
+            if top is not None and (best[g] is None or top > best[g]):
+                best[g] = top
+    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(shas, pa.string()), pa.array(best, pa.int64()), pa.array(size, pa.int64())],
+                                     names=GROUP.names)
 
 
 def groups(index: DataFrame) -> DataFrame:
-    """Group outcome of each entry, by its owner task."""
-    return (index.select("__bucket", "__key", "__entry", "__top", "__ids", "__text")
+    """Key, SHA-256, largest id and size of every group of equal texts, by its owner task."""
+    return (index.select("__bucket", "__key", "__sha", "__top", "__n", "__text")
             .groupBy("__bucket").applyInArrow(_owner_groups, GROUP))
 
 
-def assign(docs: DataFrame, id_col: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> DataFrame:
+def assign(docs: DataFrame, id_col: str = "doc_id", text: str = "text", capacity: int = CAPACITY, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """One row per input row: id, keep_id, group_size, kept, text_sha256."""
     index = write_index(docs, id_col, text, capacity=capacity)
-    outcome = groups(index)
-    members = index.select("__entry", "__sha", "__ids").join(outcome, "__entry")
-    return (members.select("__keep", "__size", "__wins", "__sha", F.posexplode("__ids").alias("__at", "__id"))
+    found = cut_lineage(groups(index), "groups")
+    docs.sparkSession.sql(f"DROP TABLE {index.table_name}")
+    body = F.coalesce(F.col(text), F.lit(""))
+    rows = cut_lineage(docs.select(F.col(id_col).cast("long").alias("__id"), F.xxhash64(body).alias("__key"), F.sha2(body, 256).alias("__sha"),
+                                   F.monotonically_increasing_id().alias("__row")), "keyed-rows")
+    total = rows.count()
+    same = (F.col("__key") == F.col("__gkey")) & (F.col("__sha") == F.col("__gsha"))
+    # of the rows that share the largest id, repeated ones, the first stays
+    stays = (join_groups(rows, found, same, "__gsha", "__size", total, max_bytes).where(F.col("__id").eqNullSafe(F.col("__keep")))
+             .groupBy("__gkey", "__gsha").agg(F.min("__row").alias("__stay")))
+    told = cut_lineage(found.join(stays, ["__gkey", "__gsha"]), "told-groups")
+    return (join_groups(rows, told, same, "__gsha", "__size", total, max_bytes)
             .select(F.col("__id").alias(id_col), F.col("__keep").alias("keep_id"), F.col("__size").alias("group_size"),
-                    (F.col("__wins") & (F.col("__at") == 0)).alias("kept"), F.col("__sha").alias("text_sha256")))
+                    (F.col("__row") == F.col("__stay")).alias("kept"), F.col("__sha").alias("text_sha256")))
 
 
 def _owner_keeps(names: list[str]):
