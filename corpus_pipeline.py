@@ -6,6 +6,13 @@
     mixing       every document as often as the mix of sources takes it
     packing      bucket, batch and slot of every piece (the last stage: one row per piece)
 
+Edge cases, stage by stage: null and empty texts score 0 and are not toxic, equal each
+other as copies (the row with the largest id stays), are near copies of nothing, have
+no words that the mix could count and are one piece of length 0.  A null id is the
+smallest id of a group of copies; rows of tied ids and texts leave one.  Rows with a
+null language or source are a group of their own.  Empty tables pass every stage empty.
+Columns besides those of ``documents`` pass all stages but the last, whatever their names.
+
 All stages but the last return the columns of their input.  Each works on all
 rows its predecessor kept; every result is written and read again before the
 next stage.  ``ORACLE_SQL`` is None: the model, the index and the budget fit are
