@@ -57,11 +57,12 @@ from .textblocks import LOWER, blocks, find_words, hash_words, mix, split_offset
 
 SHINGLE = 5
 PERCENT = 75
-RUN = 4_000_000                  # shingles among which repeated ones are counted
+RUN = 2_000_000                  # shingles among which repeated ones are counted
 HEAVY = 1 << 20                  # frequent shingles whose counts order the sets (12 MB in every task)
 LEAST_BITS = 512                 # parities of the smallest sketch, a power of two
-PACK = 1 << 20                   # prefix shingles packed at a time
-PER_TASK = 2_000_000             # prefix shingles of one range of shingles
+PACK = 1 << 19                   # prefix shingles packed at a time
+PER_TASK = 1_000_000             # prefix shingles of one range of shingles
+SETS = 500_000                   # shingles of the sets handed back at a time
 LIST_BLOCK = 1024                # classes of a list that one key of the last round holds
 PAIRS_PER_TASK = 20_000_000
 LEADER_ROUNDS = (0, 0x5DEECE66D1234567, 0x2545F4914F6CDD1D)
@@ -96,11 +97,6 @@ def class_of(own: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(own.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def _columns(rows: list, *kinds: pa.DataType) -> list[pa.Array]:
-    """Rows as Arrow columns."""
-    return [pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * len(kinds), kinds)]
-
-
 def parities(own: np.ndarray) -> np.ndarray:
     """Parity of the number of shingles in each of a power of two of hash classes, at least two a shingle, as 64-bit words."""
     bits = max(LEAST_BITS, 1 << int(np.ceil(np.log2(max(1, 2 * len(own))))))
@@ -273,9 +269,21 @@ def postings_of(docs: DataFrame, text: str, surveyed: DataFrame, percent: int) -
 
 
 def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names, sets, held = [], [], 0
+
+    def flush() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["cls", "own"])
+
     for batch in batches:
-        rows = [(class_of(own), own.view(np.int64)) for own in shingle_sets(batch.column(0)) if len(own)]
-        yield pa.RecordBatch.from_arrays(_columns(rows, pa.int64(), pa.list_(pa.int64())), names=["cls", "own"])
+        for own in shingle_sets(batch.column(0)):
+            if len(own):
+                names.append(class_of(own))
+                sets.append(own.view(np.int64))
+                held += len(own)
+            if held >= SETS:
+                yield flush()
+                names, sets, held = [], [], 0
+    yield flush()
 
 
 def of_classes(docs: DataFrame, id_col: str, text: str, wanted: DataFrame, build, schema: str) -> DataFrame:

@@ -10,9 +10,9 @@ from llm_cases import empty_docs, hostile_docs, jaccard_components, ordered, pro
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
-from knightshift.llm import exact_dedup, mixing, ngram_join, packing, warc
+from knightshift.llm import exact_dedup, mixing, ngram_join, packing, token_counts, warc
 from knightshift.llm.common import ship_package
-from knightshift.llm.queries import ORACLES, QUERIES
+from knightshift.llm.queries import ORACLES, QUERIES, tokenizer_file
 
 
 @pytest.fixture(scope="module", autouse=True)
@@ -69,26 +69,44 @@ def test_exact_dedup_edges(spark, capacity):
 
 def test_directory_doubles_and_keeps_key_ranges():
     rng = np.random.default_rng(2)
-    loads = rng.integers(0, 20, 1 << exact_dedup.CELL_BITS)
+    loads = rng.integers(0, 20, 1 << 16)
     loads[40_000] = 10_000_000                                   # one key that no split can part
     directory = exact_dedup.Directory(loads, 50_000)
     keys = rng.integers(-(1 << 63), (1 << 63) - 1, 5_000)
     at = directory.bucket(keys)
-    top = keys.view(np.uint64) >> np.uint64(64 - exact_dedup.CELL_BITS)
+    top = keys.view(np.uint64) >> np.uint64(64 - 16)
     order = np.argsort(top)
     assert (np.diff(np.searchsorted(np.unique(at), at[order])) != 0).sum() == len(np.unique(at)) - 1   # ranges are whole
-    held = np.bincount(directory.bucket((np.arange(1 << exact_dedup.CELL_BITS).astype(np.uint64) << np.uint64(48)).view(np.int64)),
+    held = np.bincount(directory.bucket((np.arange(1 << 16).astype(np.uint64) << np.uint64(48)).view(np.int64)),
                        weights=loads, minlength=directory.n_buckets)
-    assert (held > 50_000).sum() == 1 and directory.depth == exact_dedup.CELL_BITS
+    assert (held > 50_000).sum() == 1 and directory.depth == 16
     assert exact_dedup.Directory(np.zeros(1 << 16), 1).n_buckets == 1
 
 
 def test_chain_compares_bytes(spark):
     """Two texts under one key stay apart."""
-    rows = [(0, 77, "s", [1, 2], 2, "one", 0), (0, 77, "s", [3], 3, "two", 1), (0, 77, "s", [9], 9, "one", 2)]
-    index = spark.createDataFrame(rows, "__bucket int, __key long, __sha string, __ids array<long>, __top long, __text string, __entry long")
-    got = rows_of(exact_dedup.groups(index), "__entry", "__keep", "__size", "__wins")
-    assert got == [(0, 9, 3, False), (1, 3, 1, True), (2, 9, 3, True)]
+    rows = [(0, 77, "s1", 2, 2, "one", 0), (0, 77, "s2", 1, 3, "two", 1), (0, 77, "s1", 1, 9, "one", 2), (0, 77, "s3", 4, None, "", 3)]
+    index = spark.createDataFrame(rows, "__bucket int, __key long, __sha string, __n long, __top long, __text string, __entry long")
+    got = rows_of(exact_dedup.groups(index), "__gkey", "__gsha", "__keep", "__size")
+    assert got == [(77, "s1", 9, 3), (77, "s2", 3, 1), (77, "s3", None, 4)]
+
+
+def test_every_file_of_the_index_gets_its_buckets(spark):
+    for buckets, files in ((1, 1), (40, 40), (50, 7)):
+        numbers = exact_dedup.bucket_numbers(spark, buckets, files)
+        assert len(set(numbers.tolist())) == buckets
+        dealt = spark.createDataFrame([(int(n),) for n in numbers], "n int").select(F.pmod(F.hash("n"), F.lit(files)).alias("f")).collect()
+        assert [r["f"] for r in dealt] == [b % files for b in range(buckets)]
+
+
+def test_a_text_that_most_rows_share_gathers_no_ids(spark):
+    """A hot group's rows meet its size and largest id by a join; alike when the groups are too many to broadcast."""
+    rows = [(i, "the same text" if i % 3 else f"text {i}") for i in range(900)] + [(890, "the same text"), (None, "the same text")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    small, large = (rows_of(exact_dedup.assign(docs, max_bytes=bound), "doc_id", "keep_id", "group_size", "text_sha256") for bound in (1 << 20, 0))
+    assert small == large == ordered(expected_groups(rows))
+    assert exact_dedup.assign(docs).where("kept").count() == 301
+    assert "__ids" not in exact_dedup.ENTRY.names
 
 
 def near_copies(rng, n_groups=12, size=9):
@@ -275,8 +293,12 @@ def test_boundaries_are_optimal():
     assert packing.boundaries({}, 3) == []
 
 
+def held_tokens(text):
+    return max(len(words(text)), -(-len((text or "").encode()) // packing.TOKEN_BYTES))
+
+
 @pytest.mark.parametrize("chunk", [packing.CHUNK, 5])
-def test_packing_keeps_every_word(spark, chunk):
+def test_packing_keeps_every_token(spark, chunk):
     docs = hostile_docs(spark)
     rows = packing.pack(docs, max_len=50, budget=120, buckets=3, chunk_rows=chunk).collect()
     n = {}
@@ -285,16 +307,31 @@ def test_packing_keeps_every_word(spark, chunk):
         assert r["length"] <= 50 and r["padding"] == r["bucket_len"] - r["length"] >= 0
     own = {}
     for r in docs.select("doc_id", "text").collect():
-        own[r["doc_id"]] = own.get(r["doc_id"], 0) + len(words(r["text"]))
+        own[r["doc_id"]] = own.get(r["doc_id"], 0) + held_tokens(r["text"])
     assert n == own
     batches = {}
     for r in rows:
         batches.setdefault((r["bucket_len"], r["chunk"], r["batch"]), []).append(r["slot"])
     for (width, _, _), slots in batches.items():
         assert sorted(slots) == list(range(len(slots))) and len(slots) <= max(1, 120 // max(1, width))
+    assert len([r for r in rows if r["doc_id"] == 11]) == 100            # 20,000 letters without a blank are cut
     assert packing.pack(empty_docs(spark)).count() == 0
 
 
+def test_batches_hold_a_budget_of_counted_tokens(spark):
+    """Exact token counts given as the length."""
+    pytest.importorskip("tokenizers")
+    counted = token_counts.count_tokens(hostile_docs(spark), tokenizer_file(), into="n_tokens")
+    own = {r["doc_id"]: r["n_tokens"] for r in counted.where("doc_id > 6").collect()}
+    rows = packing.pack(counted.where("doc_id > 6"), length=F.col("n_tokens"), max_len=400, budget=1000, buckets=4).collect()
+    total, batches = {}, {}
+    for r in rows:
+        total[r["doc_id"]] = total.get(r["doc_id"], 0) + r["length"]
+        key = (r["bucket_len"], r["chunk"], r["batch"])
+        batches[key] = batches.get(key, 0) + r["bucket_len"]
+    assert total == own and all(v <= 1000 for v in batches.values()) and own[11] > 1
+
+
 PAGES = "page_id long, url string, html string, score string, id string, chunk int"
 
 
