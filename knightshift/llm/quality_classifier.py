@@ -1,11 +1,11 @@
 """Quality classifier: supervised subword embeddings.
 
-Every word (run of non-blank bytes) and every byte n-gram of it hashes to a
+Every word (run of non-blank bytes) and every character n-gram of it hashes to a
 row of one embedding table; a word equal to the word before it adds one
 further, shared feature.  A document is the average of its feature vectors and
 a softmax layer turns it into class probabilities.  Embeddings and output
 layer are learned together by numpy stochastic gradient descent, one document
-at a time, on a bounded labelled sample (``max_docs``, ``max_bytes``).
+at a time, in one task, on a bounded labelled sample (``max_docs``, ``max_bytes``).
 
 For scoring, the output layer is folded into the table (the logit of an
 average is the average of per-feature logits), so a text costs one lookup per
@@ -14,7 +14,7 @@ feature.
 Edge cases: null, empty and wordless texts get the softmax of the biases, that
 is, the share of good documents as learned; repeated rows score alike; null ids
 are kept; without any label every score is 0.5; empty tables give empty
-results.  Other columns pass through; the new column has the name given.
+results.  Other columns pass through; a column named like the new one is replaced.
 """
 
 from __future__ import annotations
@@ -27,8 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fit_sample
-from .textblocks import Block, blocks, byte_ngrams, find_words, hash_words, split_offsets
+from .common import fit_in_a_task, fit_sample
+from .textblocks import Block, blocks, char_ngrams, find_words, hash_words, split_offsets
 
 BITS = 18
 DIM = 16
@@ -52,9 +52,9 @@ def features(block: Block) -> tuple[np.ndarray, np.ndarray]:
     parts = [np.maximum(hashed >> shift, np.uint64(1)), np.full(len(again), REPEAT, np.uint64)]
     docs = [words.doc, words.doc[again]]
     for n in NGRAMS:
-        grams, at = byte_ngrams(block.data, block.offsets, words.mask, n)
+        grams, doc = char_ngrams(block, words.mask, n)
         parts.append(np.maximum(grams >> shift, np.uint64(1)))
-        docs.append(np.searchsorted(block.offsets, at, side="right") - 1)
+        docs.append(doc)
     return np.concatenate(parts).astype(np.int32), np.concatenate(docs)
 
 
@@ -93,7 +93,7 @@ def train(sample: list[tuple[str, int]], epochs: int = 5, rate: float = 1.0, see
 
 def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 8_000, max_bytes: int = 32 << 20) -> Model:
     """Train on a bounded sample of ``labels.quality`` outside the held-out fold."""
-    return train(fit_sample(docs, labels, "quality", max_docs, max_bytes))
+    return fit_in_a_task(fit_sample(docs, labels, "quality", max_docs, max_bytes), train)
 
 
 def score_block(model: Model, block: Block) -> np.ndarray:

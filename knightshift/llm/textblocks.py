@@ -159,6 +159,39 @@ def byte_ngrams(data: np.ndarray, offsets: np.ndarray, mask: np.ndarray, n: int)
     return mix(value * _MULT), at
 
 
+def char_ngrams(block: Block, mask: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and texts of the n-character windows inside words.
+
+    A window may begin with the character before a word or end with the one after it (both read as a blank), so
+    prefixes and suffixes are told apart.  A character is the packed bytes of its UTF-8 form.
+    """
+    data, offsets = block.data, block.offsets
+    value = np.where(mask, data, np.uint8(32)).astype(_U)
+    if data.size and data.max() >= 128:
+        start = np.flatnonzero((data & 0xC0) != 0x80)
+        length = np.diff(np.append(start, len(data)))
+        packed = value[start]
+        for k in range(1, 4):
+            more = np.flatnonzero(length > k)
+            packed[more] = (packed[more] << _U(8)) | data[start[more] + k].astype(_U)
+        value, mask, offsets = packed, mask[start], np.searchsorted(start, offsets)
+    size = len(value) - n + 1
+    if size <= 0:
+        return np.zeros(0, _U), np.zeros(0, np.int64)
+    ok = mask[:size] | mask[n - 1:n - 1 + size] if n > 2 else mask[:size] & mask[1:1 + size]
+    for k in range(1, n - 1):
+        ok &= mask[k:k + size]
+    for k in range(1, n):   # windows that run into the next text
+        cut = offsets[1:] - k
+        ok[cut[(cut >= 0) & (cut < size)]] = False
+    at = np.flatnonzero(ok)
+    hashed = np.full(len(at), n, dtype=_U)
+    for k in range(n):
+        hashed = hashed * _BASE + value[at + k]
+    hashed = mix(hashed)
+    return hashed, np.searchsorted(offsets, at, side="right") - 1
+
+
 def split_offsets(doc: np.ndarray, n: int) -> np.ndarray:
     """Offsets of the items of each text when ``doc`` (sorted) names the text of each item."""
     return np.searchsorted(doc, np.arange(n + 1))

@@ -8,13 +8,13 @@ document labels are needed: the gradient of the noisy-or tells each sentence
 how much of its document's label it has to explain, so the trained sentence
 scores also point to the offending sentences.
 
-Training runs in numpy on a bounded labelled sample (``max_docs``,
+Training runs in numpy, in one task, on a bounded labelled sample (``max_docs``,
 ``max_bytes``); scoring runs over every whole text in Arrow batches.
 
 Edge cases: null, empty and wordless texts score 0 and have no offending
 sentence; repeated rows score alike; null ids are kept; without any label the
 model is the bias alone, so every score is near 0; empty tables give empty
-results.  Other columns pass through; new columns have the names given.
+results.  Other columns pass through; a column named like a new one is replaced.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fit_sample
+from .common import fit_in_a_task, fit_sample
 from .textblocks import ALNUM, LOWER, SENTENCE_END, Block, Words, blocks, byte_ngrams, find_words, hash_words
 
 BITS = 18
@@ -85,16 +85,28 @@ def bags(block: Block) -> Bags:
     return Bags(feature, units, words.doc[first], first, words)
 
 
-def lean(bag: Bags) -> Bags:
-    """What training needs of a bag, in 32 bits."""
-    return Bags(bag.feature.astype(np.int32), bag.unit.astype(np.int32), bag.doc.astype(np.int32), bag.first[:0], None)
+@dataclass
+class Lean:
+    """What training needs of the bags of a block, small: features by unit, how many each unit has, and its text."""
+    feature: np.ndarray
+    each: np.ndarray
+    doc: np.ndarray
+
+    @property
+    def unit(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.each)), self.each)
+
+
+def lean(bag: Bags) -> Lean:
+    order = np.argsort(bag.unit, kind="stable")
+    return Lean(bag.feature[order].astype(np.int32), np.bincount(bag.unit, minlength=len(bag.doc)).astype(np.int32), bag.doc.astype(np.int32))
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(z, -30, 30)))
 
 
-def unit_scores(model: Model, bag: Bags) -> np.ndarray:
+def unit_scores(model: Model, bag: Bags | Lean) -> np.ndarray:
     z = np.bincount(bag.unit, weights=model.weight[bag.feature], minlength=len(bag.doc))
     return _sigmoid(z + model.bias)
 
@@ -155,7 +167,7 @@ def best_shift(model: Model, sample: list[tuple[str, int]]) -> float:
 
 def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 8_000, max_bytes: int = 32 << 20) -> Model:
     """Train on a bounded sample of ``labels.toxic`` outside the held-out fold."""
-    return train(fit_sample(docs, labels, "toxic", max_docs, max_bytes))
+    return fit_in_a_task(fit_sample(docs, labels, "toxic", max_docs, max_bytes), train)
 
 
 def score_block(model: Model, block: Block, limit: float) -> tuple[np.ndarray, list[list[dict]]]:

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from conftest import SF_SMALL
-from knightshift.llm import quality_classifier, toxicity
+from knightshift.llm import packing, quality_classifier, toxicity
 from knightshift.llm.common import fit_sample, held_out, ship_package, table
 from knightshift.llm.queries import QUERIES
-from knightshift.llm.textblocks import blocks
+from knightshift.llm.textblocks import blocks, char_ngrams, find_words
 
 SF_LARGE = "/root/testdata/sf0.1"
 
@@ -32,13 +32,14 @@ def test_a_long_text_does_not_end_the_sample(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, toxic int")
     place = spark.createDataFrame([(i,) for i in ids], "doc_id long").orderBy(F.xxhash64("doc_id", F.lit(17))).collect()
     order = [r["doc_id"] for r in place]
+    sample_of = lambda docs, most: [(r["text"], r["y"]) for r in fit_sample(docs, labels, "toxic", 8_000, most).orderBy("turn", "doc_id").collect()]
     for size, fits in ((2_000, False), (900, True)):
         docs = spark.createDataFrame([(i, "z" * size if i == order[0] else f"text {i:04}") for i in ids], "doc_id long, text string")
-        got = fit_sample(docs, labels, "toxic", 8_000, 1_000 + 9 * len(ids))
+        got = sample_of(docs, 1_000 + 9 * len(ids))
         short = [(f"text {i:04}", i % 2) for i in order[1:]]
         assert got == ([("z" * size, order[0] % 2)] if fits else []) + short
     docs = spark.createDataFrame([(i, "z" * 900 if i == order[0] else f"text {i:04}") for i in ids], "doc_id long, text string")
-    assert [t for t, _ in fit_sample(docs, labels, "toxic", 8_000, 900)] == [f"text {i:04}" for i in order[1:]]
+    assert [t for t, _ in sample_of(docs, 900)] == [f"text {i:04}" for i in order[1:]]
 
 
 def accuracy(spark, name, label):
@@ -86,7 +87,7 @@ def test_noisy_or_combines_sentences():
 
 @pytest.mark.parametrize("module,label", [(toxicity, "toxic"), (quality_classifier, "quality")])
 def test_models_on_hostile_rows(spark, module, label):
-    docs = hostile_docs(spark).drop("score")
+    docs = hostile_docs(spark)               # its column named score is replaced
     labels = spark.createDataFrame([(1, 1, 0), (1, 0, 1), (3, 0, 1), (7, None, None), (None, 1, 1), (8, 1, 0), (99, 0, 0)],
                                    "doc_id long, quality int, toxic int")
     scored = module.score(docs, module.fit(docs, labels))
@@ -103,12 +104,47 @@ def test_models_on_hostile_rows(spark, module, label):
 
 def test_fit_sample_is_bounded_and_leaves_the_fold_out(spark):
     docs, labels = table(spark, SF_SMALL, "documents"), table(spark, SF_SMALL, "labels")
-    sample = fit_sample(docs, labels, "toxic", 20, 1 << 30)
-    assert len(sample) == 20
-    small = fit_sample(docs, labels, "toxic", 1000, 50_000)
-    assert sum(len(t.encode()) for t, _ in small) <= 50_000 and small
-    out = {r["text"] for r in docs.where(held_out(F.col("doc_id"))).collect()} - {r["text"] for r in docs.where(~held_out(F.col("doc_id"))).collect()}
-    assert not out & {t for t, _ in fit_sample(docs, labels, "toxic", 10_000, 1 << 30)}
+    assert fit_sample(docs, labels, "toxic", 20, 1 << 30).count() == 20
+    small = fit_sample(docs, labels, "toxic", 1000, 50_000).collect()
+    assert sum(len(r["text"].encode()) for r in small) <= 50_000 and small
+    every = fit_sample(docs, labels, "toxic", 10_000, 1 << 30).collect()
+    known = {r["doc_id"]: r["toxic"] for r in labels.where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).collect()}
+    texts = {r["doc_id"]: r["text"] for r in docs.where("text IS NOT NULL").collect()}
+    assert {(r["doc_id"], r["y"], r["text"]) for r in every} == {(d, y, texts[d]) for d, y in known.items() if d in texts}
+
+
+def test_fit_sample_moves_no_text_before_the_choice(spark):
+    """The running size is taken over ids and sizes: no window in the plan has a text in it."""
+    plan = fit_sample(table(spark, SF_SMALL, "documents"), table(spark, SF_SMALL, "labels"), "toxic", 100, 9000)._jdf.queryExecution().optimizedPlan().toString()
+    window = plan[plan.index("Window"):]
+    assert "octet_length(text" in window and "min(text" not in window
+
+
+def test_a_model_is_fitted_in_a_task_as_on_the_driver(spark):
+    docs, labels = table(spark, SF_SMALL, "documents"), table(spark, SF_SMALL, "labels")
+    rows = sorted(fit_sample(docs, labels, "toxic", 8_000, 32 << 20).collect(), key=lambda r: (r["turn"], r["doc_id"]))
+    there, here = toxicity.fit(docs, labels), toxicity.train([(r["text"], r["y"]) for r in rows])
+    assert there.bias == here.bias and np.array_equal(there.weight, here.weight)
+
+
+def test_character_windows_equal_plain_python():
+    texts = ["Über den Wörtern", "", "日本 語テキスト", "a", "😀é x", "plain words here", "ñ"]
+    for n in (2, 4):
+        groups = {}
+        for some in (texts, texts[5:6]):          # alike whether the block has longer characters or not
+            block = next(blocks(pa.array(some, pa.large_string())))
+            hashed, doc = char_ngrams(block, find_words(block).mask, n)
+            expected = []
+            for i, t in enumerate(some):
+                for k in range(len(t) - n + 1):
+                    w = t[k:k + n]
+                    inner = [c != " " for c in w]
+                    if all(inner[1:-1]) and (inner[0] or inner[-1]) and (n > 2 or all(inner)):
+                        expected.append((i, w))
+            assert doc.tolist() == [i for i, _ in expected]
+            for h, (_, w) in zip(hashed.tolist(), expected):
+                assert groups.setdefault(w, h) == h
+        assert len(set(groups.values())) == len(groups)
 
 
 def test_pipeline_stages_against_brute_force(spark):
@@ -136,11 +172,35 @@ def test_pipeline_stages_against_brute_force(spark):
     total = sum(len(words(r["text"])) for r in own.values())
     assert abs(sum(len(words(c[1])) for c in copies) - 1.5 * total) < 0.02 * total
     packed = stages["packing"](spark, mixed, SF_SMALL)
-    assert packed.agg(F.sum("length")).first()[0] == sum(len(words(c[1])) for c in copies)
+    held = lambda t: max(len(words(t)), -(-len((t or "").encode()) // packing.TOKEN_BYTES))
+    assert packed.agg(F.sum("length")).first()[0] == sum(held(c[1]) for c in copies)
 
 
-def test_pipeline_runs_on_hostile_rows(spark, tmp_path):
-    folder = str(tmp_path)
-    hostile_docs(spark).write.parquet(f"{folder}/documents.parquet")
+def hostile_folder(spark, folder, docs):
+    docs.write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
-    assert corpus_pipeline.run(spark, folder).count() > 0
+    return folder
+
+
+def test_pipeline_runs_on_hostile_rows(spark, tmp_path):
+    """Nulls, ties, repeated rows and clashing columns pass every stage; copies and near copies leave one row each."""
+    docs = hostile_docs(spark)
+    folder = hostile_folder(spark, str(tmp_path), docs)
+    now = table(spark, folder, "documents")
+    for name, stage in corpus_pipeline.STAGES:
+        before, now = now, stage(spark, now, folder)
+        if name != "packing":
+            assert now.columns == docs.columns
+            assert now.exceptAll(before).count() == 0 or name == "mixing"      # mixing may repeat rows, none is made up
+        if name == "exact dedup":
+            texts = [r["text"] or "" for r in now.collect()]
+            assert len(texts) == len(set(texts)) == len({r["text"] or "" for r in before.collect()})
+        if name == "ngram join":
+            expected = {c for _, _, c in jaccard_components([(r["doc_id"], r["text"]) for r in before.collect()])}
+            assert {r["doc_id"] for r in now.collect()} == expected
+    assert now.count() > 0
+
+
+def test_pipeline_runs_on_empty_tables(spark, tmp_path):
+    folder = hostile_folder(spark, str(tmp_path), hostile_docs(spark).limit(0))
+    assert corpus_pipeline.run(spark, folder).count() == 0
