@@ -60,7 +60,7 @@ PERCENT = 75
 RUN = 2_000_000                  # shingles among which repeated ones are counted
 HEAVY = 1 << 20                  # frequent shingles whose counts order the sets (12 MB in every task)
 LEAST_BITS = 512                 # parities of the smallest sketch, a power of two
-PACK = 1 << 19                   # prefix shingles packed at a time
+PACK = 1 << 18                   # prefix shingles packed at a time
 PER_TASK = 1_000_000             # prefix shingles of one range of shingles
 SETS = 500_000                   # shingles of the sets handed back at a time
 LIST_BLOCK = 1024                # classes of a list that one key of the last round holds
