@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import engine_family, safe_name
+from ..plans.joins import bounded_broadcast
 from ..sources.puzzles import empty_if_missing
 from .rollups import theme_bridge
 
@@ -37,7 +38,7 @@ def merge_rows(rows: DataFrame, path: str, keys: list[str], load: str) -> None:
     once = once.select(*keys, *[F.col(f"__r.{c}").alias(c) for c in rest])
     kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in once.schema.fields) + ", load string"
     held = read_table(spark, path, kind).where(F.col("load") != load).select(*keys)
-    once.join(held, keys, "left_anti").write.mode("overwrite").parquet(f"{path}/load={load}")
+    once.join(bounded_broadcast(held), keys, "left_anti").write.mode("overwrite").parquet(f"{path}/load={load}")
 
 
 def load_results(evals: DataFrame, puzzles: DataFrame, runs: DataFrame, root: str, load: str) -> None:

@@ -18,10 +18,10 @@ def score_answers(puzzles: DataFrame, answers: DataFrame, evaluated_at=None) ->
     """J3 + P7: join answers to their puzzle and mark them correct or wrong.
 
     Both sides are shuffled on ``puzzle_id`` (or the puzzle side is broadcast
-    by AQE when it is measured small); ``evaluated_at`` keeps the answer's own
+    when its values measure small); ``evaluated_at`` keeps the answer's own
     time or one load timestamp per job.
     """
-    p = puzzles.select("puzzle_id", "fen", "solution", "rating")
+    p = bounded_broadcast(puzzles.select("puzzle_id", "fen", "solution", "rating"))
     j = answers.join(p, "puzzle_id")
     cols = ["run_id", "puzzle_id", "fen", "solution", "engine_move",
             is_correct("engine_move", "solution").alias("is_correct"),
@@ -36,7 +36,7 @@ def score_answers(puzzles: DataFrame, answers: DataFrame, evaluated_at=None) ->
 
 def resume_pending(work: DataFrame, done: DataFrame, keys=("run_id", "engine", "puzzle_id")) -> DataFrame:
     """What is still to evaluate: the work list minus stored results (anti join)."""
-    return work.join(done.select(*keys), list(keys), "left_anti")
+    return work.join(bounded_broadcast(done.select(*keys)), list(keys), "left_anti")
 
 
 def resume_rows(puzzles: DataFrame, plan: DataFrame, checkpoints: DataFrame, done: DataFrame, min_rating: int | None = None,

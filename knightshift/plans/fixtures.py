@@ -42,6 +42,8 @@ POSITION_COLS = ["k", "fen_before", "first_move", "fen_after", "solution", "solu
 ENGINE_COLS = ["eidx", "engine_id", "engine_name", "version", "eval_paradigm", "hardware_target"]
 RUN_COLS = ["ridx", "run_id", "movetime_ms"]
 
+PARTS_PER_TASK = 25_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -65,10 +67,18 @@ def fx_runs(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(RUNS, "ridx int, run_id string, movetime_ms int")
 
 
+def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys and names of the parts, ``PARTS_PER_TASK`` a task: a small file of them is one split, whose every row
+    becomes a puzzle of many columns and eight answers."""
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    tasks = -(-parts.count() // PARTS_PER_TASK)          # read from the footers
+    return parts.repartition(tasks, "p_partkey", "p_name") if tasks > 1 else parts
+
+
 def fx_puzzles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One puzzle per part; the position is picked by ``p_partkey % 8``."""
     pos = F.element_at(_literal_rows(POSITIONS, POSITION_COLS), (F.col("p_partkey") % 8 + 1).cast("int"))
-    return (table(spark, sf_dir, "part")
+    return (_parts(spark, sf_dir)
             .select("p_partkey", "p_name", pos.alias("f"))
             .select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("puzzle_id"),
                     F.col("p_partkey").alias("pos"),

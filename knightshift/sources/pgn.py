@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..plans.joins import bounded_broadcast
+from ..plans.joins import fits
 from ..session import cut_lineage
 
 BLOCK = ["match_id", "file", "block"]
@@ -198,10 +198,10 @@ def read_games_text(spark: SparkSession, path: str, match_from_path: bool = True
     before = Window.partitionBy("match_id").orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = cut_lineage(blocks.select(F.col("file").alias("b_file"), F.col("block").alias("b_block"), "state",
                                        F.coalesce(F.sum("games").over(before), F.lit(0)).alias("before")), "text-blocks")
-    small = bounded_broadcast(blocks)
+    sent = fits(blocks)
     joined = lines.withColumn("seq", F.monotonically_increasing_id()).join(
-        small, (F.col("file") == F.col("b_file")) & (F.col("block") == F.col("b_block")))
-    if small is blocks:          # too many blocks to send: the lines meet theirs by shuffle and go back in order
+        F.broadcast(blocks) if sent else blocks.hint("merge"), (F.col("file") == F.col("b_file")) & (F.col("block") == F.col("b_block")))
+    if not sent:                 # too many blocks to send: the lines meet theirs by shuffle and go back in order
         joined = joined.repartition("file", "block").sortWithinPartitions("file", "block", "seq")
     pieces = cut_lineage(joined.select(*BLOCK, "state", "before", "value").mapInArrow(cut, PIECE), "game-pieces")
     joint = (pieces.where("NOT whole").groupBy("match_id", "game_no")

@@ -76,3 +76,30 @@ def test_result_reads_prune_partitions_and_columns(spark):
 def test_stored_ids_read_one_column(spark):
     p = _plan(E.queries()["src_existing_ids"](spark, SF_SMALL))
     assert "ReadSchema: struct<puzzle_id:string>" in p
+
+
+def test_a_side_above_the_bound_is_not_broadcast_by_its_file_size(spark, tmp_path):
+    from knightshift.operators.scoring import resume_pending, score_answers
+    rows = 60_000                                    # a small file whose columns are far wider than it
+    spark.range(rows).selectExpr("id", "concat('p', id) AS puzzle_id").write.parquet(str(tmp_path / "ids"))
+    ids = spark.read.parquet(str(tmp_path / "ids"))
+    wide = ids.selectExpr("puzzle_id", "repeat('8/', 400) AS fen", "'e2e4' AS solution", "1500 AS rating")
+    answers = ids.selectExpr("'r' AS run_id", "puzzle_id", "'e2e4' AS engine_move", "1 AS depth", "1.0D AS nps", "0.1D AS elapsed_seconds", "'E 1' AS engine")
+    scored = score_answers(wide, answers)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan(scored) and "SortMergeJoin" in plan(scored)
+    assert scored.where("is_correct").count() == rows
+    work = answers.selectExpr("run_id", "repeat(engine, 300) AS engine", "puzzle_id")
+    pending = resume_pending(work, work)
+    assert "BroadcastHashJoin" not in plan(pending) and pending.count() == 0
+
+
+def test_many_parts_of_one_file_are_spread_over_tasks(spark, tmp_path, monkeypatch):
+    from knightshift.plans import fixtures as fx
+    part = "CASE WHEN id % 10 = 0 THEN NULL ELSE id END AS p_partkey"
+    spark.range(1_000).selectExpr(part, "concat('n', id) AS p_name").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    whole = sorted(map(str, fx.fx_evals(spark, str(tmp_path)).collect()))
+    assert len(whole) == 8_000
+    monkeypatch.setattr(fx, "PARTS_PER_TASK", 100)
+    evals = fx.fx_evals(spark, str(tmp_path))
+    assert evals.rdd.getNumPartitions() == 10 and sorted(map(str, evals.collect())) == whole
