@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import first_turn, fixed, let, map_engine, parse_comment
-from ..sinks.files import write_matches
+from ..sinks.files import in_match_order, write_matches
 
 MOVES = ("array<struct<ply:int,move_number:int,turn:string,move_san:string,comment:string,"
          "eval:double,depth:int,seconds:double>>")
@@ -226,7 +226,7 @@ def ingest_games(games_text: DataFrame, engine1: str, engine2: str, time_control
 def store_games(games_text: DataFrame, root: str, engine1: str, engine2: str, time_control: str,
                 total_rounds: int, load_ts: str) -> tuple[str, str]:
     """K3: parse the match text once and store both tables; returns (matches path, games path)."""
-    games = game_table(parse_games(games_text), engine1, engine2, load_ts)
+    games = game_table(parse_games(in_match_order(games_text)), engine1, engine2, load_ts)
     return write_matches(games, lambda g: match_table(g, engine1, engine2, time_control, total_rounds, load_ts), root)
 
 

@@ -10,7 +10,8 @@ Deterministic shaping rules (also spelled out in the oracle SQL):
   every fourth ply from the third; games divisible by 5 carry a variation nested
   five deep, with comments, after the first ply; games divisible by 7 carry a
   ';' comment and a glyph after the second ply;
-* a file holds at most ``GAMES_PER_FILE`` games, so a match spans several files.
+* a file holds at most ``GAMES_PER_FILE`` games, so a match spans several files; of more than ``FILES`` times as
+  many games, as many more as keep the number of files.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from ..sinks.files import write_games_text
 from . import fixtures as fx
 
 GAMES_PER_FILE = 100
+FILES = 2_000
 NOTE = "note; (see [%x 1] $2"
 VARIATION = " (1. d4 {+9.99/99 9.9s} (1. c4 {(} (1. b3 (1. a3 (1. h3 h6) a6) b6) c5) d5)"
 LINE_COMMENT = " $14 ; Nf6 {not a move} (\n"
@@ -70,7 +72,8 @@ def pgn_games(spark: SparkSession, d: str) -> DataFrame:
 
 def pgn_files(spark: SparkSession, d: str) -> str:
     """Write the match files (one directory per match) and return their root."""
-    return landed(spark, f"pgn:{d}", lambda path: write_games_text(pgn_games(spark, d), path, GAMES_PER_FILE))
+    per_file = max(GAMES_PER_FILE, -(-fx.table(spark, d, "orders").count() // FILES))
+    return landed(spark, f"pgn:{d}", lambda path: write_games_text(pgn_games(spark, d), path, per_file))
 
 
 # SQL pieces for oracles over the adapters

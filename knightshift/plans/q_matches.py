@@ -114,13 +114,11 @@ SELECT g.match_id, g.game_no,
        printf('%.3fs', COALESCE(s.black_avg_movetime_sec, 0.0)) AS BlackAvgMoveTime
 FROM g LEFT JOIN sides s ON g.match_id = s.match_id AND g.game_no = s.game_no""")
 def q_annotate_pgn(spark, d):
-    a = M.annotate(_parsed(spark, d))
+    a = M.annotate(M.parse_games(K.in_match_order(_games(spark, d))))
     # the annotated games are written in game order (range partitioned, sorted) and read
     # back; their numbers come from file order again, so no join is needed
     path = scratch_path(spark, "annotated")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    (a.repartitionByRange(n, "match_id", "game_no").sortWithinPartitions("match_id", "game_no")
-     .select(F.col("annotated_pgn").alias("value"), "match_id")
+    (a.select(F.col("annotated_pgn").alias("value"), "match_id")
      .write.mode("overwrite").partitionBy("match_id").option("lineSep", "\n\n").text(path))
     back = SRC.read_games_text(spark, path)
     tags = ["WhiteAvgDepth", "BlackAvgDepth", "WhiteAvgMoveTime", "BlackAvgMoveTime"]

@@ -46,19 +46,25 @@ def write_results(evals: DataFrame, path: str, mode: str = "append") -> None:
     _bloom(w, "puzzle_id").partitionBy("run_id", "engine_id").parquet(path)
 
 
+def in_match_order(games: DataFrame) -> DataFrame:
+    """Games range partitioned and sorted by match and game.
+
+    The range partitioner evaluates its input twice (for its sample, then for the shuffle): put costly columns behind it.
+    """
+    n = int(games.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return games.repartitionByRange(n, "match_id", "game_no").sortWithinPartitions("match_id", "game_no")
+
+
 def write_matches(games: DataFrame, matches_of, root: str, mode: str = "append") -> tuple[str, str]:
     """K3: game and match tables from one parse of the text.
 
-    The games are written once, range partitioned and sorted by match and game (a hot match spreads over
-    files; a lookup of one match reads its row groups only, by their statistics and the bloom filter), and
-    ``matches_of`` derives the match rows from the stored games.
+    The games, as ``in_match_order`` gives them (a hot match spreads over files; a lookup of one match reads its
+    row groups only, by their statistics and the bloom filter), are written once, and ``matches_of`` derives the
+    match rows from the stored games.
     """
     mp, gp = f"{root}/engine_matches", f"{root}/engine_match_games"
     spark = games.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    w = (games.repartitionByRange(n, "match_id", "game_no").sortWithinPartitions("match_id", "game_no")
-         .write.mode(mode).option("compression", "zstd"))
-    _bloom(w, "match_id").parquet(gp)
+    _bloom(games.write.mode(mode).option("compression", "zstd"), "match_id").parquet(gp)
     _bloom(matches_of(spark.read.parquet(gp)).write.mode(mode).option("compression", "zstd"), "match_id").parquet(mp)
     return mp, gp
 

@@ -40,6 +40,7 @@ def _scanner():
     """
     OUTSIDE, TAGS, BLANK_1, BLANK_2, MOVES, COMMENT = range(6)
     LINE_KINDS = BLANK, ESCAPE, TAG, BRACKET, TEXT = range(5)
+    TOGETHER = 256                   # lines after which paths from different states are compared
     STARTS = 8                       # added to the state behind a line at which a game begins
 
     def after(state: int, kind: int, opened: bool, kept: bool) -> int:
@@ -57,23 +58,26 @@ def _scanner():
 
     table = [[after(s, k, bool(o), bool(c)) for k in LINE_KINDS for o in (0, 1) for c in (0, 1)] for s in range(6)]
 
+    def opens(lines):
+        """Whether each line ends inside a comment, if it begins outside of one."""
+        import pyarrow.compute as pc
+        return pc.match_substring(pc.replace_substring_regex(lines, r"\{[^}]*\}|;.*", ""), "{").to_numpy(zero_copy_only=False)
+
     def codes(lines) -> list[int]:
         """Kind of each line and what it does to comments, as one small number."""
+        import numpy as np
         import pyarrow.compute as pc
-        import re
         kind = pc.if_else(pc.match_substring_regex(lines, r"^\s*$"), BLANK,
                           pc.if_else(pc.match_substring_regex(lines, r"^[%;]"), ESCAPE,
                                      pc.if_else(pc.match_substring_regex(lines, r'^\s*\[[A-Za-z0-9][A-Za-z0-9_+#=:-]*\s+".*"\]\s*$'), TAG,
                                                 pc.if_else(pc.starts_with(lines, "["), BRACKET, TEXT))))
-        out = [4 * k + 1 for k in kind.to_pylist()]          # no brace: a comment stays open, none is opened
-        braces = pc.match_substring_regex(lines, r"[{}]").to_pylist()
-        opens = lambda text: "{" in re.sub(r"\{[^}]*\}|;.*", "", text)
-        for i, (has, text) in enumerate(zip(braces, lines)):
-            if has:
-                text = text.as_py()
-                behind = text.partition("}")
-                out[i] = out[i] - 1 + 2 * opens(text) + (opens(behind[2]) if behind[1] else True)
-        return out
+        out = 4 * kind.to_numpy(zero_copy_only=False).astype(np.int64) + 1      # no brace: a comment stays open, none is opened
+        braces = np.flatnonzero(pc.match_substring_regex(lines, r"[{}]").to_numpy(zero_copy_only=False))
+        if len(braces):
+            text = lines.take(braces)
+            kept = ~pc.match_substring(text, "}").to_numpy(zero_copy_only=False) | opens(pc.replace_substring_regex(text, r"^[^}]*\}", ""))
+            out[braces] += 2 * opens(text) + kept - 1
+        return out.tolist()
 
     def bare(lines, first: bool):
         """Lines without nulls; a byte order mark before the first line of a file goes."""
@@ -85,13 +89,16 @@ def _scanner():
         return lines
 
     def runs(batch):
-        """Consecutive rows of one block: (match, file, block, first row, end)."""
-        keys = list(zip(batch.column("match_id").to_pylist(), batch.column("file").to_pylist(), batch.column("block").to_pylist()))
-        a = 0
-        for z in range(1, len(keys) + 1):
-            if z == len(keys) or keys[z] != keys[a]:
-                yield keys[a], a, z
-                a = z
+        """Consecutive rows of one block: ((match, file, block), first row, end)."""
+        import numpy as np
+        import pyarrow.compute as pc
+        n = len(batch)
+        if not n:
+            return
+        new = [pc.not_equal(c.slice(1), c.slice(0, n - 1)).to_numpy(zero_copy_only=False) for c in (batch.column("file"), batch.column("block"))]
+        firsts = [0, *(np.flatnonzero(new[0] | new[1]) + 1).tolist(), n]
+        for a, z in zip(firsts, firsts[1:]):
+            yield tuple(batch.column(c)[a].as_py() for c in ("match_id", "file", "block")), a, z
 
     def summarise(batches):
         """One row a block: the state it ends in and the games that begin in it, for each state it may begin in."""
@@ -112,16 +119,19 @@ def _scanner():
                         yield row()
                     now, ends, games = key, list(range(6)), [0] * 6
                 lines = codes(bare(batch.column("value").slice(a, z - a), new and key[2] == 0))
-                moved = {}
-                for state in set(ends):                      # paths that have met stay together
-                    s, n = state, 0
-                    for c in lines:
-                        s = table[s][c]
-                        if s >= STARTS:
-                            s, n = s - STARTS, n + 1
-                    moved[state] = s, n
-                games = [g + moved[e][1] for g, e in zip(games, ends)]
-                ends = [moved[e][0] for e in ends]
+                while lines:
+                    paths = set(ends)                        # paths that have met stay together; most meet within a game
+                    some, lines = (lines, []) if len(paths) == 1 else (lines[:TOGETHER], lines[TOGETHER:])
+                    moved = {}
+                    for state in paths:
+                        s, n = state, 0
+                        for c in some:
+                            s = table[s][c]
+                            if s >= STARTS:
+                                s, n = s - STARTS, n + 1
+                        moved[state] = s, n
+                    games = [g + moved[e][1] for g, e in zip(games, ends)]
+                    ends = [moved[e][0] for e in ends]
         if now is not None:
             yield row()
 
@@ -137,7 +147,10 @@ def _scanner():
         now, state, game_no, text, first = None, OUTSIDE, 0, [], True
 
         def piece(whole):
-            return {"match_id": now[0], "file": now[1], "block": now[2], "game_no": game_no, "whole": whole and not first, "value": "\n".join(text)}
+            return *now, game_no, whole and not first, "\n".join(text)
+
+        def rows(done):
+            return pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], f.type) for i, f in enumerate(schema)], schema=schema)
 
         for batch in batches:
             done = []
@@ -158,27 +171,35 @@ def _scanner():
                     if s != OUTSIDE and (state == COMMENT or c // 4 != ESCAPE):
                         text.append(line)
                     state = s
-            yield pa.RecordBatch.from_pylist(done, schema)
+            yield rows(done)
         if now is not None and text:
-            yield pa.RecordBatch.from_pylist([piece(False)], schema)
+            yield rows([piece(False)])
 
     return summarise, cut
 
 
 def _composed(blocks: DataFrame) -> DataFrame:
-    """Blocks with ``state``, in which they begin, and ``games``, how many begin in them: a file's summaries in order."""
-    import pandas as pd
-
-    def compose(file: pd.DataFrame) -> pd.DataFrame:
-        file = file.sort_values("block", ignore_index=True)
-        states, games, state = [], [], 0
-        for ends, counts in zip(file["ends"], file["games"]):
-            states.append(state)
-            games.append(int(counts[state]))
-            state = int(ends[state])
-        return pd.DataFrame({"match_id": file["match_id"], "file": file["file"], "block": file["block"], "state": states, "games": games})
-
-    return blocks.groupBy("file").applyInPandas(compose, "match_id string, file string, block long, state int, games long")
+    """Blocks with ``state``, in which they begin, and ``games``, how many begin in them: a file's summaries in order.
+
+    The files of a task go by one after the other, so that many small files cost no more than a few large ones.
+    """
+    def compose(batches):
+        import pyarrow as pa
+
+        now, state = None, 0
+        for batch in batches:
+            states, games = [], []
+            for file, ends, counts in zip(*(batch.column(c).to_pylist() for c in ("file", "ends", "games"))):
+                if file != now:
+                    now, state = file, 0
+                states.append(state)
+                games.append(counts[state])
+                state = ends[state]
+            yield pa.RecordBatch.from_arrays([batch.column("match_id"), batch.column("file"), batch.column("block"),
+                                              pa.array(states, pa.int32()), pa.array(games, pa.int64())], names=["match_id", "file", "block", "state", "games"])
+
+    in_order = blocks.repartition("file").sortWithinPartitions("file", "block")
+    return in_order.mapInArrow(compose, "match_id string, file string, block long, state int, games long")
 
 
 def read_games_text(spark: SparkSession, path: str, match_from_path: bool = True) -> DataFrame:

@@ -288,3 +288,46 @@ def test_running_stream_continues_without_python(spark):
         n, s = seen.get(e, (0, 0))
         seen[e] = (n + 1, s + ok)
         assert got[i] == seen[e]
+
+
+def test_summaries_of_many_files_compose_in_a_stream(spark):
+    from knightshift.sources.pgn import _composed
+    to = lambda s: [s] * 6
+    rows = [(f"m{f % 3}", f"f{f:04d}", b, to(b + 1) if b < 2 else [5, 4, 3, 2, 1, 0], [10 * b + s for s in range(6)])
+            for f in range(500) for b in (2, 0, 1)]
+    composed = _composed(spark.createDataFrame(rows, "match_id string, file string, block long, ends array<int>, games array<long>"))
+    assert "FlatMapGroups" not in composed._jdf.queryExecution().executedPlan().toString()
+    got = {(r["match_id"], r["file"], r["block"]): (r["state"], r["games"]) for r in composed.collect()}
+    assert got == {(f"m{f % 3}", f"f{f:04d}", b): (b, 11 * b) for f in range(500) for b in range(3)}
+
+
+def test_games_are_ordered_before_they_are_parsed(spark, tmp_path):
+    """The range partitioner evaluates its input twice."""
+    from knightshift.operators import matches as M
+    from knightshift.sinks.files import in_match_order
+    raw = spark.createDataFrame([("m", n, f'[White "Lc0"]\n[Result "1-0"]\n\n1. e4 {{+0.1/{n} 1s}} 1-0') for n in (3, 1, 2)], "match_id string, game_no long, pgn string")
+    raw.write.parquet(str(tmp_path / "raw"))
+    plan = M.annotate(M.parse_games(in_match_order(spark.read.parquet(str(tmp_path / "raw")))))._jdf.queryExecution().executedPlan().toString()
+    assert "regexp" in plan and "regexp" not in plan[plan.index("rangepartitioning"):]
+    _, games = M.store_games(spark.read.parquet(str(tmp_path / "raw")), str(tmp_path / "db"), "Lc0", "Reckless", "1+0", 2, "t")
+    assert sorted(r["total_plies"] * 10 + r["game_no"] for r in spark.read.parquet(games).collect()) == [11, 12, 13]
+
+
+def test_match_files_grow_instead_of_their_number(spark, monkeypatch):
+    import os
+    from knightshift.plans import pgn_fixture as PF
+    from knightshift.session import scratch_path
+    SF_SMALL = "/root/testdata/sf0.001"
+    count = lambda path: sum(f.endswith(".txt") for _, _, fs in os.walk(path.removeprefix("file:")) for f in fs)
+
+    def fresh(session, key, build):
+        path = scratch_path(session, "pgn-test")
+        build(path)
+        return path
+
+    monkeypatch.setattr(PF, "landed", fresh)
+    monkeypatch.setattr(PF, "GAMES_PER_FILE", 1)
+    games = PF.fx.table(spark, SF_SMALL, "orders").count()
+    assert count(PF.pgn_files(spark, SF_SMALL)) == games <= PF.FILES
+    monkeypatch.setattr(PF, "FILES", 1)
+    assert count(PF.pgn_files(spark, SF_SMALL)) < games / 2
