@@ -67,10 +67,11 @@ def q_resume_from_checkpoints(spark, d):
     docs = saved.groupBy("run_id", "engine_id", "shard").agg(
         F.lit(RESUME_INDEX).alias("last_index"), F.transform(F.array_sort(F.collect_list(F.struct("index", result.alias("r")))), lambda x: x["r"]).alias("results"))
     path = scratch_path(spark, "resume")
-    docs.write.mode("overwrite").partitionBy("engine_id", "shard").json(path)
+    # a folder an engine, the checkpoints of many shards in a file
+    docs.write.mode("overwrite").partitionBy("engine_id").json(path)
     broken = evals.where((F.col("run_id") == "run_a") & (F.col("shard") % 3 == 1)).select(
-        "engine_id", "shard", F.lit('{"run_id": "run_a", "last_index": 9, "results": [').alias("value")).distinct()
-    broken.write.mode("append").partitionBy("engine_id", "shard").text(path)
+        "engine_id", F.concat(F.lit('{"run_id": "run_a", "shard": '), F.col("shard").cast("string"), F.lit(', "last_index": 9, "results": [')).alias("value")).distinct()
+    broken.write.mode("append").partitionBy("engine_id").text(path)
     state = RUNS.read_checkpoint_state(spark, path)
     plan = evals.select("run_id", "engine_id", "shard").distinct()
     done = plan.where((F.col("run_id") == "run_b") & (F.col("shard") % 5 == 4))

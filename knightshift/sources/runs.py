@@ -78,7 +78,8 @@ def read_checkpoints(spark: SparkSession, path: str) -> DataFrame:
 def read_checkpoint_state(spark: SparkSession, path: str) -> DataFrame:
     """One row per readable checkpoint: (engine_id, shard) from its folder, run_id, last_index (0 if absent), results.
 
-    Checkpoints lie below ``engine_id=<id>/shard=<n>``.  One that cannot be parsed is left out: its shard starts from 0.
+    Checkpoints lie below ``engine_id=<id>/shard=<n>``, a file each, or, many in a file, below ``engine_id=<id>`` with
+    the shard in the document.  One that cannot be parsed is left out: its shard starts from 0.
     """
     schema = T.StructType([*CHECKPOINT_SCHEMA.fields, T.StructField("engine_id", T.StringType()), T.StructField("shard", T.LongType())])
     ck = spark.read.schema(schema).option("mode", "PERMISSIVE").json(path)

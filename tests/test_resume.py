@@ -45,3 +45,18 @@ def test_recovered_rows_and_new_ones_stand_side_by_side(spark):
     old = spark.createDataFrame([("r", "e", 0, 0, "p0", True)], "run_id string, engine_id string, shard long, index long, puzzle_id string, is_correct boolean")
     new = spark.createDataFrame([("r", "e", 0, 1, "p1")], "run_id string, engine_id string, shard long, index long, puzzle_id string")
     assert sorted((r["index"], r.puzzle_id, r.is_correct, r.recovered) for r in S.resumed_results(old, new).collect()) == [(0, "p0", True, True), (1, "p1", None, False)]
+
+
+def test_many_checkpoints_of_an_engine_in_a_file(spark, tmp_path, monkeypatch):
+    import glob
+    from knightshift.plans import q_scoring as Q
+    text = ['{"run_id": "r", "shard": 0, "last_index": 2, "results": [{"run_id": "r", "puzzle_id": "p0"}]}',
+            '{"run_id": "r", "shard": 1, "last_index": 3, "results": [', '{"run_id": "r", "shard": 2}']
+    spark.createDataFrame([(t,) for t in text], "value string").coalesce(1).write.text(f"{tmp_path}/ck/engine_id=e")
+    state = RUNS.read_checkpoint_state(spark, f"{tmp_path}/ck")
+    assert sorted((r.engine_id, r.shard, r.last_index, len(r.results)) for r in state.collect()) == [("e", 0, 2, 1), ("e", 2, 0, 0)]
+    monkeypatch.setattr(Q, "scratch_path", lambda s, name: f"{tmp_path}/query")
+    spark.range(2_000).selectExpr("id AS p_partkey", "'n' AS p_name").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    assert Q.q_resume_from_checkpoints(spark, str(tmp_path)).where("recovered").count() > 0
+    assert len(glob.glob(f"{tmp_path}/query/engine_id=*/*")) <= 64         # not one for each of 100 shards and engine
+    assert not glob.glob(f"{tmp_path}/query/engine_id=*/shard=*")
