@@ -24,6 +24,7 @@ from pyspark.sql.window import Window
 
 from ..operators.ordered import running_totals
 from ..plans.joins import bounded_broadcast
+from ..session import cut_lineage
 
 
 def read_transcripts(spark: SparkSession, path: str, session_from_path: bool = True) -> DataFrame:
@@ -45,14 +46,17 @@ def _value_after(tokens, word: str):
 
 def parse_transcript(lines: DataFrame) -> DataFrame:
     """(session, position, bestmove, depth, nps) per position asked."""
-    line = F.trim(F.col("line"))
-    tokens = F.split(line, r"\s+")
+    line = F.col("line")
     is_info, is_best = line.contains("info"), line.contains("bestmove")
-    x = lines.select(
+    says = lines.withColumn("line", F.trim("line")).where(is_info | is_best | line.startswith("go"))
+    tokens = F.col("tokens")
+    x = says.withColumn("tokens", F.split(line, r"\s+")).select(
         "session", "file", "block", "seq", (tokens[0] == "go").alias("is_go"), is_best.alias("is_best"),
         F.when(is_info, _value_after(tokens, "depth").try_cast("int")).alias("depth_v"),
         F.when(is_info, _value_after(tokens, "nps").try_cast("double")).alias("nps_v"),
         F.when(is_best, F.coalesce(F.try_element_at(tokens, F.lit(2)), F.lit(""))).alias("move"))
+    # lines that neither ask, nor answer, nor report a value leave every count and value as it is; stored, the others are read twice
+    x = cut_lineage(x.where("is_go OR is_best OR depth_v IS NOT NULL OR nps_v IS NOT NULL"), "transcript-lines")
     # file blocks are natural, bounded chunks of the line order: no sampling pass
     numbered = running_totals(x, ["session"], ["file", "block", "seq"],
                               {"go": F.col("is_go").cast("bigint"), "best": F.col("is_best").cast("bigint")},
@@ -61,6 +65,7 @@ def parse_transcript(lines: DataFrame) -> DataFrame:
     # runs of lines between two marks: behind ``go`` number ``go``, with ``best`` answers before them
     runs = numbered.withColumn("best", F.col("best") - F.col("is_best").cast("bigint")).groupBy("session", "go", "best").agg(
         last("depth_v"), last("nps_v"), F.max("move").alias("move"))
+    runs = cut_lineage(runs, "transcript-runs")
     asked = runs.groupBy(F.col("session").alias("__s")).agg(F.max("go").alias("asked"))
     runs = runs.join(bounded_broadcast(asked), F.col("session").eqNullSafe(F.col("__s"))).drop("__s")
     behind = (F.col("go") == 0) | (F.col("best") > F.min("best").over(Window.partitionBy("session", "go")))

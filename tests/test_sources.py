@@ -331,3 +331,12 @@ def test_match_files_grow_instead_of_their_number(spark, monkeypatch):
     assert count(PF.pgn_files(spark, SF_SMALL)) == games <= PF.FILES
     monkeypatch.setattr(PF, "FILES", 1)
     assert count(PF.pgn_files(spark, SF_SMALL)) < games / 2
+
+
+def test_transcript_text_is_read_once(spark, tmp_path):
+    from knightshift.sources.transcript import parse_transcript, read_transcripts
+    text = ["go depth 3", "info string noise", "noise", "info depth 2 nps 10", "bestmove e2e4", "info string late", "", "go depth 3", "bestmove a1b1"]
+    spark.createDataFrame([(t,) for t in text], "line string").coalesce(1).write.text(f"{tmp_path}/session=s")
+    answers = parse_transcript(read_transcripts(spark, str(tmp_path)))
+    assert "FileScan text" not in answers._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, answers.collect())) == [("s", 1, "e2e4", 2, 10.0), ("s", 2, "a1b1", 0, 0.0)]
