@@ -18,8 +18,8 @@ join runs between classes, named by a 64-bit digest of the set.
 3. *Candidates* come from joining postings on the shingle, under the length
    filter, the positional filter and a first suffix filter on 512 parities.  To
    keep a large group of near copies linear, three rounds link each class only
-   to the nearest of the leaders of its lists; the last round then takes the
-   remaining pairs whose classes are still in different components, long lists in
+   to the nearest of the leaders of its lists, and a fourth to a few classes of each
+   list, others in every list; the last round then takes the remaining pairs whose classes are still in different components, long lists in
    blocks, each pair at its first common list.  Links inside a component cannot
    change it.
 4. *Verification*, once per pair: a suffix filter (parities in proportion to the
@@ -65,6 +65,7 @@ PER_TASK = 1_000_000             # prefix shingles of one range of shingles
 SETS = 500_000                   # shingles of the sets handed back at a time
 LIST_BLOCK = 1024                # classes of a list that one key of the last round holds
 PAIRS_PER_TASK = 20_000_000
+FEW = 4                          # classes of a list that every other meets before all remaining pairs are taken
 LEADER_ROUNDS = (0, 0x5DEECE66D1234567, 0x2545F4914F6CDD1D)
 BROADCAST_BYTES = 64 << 20       # of a broadcast side, measured
 
@@ -333,14 +334,15 @@ def leader_pairs(posted: DataFrame, seed: int, percent: int) -> DataFrame:
             .select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"), F.col("x.n").alias("n"), F.col("y.n").alias("m")).distinct())
 
 
-def remaining_pairs(posted: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
+def remaining_pairs(posted: DataFrame, signatures: DataFrame, percent: int, few: int | None = None) -> DataFrame:
     """All pairs of a posting list that lie in different components and pass the filters, each at its first common list.
 
     A list of more than ``LIST_BLOCK`` classes is cut into blocks; every class meets every block, in a task of its own.
+    With ``few``, a class meets about so many classes of each list only, others in every list.
     """
     lists = cut_lineage(mixed_lists(posted, F.lit(0)).select("list", "classes"), "mixed-lists")
     own = join_groups(posted, lists, F.col("token") == F.col("list"), "list", "classes", posted.count(), BROADCAST_BYTES)
-    own = cut_lineage(own.select("token", "cls", "n", "pos", "root", F.ceil(F.col("classes") / LIST_BLOCK).cast("int").alias("parts")), "mixed-postings")
+    own = cut_lineage(own.select("token", "cls", "n", "pos", "root", "classes", F.ceil(F.col("classes") / LIST_BLOCK).cast("int").alias("parts")), "mixed-postings")
     held = own.groupBy("cls").agg(F.collect_list("token").alias("lists"))          # at most the class's prefix
     words = F.expr(f"transform(sequence(0, {LEAST_BITS // 64 - 1}), j -> aggregate(sequence(j, size(sig) - 1, {LEAST_BITS // 64}), 0L, (x, i) -> x ^ sig[i]))")
     known = signatures.select("cls", words.alias("w")).select("cls", *[F.col("w")[j].alias(f"w{j}") for j in range(LEAST_BITS // 64)])
@@ -352,14 +354,22 @@ def remaining_pairs(posted: DataFrame, signatures: DataFrame, percent: int) -> D
     left = rows.withColumn("part", part).repartition(tasks, "token", "part")
     right = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).repartition(tasks, "token", "part")
     x, y = left.alias("x"), right.alias("y")
+    once = (F.col("x.cls") < F.col("y.cls")) & (F.array_min(F.array_intersect("x.lists", "y.lists")) == F.col("x.token"))
+    if few is not None:
+        y = right.where(F.pmod(F.xxhash64("token", "cls"), F.col("classes")) < few).alias("y")
+        once = F.col("x.cls") != F.col("y.cls")
     apart = sum((F.bit_count(F.col(f"x.w{j}").bitwiseXOR(F.col(f"y.w{j}"))) for j in range(1, LEAST_BITS // 64)),
                 F.bit_count(F.col("x.w0").bitwiseXOR(F.col("y.w0"))))
     n, m = F.col("x.n"), F.col("y.n")
-    first = F.array_min(F.array_intersect("x.lists", "y.lists")) == F.col("x.token")
-    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.cls") < F.col("y.cls"))
+    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.part") == F.col("y.part"))
                    & (F.col("x.root") != F.col("y.root")) & may_reach("x", "y", percent)
-                   & (apart <= n + m - 2 * overlap_needed("x.n", "y.n", percent)) & first)
-    out = cut_lineage(pairs.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"), n.alias("n"), m.alias("m")), "pairs")
+                   & (apart <= n + m - 2 * overlap_needed("x.n", "y.n", percent)) & once)
+    pairs = pairs.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"), n.alias("n"), m.alias("m"))
+    if few is not None:
+        lower = F.col("a") < F.col("b")
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(lower, F.col("n")).otherwise(F.col("m")).alias("n"),
+                             F.when(lower, F.col("m")).otherwise(F.col("n")).alias("m")).distinct()
+    out = cut_lineage(pairs, "pairs")
     discard(lists, own, rows)
     return out
 
@@ -442,9 +452,9 @@ def components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", perc
                              .dropDuplicates(["cls"]), "signatures")
 
     tried, labels = None, None
-    for seed in (*LEADER_ROUNDS, None):
+    for seed, few in (*((s, None) for s in LEADER_ROUNDS), (None, FEW), (None, None)):
         now = with_roots(postings, labels)
-        pairs = remaining_pairs(now, signatures, percent) if seed is None else leader_pairs(now, seed, percent)
+        pairs = remaining_pairs(now, signatures, percent, few) if seed is None else leader_pairs(now, seed, percent)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti").join(tried.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
         hopeful = hopeful_pairs(pairs, signatures, percent)
