@@ -19,9 +19,9 @@ join runs between classes, named by a 64-bit digest of the set.
    filter, the positional filter and a first suffix filter on 512 parities.  To
    keep a large group of near copies linear, three rounds link each class only
    to the nearest of the leaders of its lists, and a fourth to a few classes of each
-   list, others in every list; the last round then takes the remaining pairs whose classes are still in different components, long lists in
-   blocks, each pair at its first common list.  Links inside a component cannot
-   change it.
+   list, others in every list; the last round then takes the remaining pairs whose
+   classes are still in different components, long lists in blocks, each pair at its
+   first common list.  Links inside a component cannot change it.
 4. *Verification*, once per pair: a suffix filter (parities in proportion to the
    set: two sets differ in at least as many shingles as in parities) drops hopeless
    pairs; the sets of the others are built from their texts and intersected.
@@ -298,9 +298,10 @@ def of_classes(docs: DataFrame, id_col: str, text: str, wanted: DataFrame, build
     return made.join(bounded_broadcast(wanted.select("cls"), BROADCAST_BYTES), "cls", "left_semi")
 
 
-def overlap_needed(n: str, m: str, percent: int) -> Column:
-    """The smallest intersection of sets of n and m shingles that reaches the threshold."""
-    return F.expr(f"(({n} + {m}) * {percent}L + {99 + percent}) div {100 + percent}")
+def overlap_needed(n: Column | str, m: Column | str, percent: int) -> Column:
+    """The smallest intersection of sets of n and m shingles (columns or their names) that reaches the threshold."""
+    n, m = (F.col(c) if isinstance(c, str) else c for c in (n, m))
+    return F.call_function("div", (n + m) * F.lit(percent).cast("long") + F.lit(99 + percent), F.lit(100 + percent).cast("long"))
 
 
 def may_reach(a: str, b: str, percent: int) -> Column:

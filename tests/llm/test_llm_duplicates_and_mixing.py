@@ -364,3 +364,14 @@ def test_warc_chunks_carry_digests():
     assert len(rows) == 6
     with pytest.raises(ValueError):
         list(warc.stream_records(warc._Lines(io.BytesIO(data[:-8]), 7), size=4))
+
+
+def test_few_partners_of_a_list_are_bounded_and_links_among_all_of_them(spark):
+    rows = [(7, c, 100, 0, 600, c) for c in range(600)]                  # one list of 600 classes, all of one parity sketch
+    posted = spark.createDataFrame(rows, "token long, cls long, n int, pos int, k long, root long")
+    signatures = posted.selectExpr("cls", "array_repeat(0L, 8) AS sig")
+    few = ngram_join.remaining_pairs(posted, signatures, 75, 4)
+    every = ngram_join.remaining_pairs(posted, signatures, 75)
+    assert every.count() == 600 * 599 // 2 and 600 <= few.count() <= 600 * 20
+    assert few.where("a >= b").count() == 0 and few.distinct().count() == few.count()
+    assert few.join(every, ["a", "b", "n", "m"], "left_anti").count() == 0
