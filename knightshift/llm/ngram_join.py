@@ -66,6 +66,7 @@ SETS = 500_000                   # shingles of the sets handed back at a time
 LIST_BLOCK = 1024                # classes of a list that one key of the last round holds
 PAIRS_PER_TASK = 20_000_000
 FEW = 4                          # classes of a list that every other meets before all remaining pairs are taken
+CROWD = 200                      # classes of an average posting's list from which that round is worth its passes
 LEADER_ROUNDS = (0, 0x5DEECE66D1234567, 0x2545F4914F6CDD1D)
 BROADCAST_BYTES = 64 << 20       # of a broadcast side, measured
 
@@ -375,6 +376,12 @@ def remaining_pairs(posted: DataFrame, signatures: DataFrame, percent: int, few:
     return out
 
 
+def crowd(posted: DataFrame) -> float:
+    """Classes that a posting shares its list with, on average over the postings of mixed lists."""
+    of = mixed_lists(posted, F.lit(0)).agg(F.sum(F.col("classes") * F.col("classes")).alias("pairs"), F.sum("classes").alias("n")).first()
+    return of["pairs"] / of["n"] if of["n"] else 0.0
+
+
 def hopeful_pairs(pairs: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
     """Suffix filter: pairs whose parities allow an intersection that reaches the threshold, with their distance (``apart``).
 
@@ -455,6 +462,8 @@ def components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", perc
     tried, labels = None, None
     for seed, few in (*((s, None) for s in LEADER_ROUNDS), (None, FEW), (None, None)):
         now = with_roots(postings, labels)
+        if few is not None and crowd(now) < CROWD:
+            continue
         pairs = remaining_pairs(now, signatures, percent, few) if seed is None else leader_pairs(now, seed, percent)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti").join(tried.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")

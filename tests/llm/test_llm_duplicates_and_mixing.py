@@ -375,3 +375,9 @@ def test_few_partners_of_a_list_are_bounded_and_links_among_all_of_them(spark):
     assert every.count() == 600 * 599 // 2 and 600 <= few.count() <= 600 * 20
     assert few.where("a >= b").count() == 0 and few.distinct().count() == few.count()
     assert few.join(every, ["a", "b", "n", "m"], "left_anti").count() == 0
+
+
+def test_crowd_is_the_list_of_an_average_posting(spark):
+    rows = [(7, c, 9, 0, 30, c) for c in range(30)] + [(8, c, 9, 0, 10, c) for c in range(10)] + [(9, c, 9, 0, 50, 1) for c in range(50)]
+    posted = spark.createDataFrame(rows, "token long, cls long, n int, pos int, k long, root long")
+    assert ngram_join.crowd(posted) == 25 and ngram_join.crowd(posted.where("token = 9")) == 0
