@@ -3,15 +3,17 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import functions as F
 
 from .. import schemas
 from ..operators import normalize as N
 from ..operators import rollups as R
 from ..operators import sketches as SK
-from ..session import landed, scratch_path
+from ..session import checkpoint_root, landed, scratch_path
 from ..sinks import files as K
 from . import fixtures as fx
 from .joins import bounded_broadcast
@@ -19,6 +21,8 @@ from .model_fixture import model_tables, with_model
 from .registry import query
 
 SHARD_SIZE = 20
+# index tables written at a time: the next one's tasks take the cores that the last tasks of a stage leave idle
+AT_ONCE = 3
 # lookups over the indexes: values of their columns
 LOOKUPS = {
     "idx_puzzle_eval_correct": [True], "idx_puzzle_eval_run": ["run_3"], "idx_puzzle_rating": [1777], "idx_games_players": ["u10", "u71"],
@@ -41,9 +45,12 @@ def indexed_table(spark, d, name: str) -> str:
     f"SELECT '{n}' AS index_name, count(*) AS found FROM {t} WHERE " + " AND ".join(f"{c} = {_sql(v)}" for c, v in zip(cs, LOOKUPS[n]))
     for n, t, cs in schemas.INDEXES)))
 def q_index_lookups(spark, d):
+    checkpoint_root(spark)                             # set before the threads ask for it
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        paths = list(pool.map(inheritable_thread_target(spark)(lambda x: indexed_table(spark, d, x[0])), schemas.INDEXES))
     found = []
-    for name, _, columns in schemas.INDEXES:
-        rows = spark.read.parquet(indexed_table(spark, d, name))
+    for (name, _, columns), path in zip(schemas.INDEXES, paths):
+        rows = spark.read.parquet(path)
         hit = reduce(lambda a, b: a & b, [F.col(c) == F.lit(v) for c, v in zip(columns, LOOKUPS[name])])
         found.append(rows.where(hit).agg(F.count(F.lit(1)).alias("found")).select(F.lit(name).alias("index_name"), "found"))
     return reduce(lambda a, b: a.unionByName(b), found)

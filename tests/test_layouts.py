@@ -1,6 +1,7 @@
 """Stored layouts: row groups that a lookup reads, catalog tables, incremental loads, sketches; order of reports."""
 import glob
 import tempfile
+import threading
 
 import pyarrow.parquet as pq
 import pytest
@@ -43,6 +44,49 @@ def test_a_lookup_reads_few_row_groups(spark, tmp_path, name, table, columns):
     assert max(rows) <= 2.5 * sum(rows) / len(rows)              # a value that most rows share spreads over files
 
 
+def _rows_of_files(path):
+    return [pq.ParquetFile(f).metadata.num_rows for f in glob.glob(f"{path}/*.parquet")]
+
+
+def test_files_of_a_layout_grow_in_number_not_in_rows(spark, tmp_path, monkeypatch):
+    """A value that nine of ten rows share, null values and rows that repeat: all rows, in files of bounded size, sorted by the column."""
+    monkeypatch.setattr(K, "ROWS_PER_FILE", 500)
+    df = spark.range(20_000).selectExpr("CASE WHEN id % 10 > 0 THEN 'b' WHEN id % 20 = 0 THEN 'a' END AS c", "id div 2 AS k")
+    path = str(tmp_path / "t")
+    K.write_clustered(df, path, ["c"], ["k"])
+    rows = _rows_of_files(path)
+    assert sum(rows) == 20_000 and max(rows) <= 2.5 * 500
+    assert spark.read.parquet(path).exceptAll(df).isEmpty() and df.exceptAll(spark.read.parquet(path)).isEmpty()
+    for f in glob.glob(f"{path}/*.parquet"):
+        values = pq.read_table(f, columns=["c"])["c"].to_pylist()
+        assert values == sorted(values, key=lambda v: (v is not None, v or ""))
+    assert _groups(path, ["k"], [7])[1] <= 3                     # files are ranges of the key, too
+
+
+def test_an_empty_table_has_a_layout(spark, tmp_path):
+    path = str(tmp_path / "t")
+    K.write_clustered(spark.createDataFrame([], "c string, k long"), path, ["c"], ["k"])
+    assert spark.read.parquet(path).count() == 0
+
+
+def test_index_tables_are_written_side_by_side(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    columns = {c for *_, cs in schemas.INDEXES for c in cs}
+    spark.createDataFrame([(None,) * len(columns)], ", ".join(f"{c} string" for c in columns)).write.parquet(path)
+    two = threading.Barrier(2)
+    asked = []
+
+    def stored(spark, d, name):
+        asked.append(name)
+        if len(asked) <= 2:
+            two.wait(20)                                         # the first one goes on when the second has begun
+        return path
+
+    monkeypatch.setattr(Q, "indexed_table", stored)
+    assert {r.index_name: r.found for r in Q.q_index_lookups(spark, SF_MID).collect()} == {x[0]: 0 for x in schemas.INDEXES}
+    assert sorted(asked) == sorted(x[0] for x in schemas.INDEXES)
+
+
 def test_tables_are_registered_again_after_new_files(spark, tmp_path):
     path = str(tmp_path / "t")
     part = lambda i: spark.createDataFrame([(i, f"r{i}")], "x int, run string").write.mode("append").partitionBy("run").parquet(path)
