@@ -18,10 +18,12 @@ def score_answers(puzzles: DataFrame, answers: DataFrame, evaluated_at=None) ->
     """J3 + P7: join answers to their puzzle and mark them correct or wrong.
 
     Both sides are shuffled on ``puzzle_id`` (or the puzzle side is broadcast
-    when its values measure small); ``evaluated_at`` keeps the answer's own
+    when its values measure small and broadcasts are on); ``evaluated_at`` keeps the answer's own
     time or one load timestamp per job.
     """
-    p = bounded_broadcast(puzzles.select("puzzle_id", "fen", "solution", "rating"))
+    p = puzzles.select("puzzle_id", "fen", "solution", "rating")
+    if not puzzles.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold").startswith("-"):   # -1: the session wants none
+        p = bounded_broadcast(p)
     j = answers.join(p, "puzzle_id")
     cols = ["run_id", "puzzle_id", "fen", "solution", "engine_move",
             is_correct("engine_move", "solution").alias("is_correct"),
