@@ -76,7 +76,8 @@ def q_resume_from_checkpoints(spark, d):
     plan = evals.select("run_id", "engine_id", "shard").distinct()
     done = plan.where((F.col("run_id") == "run_b") & (F.col("shard") % 5 == 4))
     work = S.resume_rows(_with_shard(fx.fx_puzzles(spark, d)), plan, state, done, RESUME_RATING, RESUME_MOST)
-    answers = fx.fx_answers(spark, d).select("run_id", "engine_id", "puzzle_id", "engine_move")
+    # a row for each puzzle, engine and run: by the size of the part file the planner would send all of them through the driver
+    answers = fx.fx_answers(spark, d).select("run_id", "engine_id", "puzzle_id", "engine_move").hint("merge")
     fresh = (work.select("run_id", "engine_id", "shard", "index", "puzzle_id", "solution").join(answers, ["run_id", "engine_id", "puzzle_id"])
              .withColumn("is_correct", C.is_correct("engine_move", "solution")).drop("solution"))
     out = S.resumed_results(RUNS.checkpoint_results(state), fresh)

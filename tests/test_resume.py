@@ -60,3 +60,13 @@ def test_many_checkpoints_of_an_engine_in_a_file(spark, tmp_path, monkeypatch):
     assert Q.q_resume_from_checkpoints(spark, str(tmp_path)).where("recovered").count() > 0
     assert len(glob.glob(f"{tmp_path}/query/engine_id=*/*")) <= 64         # not one for each of 100 shards and engine
     assert not glob.glob(f"{tmp_path}/query/engine_id=*/shard=*")
+
+
+def test_answers_are_not_sent_through_the_driver(spark, tmp_path, monkeypatch):
+    """The planner goes by the size of the part file, of which every row becomes eight answers: they meet the work list by sort-merge."""
+    from knightshift.plans import q_scoring as Q
+    monkeypatch.setattr(Q, "scratch_path", lambda s, name: f"{tmp_path}/query")
+    spark.range(200).selectExpr("id AS p_partkey", "'n' AS p_name").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    plan = Q.q_resume_from_checkpoints(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    joins = [x for x in plan.splitlines() if "Join" in x and "puzzle_id" in x]
+    assert joins and all("SortMergeJoin" in x for x in joins)
