@@ -134,8 +134,8 @@ def fixed(x, digits: int) -> Column:
     body = n.cast("string") if digits == 0 else F.concat(
         (n / F.lit(10 ** digits)).cast("long").cast("string"), F.lit("."),
         F.lpad((n % F.lit(10 ** digits)).cast("string"), digits, "0"))
-    return F.when(v.isNull(), F.lit(None).cast("string")).otherwise(
-        F.concat(F.when(v < 0, F.lit("-")).otherwise(F.lit("")), body))
+    # null stays null on the way: behind a condition on it, nothing that the steps share would be worked out once
+    return F.concat(F.when(v < 0, F.lit("-")).otherwise(F.lit("")), body)
 
 
 def speed_label(nps) -> Column:

@@ -10,6 +10,9 @@ per-engine totals (A9-A11) shuffle, and those aggregate map-side first.
 
 from __future__ import annotations
 
+import operator
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,6 +61,15 @@ def header(pgn, name: str) -> Column:
     return F.when(section.rlike(line), F.regexp_extract(section, line, 1))
 
 
+def with_headers(games: DataFrame, column: str, names: dict[str, str]) -> DataFrame:
+    """``games`` with columns that hold the ``header`` of their tag name: the tag lines are cut out once and looked through together."""
+    lines = r'(?m)^\s*\[(' + "|".join(names.values()) + r')\s+"([^\r\n]*)"\]'
+    t = games.withColumn("__head", header_section(column))
+    t = t.withColumns({f"__t{k}": F.regexp_extract_all("__head", F.lit(lines), k) for k in (1, 2)})
+    at = {k: F.array_position("__t1", name) for k, name in names.items()}
+    return t.withColumns({k: F.when(pos > 0, F.element_at("__t2", pos.cast("int"))) for k, pos in at.items()}).drop("__head", "__t1", "__t2")
+
+
 def main_line(tokens: Column) -> Column:
     """Moves and comments outside variations, whatever the nesting; glyphs and ';' comments dropped."""
     plain = F.filter(tokens, lambda t: ~t.startswith(";") & ~t.startswith("$"))
@@ -85,13 +97,13 @@ def parse_games(games_text: DataFrame) -> DataFrame:
     """
     # every tag in one regex pass over the header lines: names and values as two aligned arrays
     t = games_text.withColumn("__head", header_section("pgn"))
-    t = t.withColumns({"__tk": F.regexp_extract_all("__head", F.lit(TAG_LINE), 1),
-                       "__tv": F.regexp_extract_all("__head", F.lit(TAG_LINE), 2)})
+    # a repeated tag keeps its last value, as a header dictionary would
+    t = t.withColumns({"__tk": F.reverse(F.regexp_extract_all("__head", F.lit(TAG_LINE), 1)),
+                       "__tv": F.reverse(F.regexp_extract_all("__head", F.lit(TAG_LINE), 2))})
 
     def tag(name: str) -> Column:
-        # a repeated tag keeps its last value, as a header dictionary would
-        pos = F.array_position(F.reverse("__tk"), name)
-        return F.when(pos > 0, F.element_at(F.reverse("__tv"), pos.cast("int")))
+        pos = F.array_position("__tk", name)
+        return F.when(pos > 0, F.element_at("__tv", pos.cast("int")))
 
     body = F.substr("pgn", F.length("__head") + 1)
     g = t.select(
@@ -274,14 +286,18 @@ def with_tags(pgn, lines: Column) -> Column:
     """``pgn`` with the telemetry headers of ``lines`` (tag lines joined by line breaks) after its own headers;
     headers of these names that it has already are replaced."""
     text = F.trim(_col(pgn))
-    names = "|".join([*TELEMETRY_TAGS, ANNOTATOR_TAG])
-    section = F.regexp_replace(header_section(text), r'(?m)^\s*\[(' + names + r')\s+"[^\r\n]*"\][ \t\r]*(\n|$)', "")
-    return F.concat(F.rtrim(section, F.lit(" \t\r\n")), F.lit("\n"), lines, F.lit("\n\n"),
-                    F.btrim(movetext(text), F.lit(" \t\r\n")))
+    names = [*TELEMETRY_TAGS, ANNOTATOR_TAG]
+    line = r'(?m)^\s*\[(' + "|".join(names) + r')\s+"[^\r\n]*"\][ \t\r]*(\n|$)'
+
+    section = header_section(text)
+    held = reduce(operator.or_, (section.contains(n) for n in names))
+    own = F.when(held, F.regexp_replace(section, line, "")).otherwise(section)
+    return F.concat(F.rtrim(own, F.lit(" \t\r\n")), F.lit("\n"), lines, F.lit("\n\n"),
+                    F.btrim(F.substr(text, F.length(section) + 1), F.lit(" \t\r\n")))
 
 
 def _tag_line(name: str, value: Column) -> Column:
-    return F.format_string('[%s "%s"]', F.lit(name), value)
+    return F.concat(F.lit(f'[{name} "'), value, F.lit('"]'))
 
 
 def telemetry_lines(blank: bool, annotator: str = "telemetry engine") -> Column:
@@ -290,9 +306,8 @@ def telemetry_lines(blank: bool, annotator: str = "telemetry engine") -> Column:
               "WhiteAvgMoveTime": ("white_avg_movetime_sec", 3, "s"), "BlackAvgMoveTime": ("black_avg_movetime_sec", 3, "s")}
     lines = []
     for name, (column, digits, unit) in values.items():
-        x = F.coalesce(F.col(column), F.lit(0.0))
-        line = _tag_line(name, F.concat(fixed(x, digits), F.lit(unit)))
-        lines.append(line if blank else F.when(F.col(column).isNotNull(), line))
+        x = F.coalesce(F.col(column), F.lit(0.0)) if blank else F.col(column)       # a line without a value is null: left out
+        lines.append(_tag_line(name, F.concat(fixed(x, digits), F.lit(unit))))
     return F.concat_ws("\n", *lines, _tag_line(ANNOTATOR_TAG, F.lit(annotator)))
 
 

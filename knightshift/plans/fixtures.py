@@ -147,9 +147,9 @@ def fx_games(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fx_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
-    # an order has at most a handful of lines: per-game windows are small groups
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    m = li.select(F.col("l_orderkey").alias("game_id"),
+    # an order has at most a handful of lines: per-game windows are small groups; under the name that later steps group and join by
+    w = Window.partitionBy("game_id").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    m = li.withColumnRenamed("l_orderkey", "game_id").select("game_id",
                   F.row_number().over(w).cast("bigint").alias("ply"),
                   (F.col("l_partkey") % 7).alias("c"),
                   (F.col("l_linenumber") + 8).alias("d"),

@@ -16,11 +16,11 @@ Deterministic shaping rules (also spelled out in the oracle SQL):
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import landed
-from ..sinks.files import write_games_text
+from ..sinks.files import game_slices, write_games_text
 from . import fixtures as fx
 
 GAMES_PER_FILE = 100
@@ -32,11 +32,16 @@ BLACK_START_FEN = "4k3/8/8/8/8/8/8/4K3 b - - 0 1"
 
 
 def pgn_games(spark: SparkSession, d: str) -> DataFrame:
-    g = fx.fx_games(spark, d)
+    """The games with their moves ``mv`` and the ``slice`` in which they are written."""
+    g = game_slices(fx.fx_games(spark, d))
     mv = (fx.fx_moves(spark, d).groupBy("game_id")
           .agg(F.sort_array(F.collect_list(F.struct("ply", "move_san", "comment"))).alias("mv")))
-    j = g.join(mv, "game_id", "left").withColumn("mv", F.coalesce("mv", F.array().cast(
+    return g.join(mv, "game_id", "left").withColumn("mv", F.coalesce("mv", F.array().cast(
         "array<struct<ply:bigint,move_san:string,comment:string>>")))
+
+
+def pgn_text() -> Column:
+    """The text of a game of ``pgn_games``."""
     black_start = F.col("termination") == "Time forfeit"
 
     def token(m):
@@ -66,14 +71,13 @@ def pgn_games(spark: SparkSession, d: str) -> DataFrame:
         F.when(F.col("result") != "1/2-1/2",
                tag("GameStartTime", F.date_format("played_at", "yyyy-MM-dd'T'00:00:00"))),
         tag("GameEndTime", F.date_format("played_at", "yyyy-MM-dd'T'HH:mm:ss")))
-    text = F.concat(tags, F.lit("\n\n"), F.trim(F.concat(moves_text, F.lit(" "), F.col("result"))), F.lit("\n"))
-    return j.select("match_id", "game_id", text.alias("pgn"))
+    return F.concat(tags, F.lit("\n\n"), F.trim(F.concat(moves_text, F.lit(" "), F.col("result"))), F.lit("\n"))
 
 
 def pgn_files(spark: SparkSession, d: str) -> str:
     """Write the match files (one directory per match) and return their root."""
     per_file = max(GAMES_PER_FILE, -(-fx.table(spark, d, "orders").count() // FILES))
-    return landed(spark, f"pgn:{d}", lambda path: write_games_text(pgn_games(spark, d), path, per_file))
+    return landed(spark, f"pgn:{d}", lambda path: write_games_text(pgn_games(spark, d), path, per_file, pgn_text()))
 
 
 # SQL pieces for oracles over the adapters

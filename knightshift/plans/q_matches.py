@@ -12,6 +12,7 @@ from ..session import landed, scratch_path
 from ..sinks import files as K
 from ..sources import pgn as SRC
 from . import fixtures as fx
+from .joins import bounded_broadcast
 from .pgn_fixture import NOTE, pgn_files
 from .registry import query
 
@@ -259,10 +260,8 @@ TELEMETRY = """
        'telemetry engine' AS annotator_tag"""
 
 
-def _telemetry_tags(column: str):
-    names = {"white_depth_tag": "WhiteAvgDepth", "black_depth_tag": "BlackAvgDepth", "white_time_tag": "WhiteAvgMoveTime",
-             "black_time_tag": "BlackAvgMoveTime", "annotator_tag": "Annotator"}
-    return [M.header(column, n).alias(k) for k, n in names.items()]
+TELEMETRY_NAMES = {"white_depth_tag": "WhiteAvgDepth", "black_depth_tag": "BlackAvgDepth", "white_time_tag": "WhiteAvgMoveTime",
+                   "black_time_tag": "BlackAvgMoveTime", "annotator_tag": "Annotator"}
 
 
 @query("write_matches", f"""
@@ -280,10 +279,11 @@ LEFT JOIN sides s ON i.match_id = s.match_id AND i.game_no = s.game_no""")
 def q_write_matches(spark, d):
     root = _stored(spark, d)
     games, matches = spark.read.parquet(f"{root}/engine_match_games"), spark.read.parquet(f"{root}/engine_matches")
-    own = games.select("game_id", "match_id", "game_no", "round_number", "white_engine_id", "black_engine_id", "result",
-                       "total_plies", "white_avg_depth", "black_avg_depth", "white_avg_movetime_sec", "black_avg_movetime_sec",
-                       "termination", "played_at", *_telemetry_tags("moves_pgn"))
-    return own.join(matches, "match_id")
+    own = M.with_headers(games, "moves_pgn", TELEMETRY_NAMES).select(
+        "game_id", "match_id", "game_no", "round_number", "white_engine_id", "black_engine_id", "result",
+        "total_plies", "white_avg_depth", "black_avg_depth", "white_avg_movetime_sec", "black_avg_movetime_sec",
+        "termination", "played_at", *TELEMETRY_NAMES)
+    return own.join(bounded_broadcast(matches), "match_id")     # games of few matches would meet in few tasks
 
 
 @query("match_game_ids", """SELECT 'engine_match_games' AS table_name, 0::BIGINT AS duplicate_keys, 0::BIGINT AS null_keys,
@@ -305,5 +305,5 @@ def q_export_pgn(spark, d):
     games = spark.read.parquet(f"{_stored(spark, d)}/engine_match_games")
     path = K.export_pgn(SRC.lookup_match(games, "match_7"), scratch_path(spark, "export"))
     back = SRC.read_games_text(spark, path, match_from_path=False)
-    return back.select("game_no", M.header("pgn", "White").alias("white"), M.header("pgn", "Black").alias("black"),
-                       M.header("pgn", "Result").alias("result"), *_telemetry_tags("pgn"))
+    names = {"white": "White", "black": "Black", "result": "Result", **TELEMETRY_NAMES}
+    return M.with_headers(back, "pgn", names).select("game_no", *names)

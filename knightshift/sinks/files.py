@@ -6,7 +6,7 @@ driver.  Paths are chosen by the caller -- on a cluster a shared folder.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # rows that a task of ``write_clustered`` sorts and writes
@@ -85,16 +85,25 @@ def export_csv(spark: SparkSession, sql: str, path: str, single_file: bool = Fal
     return path
 
 
-def write_games_text(games: DataFrame, path: str, games_per_file: int = 0) -> None:
+def game_slices(games: DataFrame) -> DataFrame:
+    """``games`` with ``slice``, the range of (match, game) in which each lies, for ``write_games_text``: the range
+    partitioner evaluates its input twice, so give it the games before costly columns are joined to them."""
+    n = int(games.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return games.repartitionByRange(n, "match_id", "game_id").withColumn("slice", F.spark_partition_id())
+
+
+def write_games_text(games: DataFrame, path: str, games_per_file: int = 0, text: Column | str = "pgn") -> None:
     """Match text files, one directory per match, games in game order inside each file.
 
-    Range partitioning on (match, game) keeps a hot match spread over many
-    tasks while part-file names preserve the order; ``games_per_file`` cuts files (0: no cut).
+    Range partitioning on (match, game), or their ``slice`` (``game_slices``), keeps a hot match spread over many
+    tasks while part-file names preserve the order; ``games_per_file`` cuts files (0: no cut).  ``text`` is evaluated
+    behind the shuffle, once a game.
     """
     n = int(games.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    (games.repartitionByRange(n, "match_id", "game_id").sortWithinPartitions("match_id", "game_id")
-     .select("match_id", "pgn").write.mode("overwrite").option("maxRecordsPerFile", games_per_file)
-     .partitionBy("match_id").text(path))
+    ranged = games.repartitionById(n, "slice") if "slice" in games.columns else games.repartitionByRange(n, "match_id", "game_id")
+    (ranged.sortWithinPartitions("match_id", "game_id")
+     .select("match_id", (F.col(text) if isinstance(text, str) else text).alias("pgn")).write.mode("overwrite")
+     .option("maxRecordsPerFile", games_per_file).partitionBy("match_id").text(path))
 
 
 def export_pgn(games: DataFrame, path: str, order: str = "game_no", column: str = "moves_pgn") -> str:

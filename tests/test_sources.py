@@ -340,3 +340,40 @@ def test_transcript_text_is_read_once(spark, tmp_path):
     answers = parse_transcript(read_transcripts(spark, str(tmp_path)))
     assert "FileScan text" not in answers._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, answers.collect())) == [("s", 1, "e2e4", 2, 10.0), ("s", 2, "a1b1", 0, 0.0)]
+
+
+def test_moves_are_shuffled_once_and_text_is_made_behind_the_ranges(spark):
+    from knightshift.plans import pgn_fixture as PF
+    plan = PF.pgn_games(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" in plan and "Join" not in plan[plan.index("rangepartitioning"):]
+    moves = plan[plan.index("collect_list"):]
+    assert moves.count("Exchange hashpartitioning") == 1 and "partial_collect_list" in moves
+
+
+def test_headers_are_read_together_as_one_by_one(spark):
+    texts = ['[A "1"]\n[A "2"]\n[B "x"]\n\n1. e4 {\n[C "no"]}', '\n [B \t "q \\"z\\" ]"] \n[Bx "n"]\n[C ""]', '[A "1"] [B "2"]\n[C\n"3"]\n\n1. d4', "1. c4", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "pgn string")
+    names = {"one": "A", "two": "B", "three": "C"}
+    apart = df.select("pgn", *[M.header("pgn", n).alias(k) for k, n in names.items()])
+    assert sorted(map(repr, M.with_headers(df, "pgn", names).collect())) == sorted(map(repr, apart.collect()))
+    p = M.with_headers(spark.createDataFrame([("",)], "pgn string"), "pgn", names)._jdf.queryExecution().optimizedPlan().toString()
+    assert p.count("regexp_extract(") == 1 and p.count("regexp_extract_all(") == 2
+
+
+def test_stored_games_meet_their_matches_without_a_shuffle(spark, monkeypatch):
+    from knightshift.plans import q_matches as Q
+    plan = Q.q_write_matches(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+
+
+def test_shared_steps_of_fixed_are_behind_no_condition(spark):
+    """Side averages that are null give no line, and their text is not worked out in a branch of its own."""
+    from knightshift.functions.columns import fixed
+    df = spark.createDataFrame([(None, 0.25, -1.05, 2.675), (3.0, None, 0.05, 0.0005)], "a double, b double, c double, d double")
+    got = df.select(*[fixed(c, n).alias(c) for c, n in (("a", 1), ("b", 1), ("c", 1), ("d", 3))]).collect()
+    assert [tuple(r) for r in got] == [(None, f"{0.25:.1f}", f"{-1.05:.1f}", f"{2.675:.3f}"), (f"{3.0:.1f}", None, f"{0.05:.1f}", f"{0.0005:.3f}")]
+    sides = df.toDF("white_avg_depth", "black_avg_depth", "white_avg_movetime_sec", "black_avg_movetime_sec")
+    lines = sides.select(M.telemetry_lines(False).alias("t"))
+    assert "isnotnull" not in lines._jdf.queryExecution().analyzed().toString().lower()
+    assert sorted(r.t.count("[") for r in lines.collect()) == [4, 4]
+    assert {r.t.count("[") for r in sides.select(M.telemetry_lines(True).alias("t")).collect()} == {5}
