@@ -123,7 +123,7 @@ def q_annotate_pgn(spark, d):
      .write.mode("overwrite").partitionBy("match_id").option("lineSep", "\n\n").text(path))
     back = SRC.read_games_text(spark, path)
     tags = ["WhiteAvgDepth", "BlackAvgDepth", "WhiteAvgMoveTime", "BlackAvgMoveTime"]
-    return back.select("match_id", "game_no", *[M.header("pgn", t).alias(t) for t in tags])
+    return M.with_headers(back, "pgn", {t: t for t in tags}).select("match_id", "game_no", *tags)
 
 
 @query("match_scores", f"""

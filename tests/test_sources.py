@@ -342,6 +342,34 @@ def test_transcript_text_is_read_once(spark, tmp_path):
     assert sorted(map(tuple, answers.collect())) == [("s", 1, "e2e4", 2, 10.0), ("s", 2, "a1b1", 0, 0.0)]
 
 
+def test_blocks_inside_a_long_comment(spark):
+    """Blocks that begin in a comment and go on in it for longer than their heads are cut again from their true state."""
+    from knightshift.sources import pgn
+    one = '[Event "A"]\n\n1. e4 {' + "\n".join(["x y", "[Event \"no\"]", "", "% z"] * 600) + "} e5"
+    two, three = '[Event "B"]\n\n1. d4 {' + "\n".join(f"c {i}" for i in range(900)) + "} d5 *", '[Event "C"]\n\n1. c4 *'
+    files = {"a.pgn": f"{one}\n\n{two}\n\n{three}\n", "b.pgn": f"{three}\n\n{two}\n"}
+    whole = _cut(spark, files)
+    assert whole == [(1, one), (2, two), (3, three), (4, three), (5, two)]
+    for split in (300, 3000):
+        cuts = []
+        stored, pgn.cut_lineage = pgn.cut_lineage, lambda df, name: cuts.append(name) or stored(df, name)
+        try:
+            assert _cut(spark, files, split) == whole
+        finally:
+            pgn.cut_lineage = stored
+        assert ("again-pieces" in cuts) == (split == 3000)
+
+
+def test_match_text_is_scanned_once(spark, monkeypatch):
+    from knightshift.sources import pgn
+    plans = []
+    stored = pgn.cut_lineage
+    monkeypatch.setattr(pgn, "cut_lineage", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or stored(df, name))
+    games = _games(spark, {"a.pgn": "".join(_pgn(i) for i in range(1, 20))})
+    plans.append(games._jdf.queryExecution().executedPlan().toString())
+    assert games.count() == 19 and sum(p.count("FileScan text") for p in plans) == 1
+
+
 def test_moves_are_shuffled_once_and_text_is_made_behind_the_ranges(spark):
     from knightshift.plans import pgn_fixture as PF
     plan = PF.pgn_games(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
