@@ -68,6 +68,19 @@ def parse_comment(comment) -> Column:
     return F.struct(ev_val.alias("eval"), dp_val.alias("depth"), sec_val.alias("seconds"))
 
 
+def comment_marks(comment) -> list[Column]:
+    """First half of ``parse_comment`` for lambdas, where nothing is shared: the texts ``found`` ("eval/depth") and ``took``, a pass each."""
+    c = _c(comment)
+    return [F.regexp_extract(c, EVAL_DEPTH_PATTERN, 0).alias("found"), F.regexp_extract(c, SECONDS_PATTERN, 1).alias("took")]
+
+
+def marked_values(found: Column, took: Column) -> list[Column]:
+    """Second half: eval, depth and seconds of ``comment_marks``.  The parts of ``found`` hold no other slash; a cast of no text is costly."""
+    ev_val = F.when(found != "", _try_cast(F.replace(F.substring_index(found, "/", 1), F.lit("#"), F.lit("")), "double"))
+    dp_val = F.when(ev_val.isNotNull(), _try_cast(F.substring_index(found, "/", -1), "int"))
+    return [ev_val.alias("eval"), dp_val.alias("depth"), F.when(took != "", _try_cast(took, "double")).alias("seconds")]
+
+
 def py_int(text) -> Column:
     """Integer text as Python's ``int()`` reads it (sign, surrounding blanks, ``_``
     between digit groups); null when it does not parse or does not fit."""

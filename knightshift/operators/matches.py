@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import first_turn, fixed, let, map_engine, parse_comment
+from ..functions.columns import comment_marks, first_turn, fixed, let, map_engine, marked_values
 from ..sinks.files import in_match_order, write_matches
 
 MOVES = ("array<struct<ply:int,move_number:int,turn:string,move_san:string,comment:string,"
@@ -135,15 +135,17 @@ def parse_games(games_text: DataFrame) -> DataFrame:
                             F.array_join(F.filter(texts, lambda c: c != ""), " ").alias("comment"))
         return F.transform(at, move_row)
 
+    own = ["ply", "move_number", "turn", "move_san", "comment"]
+
+    def with_marks(m):
+        # second pass: the comment is a stored field now, each pattern goes over it once
+        return F.struct(*[m[c].alias(c) for c in own], *comment_marks(m["comment"]))
+
     def with_telemetry(m):
-        # second pass: the comment is a stored field now, parsed once per move
-        tele = parse_comment(m["comment"])
-        return F.struct(m["ply"].alias("ply"), m["move_number"].alias("move_number"), m["turn"].alias("turn"),
-                        m["move_san"].alias("move_san"), m["comment"].alias("comment"),
-                        tele["eval"].alias("eval"), tele["depth"].alias("depth"), tele["seconds"].alias("seconds"))
+        return F.struct(*[m[c].alias(c) for c in own], *marked_values(m["found"], m["took"]))
 
     places = F.filter(F.transform("line", lambda x, i: F.when(~x.startswith("{"), i + 1)), lambda i: i.isNotNull())
-    moves = F.when(F.size("line") > 0, F.transform(let(places, all_moves), with_telemetry))
+    moves = F.when(F.size("line") > 0, F.transform(F.transform(let(places, all_moves), with_marks), with_telemetry))
     return g.withColumn("moves", F.coalesce(moves, F.array().cast(MOVES))).drop("line")
 
 

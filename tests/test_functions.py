@@ -106,3 +106,14 @@ def test_py_int(spark):
         except ValueError:
             return None
     assert got == [py(v) for v in vals]
+
+
+def test_marks_of_a_comment_hold_its_values(spark):
+    """The two passes over a move's comment give what ``parse_comment`` gives; neither pattern is in the second half."""
+    texts = ["+0.86/16 0.49s", "#-3/9 1.s", "+M9/9 1.5s", "", "book", "1.2/", "/4", "+1./3", "9/99999999999 2s", "-.5/7 x 0.1s/8", None]
+    df = spark.createDataFrame([(t,) for t in texts], "c string")
+    marks = df.select("c", F.struct(*C.comment_marks("c")).alias("m"))
+    got = marks.select("c", F.struct(*C.marked_values(F.col("m.found"), F.col("m.took"))).alias("t"))
+    assert got.collect() == df.select("c", C.parse_comment("c").alias("t")).collect()
+    second = str(F.struct(*C.marked_values(F.col("found"), F.col("took"))))
+    assert "regexp" not in second
