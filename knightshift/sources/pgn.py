@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..plans.joins import fits
-from ..session import cut_lineage
+from ..session import cut_lineage, discard
 
 BLOCK = ["match_id", "file", "block"]
 PIECE = "match_id string, file string, block long, part int, game_no long, whole boolean, value string"
@@ -306,6 +306,8 @@ def read_games_text(spark: SparkSession, path: str, match_from_path: bool = True
     body, _ = _meet(scanned.where("ends IS NULL").select(*PIECES), blocks.where("NOT again").select(*BLOCK, "before", "in_head"))
     pieces = body.withColumn("game_no", F.col("game_no") + F.col("before") + F.col("in_head")).select(*PIECES)
     pieces = pieces.unionByName(blocks.where("NOT again AND size(head) > 0").select(*BLOCK, "state", "before", "head").mapInArrow(heads, PIECE))
+    pieces = cut_lineage(pieces, "numbered-pieces")      # whoever reads the games finds them numbered
+    discard(scanned)
     if not blocks.where("again").isEmpty():
         joined, sent = _meet(lines.withColumn("seq", F.monotonically_increasing_id()), blocks.where("again").select(*BLOCK, "state", "before"))
         if not sent:             # too many blocks to send: the lines meet theirs by shuffle and go back in order
